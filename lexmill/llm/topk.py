@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workspace import small_batches
+
 SLAB, BLOCK, CHUNK = 8192, 16, 4096
 _EXACT = 2.0**52
 
@@ -135,6 +137,7 @@ def _search(slab, k: int, block: int, chunk: int):
 def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, slab: int = SLAB, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank, vec_id, score of the k best for each row that ``is_query`` (a Column) holds for."""
     spark = vectors.sparkSession
+    small_batches(spark, 4096)
     whole = whole_vectors(vectors, scale)
     common = whole.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
     dims = common["dims"] if common else 0

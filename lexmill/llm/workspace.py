@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: ASCII white space, as a SQL regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -41,7 +43,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
-    """Bound Arrow batches by rows and bytes: long texts must not add up to hundreds of MB in a worker."""
+    """Make ready for functions in tasks: Arrow batches are bounded by rows and bytes, as long
+    texts must not add up to hundreds of MB in a worker, and the workers get this package."""
+    ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = spark.conf.get(key, None)
         if now is None or not now.isdigit() or not 0 < int(now) <= most:
