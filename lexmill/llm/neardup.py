@@ -237,7 +237,7 @@ def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     crowd = materialize(full(crowd).select("tree", "node", "high", "sig", F.col("key").alias("top")), "forest-crowd")
     parts, level = [], crowd
     for depth in range(MIN_DEPTH + 1, DEPTH + 1):
-        at = level.withColumn("key", F.xxhash64("top", _prefix(depth)))
+        at = level.select("tree", "node", "high", "sig", "top").withColumn("key", F.xxhash64("top", _prefix(depth)))
         counted = at.join(materialize(at.groupBy("key").count().where("count > 1"), f"forest-depth-{depth}"), "key")
         parts.append(counted.where(F.col("count") <= REGION).select(F.xxhash64("tree", "key", F.lit(depth)).alias("gid"), "tree", "node", "high", "sig"))
         level = materialize(counted.where(F.col("count") > REGION).select("tree", "node", "high", "sig", "top", "key", "count"), f"forest-level-{depth}")
