@@ -132,9 +132,9 @@ def fold_clauses(docs: DataFrame, key: str, text: str, min_words: int = 3) -> Da
     return docs.select(key, text).mapInPandas(run, f"{key} {kind}, clause_no bigint, clause_id string, section string, clause string")
 
 
-def drop_margin_blocks(blocks: DataFrame, doc: str, page: str, text: str, in_margin, longest: int = 160) -> DataFrame:
-    """Rows whose text doesn't repeat in the margins of at least half of the document's pages (two at least)."""
+def drop_margin_blocks(blocks: DataFrame, doc: str, page: str, text: str, in_margin, longest: int = 160, share: float = 0.5) -> DataFrame:
+    """Rows whose text doesn't repeat in the margins of at least ``share`` of the document's pages (two at least)."""
     pages = blocks.groupBy(doc).agg(F.count_distinct(page).alias("pages"))
     seen = blocks.where(in_margin & (F.length(text) <= longest) & (F.col(text) != "")).groupBy(doc, text).agg(F.count_distinct(page).alias("seen"))
-    repeated = seen.join(pages, doc).where((F.col("pages") >= 2) & (F.col("seen") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * 0.5)))).select(doc, text)
+    repeated = seen.join(pages, doc).where((F.col("pages") >= 2) & (F.col("seen") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * share)))).select(doc, text)
     return blocks.join(repeated, [doc, text], "left_anti")
