@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -20,7 +21,7 @@ def _reordered(text: Column) -> Column:
 OCR = {"l": "1", "I": "l", "O": "0", "rn": "m", "cl": "d"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ocr_noise(texts: pd.Series) -> pd.Series:
     """One substitution per hundred characters (one at least), at places drawn from a hash of the text."""
     import random

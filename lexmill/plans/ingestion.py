@@ -1 +1,197 @@
-"""Queries."""
+"""Ingestion queries: shapes of incoming rows, pages, replies and sheets."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..catalog import query, table
+from ..functions import text as X
+from ..session import ship
+from ..sources import files as S
+from ..sources import normalise as N
+from .text import documents
+
+_WORDS = r"len(list_filter(string_split_regex({}, '\s+'), lambda w: w <> ''))"
+
+
+@query(f"SELECT 'conv:' || conv_id || ':' || turn AS source_id, trim(text) AS text, role AS product FROM conversations WHERE {_WORDS.format('text')} >= 10")
+def complaint_narratives(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").withColumn("narrative", F.lit(None).cast("string")).withColumn("complaint", F.lit("  "))
+    rows = t.select(F.concat(F.lit("conv:"), "conv_id", F.lit(":"), "turn").alias("source_id"), X.first_text("narrative", "complaint", "text").alias("text"), F.col("role").alias("product"))
+    return rows.where(X.word_count("text") >= 10)
+
+
+@query(f"SELECT doc_id, length(t) AS n FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN trim(text) WHEN doc_id % 3 = 1 THEN lang || ' ' || source || ' ' || text ELSE source || chr(10) || chr(10) || text END AS t FROM documents) WHERE {_WORDS.format('t')} >= 20")
+def filing_texts(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    shaped = d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).alias("text"), *(F.when(F.col("doc_id") % 3 == 1, F.col(c)).alias(a) for c, a in (("lang", "instruction"), ("source", "input"), ("text", "output"))),
+                      F.when(F.col("doc_id") % 3 == 2, F.col("source")).alias("section_1"), F.when(F.col("doc_id") % 3 == 2, F.col("text")).alias("section_2"))
+    t = F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.nullif(F.concat_ws(" ", "instruction", "input", "output"), F.lit("")), F.nullif(F.concat_ws("\n\n", "section_1", "section_2"), F.lit("")))
+    return shaped.select("doc_id", t.alias("t")).where(X.word_count("t") >= 20).select("doc_id", F.length("t").cast("bigint").alias("n"))
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY md5('7:' || doc_id) LIMIT 50")
+def raw_stream_sample(spark, sf_dir):
+    return N.sample_rows(documents(spark, sf_dir).select("doc_id", "lang"), 7, "doc_id", 50)
+
+
+@query("SELECT doc_id FROM documents WHERE ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT % 100 BETWEEN 80 AND 89")
+def partitioned_split_scan(spark, sf_dir):
+    return N.partitioned(documents(spark, sf_dir), "validation", "doc_id").select("doc_id")
+
+
+@query("SELECT min(doc_id) AS doc_id, text AS premise FROM documents WHERE len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) >= 5 GROUP BY text")
+def distinct_premises(spark, sf_dir):
+    d = documents(spark, sf_dir).where(X.word_count("text") >= 5)
+    return d.groupBy(F.col("text").alias("premise")).agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("""SELECT conv_id || '::' || turn || '::' || substr(sha256(text), 1, 12) AS clause_key FROM conversations""")
+def clause_key_synthesis(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select(F.concat_ws("::", F.coalesce(F.col("conv_id").cast("string"), F.lit("unknown-conversation")), F.coalesce(F.col("turn").cast("string"), F.lit("unknown-turn")), X.sha_prefix("text", 12)).alias("clause_key"))
+
+
+@query("""SELECT 'documents' AS source, 'ok' AS status, (SELECT count(*) FROM (SELECT * FROM documents LIMIT 5)) AS n UNION ALL SELECT 'pages', 'ok', (SELECT count(*) FROM (SELECT * FROM pages LIMIT 5)) UNION ALL SELECT 'absent', 'error', 0""")
+def source_health(spark, sf_dir):
+    found = []
+    for name in ("documents", "pages", "absent"):
+        try:
+            found.append((name, "ok", table(spark, sf_dir, name).limit(5).count()))
+        except Exception:  # a source that fails is a row of the report
+            found.append((name, "error", 0))
+    return spark.createDataFrame(found, "source string, status string, n bigint")
+
+
+@query(r"""WITH h AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/]+)', 1) AS root, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) AS hs FROM pages),
+ l AS (SELECT page_id, url, pos - 1 AS pos, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN starts_with(href, '/') THEN root || href END AS link, root FROM h, unnest(hs) WITH ORDINALITY AS t(href, pos))
+SELECT page_id, link, min(pos)::BIGINT AS pos FROM l WHERE regexp_extract(link, '^([a-z]+://[^/]+)', 1) = root AND link <> url AND NOT regexp_matches(link, '(?i)\.(jpg|png|css|js|zip)$') GROUP BY ALL""")
+def same_host_links(spark, sf_dir):
+    return S.same_host_links(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+
+
+@query()
+def html_sections(spark, sf_dir):
+    ship(spark)
+    return table(spark, sf_dir, "pages").select("page_id", S.html_text("html").alias("text"))
+
+
+@query()
+def xml_sections(spark, sf_dir):
+    ship(spark)
+    para = F.regexp_replace(F.regexp_replace("text", "[&<>]", ""), "\n", "</P><P>")
+    xml = F.concat(F.lit("<DIV><HEAD>"), "source", F.lit("</HEAD><P>"), para, F.lit("</P></DIV>"))
+    return documents(spark, sf_dir).select("doc_id", S.xml_text(xml).alias("text"))
+
+
+NLI_ROWS = [
+    ("a", "Q: May it be shared?\n\nContext: It may not be shared.", "Contradiction", None, None, None, None, None),
+    ("b", None, None, "Fees are due monthly.", "Fees are due.", "1", None, None),
+    ("c", None, None, "Fees are due monthly.", None, None, ["Fees exist.", "There are no fees.", " "], ["Entailment", "contradiction", None]),
+    ("d", "No marker here", "entailed", None, None, None, None, None),
+    ("e", None, None, "Fees are due monthly.", "Fees are due.", "entailment", None, None),
+]
+NLI_SCHEMA = "id string, input string, output string, premise string, hypothesis string, label string, hypotheses array<string>, labels array<string>"
+
+
+@query()
+def nli_shape_union(spark, sf_dir):
+    return N.contract_pairs(spark.createDataFrame(NLI_ROWS, NLI_SCHEMA))
+
+
+@query("""WITH c AS (SELECT a.conv_id, a.turn, a.text AS premise, b.text AS hypothesis, CASE (a.turn % 4)::INT WHEN 0 THEN 'entailment' WHEN 1 THEN 'neutral' WHEN 2 THEN 'contradiction' END AS label FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+SELECT premise, hypothesis, label, conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY premise, hypothesis ORDER BY conv_id, turn) AS rn FROM c WHERE label IS NOT NULL AND trim(premise) <> '' AND trim(hypothesis) <> '') WHERE rn = 1""")
+def valid_unique_pairs(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hypothesis"))
+    code = F.col("turn") % 4
+    pairs = t.select("conv_id", "turn", F.col("text").alias("premise")).join(after, ["conv_id", "turn"])
+    label = F.when(code < 3, N.nli_code(code, ["entailment", "neutral", "contradiction"]))
+    return N.valid_unique_pairs(pairs.withColumn("label", label), ["conv_id", "turn"]).select("premise", "hypothesis", "label", "conv_id", "turn")
+
+
+QA_SCHEMA = "id string, question string, answer string, doc_name string, evidence_text string, evidence_lists struct<text:array<string>,doc_name:array<string>,page:array<string>>, evidence_items array<struct<text:string,doc_name:string,page:string>>"
+QA_ROWS = [
+    ("q1", "What fee?", "Ten.", "d1", "The fee is ten.", None, None), ("q2", "When?", "May.", None, None, (["Due in May.", "Late fees apply."], ["d2"], ["7", "x"]), None),
+    ("q3", "Who?", "The bank.", "d3", None, None, [("The bank pays.", None, "2"), (" ", None, None)]), ("q4", "Why?", " ", None, "No answer.", None, None), ("q5", "How?", "So.", None, None, None, None),
+]
+
+
+@query()
+def qa_normalise_dedupe(spark, sf_dir):
+    return N.qa_examples(spark.createDataFrame(QA_ROWS, QA_SCHEMA)).dropDuplicates(["chunk_id"])
+
+
+REPLIES = [('```json\n{"items": [{"id": "a", "simplified": "x"}]}\n```',), ('Sure: [{"source_id": "b", "text": "y"}] done',), ('{"record_id": 3, "output": "z"}',), ("no json",), (None,)]
+
+
+@query()
+def json_repair(spark, sf_dir):
+    ship(spark)
+    return spark.createDataFrame(REPLIES, "reply string").select("reply", F.explode_outer(S.reply_items("reply")).alias("item")).select("reply", "item.*")
+
+
+@query()
+def consolidate_flatten(spark, sf_dir):
+    ship(spark)
+    rows = [("eval", '{"rq1": {"sari": 54.0, "n": 3}, "taus": [0.3, 0.5], "rows": [{"a": 1}], "ok": true}'), ("cal", '{"ece": 0.1}')]
+    return spark.createDataFrame(rows, "artefact string, payload string").select("artefact", F.explode(S.flat_metrics("payload")).alias("m")).select("artefact", "m.*")
+
+
+@query()
+def fuzzy_clause_match(spark, sf_dir):
+    gold = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 20)
+    noisy = F.transform(gold, lambda x: F.replace(x, F.lit("th"), F.lit("h")))
+    return S.parser_scores(S.match_clauses(documents(spark, sf_dir).where("n_chars < 600").select("doc_id", gold.alias("gold"), noisy.alias("predicted")), "doc_id"), "doc_id")
+
+
+RECORD = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()), T.StructField("toxic", T.BooleanType()), T.StructField("score", T.DoubleType())])
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE quality END AS quality, toxic = 1 AS toxic, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id / 4.0::DOUBLE END AS score FROM labels")
+def typed_record_scan(spark, sf_dir):
+    i = F.col("doc_id")
+    raw = table(spark, sf_dir, "labels").select(
+        i.cast("string").alias("doc_id"), F.when(i % 7 == 0, "None").otherwise(F.col("quality").cast("string")).alias("quality"), F.when(F.col("toxic") == 1, "Yes").otherwise("0").alias("toxic"),
+        F.when(i % 5 == 0, "").otherwise((i / 4.0).cast("string")).alias("score"), F.lit("dropped").alias("unknown"),
+    )
+    return N.typed_records(raw, RECORD)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN quality WHEN doc_id % 3 = 1 THEN 1 - quality END AS answer FROM labels")
+def reviewer_values(spark, sf_dir):
+    i = F.col("doc_id")
+    said = F.when(F.col("quality") == 1, " Yes").otherwise("no")
+    r = table(spark, sf_dir, "labels").select("doc_id", F.when(i % 3 == 0, said).otherwise("maybe").alias("a"), F.when(i % 3 == 1, said).alias("b"))
+    return r.select("doc_id", F.coalesce(N.yes_no("a"), 1 - N.yes_no("b")).alias("answer"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id % 5 * 60 + 2.5 WHEN event_id % 3 = 1 THEN (event_id % 9)::DOUBLE END AS seconds FROM events")
+def retry_after(spark, sf_dir):
+    i = F.col("event_id")
+    said = F.when(i % 3 == 0, F.concat(F.lit("Please Try again in "), i % 5, F.lit("m2.5s."))).when(i % 3 == 1, F.concat(F.lit("try again in "), i % 9, F.lit("s"))).otherwise("rate limited")
+    return table(spark, sf_dir, "events").select("event_id", X.retry_after(said).alias("seconds"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(0.1 + 0.9 * (0.6 * least(greatest(l_quantity / 50, 0), 1) + 0.4 * least(greatest(l_discount * 10, 0), 1)), 6) AS weight FROM lineitem")
+def quality_weights(spark, sf_dir):
+    clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(0.1 + 0.9 * (0.6 * clip(F.col("l_quantity") / 50) + 0.4 * clip(F.col("l_discount") * 10)), 6).alias("weight"))
+
+
+@query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / n) * (x::DOUBLE / n))), 6) AS norm FROM (SELECT vec_id, embedding, CASE WHEN s = 0 THEN 1 ELSE sqrt(s) END AS n FROM (SELECT vec_id, embedding, list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS s FROM embeddings))""")
+def l2_normalised(spark, sf_dir):
+    v = X.l2_normalise("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+
+
+@query("SELECT event_id, round(exp(value / 100 / 2) / (exp(value / 100 / 2) + exp((event_id % 3) / 2.0::DOUBLE) + 1), 6) AS p FROM events")
+def softmax_temperature(spark, sf_dir):
+    p = X.softmax(F.col("value") / 100, (F.col("event_id") % 3).cast("double"), F.lit(0.0), temperature=2.0)
+    return table(spark, sf_dir, "events").select("event_id", F.round(p[0], 6).alias("p"))
+
+
+@query("SELECT attempt, least(0.1 + (attempt - 1) * 0.15, 0.7)::DOUBLE AS temperature, least(pow(2, attempt - 1), 8)::DOUBLE AS backoff FROM (SELECT unnest(range(1, 9)) AS attempt)")
+def retry_schedule(spark, sf_dir):
+    a = F.col("attempt")
+    return spark.range(1, 9).select(F.col("id").alias("attempt")).select("attempt", F.round(F.least(0.1 + (a - 1) * 0.15, F.lit(0.7)), 9).alias("temperature"), F.least(F.pow(F.lit(2.0), a - 1), F.lit(8.0)).alias("backoff"))

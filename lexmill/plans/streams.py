@@ -1 +1,51 @@
-"""Queries."""
+"""Streaming queries over the events, run over what there is."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..catalog import query, table
+from ..session import scratch
+from ..streaming import incremental as I
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def progress_windows(spark, sf_dir):
+    return I.progress_windows(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b, event_id FROM events),
+ g AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM s) SELECT user_id, min(ts) AS started, count(*) AS n FROM g GROUP BY user_id, g""")
+def session_windows(spark, sf_dir):
+    w = F.session_window("ts", "6 hours")
+    return table(spark, sf_dir, "events").groupBy("user_id", w).agg(F.min("ts").alias("started"), F.count("*").alias("n")).select("user_id", "started", "n")
+
+
+def _stream(spark, sf_dir):
+    return I.stream_table(spark, f"{sf_dir}/events.parquet")
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) < (SELECT date_trunc('day', max(ts) - INTERVAL 1 HOUR) FROM events) GROUP BY ALL")
+def stream_progress(spark, sf_dir):
+    out = I.run_to_table(I.progress_windows(_stream(spark, sf_dir), late="1 hour"), scratch(spark, "stream-progress"))
+    return out.select("window_start", "event_type", "n")
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
+def stream_dedupe(spark, sf_dir):
+    out = I.run_to_table(I.first_seen(_stream(spark, sf_dir), ["user_id", "event_type"], "60 days"), scratch(spark, "stream-dedupe"))
+    return out.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, least(count(*), 100) AS n FROM events GROUP BY event_type")
+def stream_quota(spark, sf_dir):
+    out = I.run_to_table(I.within_quota(_stream(spark, sf_dir), "event_type", 100), scratch(spark, "stream-quota"))
+    return out.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT user_id) AS users FROM (SELECT DISTINCT user_id FROM events)")
+def stream_put_if_absent(spark, sf_dir):
+    path = scratch(spark, "stream-cache")
+    q = _stream(spark, sf_dir).select("user_id", "event_type").writeStream.foreachBatch(lambda b, _: I.put_if_absent(b, f"{path}/table", "user_id")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{path}/table").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))

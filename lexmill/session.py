@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,3 +27,19 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     context.addPyFile(str(target))
     _shipped.add(context.applicationId)
+
+
+def file_status(spark: SparkSession, path: str):
+    """Hadoop's status of a path, None if there is nothing; works for every store that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(at) if fs.exists(at) else None
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder that the cluster names, or in a temporary one where it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="lexmill-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
