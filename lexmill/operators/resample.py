@@ -1,7 +1,8 @@
 """Bootstrap intervals.
 
-Draws come from integer arithmetic that any engine reproduces: the index of a draw is
-(seed * 7919 + sample * 104729 + slot * 1299709) mod 2147483647 mod n.  Samples and
+Draws come from integer arithmetic that any engine reproduces: x = seed * 7919 +
+sample * 104729 + slot * 1299709 mod P is squared and shifted three times, mod P =
+2147483647, and taken mod n (x itself would give arithmetic progressions).  Samples and
 slots are a range, so drawing is spread over all tasks; the joins are equi-joins on the
 drawn index.  It is meant for evaluation sets; ``poisson_mean`` serves sets too large to
 draw from, with one pass and no join.
@@ -20,11 +21,17 @@ from ..session import ship
 from .metrics import div
 
 
+P, SHIFTS = 2147483647, (12345, 67890, 424243)
+
+
 def draws(spark: SparkSession, n: int, samples: int, seed: int) -> DataFrame:
     """sample, idx: n draws with replacement from 0..n-1 for each sample."""
     r = spark.range(samples * n) if n else spark.range(0)
     sample, slot = F.expr(f"id div {max(n, 1)}"), F.col("id") % max(n, 1)
-    return r.select(sample.alias("sample"), ((seed * 7919 + sample * 104729 + slot * 1299709) % 2147483647 % max(n, 1)).alias("idx"))
+    mixed = r.select(sample.alias("sample"), ((seed * 7919 + sample * 104729 + slot * 1299709) % P).alias("x")).withColumn("y", F.col("x"))
+    for shift in SHIFTS:
+        mixed = mixed.withColumn("y", (F.col("y") * F.col("y") + F.col("x") + shift) % P)
+    return mixed.select("sample", (F.col("y") % max(n, 1)).alias("idx"))
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:

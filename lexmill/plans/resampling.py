@@ -12,7 +12,9 @@ SAMPLES, SEED = 200, 42
 
 
 def _draw_sql(rows: str, samples: int = SAMPLES) -> str:
-    return f"n AS (SELECT count(*) AS n FROM {rows}), dr AS (SELECT s AS sample, ({SEED} * 7919 + s * 104729 + t * 1299709) % 2147483647 % n AS idx FROM n, range({samples}) AS a(s), range((SELECT n FROM n)) AS b(t))"
+    step = "(({y}) * ({y}) + x + {c}) % 2147483647"
+    return f"""n AS (SELECT count(*) AS n FROM {rows}), d0 AS (SELECT s AS sample, n, ({SEED} * 7919 + s * 104729 + t * 1299709) % 2147483647 AS x FROM n, range({samples}) AS a(s), range((SELECT n FROM n)) AS b(t)),
+ d1 AS (SELECT *, {step.format(y='x', c=12345)} AS y1 FROM d0), d2 AS (SELECT *, {step.format(y='y1', c=67890)} AS y2 FROM d1), dr AS (SELECT sample, {step.format(y='y2', c=424243)} % n AS idx FROM d2)"""
 
 
 _CI = "round(quantile_cont({0}, 0.025), 6) AS {0}_lower, round(quantile_cont({0}, 0.975), 6) AS {0}_upper"

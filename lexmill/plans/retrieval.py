@@ -19,7 +19,7 @@ def bm25_sql(queries: str = "SELECT item_id AS q_id, text FROM benchmark") -> st
  idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END AS idf FROM idf0, mi),
  qt AS (SELECT q_id, term, count(*) AS qtf FROM (SELECT q_id, unnest({_TOK.format('text')}) AS term FROM qs) GROUP BY ALL),
  sc AS (SELECT q_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS raw FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), st GROUP BY q_id, doc_id),
- rk AS (SELECT q_id, doc_id, raw, coalesce(raw / nullif(max(raw) OVER (PARTITION BY q_id), 0), 0) AS score, row_number() OVER (PARTITION BY q_id ORDER BY raw DESC, doc_id) AS rank FROM sc)"""
+ rk AS (SELECT q_id, doc_id, raw, CASE WHEN max(raw) OVER (PARTITION BY q_id) > 0 THEN raw / max(raw) OVER (PARTITION BY q_id) ELSE 0 END AS score, row_number() OVER (PARTITION BY q_id ORDER BY raw DESC, doc_id) AS rank FROM sc)"""
 
 
 GOLD = "gold AS (SELECT b.item_id AS q_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
