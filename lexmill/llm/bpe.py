@@ -25,6 +25,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .workspace import small_batches
 
-MAX_ARCS, MAX_PIECES = 200_000, 100_000
+MAX_ARCS, MAX_PIECES, COLD = 150_000, 250_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -69,12 +70,13 @@ class Transducer:
         for t in ranks:
             for i in range(1, len(t)):
                 self.kind[t[:i]] = self.OPEN | (t[:i] in ranks and self.TOKEN)
+        #: Length of the longest token by its last two bytes.
+        self.reach: dict[bytes, int] = {}
+        for t in ranks:
+            self.reach[t[-2:]] = max(len(t), self.reach.get(t[-2:], 2))
         self._may: dict[tuple[bytes, bytes], bool] = {}
         self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._edge: dict[tuple[bytes, int], list[tuple[bytes, float]]] = {}
-        self._reset()
-
-    def _reset(self) -> None:
         self.states: dict[tuple[bytes, bytes], dict] = {}  # by (before, pending): they fix the last tokens
         self.n_arcs = 0
         self.start = self._at((b"", b"", ()))
@@ -137,45 +139,58 @@ class Transducer:
             self._may[left, right] = known
         return known
 
+    def last_token(self, text: bytes, n: int, before: bytes, last: list[bytes] | tuple[bytes, ...]) -> bytes:
+        """The last token of text[:n]: the longest that fits its left neighbour."""
+        kind = self.kind
+        for start in range(max(0, n - self.reach.get(text[max(0, n - 2) : n], 1)), n):
+            token = text[start:n]
+            what = kind.get(token)
+            if what is None or not what & 2:
+                continue
+            if n - start > 1 and self.halves(token) is None:  # no merges lead to it
+                kind[token] = what & 1
+                continue
+            left = last[start - 1] if start else before
+            if not left:
+                return token
+            fits = self._may.get((left, token))
+            if fits is None:
+                fits = self.may_follow(left, token)
+            if fits:
+                return token
+        raise ValueError("the vocabulary lacks single bytes")
+
     def step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
         """The state after one more byte, and the ids settled by it."""
         before, pending, last = state
         pending += bytes((byte,))
         n = len(pending)
-        kind = self.kind
-        opened = []
-        found = None
-        for start in range(max(0, n - self.longest), n):  # the longest token that fits its neighbour is the one
-            token = pending[start:]
-            what = kind.get(token)
-            if what is None:
-                continue
-            if what & 1:
-                opened.append(start)
-            if found is None and what & 2:
-                if len(token) > 1 and self.halves(token) is None:  # no merges lead to it
-                    kind[token] = what & 1
-                    continue
-                left = last[start - 1] if start else before
-                if not left or self.may_follow(left, token):
-                    found = token
-        if found is None:
-            raise ValueError("the vocabulary lacks single bytes")
-        last += (found,)
+        last += (self.last_token(pending, n, before, last),)
         # Later tokens start at the end or where the rest is open: settled is where their ways back meet.
         settled = n
-        for at in opened:
-            while at != settled:
-                if at > settled:
-                    at -= len(last[at - 1])
-                else:
-                    settled -= len(last[settled - 1])
-        if not settled:
-            return (before, pending, last), ()
+        kind = self.kind
+        for at in range(max(0, n - self.longest), n):
+            if kind.get(pending[at:], 0) & 1:
+                while at != settled:
+                    if at > settled:
+                        at -= len(last[at - 1])
+                    else:
+                        settled -= len(last[settled - 1])
+                if not settled:
+                    return (before, pending, last), ()
         ids = self._back(last, settled)
         return (last[settled - 1], pending[settled:], last[settled:]), tuple(ids)
 
-    def _back(self, last: tuple, at: int) -> list[int]:
+    def run(self, state: tuple, rest: bytes) -> list[int]:
+        """The ids of what is pending and of ``rest``, to the end of the input, without new states."""
+        before, pending, last = state
+        text = pending + rest
+        last = list(last)
+        for n in range(len(pending) + 1, len(text) + 1):
+            last.append(self.last_token(text, n, before, last))
+        return self._back(last, len(text))
+
+    def _back(self, last: tuple | list, at: int) -> list[int]:
         out = []
         while at:
             out.append(self.ranks[last[at - 1]])
@@ -188,16 +203,21 @@ class Transducer:
             return [whole]
         out: list[int] = []
         arcs = self.start
-        for byte in piece:
+        for at, byte in enumerate(piece):
             arc = arcs.get(byte)
             if arc is None:
-                if self.n_arcs >= self.max_arcs:  # the table starts anew, the state stays
-                    state = arcs[self.STATE]
-                    self._reset()
-                    arcs = self._at(state)
-                state, ids = self.step(arcs[self.STATE], byte)
-                arc = arcs[byte] = (self._at(state), ids)
-                self.n_arcs += 1
+                state = arcs[self.STATE]
+                if self.n_arcs < self.max_arcs:  # one arc for each piece that leaves the table
+                    target, ids = self.step(state, byte)
+                    arcs[byte] = (self._at(target), ids)
+                    self.n_arcs += 1
+                    out += ids
+                    state, at = target, at + 1
+                while len(piece) - at > COLD:  # a long rest is settled byte by byte, keeping the state only
+                    state, ids = self.step(state, piece[at])
+                    out += ids
+                    at += 1
+                return out + self.run(state, piece[at:])
             arcs, ids = arc
             if ids:
                 out += ids
@@ -285,7 +305,8 @@ class Utf8Machine:
 
 @cache
 def coder(path: str, pattern: str) -> ByteBpe:
-    """One coder per worker process."""
+    """One coder per worker process; its tables live on, so the collector need not walk them often."""
+    gc.set_threshold(200_000, 50, 100)
     return ByteBpe(path, pattern)
 
 
