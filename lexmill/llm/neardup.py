@@ -17,7 +17,9 @@ round are known, each crowded region is gone through again: its nodes outside
 its prevailing component are compared with all its nodes, in blocks.
 
 Components come from alternating large-star and small-star steps over the links.
-Nothing is collected; what is kept between steps are tables in the shared folder.
+No link, component or set is collected; what is kept between steps are tables in the
+shared folder.  Texts aren't shuffled: a sieve of fixed size picks the documents whose
+sets are needed.
 
 Recall of a pair at similarity s is 1 - (1 - s**MIN_DEPTH)**TREES: more than 1 - 1e-6
 at 0.85, more than 1 - 1e-4 at 0.8.
@@ -35,10 +37,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sieve import Sieve, may_hold
 from .workspace import materialize, small_batches
 
 TREES, DEPTH, MIN_DEPTH, REGION = 16, 8, 3, 128
@@ -90,10 +94,14 @@ def _signed(words: int):
     return run
 
 
-def _sets(words: int):
+def _sets(words: int, wanted):
+    """Sets of the documents that the sieve ``wanted`` lets through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in batches:
+                b = b.filter(pc.is_valid(b.column(0)))
+                b = b.filter(pa.array(may_hold(wanted.value, b.column(0).to_numpy())))
                 sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
                 high = [int(_mix(s ^ _ODD).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(high, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "high", "shingles"])
@@ -287,8 +295,7 @@ def _links(docs: DataFrame, regions: DataFrame, words: int, num: int, den: int)
     least = VALUES * s - 3.5 * (VALUES * s * (1 - s)) ** 0.5
     grouped = regions.repartition("gid").sortWithinPartitions("gid", "sig")
     needed = materialize(grouped.mapInArrow(_needed(least), _REGION_ROW), "forest-needed")
-    wanted = docs.join(needed.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = wanted.mapInArrow(_sets(words), "node bigint, high bigint, shingles binary")
+    sets = docs.mapInArrow(_sets(words, Sieve(needed, "node").sent), "node bigint, high bigint, shingles binary")
     full = needed.join(sets, ["node", "high"]).select("gid", "tree", "node", "sig", "crowded", "comp", "second", "shingles")
     found = full.repartition("gid").sortWithinPartitions("gid", "sig").mapInArrow(_confirmed(least, num, den), "a bigint, b bigint")
     return materialize(found.where("a < b"), "forest-links")
@@ -352,4 +359,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` but those whose component keeps another document; all columns."""
     gone = materialize(near_duplicates(docs, words, num, den).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "forest-gone")
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("__gone"), "left_anti")
+    maybe = Sieve(gone, "__gone").column(F.col("doc_id"))
+    tested = docs.where(maybe).join(gone.hint("shuffle_merge"), F.col("doc_id").cast("bigint") == F.col("__gone"), "left_anti")
+    return docs.where(~maybe).unionByName(tested)
