@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,19 +102,29 @@ def hash_split(c: Column | str) -> Column:
     return F.when(b < 80, "train").when(b < 90, "validation").otherwise("test")
 
 
-def ngrams(words: Column, n: int) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def ngrams(words: Column, n: Column | int) -> Column:
     """Distinct n-grams, as joined strings."""
+    n = F.lit(n) if isinstance(n, int) else n
     last = F.size(words) - n + 1
     at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " ")))
 
 
-def _share(a: Column, b: Column) -> tuple[Column, Column]:
-    """Precision and recall of set ``a`` against ``b``: 1 if both are empty, 0 if one is."""
-    both = F.size(F.array_intersect(a, b))
-    none = (F.size(a) == 0) & (F.size(b) == 0)
-    one = lambda x: F.when(none, 1.0).otherwise(F.coalesce(F.try_divide(both, F.size(x)), F.lit(0.0)))
-    return one(a), one(b)
+def _shares(a: Column, b: Column) -> Column:
+    """struct(p, r) of set ``a`` against ``b``: 1 if both are empty, 0 if one is."""
+
+    def of(x: Column) -> Column:
+        none = (F.size(x["a"]) == 0) & (F.size(x["b"]) == 0)
+        both = F.size(F.array_intersect(x["a"], x["b"]))
+        one = lambda k: F.when(none, 1.0).otherwise(F.coalesce(F.try_divide(both, F.size(x[k])), F.lit(0.0)))
+        return F.struct(one("a").alias("p"), one("b").alias("r"))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def _f1(p: Column, r: Column) -> Column:
@@ -121,15 +133,20 @@ def _f1(p: Column, r: Column) -> Column:
 
 def sari(source: Column | str, prediction: Column | str, reference: Column | str) -> Column:
     """Set-based SARI of n-grams 1..4: keep F1, add F1, delete precision; mean, times 100."""
-    s, p, r = (ws_tokens(F.lower(col(c))) for c in (source, prediction, reference))
-    total = F.lit(0.0)
-    for n in range(1, 5):
-        gs, gp, gr = ngrams(s, n), ngrams(p, n), ngrams(r, n)
-        keep = _f1(*_share(F.array_intersect(gp, gs), F.array_intersect(gr, gs)))
-        add = _f1(*_share(F.array_except(gp, gs), F.array_except(gr, gs)))
-        delete = _share(F.array_except(gs, gp), F.array_except(gs, gr))[0]
-        total = total + (keep + add + delete) / 3
-    return 100 * total / 4
+    words = F.struct(*(ws_tokens(F.lower(col(c))).alias(a) for a, c in (("s", source), ("p", prediction), ("r", reference))))
+
+    def of_sets(g: Column) -> Column:
+        s, p, r = g["s"], g["p"], g["r"]
+        f1 = lambda x: _f1(x["p"], x["r"])
+        keep = let(_shares(F.array_intersect(p, s), F.array_intersect(r, s)), f1)
+        add = let(_shares(F.array_except(p, s), F.array_except(r, s)), f1)
+        return (keep + add + _shares(F.array_except(s, p), F.array_except(s, r))["p"]) / 3
+
+    def of_words(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.struct(*(ngrams(w[k], n).alias(k) for k in ("s", "p", "r"))))
+        return F.aggregate(F.transform(grams, of_sets), F.lit(0.0), lambda a, x: a + x)
+
+    return 100 * let(words, of_words) / 4
 
 
 def token_f1(prediction: Column | str, reference: Column | str) -> Column:
@@ -161,8 +178,8 @@ FACTS = {
     "percentage": r"(?i)\b\d+(?:\.\d+)?\s*(?:%|percent)\b",
     "negation": r"(?i)\b(?:no|not|never|without|unless|cannot|can't|won't|mustn't|may not)\b",
 }
-ORGANISATION = r"\b(?:[A-Z][A-Za-z&.-]+\s+){0,4}(?:Bank|Bureau|Company|Corp(?:oration)?|Credit Union|Financial|Inc|LLC|Ltd|Services)\b"
-ACRONYM = r"\b[A-Z]{2,8}\b"
+ORGANISATION = r"(?U)\b(?:[A-Z][A-Za-z&.-]+\s+){0,4}(?:Bank|Bureau|Company|Corp(?:oration)?|Credit Union|Financial|Inc|LLC|Ltd|Services)\b"
+ACRONYM = r"(?U)\b[A-Z]{2,8}\b"
 REQUIRED = r"(?i)\b(?:must|shall|required|need(?:s)? to|has to|have to)\b"
 PROHIBITED = r"(?i)\b(?:must not|shall not|may not|cannot|can't|prohibited)\b"
 

@@ -149,7 +149,7 @@ def _facts_sql(t: str) -> dict[str, str]:
     }
 
 
-_ENT = r"list_sort(list_distinct(list_transform(list_concat(regexp_extract_all({0}, '\b(?:[A-Z][A-Za-z&.-]+\s+){{0,4}}(?:Bank|Bureau|Company|Corp(?:oration)?|Credit Union|Financial|Inc|LLC|Ltd|Services)\b'), regexp_extract_all({0}, '\b[A-Z]{{2,8}}\b')), lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g'))))))"
+_ENT = r"list_sort(list_distinct(list_transform(list_concat(regexp_extract_all({0}, '\b(?:[A-Z][A-Za-z&.-]+\s+){{0,4}}(?:Bank|Bureau|Company|Corp(?:oration)?|Credit Union|Financial|Inc|LLC|Ltd|Services)\b'), regexp_extract_all(regexp_replace({0}, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g'), '(?:^|[^\p{{L}}\p{{N}}_])([A-Z]{{2,8}})(?:$|[^\p{{L}}\p{{N}}_])', 1)), lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g'))))))"
 _REQ = r"regexp_matches({}, '(?i)\b(?:must|shall|required|need(?:s)? to|has to|have to)\b')"
 _PRO = r"regexp_matches({}, '(?i)\b(?:must not|shall not|may not|cannot|can''t|prohibited)\b')"
 _S, _P = _facts_sql("source"), _facts_sql("prediction")
