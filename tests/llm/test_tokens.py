@@ -109,6 +109,12 @@ def test_compress_round_trip(documents, least):
         assert repair.read_range(shard, start, stop).tolist() == ids[start:stop].tolist()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aBéÉñßüŒİıſŠ'.,!\u0301 9", max_size=40))
+def test_words_of_any_letters(word_model, text):
+    assert repair.tokenizer(WORDS).encode([text.encode()])[0].tolist() == word_model.encode(text, add_special_tokens=False).ids
+
+
 def test_compress_shrinks_repetition():
     ids = np.tile(np.arange(10, dtype="<u4"), 500)
     seq, rules, _, _ = repair.compress(ids, np.array([len(ids)]), 10)
@@ -117,7 +123,7 @@ def test_compress_shrinks_repetition():
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_words_one_by_one(word_model, text):
-    assert repair.tokenizer(WORDS).encode([text])[0].tolist() == word_model.encode(text, add_special_tokens=False).ids
+    assert repair.tokenizer(WORDS).encode([text.encode()])[0].tolist() == word_model.encode(text, add_special_tokens=False).ids
 
 
 def test_token_shards(spark, docs, edge, empty, word_model, tmp_path):
