@@ -27,9 +27,12 @@ columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,56 +44,82 @@ from .workspace import fresh_path, small_batches, text_or_empty
 END_ID, SHARD_TOKENS = 1, 1 << 18
 PASSES, RULES_A_PASS, LEAST_COUNT = 5, 1024, 16
 _BUCKETS = 1 << 18
-_CACHED_WORDS = 200_000
+_LEFT, _RIGHT, _SHIFT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(32 - 18)
+_CACHED_WORDS = 600_000
+_LATIN_END = "\u0250"  # letters below it are precomposed, and fold case one by one
+_STOPS = frozenset(b",.;:!?")
 
 SHARD = "part int, shard int, base int, n_tokens bigint, doc_ids array<bigint>, lengths array<int>, symbols array<int>, rules binary, spans binary, sequence binary"
 
 
-class WordTokenizer:
-    """Ids by the tokenizers library, word by word.
+def _byte_alphabet() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: printable ones stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_ALPHABET = _byte_alphabet()
+
+
+class WordTokenizer(dict):
+    """Ids by the tokenizers library, word by word: word -> its ids as little-endian uint32.
 
     The vocabulary drops white space and no merge crosses it, so the ids of a text are
-    those of its white-space words one after another; words met lately are kept.
+    those of its white-space words one after another.  Words met lately are kept, and
+    those met before them until the next change.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker per core already
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.base = self.model.get_vocab_size(with_added_tokens=True)
-        self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.stops = {c: array("I", self.model.encode(chr(c), add_special_tokens=False).ids).tobytes() for c in _STOPS}
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > _CACHED_WORDS:
-            self.older, self.known = self.known, {}
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Fetch the ids of new words.
+
+        Latin letters in lower case, and a stop after them, are as the vocabulary's normaliser
+        and splitter would leave them, so their byte alphabet goes to its BPE model at once.
+        """
         fresh = []
+        older, bpe = self.older, self.model.model.tokenize
         for w in words:
-            got = self.older.get(w)
-            if got is None:
-                fresh.append(w)
-            else:
-                self.known[w] = got
+            ids = older.get(w)
+            if ids is None:
+                stop = w[-1] in _STOPS
+                core = w[:-1] if stop else w
+                if core.isalpha():
+                    letters = core.lower().decode()
+                else:
+                    text = core.decode("utf-8")
+                    lower = text.lower()
+                    if not (text.isalpha() and lower.isalpha() and max(text) < _LATIN_END):
+                        fresh.append(w)
+                        continue
+                    letters = lower.encode("utf-8").decode("latin-1").translate(_ALPHABET)
+                ids = array("I", [t.id for t in bpe(letters)]).tobytes()
+                if stop:
+                    ids += self.stops[w[-1]]
+            self[w] = ids
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
-            for w, e in zip(part, self.model.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        split = [t.encode("utf-8").split() for t in texts]
-        out = []
-        for words in split:
-            known = self.known
-            new = {w for w in words if w not in known}
-            if new:
-                self.learn(new)
-                known = self.known
-                if any(w not in known for w in words):  # the table was renewed in between
-                    self.learn({w for w in words if w not in known})
-            out.append(np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4"))
-        return out
+            for w, e in zip(part, self.model.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
+                self[w] = array("I", e.ids).tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each UTF-8 text."""
+        split = [t.split() for t in texts]
+        if len(self) >= _CACHED_WORDS:
+            self.older = dict(self)  # those before are forgotten
+            self.clear()
+        self.learn(set(chain.from_iterable(split)).difference(self))
+        return [np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint32) for words in split]
 
 
 @cache
@@ -104,41 +133,42 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, passes: int = PASSES,
     ``ends``: running sums of the documents' tokens.  Every pass counts all pairs, makes
     nonterminals of the most frequent, and replaces them left to right.
     """
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[ends[ends > 0] - 1] = True
-    rules: list[np.ndarray] = []
-    spans: list[np.ndarray] = []
-    n_rules = 0
+    rules = np.empty((0, 2), np.int64)
+    spans = np.empty(0, np.int64)
     for _ in range(passes):
         if len(seq) < 2:
             break
-        inside = ~last[:-1]
-        code = (seq[:-1] << 32) | seq[1:]
-        bucket = ((code * 0x9E3779B97F4A7C1) >> 40) & (_BUCKETS - 1)
-        heavy = np.bincount(bucket[inside], minlength=_BUCKETS) >= least  # a pair in a light bucket can't be frequent
-        pairs, counts = np.unique(code[inside & heavy[bucket]], return_counts=True)
+        bucket = (seq[:-1] * _LEFT + seq[1:] * _RIGHT) >> _SHIFT
+        bucket[last[:-1]] = 0
+        heavy = np.bincount(bucket, minlength=_BUCKETS) >= least  # a pair in a light bucket can't be frequent
+        heavy = heavy[bucket] & ~last[:-1]
+        at = np.flatnonzero(heavy)
+        code = (seq[at].astype(np.int64) << 32) | seq[at + 1]
+        pairs, counts = np.unique(code, return_counts=True)
         good = np.flatnonzero(counts >= least)
         if not len(good):
             break
-        good = good[np.argsort(-counts[good], kind="stable")[:rules_a_pass]]
+        if len(good) > rules_a_pass:
+            good = good[np.argsort(-counts[good], kind="stable")[:rules_a_pass]]
         chosen = np.sort(pairs[good])
-        at = np.searchsorted(chosen, code)
-        at[at == len(chosen)] = 0
-        hit = inside & (chosen[at] == code)
+        rule = np.searchsorted(chosen, code)
+        rule[rule == len(chosen)] = 0
+        hit = chosen[rule] == code
         # Of a run of overlapping hits every second is taken, from its first on.
-        where = np.flatnonzero(hit)
+        where, rule = at[hit], rule[hit]
         starts = np.r_[True, np.diff(where) > 1]
         first = where[starts][np.cumsum(starts) - 1]
-        take = where[(where - first) % 2 == 0]
-        left = chosen >> 32
-        right = chosen & 0xFFFFFFFF
-        known = np.concatenate(spans) if spans else np.empty(0, np.int64)
-        span = lambda s, known=known: np.where(s < base, 1, known[np.maximum(s - base, 0)] if len(known) else 1)
-        rules.append(np.stack([left, right], 1))
-        spans.append(span(left) + span(right))
-        seq[take] = base + n_rules + at[take]
-        n_rules += len(chosen)
+        odd = (where - first) % 2 == 0
+        take, rule = where[odd], rule[odd]
+        pair = np.stack([chosen >> 32, chosen & 0xFFFFFFFF], 1)
+        width = np.ones(pair.shape, np.int64)
+        deep = pair >= base
+        width[deep] = spans[pair[deep] - base]
+        seq[take] = base + len(rules) + rule
+        rules, spans = np.concatenate([rules, pair]), np.concatenate([spans, width.sum(1)])
         last[take] = last[take + 1]
         keep = np.ones(len(seq), bool)
         keep[take + 1] = False
@@ -147,25 +177,42 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, passes: int = PASSES,
     symbols = np.zeros(len(ends), np.int64)
     lengths = np.diff(np.r_[0, ends])
     symbols[lengths > 0] = np.diff(np.r_[0, stops])
-    return (
-        seq.astype("<u4"), (np.concatenate(rules) if rules else np.empty((0, 2))).astype("<u4"),
-        (np.concatenate(spans) if spans else np.empty(0)).astype("<u4"), symbols,
-    )
+    return seq.astype("<u4"), rules.astype("<u4"), spans.astype("<u4"), symbols
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The terminals of a sequence: nonterminals are opened level by level."""
+def _open(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """The terminals of a short sequence: nonterminals are opened level by level."""
     seq = seq.astype(np.int64)
-    while True:
-        opened = seq >= base
-        if not opened.any():
-            return seq.astype("<u4")
+    while (opened := seq >= base).any():
         width = np.where(opened, 2, 1)
         start = np.cumsum(width) - width
         out = np.empty(int(width.sum()), np.int64)
-        out[start] = np.where(opened, rules[np.where(opened, seq - base, 0), 0], seq) if len(rules) else seq
+        out[start[~opened]] = seq[~opened]
+        out[start[opened]] = rules[seq[opened] - base, 0]
         out[start[opened] + 1] = rules[seq[opened] - base, 1]
         seq = out
+    return seq
+
+
+def expand(seq: np.ndarray, rules: np.ndarray, base: int, spans: np.ndarray | None = None) -> np.ndarray:
+    """The terminals of a sequence.  With ``spans`` every rule is opened once, and copied where it stands."""
+    if spans is None or not len(rules):
+        return _open(seq, rules, base).astype("<u4")
+    table = _open(np.arange(base, base + len(rules)), rules, base).astype("<u4")
+    spans = spans.astype(np.int64)
+    opened = np.flatnonzero(seq >= base)
+    which = seq[opened].astype(np.int64) - base
+    extra = spans[which] - 1
+    place = np.arange(len(seq))
+    shift = np.zeros(len(seq) + 1, np.int64)
+    shift[opened + 1] = extra
+    place += np.cumsum(shift[:-1])
+    out = np.empty(len(seq) + int(extra.sum()), "<u4")
+    out[place] = seq
+    width = extra + 1
+    inner = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
+    out[np.repeat(place[opened], width) + inner] = table[np.repeat((np.cumsum(spans) - spans)[which], width) + inner]
+    return out
 
 
 def read_range(shard: dict, start: int, stop: int) -> np.ndarray:
@@ -205,8 +252,8 @@ def _write(path: str, end_id: int, shard_tokens: int):
             return pa.RecordBatch.from_pylist([row], _SCHEMA)
 
         for b in batches:
-            for at in range(0, len(b), 100):
-                ids, texts = b.column(0).slice(at, 100).to_pylist(), b.column(1).slice(at, 100).to_pylist()
+            for at in range(0, len(b), 500):
+                ids, texts = b.column(0).slice(at, 500).to_pylist(), b.column(1).slice(at, 500).cast(pa.binary()).to_pylist()
                 for i, tokens in zip(ids, words.encode(texts), strict=True):
                     held.append(np.concatenate([tokens, end]))
                     doc_ids.append(i)
@@ -238,11 +285,11 @@ def write_token_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for shard in b.to_pylist():
-            ids = expand(np.frombuffer(shard["sequence"], "<u4"), np.frombuffer(shard["rules"], "<u4").reshape(-1, 2), shard["base"])
+            ids = expand(np.frombuffer(shard["sequence"], "<u4"), np.frombuffer(shard["rules"], "<u4").reshape(-1, 2), shard["base"], np.frombuffer(shard["spans"], "<u4"))
             n = len(shard["lengths"])
             ends = np.cumsum(np.array(shard["lengths"], np.int64))
             starts = ends - np.array(shard["lengths"], np.int64)
-            raw = memoryview(ids.tobytes())
+            raw = memoryview(ids).cast("B")
             crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard["part"]] * n, pa.int32()), pa.array([shard["shard"]] * n, pa.int32()), pa.array(shard["doc_ids"], pa.int64()), pa.array(starts), pa.array(shard["lengths"], pa.int64()), pa.array(crc, pa.int64())],
