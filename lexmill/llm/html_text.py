@@ -41,6 +41,11 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
 CONTAINER = {"article", "main"}
 #: Words in a class, id or role that mark a box outside the article.
 BOXES = set("nav navbar navigation menu menubar submenu breadcrumb breadcrumbs sidebar sidebars side aside footer foot masthead topbar banner header cookie cookies consent gdpr notice notices notification alert ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion promoted share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond newsletter subscribe subscription signup login popup modal overlay widget widgets toolbar pagination pager search skip skiplink copyright complementary contentinfo dialog form teaser teasers trending popular".split())
+#: Of these, those that also name parts of an article when a word of TEXT stands beside them.
+WEAK = set("header banner notice notices notification alert promo promotion dialog search side foot popular widget widgets form share sharing teaser".split())
+TEXT = {"content", "article", "post", "entry", "body", "main", "story", "text"}
+#: Words that make a name a state of the page, such as has-sidebar or comments-open.
+STATES = set("has have no with without is not open opened closed enabled disabled visible active layout page".split())
 _WORD = re.compile(r"[A-Za-z]+")
 
 
@@ -54,14 +59,22 @@ def _is_box(name: str, attrs: str, inside_article: bool) -> bool:
     if _HIDDEN.search(attrs):
         return True
     for m in _HINT.finditer(attrs):
-        words = {w.lower() for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or ""))}
-        if words & BOXES and not words & {"content", "article", "post", "body", "main", "story"}:
-            return True
+        for said in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", said))]
+            boxes = BOXES.intersection(words)
+            if not boxes or words[0] in STATES or words[-1] in STATES:
+                continue
+            if boxes - WEAK or not TEXT.intersection(words):
+                return True
     return False
 
 
-def page_lines(html: str) -> list[tuple[str, int, int]]:
-    """(text, characters in links, number of the article or main element or 0) of each block in page order."""
+def page_lines(html: str, hints: bool = True) -> list[tuple[str, int, int]]:
+    """(text, characters in links, number of the article or main element or 0) of each block in page order.
+
+    Without ``hints`` only element names tell what is left out: a page that hints would
+    leave empty names its article like a box.
+    """
     lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = 0
@@ -130,7 +143,7 @@ def page_lines(html: str) -> list[tuple[str, int, int]]:
             elif name == "a":
                 links = max(0, links - 1)
             continue
-        if _is_box(name, attrs, bool(containers)):
+        if _is_box(name, attrs if hints else "", bool(containers)):
             if not attrs.endswith("/"):
                 flush()
                 skip.append(name)
@@ -169,7 +182,7 @@ def body_spans(lengths: list[int], window: int = 3, surge: int | None = None) ->
 def main_text(html: str | None, window: int = 3) -> str:
     if not html:
         return ""
-    lines = page_lines(html)
+    lines = page_lines(html) or page_lines(html, hints=False)
     if not lines:
         return ""
     plain = [len(text) - linked for text, linked, _ in lines]

@@ -284,6 +284,16 @@ def test_main_text_of_made_pages():
     assert main_text("<p>unclosed <b>bold<p>next<script>x") == "unclosed bold\nnext"
 
 
+def test_names_of_boxes():
+    text = "<p>Some words of the article, many of them.</p>"
+    for name in ("site-nav", "mainMenu", "post-comments", "article-footer", "content-ad", "cookie_banner", "entry-related"):
+        assert main_text(f"<body><div class='{name}'><p>{'not this ' * 40}</p></div><div class='text'>{text}</div></body>") == "Some words of the article, many of them."
+    for name in ("has-sidebar", "single comments-open", "post-header", "no-menu"):
+        assert main_text(f"<body class='{name}'><div class='{name}'>{text}</div></body>") == "Some words of the article, many of them."
+    assert main_text(f"<div id='sidebar'>{text}</div>") == "Some words of the article, many of them."
+    assert main_text(f"<article>{text}<section id='comments'><p>{'reader ' * 90}</p></section></article>") == "Some words of the article, many of them."
+
+
 def test_main_text_of_table(spark, sf):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = rows(op8_main_text(spark, sf))
