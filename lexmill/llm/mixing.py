@@ -108,4 +108,5 @@ def mixed(docs: DataFrame, shares: Shares, block_rows: int) -> DataFrame:
     """All rows and columns of ``docs``, sorted in the order of the mix."""
     plan = schedule(docs, shares, block_rows).select(F.col("doc_id").alias("__mix_id"), F.col("slot").alias("__mix_slot"), F.col("place").alias("__mix_place"))
     once = materialize(plan.groupBy("__mix_id").agg(F.min(F.struct("__mix_slot", "__mix_place")).alias("__mix_at")), "mix-order")
-    return docs.join(once, F.col("doc_id").eqNullSafe(F.col("__mix_id")), "left").sort("__mix_at").select(*docs.columns)
+    # The order grows with the corpus: it is merged at every size, never sent to all tasks.
+    return docs.join(once.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("__mix_id")), "left").sort("__mix_at").select(*docs.columns)
