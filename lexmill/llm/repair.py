@@ -30,9 +30,8 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +44,7 @@ END_ID, SHARD_TOKENS = 1, 1 << 18
 PASSES, RULES_A_PASS, LEAST_COUNT = 5, 1024, 16
 _BUCKETS = 1 << 18
 _LEFT, _RIGHT, _SHIFT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(32 - 18)
-_CACHED_WORDS = 600_000
+_CACHED_WORDS = 400_000
 _LATIN_END = "\u0250"  # letters below it are precomposed, and fold case one by one
 _STOPS = frozenset(b",.;:!?")
 
@@ -77,49 +76,45 @@ class WordTokenizer(dict):
         super().__init__()
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.merges = self.model.model.tokenize
         self.base = self.model.get_vocab_size(with_added_tokens=True)
         self.older: dict[bytes, bytes] = {}
         self.stops = {c: array("I", self.model.encode(chr(c), add_special_tokens=False).ids).tobytes() for c in _STOPS}
 
-    def learn(self, words: Iterable[bytes]) -> None:
-        """Fetch the ids of new words.
+    def __missing__(self, word: bytes) -> bytes:
+        """Ids of a word not met lately.
 
         Latin letters in lower case, and a stop after them, are as the vocabulary's normaliser
-        and splitter would leave them, so their byte alphabet goes to its BPE model at once.
+        and splitter would leave them, so their byte alphabet goes to its BPE model at once,
+        unless the word is known in lower case and without the stop.
         """
-        fresh = []
-        older, bpe = self.older, self.model.model.tokenize
-        for w in words:
-            ids = older.get(w)
-            if ids is None:
-                stop = w[-1] in _STOPS
-                core = w[:-1] if stop else w
-                if core.isalpha():
-                    letters = core.lower().decode()
-                else:
-                    text = core.decode("utf-8")
-                    lower = text.lower()
-                    if not (text.isalpha() and lower.isalpha() and max(text) < _LATIN_END):
-                        fresh.append(w)
-                        continue
-                    letters = lower.encode("utf-8").decode("latin-1").translate(_ALPHABET)
-                ids = array("I", [t.id for t in bpe(letters)]).tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            stop = word[-1] in _STOPS
+            core = word[:-1] if stop else word
+            if core.isalpha():
+                lower = core.lower()
+            else:
+                text = core.decode("utf-8")
+                folded = text.lower()
+                lower = folded.encode("utf-8") if text.isalpha() and folded.isalpha() and max(text) < _LATIN_END else b""
+            if not lower:
+                ids = array("I", self.model.encode(word.decode("utf-8"), add_special_tokens=False).ids).tobytes()
+            else:
+                ids = (self.get(lower) or self.older.get(lower)) if lower != word else None
+                if ids is None:
+                    ids = array("I", [t.id for t in self.merges(lower.decode("latin-1").translate(_ALPHABET))]).tobytes()
                 if stop:
-                    ids += self.stops[w[-1]]
-            self[w] = ids
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for w, e in zip(part, self.model.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                self[w] = array("I", e.ids).tobytes()
+                    ids += self.stops[word[-1]]
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each UTF-8 text."""
-        split = [t.split() for t in texts]
         if len(self) >= _CACHED_WORDS:
             self.older = dict(self)  # those before are forgotten
             self.clear()
-        self.learn(set(chain.from_iterable(split)).difference(self))
-        return [np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint32) for words in split]
+        return [np.frombuffer(b"".join(map(self.__getitem__, t.split())), np.uint32) for t in texts]
 
 
 @cache
@@ -151,14 +146,19 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, passes: int = PASSES,
         good = np.flatnonzero(counts >= least)
         if not len(good):
             break
-        if len(good) > rules_a_pass:
-            good = good[np.argsort(-counts[good], kind="stable")[:rules_a_pass]]
-        chosen = np.sort(pairs[good])
-        rule = np.searchsorted(chosen, code)
-        rule[rule == len(chosen)] = 0
-        hit = chosen[rule] == code
-        # Of a run of overlapping hits every second is taken, from its first on.
+        good = good[np.argsort(-counts[good], kind="stable")[:rules_a_pass]]
+        chosen = pairs[good]
+        # A rule is found by its bucket; of two in one bucket the rarer waits for the next pass.
+        own = ((chosen >> 32).astype(np.uint32) * _LEFT + (chosen & 0xFFFFFFFF).astype(np.uint32) * _RIGHT) >> _SHIFT
+        by_bucket = np.full(_BUCKETS, -1, np.int32)
+        by_bucket[own[::-1]] = np.arange(len(own), dtype=np.int32)[::-1]
+        alone = by_bucket[own] == np.arange(len(own))
+        chosen = chosen[alone]
+        by_bucket[own[alone]] = np.arange(len(chosen), dtype=np.int32)
+        rule = by_bucket[bucket[at]]
+        hit = (rule >= 0) & (chosen[rule] == code)
         where, rule = at[hit], rule[hit]
+        # Of a run of overlapping hits every second is taken, from its first on.
         starts = np.r_[True, np.diff(where) > 1]
         first = where[starts][np.cumsum(starts) - 1]
         odd = (where - first) % 2 == 0
