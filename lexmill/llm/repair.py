@@ -11,7 +11,7 @@ cross a document's end.  A shard is one Parquet row:
     symbols            per document: symbols after compression
     rules              little-endian uint32 pairs; the n-th is what nonterminal base + n stands for
     spans              little-endian uint32: terminals under each nonterminal
-    sequence           little-endian uint32 symbols
+    width, sequence    little-endian symbols of 2 bytes where all fit, else 4
 
 ``spans`` lets a reader skip to any token: symbols before it are passed by adding their
 spans, and only nonterminals that reach into the wanted range are opened.
@@ -27,6 +27,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from array import array
@@ -48,7 +49,7 @@ _CACHED_WORDS = 400_000
 _LATIN_END = "\u0250"  # letters below it are precomposed, and fold case one by one
 _STOPS = frozenset(b",.;:!?")
 
-SHARD = "part int, shard int, base int, n_tokens bigint, doc_ids array<bigint>, lengths array<int>, symbols array<int>, rules binary, spans binary, sequence binary"
+SHARD = "part int, shard int, base int, width int, n_tokens bigint, doc_ids array<bigint>, lengths array<int>, symbols array<int>, rules binary, spans binary, sequence binary"
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -62,7 +63,7 @@ _ALPHABET = _byte_alphabet()
 
 
 class WordTokenizer(dict):
-    """Ids by the tokenizers library, word by word: word -> its ids as little-endian uint32.
+    """Ids by the tokenizers library, word by word: word -> its ids, packed in 2 bytes each where all fit, else 4.
 
     The vocabulary drops white space and no merge crosses it, so the ids of a text are
     those of its white-space words one after another.  Words met lately are kept, and
@@ -78,8 +79,9 @@ class WordTokenizer(dict):
         self.model.encode_special_tokens = True
         self.merges = self.model.model.tokenize
         self.base = self.model.get_vocab_size(with_added_tokens=True)
+        self.kind = "H" if self.base <= 1 << 16 else "I"
         self.older: dict[bytes, bytes] = {}
-        self.stops = {c: array("I", self.model.encode(chr(c), add_special_tokens=False).ids).tobytes() for c in _STOPS}
+        self.stops = {c: array(self.kind, self.model.encode(chr(c), add_special_tokens=False).ids).tobytes() for c in _STOPS}
 
     def __missing__(self, word: bytes) -> bytes:
         """Ids of a word not met lately.
@@ -99,11 +101,11 @@ class WordTokenizer(dict):
                 folded = text.lower()
                 lower = folded.encode("utf-8") if text.isalpha() and folded.isalpha() and max(text) < _LATIN_END else b""
             if not lower:
-                ids = array("I", self.model.encode(word.decode("utf-8"), add_special_tokens=False).ids).tobytes()
+                ids = array(self.kind, self.model.encode(word.decode("utf-8"), add_special_tokens=False).ids).tobytes()
             else:
                 ids = (self.get(lower) or self.older.get(lower)) if lower != word else None
                 if ids is None:
-                    ids = array("I", [t.id for t in self.merges(lower.decode("latin-1").translate(_ALPHABET))]).tobytes()
+                    ids = array(self.kind, [t.id for t in self.merges(lower.decode("latin-1").translate(_ALPHABET))]).tobytes()
                 if stop:
                     ids += self.stops[word[-1]]
         self[word] = ids
@@ -114,11 +116,13 @@ class WordTokenizer(dict):
         if len(self) >= _CACHED_WORDS:
             self.older = dict(self)  # those before are forgotten
             self.clear()
-        return [np.frombuffer(b"".join(map(self.__getitem__, t.split())), np.uint32) for t in texts]
+        return [np.frombuffer(b"".join(map(self.__getitem__, t.split())), self.kind) for t in texts]
 
 
 @cache
 def tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer per worker process; its table lives on, so the collector need not walk it often."""
+    gc.set_threshold(200_000, 50, 100)
     return WordTokenizer(path)
 
 
@@ -215,12 +219,16 @@ def expand(seq: np.ndarray, rules: np.ndarray, base: int, spans: np.ndarray | No
     return out
 
 
+def sequence_of(shard: dict) -> np.ndarray:
+    return np.frombuffer(shard["sequence"], f"<u{shard['width']}").astype("<u4")
+
+
 def read_range(shard: dict, start: int, stop: int) -> np.ndarray:
     """Tokens [start, stop) of a shard, opening only the nonterminals that reach into them."""
     base = shard["base"]
     rules = np.frombuffer(shard["rules"], "<u4").reshape(-1, 2)
     spans = np.frombuffer(shard["spans"], "<u4").astype(np.int64)
-    seq = np.frombuffer(shard["sequence"], "<u4").astype(np.int64)
+    seq = sequence_of(shard).astype(np.int64)
     width = np.ones(len(seq), np.int64)
     if len(spans):
         width = np.where(seq < base, 1, spans[np.maximum(seq - base, 0)])
@@ -235,29 +243,32 @@ def _write(path: str, end_id: int, shard_tokens: int):
         from pyspark import TaskContext
 
         part, words = TaskContext.get().partitionId(), tokenizer(path)
-        end = np.array([end_id], "<u4")
+        end = np.array([end_id], words.kind)
         held: list[np.ndarray] = []
         doc_ids: list[int | None] = []
+        lengths: list[int] = []
         n_held = n_shards = 0
 
         def close() -> pa.RecordBatch:
-            lengths = np.array([len(x) for x in held], np.int64)
             seq, rules, spans, symbols = compress(np.concatenate(held), np.cumsum(lengths), words.base)
+            width = 2 if words.base + len(rules) <= 1 << 16 else 4
             row = {
-                "part": part, "shard": n_shards, "base": words.base, "n_tokens": int(lengths.sum()), "doc_ids": list(doc_ids), "lengths": lengths.tolist(),
-                "symbols": symbols.tolist(), "rules": rules.tobytes(), "spans": spans.tobytes(), "sequence": seq.tobytes(),
+                "part": part, "shard": n_shards, "base": words.base, "width": width, "n_tokens": sum(lengths), "doc_ids": list(doc_ids), "lengths": list(lengths),
+                "symbols": symbols.tolist(), "rules": rules.tobytes(), "spans": spans.tobytes(), "sequence": seq.astype(f"<u{width}").tobytes(),
             }
             held.clear()
             doc_ids.clear()
+            lengths.clear()
             return pa.RecordBatch.from_pylist([row], _SCHEMA)
 
         for b in batches:
             for at in range(0, len(b), 500):
                 ids, texts = b.column(0).slice(at, 500).to_pylist(), b.column(1).slice(at, 500).cast(pa.binary()).to_pylist()
                 for i, tokens in zip(ids, words.encode(texts), strict=True):
-                    held.append(np.concatenate([tokens, end]))
+                    held += (tokens, end)
+                    lengths.append(len(tokens) + 1)
                     doc_ids.append(i)
-                    n_held += len(held[-1])
+                    n_held += len(tokens) + 1
                     if n_held >= shard_tokens:
                         yield close()
                         n_held, n_shards = 0, n_shards + 1
@@ -268,7 +279,7 @@ def _write(path: str, end_id: int, shard_tokens: int):
 
 
 _SCHEMA = pa.schema([
-    ("part", pa.int32()), ("shard", pa.int32()), ("base", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+    ("part", pa.int32()), ("shard", pa.int32()), ("base", pa.int32()), ("width", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
     ("lengths", pa.list_(pa.int32())), ("symbols", pa.list_(pa.int32())), ("rules", pa.binary()), ("spans", pa.binary()), ("sequence", pa.binary()),
 ])
 
@@ -282,17 +293,23 @@ def write_token_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int
     return path
 
 
+_INDEX = ["part", "shard", "base", "width", "doc_ids", "lengths", "rules", "spans", "sequence"]
+
+
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for shard in b.to_pylist():
-            ids = expand(np.frombuffer(shard["sequence"], "<u4"), np.frombuffer(shard["rules"], "<u4").reshape(-1, 2), shard["base"], np.frombuffer(shard["spans"], "<u4"))
-            n = len(shard["lengths"])
-            ends = np.cumsum(np.array(shard["lengths"], np.int64))
-            starts = ends - np.array(shard["lengths"], np.int64)
+        small = b.select([c for c in _INDEX if c not in ("doc_ids", "lengths")]).to_pylist()
+        for i, shard in enumerate(small):
+            ids = expand(sequence_of(shard), np.frombuffer(shard["rules"], "<u4").reshape(-1, 2), shard["base"], np.frombuffer(shard["spans"], "<u4"))
+            doc_ids = b.column(_INDEX.index("doc_ids"))[i].values
+            lengths = b.column(_INDEX.index("lengths"))[i].values.to_numpy().astype(np.int64)
+            ends = np.cumsum(lengths)
             raw = memoryview(ids).cast("B")
-            crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+            cuts = [0, *(4 * ends).tolist()]
+            crc = [zlib.crc32(raw[s:e]) for s, e in zip(cuts, cuts[1:], strict=False)]
+            n = len(lengths)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard["part"]] * n, pa.int32()), pa.array([shard["shard"]] * n, pa.int32()), pa.array(shard["doc_ids"], pa.int64()), pa.array(starts), pa.array(shard["lengths"], pa.int64()), pa.array(crc, pa.int64())],
+                [pa.array(np.full(n, shard["part"], np.int32)), pa.array(np.full(n, shard["shard"], np.int32)), doc_ids, pa.array(ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())],
                 ["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"],
             )
 
@@ -312,7 +329,7 @@ def read_token_index(spark: SparkSession, path: str) -> DataFrame:
     starts = sizes.select("part", "shard", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("shard_start")).join(parts, "part").select(
         "part", "shard", (F.col("part_start") + F.col("shard_start")).alias("first")
     )
-    docs = shards.mapInArrow(_decoded, "part int, shard int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
+    docs = shards.select(*_INDEX).mapInArrow(_decoded, "part int, shard int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
     return docs.join(starts, ["part", "shard"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -103,7 +103,7 @@ def test_compress_round_trip(documents, least):
     for d, n in zip(documents, symbols.tolist(), strict=True):  # no nonterminal crosses a document's end
         assert repair.expand(seq[at : at + n], rules, 6).tolist() == d
         at += n
-    shard = {"base": 6, "rules": rules.tobytes(), "spans": spans.tobytes(), "sequence": seq.tobytes()}
+    shard = {"base": 6, "width": 4, "rules": rules.tobytes(), "spans": spans.tobytes(), "sequence": seq.tobytes()}
     for start in range(0, len(ids), 7):
         stop = min(len(ids), start + 5)
         assert repair.read_range(shard, start, stop).tolist() == ids[start:stop].tolist()
@@ -138,6 +138,6 @@ def test_token_shards(spark, docs, edge, empty, word_model, tmp_path):
         got = [tuple(r) for r in repair.read_token_index(spark, path).collect()]
         assert sorted(got, key=lambda r: r[1]) == want
         shard = spark.read.parquet(path).orderBy("part", "shard").first().asDict()
-        whole = repair.expand(np.frombuffer(shard["sequence"], "<u4"), np.frombuffer(shard["rules"], "<u4").reshape(-1, 2), shard["base"])
+        whole = repair.expand(repair.sequence_of(shard), np.frombuffer(shard["rules"], "<u4").reshape(-1, 2), shard["base"])
         assert len(whole) == shard["n_tokens"] and repair.read_range(shard, 3, 9).tolist() == whole[3:9].tolist()
     assert repair.token_round_trip(empty, WORDS).count() == 0
