@@ -12,6 +12,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalise(c: Column | str) -> Column:
     """Soft hyphens go, NUL becomes a space, words hyphenated over a line end are joined, white space is one blank."""
     x = F.regexp_replace(F.regexp_replace(col(c), "­", ""), "\\x00", " ")
@@ -50,18 +55,20 @@ def sentences(c: Column | str) -> Column:
 
 
 def syllables(word: Column) -> Column:
-    groups = F.regexp_count(F.lower(word), F.lit("[aeiouy]+"))
-    return F.greatest(groups - F.when(F.lower(word).endswith("e") & (groups > 1), 1).otherwise(0), F.lit(1))
+    count = lambda x: F.greatest(x["n"] - F.when(x["w"].endswith("e") & (x["n"] > 1), 1).otherwise(0), F.lit(1))
+    return let(F.struct(F.lower(word).alias("w"), F.regexp_count(F.lower(word), F.lit("[aeiouy]+")).alias("n")), count)
 
 
 def fk_grade(c: Column | str) -> Column:
     """Flesch-Kincaid grade: 0.39 words a sentence + 11.8 syllables a word - 15.59, 0 at least; 0 without words."""
-    words = F.regexp_extract_all(col(c), F.lit("[A-Za-z]+"), F.lit(0))
-    n = F.size(words)
-    stops = F.greatest(F.size(sentences(c)), F.lit(1))
-    total = F.aggregate(words, F.lit(0), lambda a, w: a + syllables(w))
-    grade = 0.39 * (n / stops) + 11.8 * F.try_divide(total, n) - 15.59
-    return F.when(n > 0, F.round(F.greatest(grade, F.lit(0.0)), 3)).otherwise(0.0)
+
+    def grade(x: Column) -> Column:
+        n, stops = F.size(x["words"]), F.greatest(x["sentences"], F.lit(1))
+        total = F.aggregate(x["words"], F.lit(0), lambda a, w: a + syllables(w))
+        value = 0.39 * (n / stops) + 11.8 * F.try_divide(total, n) - 15.59
+        return F.when(n > 0, F.round(F.greatest(value, F.lit(0.0)), 3)).otherwise(0.0)
+
+    return let(F.struct(F.regexp_extract_all(col(c), F.lit("[A-Za-z]+"), F.lit(0)).alias("words"), F.size(sentences(c)).alias("sentences")), grade)
 
 
 CLAUSE_SPLIT = r"(?i);\s+|,\s+(?:and|but|or|which|who|provided that|except that)\s+"
@@ -102,11 +109,6 @@ def hash_split(c: Column | str) -> Column:
     return F.when(b < 80, "train").when(b < 90, "validation").otherwise("test")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def ngrams(words: Column, n: Column | int) -> Column:
     """Distinct n-grams, as joined strings."""
     n = F.lit(n) if isinstance(n, int) else n

@@ -12,10 +12,14 @@ from ..functions import text as X
 Scorer = Callable[[Column, Column], Column]
 
 
+def token_share(premise: Column, hypothesis: Column) -> Column:
+    """Share of the distinct tokens in ``hypothesis`` that ``premise`` has; both are arrays of distinct tokens."""
+    return F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(hypothesis, premise)), F.size(hypothesis)), F.lit(0.0)), 9)
+
+
 def token_recall(premise: Column, hypothesis: Column) -> Column:
     """Share of the hypothesis's distinct tokens that stand in the premise."""
-    h = F.array_distinct(X.tokens(hypothesis))
-    return F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(h, X.tokens(premise))), F.size(h)), F.lit(0.0)), 9)
+    return token_share(F.array_distinct(X.tokens(premise)), F.array_distinct(X.tokens(hypothesis)))
 
 
 def nli(premise: Column, hypothesis: Column) -> Column:
@@ -31,12 +35,17 @@ def verify(sentences: DataFrame, evidence: DataFrame, tau: float, attribution_ta
     (clause_id, rank, chunk_id, text); the best chunk is the first of the highest scores,
     and is attributed from ``attribution_tau`` on.
     """
-    ev = evidence.select("clause_id", "rank", F.col("chunk_id").alias("chunk"), F.col("text").alias("chunk_text"))
-    pairs = sentences.join(ev, "clause_id", "left").withColumn("s", F.when(F.col("chunk").isNotNull(), score(F.col("chunk_text"), F.col("sentence"))))
-    best = pairs.groupBy("clause_id", "pos").agg(
-        F.first("clause").alias("clause"), F.first("sentence").alias("sentence"), F.max("s").alias("regulatory"), F.max_by("chunk", F.struct("s", -F.col("rank"))).alias("candidate_chunk")
+    # The stand-in reads tokens: they are cut once a text, not once a pair.
+    read = (lambda c: F.array_distinct(X.tokens(c))) if score is token_recall else F.col
+    judge = token_share if score is token_recall else score
+    ev = evidence.select("clause_id", "rank", F.col("chunk_id").alias("chunk"), read("text").alias("chunk_text"))
+    said = sentences.select("clause_id", "pos", read("clause").alias("clause"), read("sentence").alias("sentence"))
+    own = said.select("clause_id", "pos", judge(F.col("clause"), F.col("sentence")).alias("source"))
+    pairs = said.select("clause_id", "pos", "sentence").join(ev, "clause_id", "left").select(
+        "clause_id", "pos", "rank", "chunk", F.when(F.col("chunk").isNotNull(), judge(F.col("chunk_text"), F.col("sentence"))).alias("s")
     )
-    return best.select(
-        "clause_id", "pos", score(F.col("clause"), F.col("sentence")).alias("source"), "regulatory", "candidate_chunk",
+    best = pairs.groupBy("clause_id", "pos").agg(F.max("s").alias("regulatory"), F.max_by("chunk", F.struct("s", -F.col("rank"))).alias("candidate_chunk"))
+    return own.join(best, ["clause_id", "pos"]).select(
+        "clause_id", "pos", "source", "regulatory", "candidate_chunk",
         F.when(F.col("regulatory") >= attribution_tau, F.col("candidate_chunk")).alias("chunk_id"), (F.coalesce("regulatory", F.lit(0.0)) >= tau).alias("supported"),
     )

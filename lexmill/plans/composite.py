@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators import report as P
 from ..operators import retrieval as R
 from ..operators import segment, stress, verify
+from ..session import stored
 from . import contracts, evaluation, resampling, retrieval
 from .text import documents
 
@@ -76,10 +77,11 @@ def verdict_counts(spark, sf_dir):
 def analyse(docs: DataFrame, chunks: DataFrame, top_j: int = 3, tau: float = P.TAU) -> DataFrame:
     """Clause results of whole contracts: segment, rewrite, retrieve, label, verify, route.
 
-    One lazy plan for all documents; models are their stand-ins.
+    One plan for all documents after the clauses are stored; models are their stand-ins.
     """
     cl = segment.fold_clauses(docs, "doc_id", "text").select(F.concat_ws("/", "doc_id", "clause_id").alias("clause_id"), "doc_id", "clause")
-    cl = cl.select("*", X.split_long_clauses("clause").alias("rewritten"), X.fk_grade(X.split_long_clauses("clause")).alias("fk_grade"))
+    cl = cl.withColumn("rewritten", X.split_long_clauses("clause")).withColumn("fk_grade", X.fk_grade("rewritten"))
+    cl = stored(cl, "clauses")
     found = R.bm25(cl.select(F.col("clause_id").alias("q_id"), F.col("clause").alias("text")), chunks.select("doc_id", "text")).where(F.col("rank") <= top_j)
     ev = found.join(chunks, "doc_id").select(F.col("q_id").alias("clause_id"), "rank", F.col("doc_id").alias("chunk_id"), "text")
     sentences = cl.select("clause_id", "clause", F.posexplode(X.sentences("rewritten")).alias("pos", "sentence"))
