@@ -13,8 +13,12 @@ yields at most one link fewer than it has nodes.  A pair is looked at in the fir
 tree that brings it together.
 
 Crowded regions can hide a link between parts.  After the components of the first
-round are known, each crowded region is gone through again: its nodes outside
-its prevailing component are compared with all its nodes, in blocks.
+round are known, the nodes of all crowded regions with more than one component are
+gone through again, by an exact prefix-filtered join: sets that reach the threshold
+share one of their first shingles, rarest first (by counts in a table of fixed size).
+All pairs of different components that share one, and whose sizes and places of it
+allow the threshold, are confirmed on the full sets; a frequent shingle's rows are
+compared in tiles, spread over tasks.  The second round misses no link of these nodes.
 
 Components come from alternating large-star and small-star steps over the links.
 No link, component or set is collected; what is kept between steps are tables in the
@@ -46,6 +50,7 @@ from .sieve import Sieve, may_hold
 from .workspace import materialize, small_batches
 
 TREES, DEPTH, MIN_DEPTH, REGION = 16, 8, 3, 128
+COUNTERS = 1 << 20
 VALUES = TREES * DEPTH
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
@@ -264,29 +269,110 @@ def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return out.join(marks, ["node", "high"], "left").withColumn("crowded", F.coalesce("crowded", F.lit(0))), crowd
 
 
-def _again(crowd: DataFrame, labels: DataFrame) -> DataFrame:
-    """Second round: blocks of a crowded region, each with all the region's nodes outside its prevailing component."""
-    level = crowd.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    out = None
-    for depth in range(MIN_DEPTH, DEPTH + 1):
-        level = materialize(level.withColumn("key", F.xxhash64("top", _prefix(depth))), f"forest-again-{depth}")
-        sizes = level.groupBy("key", "comp").count()
-        stats = materialize(
-            sizes.groupBy("key").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("comp", F.struct("count", -F.col("comp"))).alias("main")).where("n > most"),
-            f"forest-strays-{depth}",
-        )
-        few = (F.col("n") - F.col("most") <= REGION) if depth < DEPTH else F.lit(True)
-        tied = level.join(stats, "key")
-        blocks = F.ceil(F.col("n") / REGION)
-        block = F.when(F.col("comp") != F.col("main"), F.sequence(F.lit(0).cast("bigint"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "tree"), blocks)))
-        part = tied.where(few).select("tree", "key", "node", "high", "sig", "comp", F.explode(block).alias("block")).select(
-            F.xxhash64("tree", "key", F.lit(100 + depth), "block").alias("gid"), "tree", "node", "high", "sig", F.lit(0).alias("crowded"), "comp"
-        )
-        out = part if out is None else out.unionByName(part)
-        level = tied.where(~few).select("tree", "node", "high", "sig", "top", "comp")
-        if level.isEmpty():
-            break
-    return out
+def _unsettled(crowd: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, high, comp of the nodes of those crowded regions that hold more than one component."""
+    ids = crowd.select("top", "node", "high").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = ids.groupBy("top").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("top")
+    return materialize(ids.join(mixed, "top").select("node", "high", "comp").distinct(), "forest-unsettled")
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of the sets fall in each of COUNTERS buckets; one row per bucket met."""
+    total = np.zeros(COUNTERS, np.int64)
+    for b in batches:
+        for raw in b.column(0).to_pylist():
+            np.add.at(total, (np.frombuffer(raw, np.uint64) % np.uint64(COUNTERS)).astype(np.int64), 1)
+    met = np.flatnonzero(total)
+    for at in range(0, len(met), 10_000):
+        part = met[at : at + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["bucket", "n"])
+
+
+def _prefixes(common, num: int, den: int):
+    """The first shingles, rarest bucket first, of each set: sets that reach the threshold share one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, comp, raw in zip(*(b.column(c).to_pylist() for c in ("node", "comp", "shingles")), strict=True):
+                s = np.frombuffer(raw, np.uint64)
+                n = len(s)
+                first = s[np.lexsort((s, common.value[(s % np.uint64(COUNTERS)).astype(np.int64)]))][: n - -(-num * n // den) + 1]
+                k = len(first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first.view(np.int64)), pa.array(np.full(k, node, np.int64)), pa.array(np.full(k, comp, np.int64)), pa.array(np.full(k, n, np.int32)), pa.array(np.arange(k, dtype=np.int32))],
+                    ["shingle", "node", "comp", "n", "at"],
+                )
+
+    return run
+
+
+def _candidates(num: int, den: int):
+    """Pairs of a tile, of different components, that can reach the threshold by their sizes and the places of the shared shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _Groups(batches):
+            node, comp, n, at, side = (g.column(c).to_numpy() for c in ("node", "comp", "n", "at", "side"))
+            n, at = n.astype(np.int64), at.astype(np.int64)
+            for i in np.flatnonzero(side <= 0):
+                other = side > 0 if side[i] < 0 else (side > 0) | (node > node[i])
+                both = np.minimum(n - at, n[i] - at[i])
+                other &= (comp != comp[i]) & (np.minimum(n, n[i]) * den >= num * np.maximum(n, n[i])) & (both * den >= num * (n + n[i] - both))
+                if other.any():
+                    a, b = node[i], node[other]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
+def _alike(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both * den >= num * (len(p) + len(q) - both))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _again(docs: DataFrame, crowd: DataFrame, labels: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Second round: all links between components of crowded regions, by a prefix-filtered join of the full sets."""
+    spark = docs.sparkSession
+    open_ = _unsettled(crowd, labels)
+    sets = docs.mapInArrow(_sets(words, Sieve(open_, "node").sent), "node bigint, high bigint, shingles binary")
+    sets = materialize(open_.join(sets, ["node", "high"]).select("node", "comp", "shingles").dropDuplicates(["node"]), "forest-open")
+    common = np.zeros(COUNTERS, np.int64)
+    for r in sets.select("shingles").mapInArrow(_bucket_counts, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+        common[r["bucket"]] = r["n"]  # COUNTERS rows at most
+    first = materialize(sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(common), num, den), "shingle bigint, node bigint, comp bigint, n int, at int"), "forest-prefixes")
+    sizes = first.groupBy("shingle", "comp").count()
+    stats = materialize(
+        sizes.groupBy("shingle").agg(F.sum("count").alias("total"), F.max("count").alias("most"), F.max_by("comp", F.struct("count", -F.col("comp"))).alias("main")).where("total > most"),
+        "forest-shared",
+    )
+    # A shingle's rows in tiles: strays (outside its prevailing component) with a block of the others, or with a block of strays.
+    tied = first.join(stats, "shingle").withColumn("others", F.ceil(F.col("most") / REGION)).withColumn("strays", F.ceil((F.col("total") - F.col("most")) / REGION))
+    own = lambda blocks: F.pmod(F.xxhash64("node"), blocks)
+    tile = lambda i, j, side: F.struct(i.cast("bigint").alias("i"), j.cast("bigint").alias("j"), F.lit(side).alias("side"))
+    upto = lambda blocks: F.sequence(F.lit(0).cast("bigint"), blocks - 1)
+    stray = F.concat(
+        F.transform(
+            F.sequence(F.lit(0).cast("bigint"), F.col("others") * F.col("strays") - 1),
+            lambda x: F.struct((-1 - x).alias("i"), (x % F.col("strays")).alias("j"), F.lit(-1).alias("side")),
+        ),
+        F.transform(upto(F.col("strays")), lambda x: F.when(x == own(F.col("strays")), tile(x, x, 0)).when(x > own(F.col("strays")), tile(own(F.col("strays")), x, -1)).otherwise(tile(x, own(F.col("strays")), 1))),
+    )
+    stray = F.filter(stray, lambda t: (t["i"] >= 0) | (t["j"] == own(F.col("strays"))))
+    main = F.transform(upto(F.col("strays")), lambda x: tile(-1 - (own(F.col("others")) * F.col("strays") + x), x, 1))
+    tiles = tied.select("shingle", "node", "comp", "n", "at", F.explode(F.when(F.col("comp") == F.col("main"), main).otherwise(stray)).alias("t"))
+    tiles = tiles.select(F.xxhash64("shingle", "t.i", "t.j").alias("gid"), "node", "comp", "n", "at", F.col("t.side").alias("side"))
+    found = tiles.repartition("gid").sortWithinPartitions("gid").mapInArrow(_candidates(num, den), "a bigint, b bigint")
+    pairs = materialize(found.distinct(), "forest-candidates")
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    full = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    return materialize(full.mapInArrow(_alike(num, den), "a bigint, b bigint"), "forest-links")
 
 
 def _links(docs: DataFrame, regions: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -344,8 +430,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     links = _links(texts, regions, words, num, den)
     labels = materialize(components(links), "forest-components")
     if crowd is not None:
-        more = _again(crowd, labels).withColumn("second", F.lit(True)).select(*regions.columns)
-        more = _links(texts, more, words, num, den)
+        more = _again(texts, crowd, labels, words, num, den)
         if not more.isEmpty():
             labels = materialize(components(links.unionByName(more)), "forest-components")
     classes = materialize(alike.select("n", "high", "low", "node").join(labels, "node", "left").select("n", "high", "low", F.coalesce("comp", "node").alias("comp")), "forest-classes")

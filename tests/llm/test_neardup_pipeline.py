@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
 from lexmill.llm import neardup, quality
 from tests.llm.conftest import words
 
@@ -125,3 +126,32 @@ def test_stages_handle_edges(spark, sf, edge, empty):
             df = stage(spark, df, sf)
             assert df.schema == source.schema
         corpus_pipeline.STAGES[-1][1](spark, df, sf).collect()
+
+
+def test_crowded_region_without_prevailing_component(spark):
+    """1200 nodes of one template, in pairs just over the threshold, all else just under it."""
+    rng = random.Random(17)
+    fresh = iter(f"w{i}" for i in range(10**6))
+    template = [next(fresh) for _ in range(200)]
+
+    def edit(base, n):
+        out = list(base)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = next(fresh)
+        return out
+
+    data = []
+    for i in range(600):
+        base = edit(template, 17)
+        data += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(edit(base, 20)))]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string"), 1, 80, 100).collect()}
+    want = {i: i for i, _ in data}
+    with np.errstate(over="ignore"):
+        sets = [neardup.shingle_set(t, 1) for _, t in data]
+        top = np.stack([neardup.signature(x) for x in sets]).reshape(len(data), neardup.TREES, neardup.DEPTH)[:, :, : neardup.MIN_DEPTH]
+    for i in range(0, len(data), 2):
+        assert len(np.intersect1d(sets[i], sets[i + 1])) == 180
+        if (top[i] == top[i + 1]).all(1).any():  # in a region together; else no forest sees the pair
+            want[i + 1] = i
+    assert len(set(want.values())) <= 602 and np.unique(top[:, 0], axis=0, return_counts=True)[1].max() > neardup.REGION
+    assert got == want
