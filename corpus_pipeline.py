@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm.bpe import encode_decode
-from lexmill.llm.mixing import mixed
+from lexmill.llm.mixing import mixed, with_position
 from lexmill.llm.neardup import drop_near_duplicates
 from lexmill.llm.quality import quality_filter
 from lexmill.llm.queries import BLOCK_ROWS, BYTE_BPE, SHARES
@@ -32,8 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded bytes."""
-    return encode_decode(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
+    """Position in the mix, token counts, and digests of ids and decoded bytes."""
+    return encode_decode(with_position(docs), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, carried=("position",))
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("byte_bpe", byte_bpe)]

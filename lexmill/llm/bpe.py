@@ -378,10 +378,10 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip of every whole text; no shuffle."""
+def encode_decode(docs: DataFrame, path: str, pattern: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the ``carried`` columns, n_tokens, ids_sha256, decoded_sha256, round_trip of every whole text; no shuffle."""
     small_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        _run(path, pattern, ["doc_id"], True), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean"
+    kinds, kept = dict(docs.dtypes), ["doc_id", *carried]
+    return docs.select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(
+        _run(path, pattern, kept, True), ", ".join(f"{c} {kinds[c]}" for c in kept) + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean"
     )

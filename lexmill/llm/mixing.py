@@ -24,6 +24,7 @@ aren't read.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -110,3 +111,23 @@ def mixed(docs: DataFrame, shares: Shares, block_rows: int) -> DataFrame:
     once = materialize(plan.groupBy("__mix_id").agg(F.min(F.struct("__mix_slot", "__mix_place")).alias("__mix_at")), "mix-order")
     # The order grows with the corpus: it is merged at every size, never sent to all tasks.
     return docs.join(once.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("__mix_id")), "left").sort("__mix_at").select(*docs.columns)
+
+
+def with_position(docs: DataFrame) -> DataFrame:
+    """Adds position, from 0, in the order that ``mixed`` gave the rows.
+
+    Reading packs files by size, so rows don't come back in order; but a sorted table's
+    files are numbered in it, and each holds its rows in it.  A table that wasn't read
+    from files is in its own order.
+    """
+    try:
+        name = F.col("_metadata.file_name")
+        placed = docs.select("*", F.regexp_extract(name, r"part-(\d+)", 1).cast("int").alias("__part"), name.alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        placed.schema  # noqa: B018  (fails here where there are no files)
+    except AnalysisException:
+        at = F.monotonically_increasing_id()
+        placed = docs.select("*", F.shiftright(at, 33).cast("int").alias("__part"), F.lit("").alias("__file"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("__row"))
+    before = Window.orderBy("__part", "__file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("__part", "__file").agg(F.count("*").alias("n")).select("__part", "__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))  # a row per file
+    joined = placed.join(F.broadcast(offsets), ["__part", "__file"])
+    return joined.select(*docs.columns, (F.col("__before") + F.col("__row")).alias("position"))

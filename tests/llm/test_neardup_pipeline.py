@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
-from lexmill.llm import neardup, quality
+from lexmill.llm import mixing, neardup, quality
+from lexmill.llm.queries import BLOCK_ROWS, SHARES
 from tests.llm.conftest import words
 
 
@@ -155,3 +156,18 @@ def test_crowded_region_without_prevailing_component(spark):
             want[i + 1] = i
     assert len(set(want.values())) <= 602 and np.unique(top[:, 0], axis=0, return_counts=True)[1].max() > neardup.REGION
     assert got == want
+
+
+def test_mix_order_reaches_the_rows_of_run(spark, sf, docs):
+    df = docs
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        df = stage(spark, df, sf)
+    plan = mixing.schedule(df, SHARES, BLOCK_ROWS).collect()
+    want = [r["doc_id"] for r in sorted(plan, key=lambda r: (r["slot"], r["place"]))]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
+    try:
+        out = corpus_pipeline.run(spark, sf).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r["position"] for r in out) == list(range(len(want)))
+    assert [r["doc_id"] for r in sorted(out, key=lambda r: r["position"])] == want
