@@ -160,20 +160,24 @@ def page_lines(html: str, hints: bool = True) -> list[tuple[str, int, int]]:
 def body_spans(lengths: list[int], window: int = 3, surge: int | None = None) -> list[tuple[int, int]]:
     """[start, stop) spans of lines from a surge to its dive.
 
-    A window sum over ``surge`` (by default a quarter of the largest) after which the
-    following windows don't fall to nothing starts a span; the first empty window ends it.
+    A window sum over ``surge`` (by default a quarter of the median of those that aren't
+    empty) after which the following windows don't fall to nothing makes a span; it
+    reaches from the last empty window before to the first after.
     """
     n = len(lengths)
     sums = [sum(lengths[i : i + window]) for i in range(n)]
-    level = surge if surge is not None else max(sums, default=0) // 4
-    spans, i = [], 0
+    some = sorted(s for s in sums if s)
+    level = surge if surge is not None else some[len(some) // 2] // 4 if some else 0
+    spans, i, past = [], 0, 0
     while i < n:
         if sums[i] > level and lengths[i] and all(s > 0 for s in sums[i : min(n, i + window)]):
             stop = i + 1
             while stop < n and sums[stop] > 0:
                 stop += 1
+            while i > past and sums[i - 1] > 0:
+                i -= 1
             spans.append((i, stop))
-            i = stop
+            i = past = stop
         else:
             i += 1
     return spans

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexmill.llm import licenses, mixing, quality, sharding, topk, warc
+from lexmill.llm import html_text, licenses, mixing, quality, sharding, topk, warc
 from lexmill.llm.html_text import main_text
 from lexmill.llm.queries import BLOCK_ROWS, SHARES, op3_exact_top_k, op7_warc_archive, op8_main_text
 
@@ -304,3 +304,11 @@ def test_main_text_of_table(spark, sf):
 
         want = "\n".join(x for x in (re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]+>", "", b))).strip() for b in re.split(r"</?(?:p|h1)>", inner)) if x)
         assert r["text"] == want and r["n_chars"] == len(want)
+
+
+def test_spans_reach_back_to_the_last_empty_window():
+    assert html_text.body_spans([200] * 10 + [2000] * 3) == [(0, 13)]
+    assert html_text.body_spans([40, 20, 60, 900, 900, 900]) == [(0, 6)]
+    assert html_text.body_spans([900] * 4 + [0] * 3 + [40, 900, 900, 900]) == [(0, 4), (5, 11)]
+    lines = ["Heading", "By line", "Short first paragraph.", *("word " * n + "end." for n in (20, 30, 600, 700, 800))]
+    assert main_text("<body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body>") == "\n".join(lines)
