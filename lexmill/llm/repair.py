@@ -2,7 +2,7 @@
 
 Documents are sorted by id over range partitions, tokenized, and cut into shards of
 about ``shard_tokens`` ids.  In each shard the frequent pairs of neighbouring symbols
-are replaced by nonterminals, pass after pass, until nothing is gained; pairs never
+are replaced by nonterminals, pass after pass, until no pair occurs 16 times; pairs never
 cross a document's end.  A shard is one Parquet row:
 
     part, shard        its place: parts and shards ascend with the ids
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .workspace import fresh_path, small_batches, text_or_empty
 
 END_ID, SHARD_TOKENS = 1, 1 << 18
-PASSES, RULES_A_PASS, LEAST_COUNT = 5, 1024, 16
+RULES_A_PASS, LEAST_COUNT = 1024, 16
 _BUCKETS = 1 << 18
 _LEFT, _RIGHT, _SHIFT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(32 - 18)
 _CACHED_WORDS = 400_000
@@ -67,16 +67,17 @@ class WordTokenizer(dict):
 
     The vocabulary drops white space and no merge crosses it, so the ids of a text are
     those of its white-space words one after another.  Words met lately are kept, and
-    those met before them until the next change.
+    those met before them until the next change.  With ``added`` the vocabulary's added
+    tokens, such as <|endoftext|>, are matched as the library does by default.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker per core already
         from tokenizers import Tokenizer
 
         super().__init__()
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = not added
         self.merges = self.model.model.tokenize
         self.base = self.model.get_vocab_size(with_added_tokens=True)
         self.kind = "H" if self.base <= 1 << 16 else "I"
@@ -120,26 +121,27 @@ class WordTokenizer(dict):
 
 
 @cache
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, added: bool = False) -> WordTokenizer:
     """One tokenizer per worker process; its table lives on, so the collector need not walk it often."""
     gc.set_threshold(200_000, 50, 100)
-    return WordTokenizer(path)
+    return WordTokenizer(path, added)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, passes: int = PASSES, rules_a_pass: int = RULES_A_PASS, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, passes: int | None = None, rules_a_pass: int = RULES_A_PASS, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, rules, spans, symbols per document) of the ids of a shard.
 
     ``ends``: running sums of the documents' tokens.  Every pass counts all pairs, makes
-    nonterminals of the most frequent, and replaces them left to right.
+    nonterminals of the most frequent, and replaces them left to right; passes go on, unless
+    ``passes`` bounds them, until no pair occurs ``least`` times.
     """
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[ends[ends > 0] - 1] = True
     rules = np.empty((0, 2), np.int64)
     spans = np.empty(0, np.int64)
-    for _ in range(passes):
-        if len(seq) < 2:
-            break
+    n_passes = 0
+    while len(seq) > 1 and n_passes != passes:
+        n_passes += 1
         bucket = (seq[:-1] * _LEFT + seq[1:] * _RIGHT) >> _SHIFT
         bucket[last[:-1]] = 0
         heavy = np.bincount(bucket, minlength=_BUCKETS) >= least  # a pair in a light bucket can't be frequent
@@ -242,7 +244,7 @@ def _write(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, words = TaskContext.get().partitionId(), tokenizer(path)
+        part, words = TaskContext.get().partitionId(), tokenizer(path, added=True)
         end = np.array([end_id], words.kind)
         held: list[np.ndarray] = []
         doc_ids: list[int | None] = []

@@ -141,3 +141,23 @@ def test_token_shards(spark, docs, edge, empty, word_model, tmp_path):
         whole = repair.expand(repair.sequence_of(shard), np.frombuffer(shard["rules"], "<u4").reshape(-1, 2), shard["base"])
         assert len(whole) == shard["n_tokens"] and repair.read_range(shard, 3, 9).tolist() == whole[3:9].tolist()
     assert repair.token_round_trip(empty, WORDS).count() == 0
+
+
+def test_shards_match_added_tokens_as_the_library_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(WORDS)
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y, <|ENDOFTEXT|> z", "<|endoftext|><|endoftext|>.", "plain words"]
+    path = repair.write_token_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), WORDS, f"file://{tmp_path}/added")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in repair.read_token_index(spark, path).collect()}
+    for i, t in enumerate(texts):
+        ids = [*model.encode(t, add_special_tokens=False).ids, 1]
+        assert got[i] == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+
+
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(5)
+    ids = np.concatenate([np.tile(rng.integers(0, 500, 300), 20) for _ in range(8)]).astype("<u4")
+    seq, _, _, _ = repair.compress(ids, np.array([len(ids)]), 500)
+    pairs = np.unique(np.stack([seq[:-1], seq[1:]], 1), axis=0, return_counts=True)[1]
+    assert pairs.max() < repair.LEAST_COUNT
