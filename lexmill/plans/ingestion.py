@@ -142,7 +142,7 @@ def consolidate_flatten(spark, sf_dir):
 def fuzzy_clause_match(spark, sf_dir):
     gold = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 20)
     noisy = F.transform(gold, lambda x: F.replace(x, F.lit("th"), F.lit("h")))
-    return S.parser_scores(S.match_clauses(documents(spark, sf_dir).where("n_chars < 600").select("doc_id", gold.alias("gold"), noisy.alias("predicted")), "doc_id"), "doc_id")
+    return S.parser_scores(S.match_clauses(documents(spark, sf_dir).select("doc_id", gold.alias("gold"), noisy.alias("predicted")), "doc_id"), "doc_id")
 
 
 RECORD = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()), T.StructField("toxic", T.BooleanType()), T.StructField("score", T.DoubleType())])

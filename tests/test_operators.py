@@ -218,3 +218,10 @@ def test_variants_resume(spark, tmp_path):
 def test_targets(spark):
     r = composite.against_targets(spark.createDataFrame([("s", "f1", 0.8), ("s", "ece", 0.2), ("s", "mrr", 0.1), ("s", "recall", None)], "section string, metric string, value double"))
     assert {x["metric"]: x["status"] for x in r.collect()} == {"f1": "pass", "ece": "fail", "mrr": "reported", "recall": "missing"}
+
+
+def test_fuzzy_clause_match_takes_all_documents(spark, sf):
+    from lexmill.plans.ingestion import fuzzy_clause_match
+
+    got = {r["doc_id"] for r in fuzzy_clause_match(spark, sf).select("doc_id").collect()}
+    assert got == {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()} | {None}
