@@ -7,9 +7,9 @@ sorted order brings nodes with long common prefixes together.  A region is the
 nodes that share a tree's first ``MIN_DEPTH`` values; a region of more than
 ``REGION`` nodes is read deeper, value by value, until its parts are small, so
 depth adapts to how crowded a place is.  Within a region the signatures tell which
-pairs can reach the threshold (less 3.5 standard errors), and those are confirmed
+pairs can reach the threshold (less SIGMAS standard errors), and those are confirmed
 on the full sets, nearest first, skipping pairs that are joined already: a region
-yields at most one link fewer than it has nodes.  A pair is looked at in the first
+yields a star for each of its connected parts.  A pair is looked at in the first
 tree that brings it together.
 
 Crowded regions can hide a link between parts.  After the components of the first
@@ -25,8 +25,10 @@ No link, component or set is collected; what is kept between steps are tables in
 shared folder.  Texts aren't shuffled: a sieve of fixed size picks the documents whose
 sets are needed.
 
-Recall of a pair at similarity s is 1 - (1 - s**MIN_DEPTH)**TREES: more than 1 - 1e-6
-at 0.85, more than 1 - 1e-4 at 0.8.
+Recall, for ideal MinHash values: a pair at similarity s shares a region with probability
+1 - (1 - s**MIN_DEPTH)**TREES (more than 1 - 1e-6 at 0.85, more than 1 - 1e-4 at 0.8), and
+passes the signature test of a region of REGION nodes or fewer with more than 1 - 4e-6.  In
+a crowded region neither depth nor signatures lose a link, as the second round is exact.
 
 Defined cases: a text without words (or null) has the empty set and is linked with
 nothing; a text with fewer words than a shingle has one shingle, all its words;
@@ -50,6 +52,7 @@ from .sieve import Sieve, may_hold
 from .workspace import materialize, small_batches
 
 TREES, DEPTH, MIN_DEPTH, REGION = 16, 8, 3, 128
+SIGMAS = 4.5
 COUNTERS = 1 << 20
 VALUES = TREES * DEPTH
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -114,23 +117,19 @@ def _sets(words: int, wanted):
     return run
 
 
-def likely_pairs(sig: np.ndarray, tree: int, crowded: np.ndarray, least: float, comp: np.ndarray | None) -> list[tuple[int, int, int]]:
+def likely_pairs(sig: np.ndarray, tree: int, crowded: np.ndarray, least: float) -> list[tuple[int, int, int]]:
     """(-equal values, i, j) of the pairs of a region that can reach the threshold.
 
-    Pairs that an earlier tree brings together, in a region that isn't crowded, are left
-    to it.  With ``comp`` (second round) only pairs of different components count.
+    Pairs that an earlier tree brings together, in a region that isn't crowded, are left to it.
     """
     out = []
     for i in range(len(sig) - 1):
         equal = sig[i + 1 :] == sig[i]
         n = equal.sum(1)
-        hit = n >= least
-        if comp is not None:
-            hit &= comp[i + 1 :] != comp[i]
-        where = np.flatnonzero(hit)
+        where = np.flatnonzero(n >= least)
         if not len(where):
             continue
-        if comp is None and tree:
+        if tree:
             shared = equal[where].reshape(-1, TREES, DEPTH)[:, :tree, :MIN_DEPTH].all(2)
             open_trees = (crowded[i] >> np.arange(tree)) & 1 == 0
             where = where[~(shared & open_trees).any(1)]
@@ -174,9 +173,7 @@ def _needed(least: float):
         for g in _Groups(batches):
             if g.num_rows < 2:
                 continue
-            crowded = g.column("crowded").to_numpy()
-            comp = g.column("comp").to_numpy() if g.column("second")[0].as_py() else None
-            pairs = likely_pairs(_matrix(g.column("sig").to_pylist()), g.column("tree")[0].as_py(), crowded, least, comp)
+            pairs = likely_pairs(_matrix(g.column("sig").to_pylist()), g.column("tree")[0].as_py(), g.column("crowded").to_numpy(), least)
             if pairs:
                 rows = sorted({x for p in pairs for x in p[1:]})
                 yield from g.take(pa.array(rows)).combine_chunks().to_batches()
@@ -185,16 +182,15 @@ def _needed(least: float):
 
 
 def _confirmed(least: float, num: int, den: int):
-    """Links of a region, confirmed on the full sets: num / den is the least similarity."""
+    """The parts of a region that links confirmed on the full sets hold together, as (smallest node, other node); num / den is the least similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _Groups(batches):
             if g.num_rows < 2:
                 continue
             nodes = g.column("node").to_numpy()
-            comp = g.column("comp").to_numpy() if g.column("second")[0].as_py() else None
             raw = g.column("shingles").to_pylist()
-            pairs = likely_pairs(_matrix(g.column("sig").to_pylist()), g.column("tree")[0].as_py(), g.column("crowded").to_numpy(), least, comp)
+            pairs = likely_pairs(_matrix(g.column("sig").to_pylist()), g.column("tree")[0].as_py(), g.column("crowded").to_numpy(), least)
             root = list(range(len(nodes)))
 
             def find(x: int, root: list[int] = root) -> int:
@@ -203,11 +199,6 @@ def _confirmed(least: float, num: int, den: int):
                     x = root[x]
                 return x
 
-            if comp is not None:
-                first: dict[int, int] = {}
-                for i, c in enumerate(comp.tolist()):
-                    root[find(i)] = find(first.setdefault(c, i))
-            a, b = [], []
             for _, i, j in sorted(pairs):
                 x, y = find(i), find(j)
                 if x == y:
@@ -218,55 +209,51 @@ def _confirmed(least: float, num: int, den: int):
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 if both * den >= num * (len(p) + len(q) - both):
                     root[x] = y
-                    a.append(int(min(nodes[i], nodes[j])))
-                    b.append(int(max(nodes[i], nodes[j])))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            top = np.fromiter(map(find, root), np.int64, len(root))
+            least_of = np.full(len(nodes), np.iinfo(np.int64).max)
+            np.minimum.at(least_of, top, nodes)
+            least_of = least_of[top]
+            joined = least_of != nodes
+            if joined.any():
+                yield pa.RecordBatch.from_arrays([pa.array(least_of[joined]), pa.array(nodes[joined])], ["a", "b"])
 
     return run
 
 
-def _prefix(depth: int) -> Column:
-    return F.xxhash64("tree", F.expr(f"substring(sig, tree * {DEPTH * 2} + 1, {depth * 2})"))
-
-
-_REGION_ROW = "gid bigint, tree int, node bigint, high bigint, sig binary, crowded int, comp bigint, second boolean"
+_REGION_ROW = "gid bigint, tree int, node bigint, high bigint, sig binary, crowded int"
 
 
 def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of all regions; rows of regions that are crowded at the least depth, or None)."""
-    rows = nodes.select("node", "high", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
-    keyed = rows.select("node", "high", "tree", _prefix(MIN_DEPTH).alias("key"))
-    counts = materialize(keyed.groupBy("tree", "key").count().where("count > 1"), "forest-regions")
-    shared = materialize(keyed.join(counts, ["tree", "key"]), "forest-rows")
+    """(rows of all regions; rows of regions that are crowded at the least depth, or None).
+
+    All depths of the crowded regions are counted at once: a node goes to the first depth
+    at which REGION nodes or fewer agree with it.
+    """
+    values = F.expr(f"substring(sig, tree * {DEPTH * 2} + 1, {DEPTH * 2})")
+    rows = nodes.select("node", "high", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig").select("node", "high", "tree", values.alias("run"))
+    keyed = rows.withColumn("key", F.xxhash64("tree", F.expr(f"substring(run, 1, {MIN_DEPTH * 2})")))
+    counts = materialize(keyed.groupBy("key").count().where("count > 1"), "forest-regions")
+    shared = materialize(keyed.join(counts, "key"), "forest-rows")
     full = lambda df: df.join(nodes.select("node", "high", "sig"), ["node", "high"])
-    plain = full(shared.where(F.col("count") <= REGION)).select(
-        F.xxhash64("tree", "key", F.lit(0)).alias("gid"), "tree", "node", "high", "sig"
-    )
-    crowd = shared.where(F.col("count") > REGION)
-    if crowd.isEmpty():
-        return plain.withColumn("crowded", F.lit(0)), None
+    plain = shared.where(F.col("count") <= REGION).select(F.col("key").alias("gid"), "tree", "node", "high")
+    crowd = shared.where(F.col("count") > REGION).select("tree", "node", "high", "run", F.col("key").alias("top"))
+    if not counts.agg(F.count_if(F.col("count") > REGION)).first()[0]:
+        return full(plain).withColumn("crowded", F.lit(0)), None
+    at = lambda d: F.col("top") if d == MIN_DEPTH else F.xxhash64("top", F.expr(f"substring(run, 1, {d * 2})"))
+    deep = crowd.select("tree", "node", "high", F.explode(F.array(*(
+        F.struct(F.lit(d).alias("depth"), at(d).alias("key"), at(d - 1).alias("above")) for d in range(MIN_DEPTH + 1, DEPTH + 1)
+    ))).alias("x")).select("tree", "node", "high", "x.*")
+    sizes = materialize(deep.groupBy("key", "above", "depth").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "forest-depths")
+    wide = sizes.where(F.col("n") > REGION).select(F.col("key").alias("above"))
+    first = sizes.where((F.col("n") <= REGION) | (F.col("depth") == DEPTH))
+    first = first.where(F.col("depth") == MIN_DEPTH + 1).unionByName(first.where(F.col("depth") > MIN_DEPTH + 1).join(wide, "above", "left_semi")).select("key", "n", "least")
+    # Alike in all values of the tree: blocks of nodes, with the smallest node in each.
+    blocks = F.ceil(F.col("n") / REGION)
+    block = F.when((blocks > 1) & (F.col("node") == F.col("least")), F.sequence(F.lit(0).cast("bigint"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "tree"), blocks)))
+    parts = deep.join(first, "key").select("key", "tree", "node", "high", F.explode(block).alias("block")).select(F.xxhash64("key", "block").alias("gid"), "tree", "node", "high")
     marks = crowd.groupBy("node", "high").agg(F.expr("cast(bit_or(shiftleft(1, tree)) as int)").alias("crowded"))
-    crowd = materialize(full(crowd).select("tree", "node", "high", "sig", F.col("key").alias("top")), "forest-crowd")
-    parts, level = [], crowd
-    for depth in range(MIN_DEPTH + 1, DEPTH + 1):
-        at = level.select("tree", "node", "high", "sig", "top").withColumn("key", F.xxhash64("top", _prefix(depth)))
-        counted = at.join(materialize(at.groupBy("key").count().where("count > 1"), f"forest-depth-{depth}"), "key")
-        parts.append(counted.where(F.col("count") <= REGION).select(F.xxhash64("tree", "key", F.lit(depth)).alias("gid"), "tree", "node", "high", "sig"))
-        level = materialize(counted.where(F.col("count") > REGION).select("tree", "node", "high", "sig", "top", "key", "count"), f"forest-level-{depth}")
-        if level.isEmpty():
-            break
-    else:  # alike in all values of the tree: blocks of nodes, with the smallest node in each
-        blocks = F.ceil(F.col("count") / REGION)
-        least = materialize(level.groupBy("key").agg(F.min("node").alias("least")), "forest-least")
-        block = F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0).cast("bigint"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "tree"), blocks)))
-        parts.append(level.join(least, "key").select("tree", "key", "node", "high", "sig", F.explode(block).alias("block")).select(
-            F.xxhash64("tree", "key", F.lit(DEPTH + 1), "block").alias("gid"), "tree", "node", "high", "sig"
-        ))
-    out = plain
-    for p in parts:
-        out = out.unionByName(p)
-    return out.join(marks, ["node", "high"], "left").withColumn("crowded", F.coalesce("crowded", F.lit(0))), crowd
+    out = full(plain.unionByName(parts)).join(marks, ["node", "high"], "left")
+    return out.withColumn("crowded", F.coalesce("crowded", F.lit(0))), crowd
 
 
 def _unsettled(crowd: DataFrame, labels: DataFrame) -> DataFrame:
@@ -344,8 +331,8 @@ def _again(docs: DataFrame, crowd: DataFrame, labels: DataFrame, words: int, num
     sets = docs.mapInArrow(_sets(words, Sieve(open_, "node").sent), "node bigint, high bigint, shingles binary")
     sets = materialize(open_.join(sets, ["node", "high"]).select("node", "comp", "shingles").dropDuplicates(["node"]), "forest-open")
     common = np.zeros(COUNTERS, np.int64)
-    for r in sets.select("shingles").mapInArrow(_bucket_counts, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        common[r["bucket"]] = r["n"]  # COUNTERS rows at most
+    met = sets.select("shingles").mapInArrow(_bucket_counts, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    common[met.column("bucket").to_numpy()] = met.column("n").to_numpy()
     first = materialize(sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(common), num, den), "shingle bigint, node bigint, comp bigint, n int, at int"), "forest-prefixes")
     sizes = first.groupBy("shingle", "comp").count()
     stats = materialize(
@@ -376,15 +363,15 @@ def _again(docs: DataFrame, crowd: DataFrame, labels: DataFrame, words: int, num
 
 
 def _links(docs: DataFrame, regions: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Confirmed links (a < b) of ``regions``."""
+    """(a, b), a < b: nodes that confirmed links of one region connect."""
     s = num / den
-    least = VALUES * s - 3.5 * (VALUES * s * (1 - s)) ** 0.5
+    least = VALUES * s - SIGMAS * (VALUES * s * (1 - s)) ** 0.5
     grouped = regions.repartition("gid").sortWithinPartitions("gid", "sig")
     needed = materialize(grouped.mapInArrow(_needed(least), _REGION_ROW), "forest-needed")
     sets = docs.mapInArrow(_sets(words, Sieve(needed, "node").sent), "node bigint, high bigint, shingles binary")
-    full = needed.join(sets, ["node", "high"]).select("gid", "tree", "node", "sig", "crowded", "comp", "second", "shingles")
+    full = needed.join(sets, ["node", "high"]).select("gid", "tree", "node", "sig", "crowded", "shingles")
     found = full.repartition("gid").sortWithinPartitions("gid", "sig").mapInArrow(_confirmed(least, num, den), "a bigint, b bigint")
-    return materialize(found.where("a < b"), "forest-links")
+    return materialize(found, "forest-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -395,19 +382,16 @@ def components(edges: DataFrame) -> DataFrame:
     task's burden.  The number of steps grows with the logarithm of the longest path.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "cc-least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        near = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count_if(F.col("v") < F.col("u")).alias("below"), F.count("*").alias("n")), "cc-near")
+        if not near.agg(F.count_if((F.col("below") > 1) | (F.col("below") == 1) & (F.col("n") > 1))).first()[0]:
+            break  # stars only: a node is linked with its component's smallest alone
+        large = both.where("v > u").join(near.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "cc-large")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = materialize(small.where("u <> v").distinct(), "cc-edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
         edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("comp"))
     )
@@ -426,13 +410,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         signed.where("n > 0 and doc_id is not null").groupBy("n", "high", "low").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "forest-nodes"
     )
     regions, crowd = _regions(alike.select("node", "high", "sig"))
-    regions = regions.select("gid", "tree", "node", "high", "sig", "crowded", F.lit(0).cast("bigint").alias("comp"), F.lit(False).alias("second"))
-    links = _links(texts, regions, words, num, den)
+    links = _links(texts, regions.select("gid", "tree", "node", "high", "sig", "crowded"), words, num, den)
     labels = materialize(components(links), "forest-components")
     if crowd is not None:
         more = _again(texts, crowd, labels, words, num, den)
         if not more.isEmpty():
-            labels = materialize(components(links.unionByName(more)), "forest-components")
+            labels = materialize(components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)), "forest-components")
     classes = materialize(alike.select("n", "high", "low", "node").join(labels, "node", "left").select("n", "high", "low", F.coalesce("comp", "node").alias("comp")), "forest-classes")
     tied = signed.select("doc_id", "n", "high", "low").join(classes, ["n", "high", "low"], "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("comp"))
