@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import ship
 
 
 def lines(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -42,94 +37,59 @@ def carry_heading(ordered: DataFrame, keys: list[str], order: list[str], is_head
     return ordered.withColumn("section", F.last(F.when(is_heading, heading), ignorenulls=True).over(w))
 
 
-def clauses(docs: DataFrame, keys: list[str], text: str, min_words: int = 1) -> DataFrame:
-    """keys, clause_no, clause_id, section, clause by windows.
+def candidates(docs: DataFrame, keys: list[str], text: str, spaced: bool = False) -> DataFrame:
+    """keys, grp, section, clause: non-empty runs of lines between headings and numbered lines.
 
-    A heading ends a clause and gives the section; a numbered line begins one; other
-    lines join the one before.  Clauses under ``min_words`` are dropped here; the exact
-    merging of short ones is ``fold_clauses``.
+    A heading ends a candidate and gives the section; a numbered line begins one; other
+    lines join the one before.  With ``spaced`` one blank stands between a number and its text.
     """
-    marked = lines(docs, keys, text).withColumn("head", X.is_heading(F.col("line")))
+    marked = lines(docs, keys, text).withColumn("head", X.is_heading(X.normalise("line") if spaced else F.col("line")))
     sectioned = carry_heading(marked, keys, ["pos"], F.col("head"), X.normalise("line"))
     w = Window.partitionBy(*keys).orderBy("pos")
-    starts = X.is_numbered(F.col("line")) | F.coalesce(F.lag("head").over(w), F.lit(True))
+    numbered = X.is_numbered(F.col("line"))
+    starts = numbered | F.coalesce(F.lag("head").over(w), F.lit(True))
     body = sectioned.withColumn("starts", starts.cast("int")).where("not head")
+    if spaced:
+        body = body.withColumn("line", F.when(numbered, F.trim(F.concat_ws(" ", F.regexp_extract("line", X.NUMBERED, 1), F.trim(F.regexp_extract("line", X.NUMBERED, 2))))).otherwise(F.col("line")))
     grouped = body.withColumn("grp", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     joined = grouped.groupBy(*keys, "grp").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), " ").alias("raw"), F.max_by("section", "pos").alias("section")
     )
-    kept = joined.withColumn("clause", X.normalise("raw")).where(X.word_count("clause") >= min_words)
+    return joined.select(*keys, "grp", "section", X.normalise("raw").alias("clause")).where("clause <> ''")
+
+
+def numbered_clauses(kept: DataFrame, keys: list[str]) -> DataFrame:
     no = F.row_number().over(Window.partitionBy(*keys).orderBy("grp"))
     return kept.withColumn("clause_no", no.cast("bigint")).select(*keys, "clause_no", F.format_string("C%04d", "clause_no").alias("clause_id"), "section", "clause")
 
 
-_NUMBERED = re.compile(X.NUMBERED)
-_MARKER = re.compile(r"(?:\d+(?:\.\d+)*|[A-Z]|[IVXLC]+)[.)]", re.I)
-_HEADING = re.compile(r"[A-Z][A-Z0-9 /&(),.'-]{3,100}")
+def clauses(docs: DataFrame, keys: list[str], text: str, min_words: int = 1) -> DataFrame:
+    """keys, clause_no, clause_id, section, clause: the candidates of ``min_words`` and more; ``fold_clauses`` merges short ones instead."""
+    return numbered_clauses(candidates(docs, keys, text).where(X.word_count("clause") >= min_words), keys)
 
 
-def _clean(text: str) -> str:
-    text = re.sub(r"(?<=\w)-\s*\n\s*(?=\w)", "", text.replace("­", "").replace("\x00", " "))
-    return " ".join(text.split())
+# Fixed value: what a candidate is that holds nothing but its number.
+MARKER = r"(?i)^(?:\d+(?:\.\d+)*|[A-Z]|[IVXLC]+)[.)]$"
 
 
-def fold_document(text: str, min_words: int = 3) -> list[tuple[str, str | None]]:
-    """(clause, section) of one document with the exact treatment of short candidates.
+def fold_clauses(docs: DataFrame, keys: list[str], text: str, min_words: int = 3) -> DataFrame:
+    """keys, clause_no, clause_id, section, clause: the candidates, short ones merged into neighbours.
 
-    A candidate that is a bare marker or has too few words waits and is put before the
-    next; a second one that waits replaces the first; one left over at the end is put
-    after the last clause.
+    A candidate is short if it is a bare number or has under ``min_words`` words.  A full one
+    takes a short one that stands right before it as its beginning, and its section where it
+    has none; of several short ones in a row only the last is taken.  A short one at the end of
+    the document is added to the last full one.
     """
-    found: list[tuple[str, str | None]] = []
-    section, parts = None, []
-
-    def close() -> None:
-        if parts:
-            found.append((_clean(" ".join(parts)), section))
-            parts.clear()
-
-    for line in (x.strip() for x in re.split(r"\r?\n+", text)):
-        if not line:
-            continue
-        clean = _clean(line)
-        if len(clean.split()) <= 12 and (_HEADING.fullmatch(clean) or clean.endswith(":")):
-            close()
-            section = clean
-            continue
-        number = _NUMBERED.match(line)
-        if number:
-            close()
-            line = f"{number[1]} {number[2].strip()}".strip()
-        parts.append(line)
-    close()
-    out: list[tuple[str, str | None]] = []
-    waits: tuple[str, str | None] | None = None
-    for clause, head in found:
-        if not clause:
-            continue
-        if _MARKER.fullmatch(clause) or len(clause.split()) < min_words:
-            waits = (clause, head)
-        elif waits:
-            out.append((f"{waits[0]} {clause}", head or waits[1]))
-            waits = None
-        else:
-            out.append((clause, head))
-    if waits and out:
-        out[-1] = (f"{out[-1][0]} {waits[0]}", out[-1][1])
-    return out
-
-
-def fold_clauses(docs: DataFrame, key: str, text: str, min_words: int = 3) -> DataFrame:
-    """key, clause_no, clause_id, section, clause: the exact fold, one document at a time."""
-    ship(docs.sparkSession)
-    kind = dict(docs.dtypes)[key]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, n, f"C{n:04d}", s, c) for k, t in zip(b[key], b[text], strict=True) for n, (c, s) in enumerate(fold_document(t or "", min_words), 1)]
-            yield pd.DataFrame(rows, columns=[key, "clause_no", "clause_id", "section", "clause"])
-
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, clause_no bigint, clause_id string, section string, clause string")
+    w = Window.partitionBy(*keys).orderBy("grp")
+    all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    short = F.col("clause").rlike(MARKER) | (X.word_count("clause") < min_words)
+    seen = candidates(docs, keys, text, spaced=True).withColumn("short", short)
+    before = F.when(F.lag("short").over(w), F.struct(F.lag("clause").over(w).alias("clause"), F.lag("section").over(w).alias("section")))
+    end = F.when(F.last("short").over(all_), F.last("clause").over(all_))
+    seen = seen.withColumns({"before": before, "end": end, "last_full": F.max(F.when(~F.col("short"), F.col("grp"))).over(all_)})
+    tail = F.when(F.col("grp") == F.col("last_full"), F.col("end"))
+    kept = seen.where(~F.col("short")).withColumn("section", F.coalesce("section", "before.section")).withColumn("clause", F.concat_ws(" ", "before.clause", "clause", tail))
+    return numbered_clauses(kept, keys)
 
 
 def drop_margin_blocks(blocks: DataFrame, doc: str, page: str, text: str, in_margin, longest: int = 160, share: float = 0.5) -> DataFrame:

@@ -79,7 +79,7 @@ def analyse(docs: DataFrame, chunks: DataFrame, top_j: int = 3, tau: float = P.T
 
     One plan for all documents after the clauses are stored; models are their stand-ins.
     """
-    cl = segment.fold_clauses(docs, "doc_id", "text").select(F.concat_ws("/", "doc_id", "clause_id").alias("clause_id"), "doc_id", "clause")
+    cl = segment.fold_clauses(docs, ["doc_id"], "text").select(F.concat_ws("/", "doc_id", "clause_id").alias("clause_id"), "doc_id", "clause")
     cl = cl.withColumn("rewritten", X.split_long_clauses("clause")).withColumn("fk_grade", X.fk_grade("rewritten"))
     cl = stored(cl, "clauses")
     found = R.bm25(cl.select(F.col("clause_id").alias("q_id"), F.col("clause").alias("text")), chunks.select("doc_id", "text")).where(F.col("rank") <= top_j)

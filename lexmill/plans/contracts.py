@@ -18,20 +18,32 @@ _HEAD = "(len(list_filter(string_split_regex(line, '\\s+'), lambda w: w <> ''))
 _NUM = r"regexp_matches(line, '(?is)^\s*((?:\((?:\d+(?:\.\d+)*|[A-Z]|[IVXLC]+)\)|\d+(?:\.\d+)+(?:[.)])?|\d+[.)]|[A-Z][.)]|[IVXLC]+[.)]))\s*(.*)$')"
 
 
-@query(rf"""WITH l AS (SELECT doc_id, pos, trim(line) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(ls) WITH ORDINALITY AS t(line, pos) WHERE trim(line) <> ''),
- h AS (SELECT *, {_HEAD} AS head FROM l), s AS (SELECT *, last_value(CASE WHEN head THEN regexp_replace(line, '\s+', ' ', 'g') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section,
+def _candidates_sql(head: str, line: str) -> str:
+    return rf"""l AS (SELECT doc_id, pos, trim(line) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(ls) WITH ORDINALITY AS t(line, pos) WHERE trim(line) <> ''),
+ h AS (SELECT *, {head} AS head FROM l), s AS (SELECT *, last_value(CASE WHEN head THEN regexp_replace(line, '\s+', ' ', 'g') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section,
   CASE WHEN {_NUM} OR coalesce(lag(head) OVER (PARTITION BY doc_id ORDER BY pos), true) THEN 1 ELSE 0 END AS starts FROM h),
  g AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS grp FROM s WHERE NOT head),
- c AS (SELECT doc_id, grp, trim(regexp_replace(string_agg(line, ' ' ORDER BY pos), '\s+', ' ', 'g')) AS clause, arg_max(section, pos) AS section FROM g GROUP BY doc_id, grp)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp) AS clause_no, printf('C%04d', row_number() OVER (PARTITION BY doc_id ORDER BY grp)) AS clause_id, section, substr(sha256(clause), 1, 12) AS digest FROM c WHERE clause <> ''""")
+ c AS (SELECT * FROM (SELECT doc_id, grp, trim(regexp_replace(string_agg({line}, ' ' ORDER BY pos), '\s+', ' ', 'g')) AS clause, arg_max(section, pos) AS section FROM g GROUP BY doc_id, grp) WHERE clause <> '')"""
+
+
+@query(f"""WITH {_candidates_sql(_HEAD, 'line')}
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp) AS clause_no, printf('C%04d', row_number() OVER (PARTITION BY doc_id ORDER BY grp)) AS clause_id, section, substr(sha256(clause), 1, 12) AS digest FROM c""")
 def clause_segmentation(spark, sf_dir):
     c = segment.clauses(documents(spark, sf_dir), ["doc_id"], "text")
     return c.select("doc_id", "clause_no", "clause_id", "section", X.sha_prefix("clause", 12).alias("digest"))
 
 
-@query()
+_SPACED = f"CASE WHEN {_NUM} THEN trim({_NUM.replace('regexp_matches', 'regexp_extract')[:-1]}, 1) || ' ' || trim({_NUM.replace('regexp_matches', 'regexp_extract')[:-1]}, 2))) ELSE line END"
+
+
+@query(rf"""WITH {_candidates_sql(_HEAD, _SPACED)},
+ k AS (SELECT *, regexp_full_match(clause, '(?i)(?:\d+(?:\.\d+)*|[A-Z]|[IVXLC]+)[.)]') OR len(string_split(clause, ' ')) < 3 AS short, row_number() OVER (PARTITION BY doc_id ORDER BY grp) AS n FROM c),
+ f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) AS from_end FROM k WHERE NOT short),
+ e AS (SELECT doc_id, clause FROM k WHERE short QUALIFY n = max(n) OVER (PARTITION BY doc_id) AND NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = k.doc_id AND f.n > k.n))
+SELECT f.doc_id, row_number() OVER (PARTITION BY f.doc_id ORDER BY f.n) AS clause_no, printf('C%04d', row_number() OVER (PARTITION BY f.doc_id ORDER BY f.n)) AS clause_id, coalesce(f.section, p.section) AS section,
+ concat_ws(' ', p.clause, f.clause, CASE WHEN from_end = 1 THEN e.clause END) AS clause FROM f LEFT JOIN k p ON p.doc_id = f.doc_id AND p.n = f.n - 1 AND p.short LEFT JOIN e ON e.doc_id = f.doc_id""")
 def clause_segmentation_fold(spark, sf_dir):
-    return segment.fold_clauses(documents(spark, sf_dir), "doc_id", "text")
+    return segment.fold_clauses(documents(spark, sf_dir), ["doc_id"], "text")
 
 
 @query(r"""WITH l AS (SELECT source, doc_id AS page, pos, trim(line) AS line, len(ls) AS n FROM (SELECT source, doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(ls) WITH ORDINALITY AS t(line, pos) WHERE trim(line) <> ''),

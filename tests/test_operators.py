@@ -60,12 +60,17 @@ def test_sari_bounds(spark, s, p, r):
 
 def test_segment(spark):
     text = "TERMS\n1. The first clause here.\nit goes on\n2. The second clause here."
-    assert segment.fold_document(text) == [("1. The first clause here. it goes on", "TERMS"), ("2. The second clause here.", "TERMS")]
-    assert len(segment.fold_document("1.1 Definitions\nbody of it\n1.2 Fees\nmore body text")) == 2
-    assert [c for c, _ in segment.fold_document("1. x\n2. y\n3. one two three")] == ["2. y 3. one two three"]
-    assert [c for c, _ in segment.fold_document("1. one two three\n2. x")] == ["1. one two three 2. x"]
+    made = [text, "1.1 Definitions\nbody of it\n1.2 Fees\nmore body text", "1. x\n2. y\n3. one two three", "1. one two three\n2. x", "PART A\n1. x\nPART B:\nsome words here\n\n2.\n3.  two\n words", "1. x\n2. y"]
+    found = segment.fold_clauses(spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string"), ["doc_id"], "text").orderBy("doc_id", "clause_no").collect()
+    by_doc = [[(r["clause"], r["section"]) for r in found if r["doc_id"] == i] for i in range(len(made))]
+    assert by_doc[0] == [("1. The first clause here. it goes on", "TERMS"), ("2. The second clause here.", "TERMS")]
+    assert [c for c, _ in by_doc[1]] == ["1.1 Definitions body of it", "1.2 Fees more body text"]
+    assert [c for c, _ in by_doc[2]] == ["2. y 3. one two three"]
+    assert [c for c, _ in by_doc[3]] == ["1. one two three 2. x"]
+    assert by_doc[4] == [("1. x some words here", "PART B:"), ("2. 3. two words", "PART B:")]
+    assert by_doc[5] == []
     docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id bigint, text string")
-    fold = {(r["doc_id"], r["clause_id"]): r["clause"] for r in segment.fold_clauses(docs, "doc_id", "text").collect()}
+    fold = {(r["doc_id"], r["clause_id"]): r["clause"] for r in segment.fold_clauses(docs, ["doc_id"], "text").collect()}
     wins = {(r["doc_id"], r["clause_id"]): r["clause"] for r in segment.clauses(docs, ["doc_id"], "text").collect()}
     assert fold == wins and len(fold) == 2
 
