@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .resample import numbered
+
 
 def seeded(seed: int, *ids: str) -> Column:
     """The order of a seeded shuffle."""
@@ -97,8 +99,8 @@ def companions(candidates: DataFrame, key: str, label: str, position: str, chose
     """
     pick = lambda v: F.max_by(F.when(F.col(label) == v, F.col(chosen)), F.when(F.col(label) == v, F.col(position)))
     per = candidates.groupBy(key).agg(pick("entailment").alias("s"), pick("neutral").alias("n"), pick("contradiction").alias("c"))
-    row = per.withColumn("i", F.row_number().over(Window.orderBy(key)) - 1)
-    negative = F.when(F.col("i") % 2 == 0, F.coalesce("n", "c")).otherwise(F.coalesce("c", "n"))
+    row = numbered(per, [key])
+    negative = F.when(F.col("idx") % 2 == 0, F.coalesce("n", "c")).otherwise(F.coalesce("c", "n"))
     negative = F.coalesce(negative, F.raise_error(F.lit("a source has no negative candidate")).cast("bigint"))
     out = row.select(key, F.explode(F.array(
         F.struct(F.lit("supported").alias("kind"), F.lit(1).alias("label"), F.col("s").alias("chosen")), F.struct(F.lit("unsupported").alias("kind"), F.lit(0).alias("label"), negative.alias("chosen"))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, stored
 from .metrics import div
 
 
@@ -35,7 +35,13 @@ def draws(spark: SparkSession, n: int, samples: int, seed: int) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    return rows.withColumn("idx", F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1)
+    """Adds idx, the rows' places in ``order`` from 0: places in sorted ranges, plus the sizes of the ranges before."""
+    at = F.monotonically_increasing_id()
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(ranges.withColumns({"__range": F.shiftright(at, 33), "__place": at.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("__range").agg(F.count("*").alias("n")).select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))  # a row a range
+    return placed.join(F.broadcast(offsets), "__range").withColumn("idx", F.col("__before") + F.col("__place")).drop("__range", "__place", "__before")
 
 
 def interval(per_sample: DataFrame, columns: list[str], confidence: float = 0.95) -> DataFrame:

@@ -153,12 +153,16 @@ def limit_unique_clauses(spark, sf_dir):
     return B.limit_unique(t, "conv_id", ["len", "conv_id"], 20).select("conv_id", "turn")
 
 
-@query("""WITH d AS (SELECT source, sha256(string_agg(h, chr(10) ORDER BY h)) AS source_hash, count(*) AS n_docs, sum(n)::BIGINT AS n_chars FROM (SELECT source, sha256(text) AS h, length(text) AS n FROM documents) GROUP BY source)
+@query("""WITH b AS (SELECT source, substr(h, 1, 3) AS bucket, sha256(string_agg(h, chr(10) ORDER BY h)) AS d, count(*) AS k, sum(n) AS n FROM (SELECT source, sha256(text) AS h, length(text) AS n FROM documents) GROUP BY ALL),
+ d AS (SELECT source, sha256(string_agg(d, chr(10) ORDER BY bucket)) AS source_hash, sum(k)::BIGINT AS n_docs, sum(n)::BIGINT AS n_chars FROM b GROUP BY source)
 SELECT source, n_docs, n_chars, source_hash, (SELECT sha256(string_agg(source_hash, chr(10) ORDER BY source_hash)) FROM d) AS corpus_hash FROM d""")
 def corpus_manifest_hash(spark, sf_dir):
+    """A tree of digests: of a source's texts in each of 4096 buckets, of its buckets, of all sources."""
     h = documents(spark, sf_dir).select("source", F.sha2("text", 256).alias("h"), F.length("text").alias("n"))
     joined = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), "\n"), 256)
-    per = h.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_chars"), joined("h").alias("source_hash"))
+    buckets = h.groupBy("source", F.substring("h", 1, 3).alias("bucket")).agg(F.count("*").alias("k"), F.sum("n").alias("n"), joined("h").alias("d"))
+    in_order = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), "\n")  # 4096 at most
+    per = buckets.groupBy("source").agg(F.sum("k").alias("n_docs"), F.sum("n").alias("n_chars"), F.sha2(in_order, 256).alias("source_hash"))
     return per.crossJoin(per.agg(joined("source_hash").alias("corpus_hash")))
 
 

@@ -82,7 +82,7 @@ def analyse(docs: DataFrame, chunks: DataFrame, top_j: int = 3, tau: float = P.T
     cl = segment.fold_clauses(docs, ["doc_id"], "text").select(F.concat_ws("/", "doc_id", "clause_id").alias("clause_id"), "doc_id", "clause")
     cl = cl.withColumn("rewritten", X.split_long_clauses("clause")).withColumn("fk_grade", X.fk_grade("rewritten"))
     cl = stored(cl, "clauses")
-    found = R.bm25(cl.select(F.col("clause_id").alias("q_id"), F.col("clause").alias("text")), chunks.select("doc_id", "text")).where(F.col("rank") <= top_j)
+    found = R.bm25(cl.select(F.col("clause_id").alias("q_id"), F.col("clause").alias("text")), chunks.select("doc_id", "text"), top_j)
     ev = found.join(chunks, "doc_id").select(F.col("q_id").alias("clause_id"), "rank", F.col("doc_id").alias("chunk_id"), "text")
     sentences = cl.select("clause_id", "clause", F.posexplode(X.sentences("rewritten")).alias("pos", "sentence"))
     v = verify.verify(sentences, ev, tau, tau)

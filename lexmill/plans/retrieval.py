@@ -43,7 +43,7 @@ def texts(spark, sf_dir):
 
 
 def lexical(spark, sf_dir, k):
-    return R.bm25(passages(spark, sf_dir), texts(spark, sf_dir)).where(F.col("rank") <= k)
+    return R.bm25(passages(spark, sf_dir), texts(spark, sf_dir), k)
 
 
 def gold(spark, sf_dir):

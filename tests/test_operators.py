@@ -98,6 +98,18 @@ def test_bm25_by_definition(spark):
     assert all(abs(x["score"] - (x["raw"] / best if best > 0 else 0)) < 1e-9 for x in got.values()) and sorted(x["rank"] for x in got.values()) == list(range(1, 13))
 
 
+def test_bm25_sends_the_small_side_or_joins(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "the the")], "doc_id bigint, text string"))
+    few = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("q_id"), "text").unionByName(spark.createDataFrame([(-1, None), (-2, "zzzz"), (-3, "the the of")], "q_id bigint, text string"))
+    swap = lambda df, a, b: df.withColumnRenamed(a, b)
+    for queries, corpus in ((few, docs), (swap(docs, "doc_id", "q_id"), swap(few, "q_id", "doc_id"))):
+        for k in (3, None):
+            monkeypatch.setattr(R, "POSTINGS", 1_000_000)
+            sent = sorted((r["q_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in R.bm25(queries, corpus, k).collect())
+            monkeypatch.setattr(R, "POSTINGS", 0)
+            assert sent and sent == sorted((r["q_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in R.bm25(queries, corpus, k).collect())
+
+
 def test_holding(spark):
     docs = spark.createDataFrame([(1, "x y one two three four five six seven z"), (2, "one two three four five six"), (3, "hi there")], "doc_id bigint, text string")
     asked = spark.createDataFrame([(1, "one two three four five six seven"), (2, "hi"), (3, "one two three four five six eight nine")], "q_id bigint, text string")
