@@ -1,25 +1,30 @@
 """Content-addressed WARC archive.
 
-An archive is two tables in the shared folder.  ``payloads`` holds each distinct
-payload once, under its SHA-256.  ``records`` holds for every capture the exact
-header block of its WARC record (WARC/1.1 lines with CRLF) and the payload's
-address.  Reading verifies each stored payload once against its address, and
-joins the headers with the payloads to give back the original records.
+An archive is a folder of tables in the shared folder.  ``payloads`` holds each distinct
+payload once, under its SHA-256.  ``records`` holds for every capture the exact header
+block of its WARC record (WARC/1.1 lines with CRLF) and the payload's address.  Reading
+verifies each stored payload against its address and joins the headers with the payloads
+to build the original records; what the index says of a record is taken from its bytes.
 
 Of the captures of one payload of at least ``min_revisit_bytes`` that with the
 largest page id is the response, the others are revisits that refer to it.
 
 The holder of each digest is found by aggregating (digest, page_id) pairs; payloads
-move once, at most one copy of each from every task.
+move once, at most one copy of each from every task, and are stored in buckets by address,
+so that reading moves the headers to the payloads.  Captures of a payload that HEAVY or
+more pages share are dealt over several tasks, which get a copy of it each.
 
 Defined cases: null html is the empty payload; a null url gives an empty target
 line; a null page_id sorts below all others (if all ids of a payload are null, all
 of them are responses); repeated rows of the response's page are responses too,
-and their payload is still stored once; empty tables give empty archives.
+and their payload is still stored once; empty tables give empty archives; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +35,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fixed capture time: the tables carry none.
 CAPTURED = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
+#: Captures of a payload that one task may take; salts of the small join that finds the holders.
+HEAVY, SALTS = 1000, 8
 
 
 def _header(kind: Column) -> Column:
@@ -57,49 +64,69 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVI
     captures.select(
         "page_id", "url", "address", F.sha1("payload").alias("payload_digest"), F.octet_length("payload").cast("bigint").alias("payload_bytes")
     ).write.parquet(f"{path}/captures")
-    facts = spark.read.parquet(f"{path}/captures")
-    facts.groupBy("address").agg(F.max("page_id").alias("holder")).write.parquet(f"{path}/holders")
+    facts = spark.read.parquet(f"{path}/captures").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+    facts.groupBy("address").agg(F.max("page_id").alias("holder"), F.count("*").alias("captures")).write.parquet(f"{path}/holders")
+    holders = spark.read.parquet(f"{path}/holders").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     revisit = (F.col("payload_bytes") >= min_revisit_bytes) & F.coalesce(F.col("page_id") != F.col("holder"), F.col("holder").isNotNull())
-    facts.join(spark.read.parquet(f"{path}/holders"), "address").select(
-        "page_id", "address", F.encode(_header(F.when(revisit, "revisit").otherwise("response")), "UTF-8").alias("header")
+    facts.join(holders, ["address", "salt"]).select(
+        "page_id", "address", "captures", F.encode(_header(F.when(revisit, "revisit").otherwise("response")), "UTF-8").alias("header")
     ).write.parquet(f"{path}/records")
     # Every task keeps one copy of a payload before the shuffle, so a much repeated one stays small.
-    captures.groupBy("address").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"warc_{uuid.uuid4().hex}"
+    once = captures.groupBy("address").agg(F.first("payload").alias("payload"), F.count("*").alias("captures"))
+    once.write.format("parquet").bucketBy(buckets, "address").option("path", f"{path}/payloads").saveAsTable(table)
+    spark.sql(f"DROP TABLE {table}")  # its files stay: the archive is known by its path
+    spark.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{path}/layout")
     return path
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """(address, payload, payload_bytes, sha1) with every payload verified against its address."""
-    stored = spark.read.parquet(f"{path}/payloads")
-    checked = F.when(F.sha2("payload", 256) == F.col("address"), F.col("address")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("address"))))
-    return stored.select(checked.alias("address"), "payload", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("sha1"))
+    """(address, captures, payload), in buckets by address, with every payload verified against its address."""
+    buckets = spark.read.parquet(f"{path}/layout").first()["buckets"]
+    table = f"warc_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {table} (address STRING, payload BINARY, captures BIGINT) USING parquet CLUSTERED BY (address) INTO {buckets} BUCKETS LOCATION '{path}/payloads'")
+    stored = spark.table(table)
+    stored.schema  # noqa: B018  (resolved here, the name isn't needed any more)
+    spark.sql(f"DROP TABLE {table}")
+    return stored.select("address", "captures", F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("address")))).alias("payload"))
 
 
 def _field(name: str) -> Column:
     return F.regexp_extract(F.decode("header", "UTF-8"), rf"(?m)^{name}: ([^\r\n]*)", 1)
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Per record what its header and its verified payload say, without the payload."""
-    records = spark.read.parquet(f"{path}/records").select(
-        _field("WARC-Record-ID").alias("record_id"), _field("WARC-Type").alias("record_type"),
-        _field("WARC-Refers-To").alias("refers"), _field("WARC-Payload-Digest").alias("digest"), "address",
-    )
-    payloads = read_payloads(spark, path).select("address", "payload_bytes", "sha1")
-    number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '<urn:page:(.*)>', 1), '') as bigint)")
-    digest = F.when(F.col("digest") == F.concat(F.lit("sha1:"), F.col("sha1")), F.col("sha1")).otherwise(F.raise_error(F.lit("header and payload differ")))
-    return records.join(payloads, "address").select(
-        number("record_id").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", number("refers").alias("refers_to"),
-    )
-
-
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, record, payload): the exact record bytes, and the full payload of revisits too."""
+    """(page_id, header, record, payload): the exact record bytes, and the full payload of revisits too."""
     records = spark.read.parquet(f"{path}/records")
-    payloads = read_payloads(spark, path).select("address", "payload")
-    end = F.encode(F.lit(CRLF + CRLF), "UTF-8")
+    payloads = read_payloads(spark, path)
+    salts = F.ceil(F.col("captures") / HEAVY)
+    dealt = records.where(F.col("captures") > HEAVY).withColumn("salt", F.pmod(F.xxhash64("page_id", "header"), salts)).drop("captures")
+    copies = payloads.where(F.col("captures") > HEAVY).select("address", "payload", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"))
+    columns = ["page_id", "header", "payload"]
+    light = records.where(F.col("captures") <= HEAVY).join(payloads.where(F.col("captures") <= HEAVY).drop("captures"), "address").select(columns)
+    both = light.unionByName(dealt.join(copies, ["address", "salt"]).select(columns))
     body = F.when(_field("WARC-Type") == "revisit", F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload"))
-    return records.join(payloads, "address").select("page_id", F.concat(F.col("header"), body, end).alias("record"), "payload")
+    return both.select("page_id", "header", F.concat(F.col("header"), body, F.encode(F.lit(CRLF + CRLF), "UTF-8")).alias("record"), "payload")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, from its rebuilt bytes."""
+    built = reconstruct(spark, path)
+    body = F.expr(f"substring(record, octet_length(header) + 1, octet_length(record) - octet_length(header) - {2 * len(CRLF)})")
+    built = built.select(F.expr("substring(record, 1, octet_length(header))").alias("header"), body.alias("body"), "payload")
+    kind = _field("WARC-Type")
+    said = built.select(
+        _field("WARC-Record-ID").alias("record_id"), kind.alias("record_type"), _field("WARC-Refers-To").alias("refers"), _field("WARC-Payload-Digest").alias("digest"),
+        _field("Content-Length").cast("bigint").alias("length"), F.octet_length("body").cast("bigint").alias("body_bytes"),
+        F.when(kind == "revisit", F.col("payload")).otherwise(F.col("body")).alias("full"),
+    ).withColumn("sha1", F.sha1("full"))
+    number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '<urn:page:(.*)>', 1), '') as bigint)")
+    right = (F.col("digest") == F.concat(F.lit("sha1:"), F.col("sha1"))) & (F.col("length") == F.col("body_bytes"))
+    return said.select(
+        number("record_id").alias("page_id"), F.octet_length("full").cast("bigint").alias("payload_bytes"),
+        F.when(right, F.col("sha1")).otherwise(F.raise_error(F.lit("header and record differ"))).alias("payload_digest"), "record_type", number("refers").alias("refers_to"),
+    )
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:

@@ -269,6 +269,17 @@ def test_warc_edges(spark, tmp_path):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_of_long_and_much_shared_payloads(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HEAVY", 10)
+    long = "<p>é</p>" * 700_000
+    data = [(i, f"u{i}", "shared " * 200) for i in range(95)] + [(200 + i, f"v{i}", f"own {i} " * 200) for i in range(10)] + [(300, "w", long), (301, "w", long)]
+    got = Counter((r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in rows(warc.archive_round_trip(spark.createDataFrame(data, "page_id bigint, url string, html string"))))
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    want = Counter({("revisit", 94, 1400, sha("shared " * 200)): 94, ("response", None, 1400, sha("shared " * 200)): 1, ("revisit", 301, 6_300_000, sha(long)): 1, ("response", None, 6_300_000, sha(long)): 1})
+    want.update(("response", None, len(f"own {i} " * 200), sha(f"own {i} " * 200)) for i in range(10))
+    assert got == want
+
+
 # ---- HTML
 
 
