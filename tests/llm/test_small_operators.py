@@ -44,12 +44,69 @@ def check_shards(df, source, n_shards):
 
 def test_sharding(docs, edge, empty):
     got = check_shards(sharding.shard_documents(docs, 8), docs, 8)
+    check_optimum(got, docs, 8)
+    got = check_shards(sharding.shard_documents(docs, 40), docs, 40)
+    check_optimum(got, docs, 40)
+    check_shards(sharding.shard_documents(edge, 5), edge, 5)
+    assert sharding.shard_documents(empty, 5).count() == 0
+
+
+def check_optimum(got, source, n_shards):
+    """The largest shard of contiguous cuts is the least possible: all capacities, one group at a time."""
+    groups = Counter()
+    for r in source.select("text").collect():
+        groups[hashlib.sha256((r["text"] or "").encode()).hexdigest()] += len((r["text"] or "").encode()) + 16
+    total = sum(groups.values())
+    giants = [v for v in groups.values() if v * n_shards > total]
+    line = [v for _, v in sorted(groups.items()) if v * n_shards <= total]
+
+    def needed(capacity):
+        n, fill = 1, 0
+        for v in line:
+            if fill + v > capacity:
+                n, fill = n + 1, 0
+            fill += v
+        return n
+
+    low, high = max(line), sum(line)
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if needed(mid) <= n_shards - len(giants) else (mid + 1, high)
     sizes = Counter()
     for r in got:
         sizes[r["shard"]] += r["size"]
-    assert max(sizes.values()) <= sum(sizes.values()) / 8 + max(r["size"] for r in got) * 2
-    check_shards(sharding.shard_documents(edge, 5), edge, 5)
-    assert sharding.shard_documents(empty, 5).count() == 0
+    rest = Counter(sizes.values()) - Counter(giants)
+    assert sum(rest.values()) == len(sizes) - len(giants) and max(rest) == low
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 6), st.integers(0, 10**6), st.sampled_from([1, 3, 9]))
+def test_cells_hold_the_cuts_of_groups(shards, seed, spread):
+    """Splitting the cells that ``open_cells`` names, again and again, ends at the optimum of single groups."""
+    rng = random.Random(seed)
+    keys = sorted({rng.randrange(1 << 12) for _ in range(rng.randint(1, 200))})
+    groups = [(k, rng.randint(1, 10**spread)) for k in keys]
+
+    def made(bits, part, step):
+        out = Counter()
+        n = Counter()
+        for k, v in part:
+            out[k >> (12 - bits - step)] += v
+            n[k >> (12 - bits - step)] += 1
+        return [sharding.Cell(x, bits + step, out[x], n[x]) for x in out]
+
+    line = made(0, groups, 4)
+    line.sort(key=lambda c: c.prefix << (12 - c.bits))
+    while True:
+        high, found = sharding.open_cells(line, shards)
+        found = {i for i in found if line[i].bits < 12}
+        if not found:
+            break
+        finer = [x for i in found for x in made(line[i].bits, [(k, v) for k, v in groups if k >> (12 - line[i].bits) == line[i].prefix], 4)]
+        line = sorted([c for i, c in enumerate(line) if i not in found] + finer, key=lambda c: c.prefix << (12 - c.bits))
+    sizes = [v for _, v in groups]
+    cuts = sharding.minimax_cuts(sizes, shards)
+    assert high == max(sum(sizes[a:b]) for a, b in zip([0, *cuts], cuts, strict=False))
 
 
 def test_giant_group_stands_alone(spark):
