@@ -8,7 +8,9 @@ right keeping, since the last settled token boundary, the bytes read and the las
 token of each prefix.  A boundary is settled as soon as every way the input may go
 on (a token that is a strict prefix of a vocabulary entry is still open) passes
 through it; its tokens are emitted then, after a lookahead of at most the longest
-token.  States and arcs are made when first taken and kept in a bounded table.
+token.  States and arcs are made when first taken and kept in a table of MAX_ARCS arcs,
+which is emptied when it is full: every byte of every piece goes through it.  Pieces met
+lately keep their ids.
 
 Pieces (the matches of the split pattern) are encoded one by one; a piece that is
 itself a token is that token, as the rank format defines.
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .workspace import small_batches
 
-MAX_ARCS, MAX_PIECES, COLD = 150_000, 250_000, 48
+MAX_ARCS, MAX_PIECES = 600_000, 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -54,7 +56,7 @@ class Transducer:
     """Byte transducer of one vocabulary; arcs are determinised lazily.
 
     A state is (token before the settled boundary, bytes since, last token of each
-    prefix since).  It is held as the dict of its arcs, byte -> (dict of the target,
+    prefix since, places from which the rest is open).  It is held as the dict of its arcs, byte -> (dict of the target,
     ids settled), with the state itself under STATE and the ids that end the input
     there under END.
     """
@@ -64,22 +66,17 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int], max_arcs: int = MAX_ARCS) -> None:
         self.ranks, self.max_arcs = ranks, max_arcs
-        self.longest = max(map(len, ranks))
         #: What bytes are: OPEN, a strict prefix of a token; TOKEN, a token; both.
         self.kind = dict.fromkeys(ranks, self.TOKEN)
         for t in ranks:
             for i in range(1, len(t)):
                 self.kind[t[:i]] = self.OPEN | (t[:i] in ranks and self.TOKEN)
-        #: Length of the longest token by its last two bytes.
-        self.reach: dict[bytes, int] = {}
-        for t in ranks:
-            self.reach[t[-2:]] = max(len(t), self.reach.get(t[-2:], 2))
         self._may: dict[tuple[bytes, bytes], bool] = {}
         self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._edge: dict[tuple[bytes, int], list[tuple[bytes, float]]] = {}
         self.states: dict[tuple[bytes, bytes], dict] = {}  # by (before, pending): they fix the last tokens
         self.n_arcs = 0
-        self.start = self._at((b"", b"", ()))
+        self.start = self._at((b"", b"", (), ()))
 
     def _at(self, state: tuple) -> dict:
         known = self.states.get(state[:2])
@@ -139,56 +136,49 @@ class Transducer:
             self._may[left, right] = known
         return known
 
-    def last_token(self, text: bytes, n: int, before: bytes, last: list[bytes] | tuple[bytes, ...]) -> bytes:
-        """The last token of text[:n]: the longest that fits its left neighbour."""
-        kind = self.kind
-        for start in range(max(0, n - self.reach.get(text[max(0, n - 2) : n], 1)), n):
-            token = text[start:n]
-            what = kind.get(token)
-            if what is None or not what & 2:
-                continue
-            if n - start > 1 and self.halves(token) is None:  # no merges lead to it
-                kind[token] = what & 1
-                continue
-            left = last[start - 1] if start else before
-            if not left:
-                return token
-            fits = self._may.get((left, token))
-            if fits is None:
-                fits = self.may_follow(left, token)
-            if fits:
-                return token
-        raise ValueError("the vocabulary lacks single bytes")
+    def _fits(self, token: bytes, left: bytes) -> bool:
+        """Whether ``token`` is one that merges lead to and may stand after ``left``."""
+        if len(token) > 1 and self.halves(token) is None:
+            self.kind[token] &= self.OPEN
+            return False
+        if not left:
+            return True
+        known = self._may.get((left, token))
+        return self.may_follow(left, token) if known is None else known
 
     def step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
-        """The state after one more byte, and the ids settled by it."""
-        before, pending, last = state
-        pending += bytes((byte,))
+        """The state after one more byte, and the ids settled by it.
+
+        The last token is the longest that fits its left neighbour; it starts where the
+        bytes so far were open.
+        """
+        before, pending, last, starts = state
         n = len(pending)
-        last += (self.last_token(pending, n, before, last),)
+        pending += bytes((byte,))
+        kind, token, still = self.kind, None, []
+        for at in (*starts, n):
+            part = pending[at:] if at else pending
+            what = kind.get(part)
+            if what is None:
+                continue
+            if what & 1:
+                still.append(at)
+            if token is None and what & 2 and self._fits(part, last[at - 1] if at else before):
+                token = part
+        if token is None:
+            raise ValueError("the vocabulary lacks single bytes")
+        last += (token,)
         # Later tokens start at the end or where the rest is open: settled is where their ways back meet.
-        settled = n
-        kind = self.kind
-        for at in range(max(0, n - self.longest), n):
-            if kind.get(pending[at:], 0) & 1:
-                while at != settled:
-                    if at > settled:
-                        at -= len(last[at - 1])
-                    else:
-                        settled -= len(last[settled - 1])
-                if not settled:
-                    return (before, pending, last), ()
-        ids = self._back(last, settled)
-        return (last[settled - 1], pending[settled:], last[settled:]), tuple(ids)
-
-    def run(self, state: tuple, rest: bytes) -> list[int]:
-        """The ids of what is pending and of ``rest``, to the end of the input, without new states."""
-        before, pending, last = state
-        text = pending + rest
-        last = list(last)
-        for n in range(len(pending) + 1, len(text) + 1):
-            last.append(self.last_token(text, n, before, last))
-        return self._back(last, len(text))
+        settled = n + 1
+        for at in still:
+            while at != settled:
+                if at > settled:
+                    at -= len(last[at - 1])
+                else:
+                    settled -= len(last[settled - 1])
+            if not settled:
+                return (before, pending, last, tuple(still)), ()
+        return (last[settled - 1], pending[settled:], last[settled:], tuple(at - settled for at in still)), tuple(self._back(last, settled))
 
     def _back(self, last: tuple | list, at: int) -> list[int]:
         out = []
@@ -203,21 +193,16 @@ class Transducer:
             return [whole]
         out: list[int] = []
         arcs = self.start
-        for at, byte in enumerate(piece):
+        for byte in piece:
             arc = arcs.get(byte)
             if arc is None:
-                state = arcs[self.STATE]
-                if self.n_arcs < self.max_arcs:  # one arc for each piece that leaves the table
-                    target, ids = self.step(state, byte)
-                    arcs[byte] = (self._at(target), ids)
-                    self.n_arcs += 1
-                    out += ids
-                    state, at = target, at + 1
-                while len(piece) - at > COLD:  # a long rest is settled byte by byte, keeping the state only
-                    state, ids = self.step(state, piece[at])
-                    out += ids
-                    at += 1
-                return out + self.run(state, piece[at:])
+                target, ids = self.step(arcs[self.STATE], byte)
+                if self.n_arcs >= self.max_arcs:  # the table is full: it is made anew from here on
+                    self.states.clear()
+                    self.start = self._at((b"", b"", (), ()))
+                    self.n_arcs = 0
+                arc = arcs[byte] = (self._at(target), ids)
+                self.n_arcs += 1
             arcs, ids = arc
             if ids:
                 out += ids
