@@ -28,6 +28,7 @@ columns are ignored.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import zlib
 from array import array
@@ -62,12 +63,33 @@ def _byte_alphabet() -> dict[int, str]:
 _ALPHABET = _byte_alphabet()
 
 
+# The pipeline of vocabularies that lower-case and take runs of letters, single digits and runs of other marks as words.
+_WORD_PIPELINE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None, "truncation": None, "padding": None,
+}
+
+
+def by_words(description: str) -> bool:
+    """Whether a tokenizer (its JSON) gives a text the ids of its white-space words one after another, as _WORD_PIPELINE does."""
+    d = json.loads(description)
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and not any(map(str.isspace, t["content"])) for t in d["added_tokens"])
+    return plain and d["model"]["type"] == "BPE" and not d["model"]["dropout"] and all(d[k] == v for k, v in _WORD_PIPELINE.items())
+
+
 class WordTokenizer(dict):
-    """Ids by the tokenizers library, word by word: word -> its ids, packed in 2 bytes each where all fit, else 4.
+    """Ids by the tokenizers library: word -> its ids, packed in 2 bytes each where all fit, else 4.
 
-    The vocabulary drops white space and no merge crosses it, so the ids of a text are
-    those of its white-space words one after another.  Words met lately are kept, and
-    those met before them until the next change.  With ``added`` the vocabulary's added
+    Where the vocabulary's pipeline is known to part at white space (``by_words``), texts are
+    encoded word by word: words met lately are kept, and those met before them until the next
+    change.  With any other pipeline the library encodes whole texts.  With ``added`` the vocabulary's added
     tokens, such as <|endoftext|>, are matched as the library does by default.
     """
 
@@ -78,6 +100,7 @@ class WordTokenizer(dict):
         super().__init__()
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = not added
+        self.word_by_word = by_words(self.model.to_str())
         self.merges = self.model.model.tokenize
         self.base = self.model.get_vocab_size(with_added_tokens=True)
         self.kind = "H" if self.base <= 1 << 16 else "I"
@@ -114,6 +137,8 @@ class WordTokenizer(dict):
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each UTF-8 text."""
+        if not self.word_by_word:
+            return [np.array(e.ids, self.kind) for e in self.model.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)]
         if len(self) >= _CACHED_WORDS:
             self.older = dict(self)  # those before are forgotten
             self.clear()

@@ -155,6 +155,21 @@ def test_shards_match_added_tokens_as_the_library_does(spark, tmp_path):
         assert got[i] == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_shards_of_any_vocabulary(spark, docs, tmp_path, name):
+    """Vocabularies whose pipeline isn't known are encoded by the library, whole text by whole text."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    model = Tokenizer.from_file(path)
+    assert repair.by_words(model.to_str()) == name.startswith("word")
+    some = docs.limit(40).cache()
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in repair.read_token_index(spark, repair.write_token_shards(some, path, f"file://{tmp_path}/any")).collect()}
+    for r in some.collect():
+        ids = [*model.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        assert got[r["doc_id"]] == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+
+
 def test_no_frequent_pair_is_left():
     rng = np.random.default_rng(5)
     ids = np.concatenate([np.tile(rng.integers(0, 500, 300), 20) for _ in range(8)]).astype("<u4")
