@@ -1,20 +1,26 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates.
 
-A paragraph (a line of a text) is read as a sparse vector of hashed word unigrams and
-bigrams.  A multinomial logistic regression over the licence families and "unknown" is
-fitted on the driver, on a bounded sample: variations of the templates below, sentences
-that only speak of licences, and at most ``sample_rows`` paragraphs of the corpus as
-unknown ones.  A held-out part of the sample calibrates it: a temperature that
+A text is cut into units, its sentences and lines, and runs of 1 to 16 units of one
+paragraph (lines without a blank one between) are read as sparse vectors of hashed word
+unigrams and bigrams, so that a statement is found inside a long line as well as over
+several wrapped ones.  A multinomial logistic regression over the licence families and
+"unknown" is fitted on the driver, on a bounded sample: variations of the templates below,
+sentences that only speak of licences, and the ``sample_rows`` lines of the corpus with
+the smallest hashes as unknown ones (without those that share half of a template or use a
+word of licences).  A held-out fifth of the sample calibrates it: a temperature that
 minimises the held-out loss, and the least probability at which no more than one in a
 thousand held-out unknown paragraphs is taken for a licence.
 
-Every paragraph of every text is classified.  A prediction counts as confirmed if 0.8
-or more of the five-word shingles of one of the family's templates stand in the paragraph.
+Every run of every text is classified; its vector is the sum of its units' vectors.  A
+prediction is confirmed if SIMILARITY or more of the five-word shingles of one of the
+family's templates (of the whole template, if that is shorter) stand in the run.  Of
+overlapping predictions the confirmed one of the largest similarity stays, then the
+shortest run, then the first; of unconfirmed ones the most probable.
 
-Defined cases: a null or blank text has no paragraphs and no licence; paragraphs are
-read whole, however long; equal rows give equal results; ties between families go to the
-first by name; an empty corpus is classified by the templates alone; ids may be null or
-repeat; extra columns are ignored.
+Defined cases: a null or blank text has no paragraphs and no licence; texts are read
+whole, however long; equal rows give equal results; ties between families go to the first
+by name; an empty corpus is classified by the templates alone; ids may be null or repeat;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,34 +39,65 @@ from .workspace import small_batches
 UNKNOWN = "unknown"
 SHINGLE, SIMILARITY = 5, 0.8
 BUCKETS = 1 << 14
-
-#: Usual wordings of licence statements.
+RUNS = (1, 2, 3, 4, 6, 8, 12, 16)
+
+# How the licences are named, and usual wordings of notices and texts.
+NAMES = {
+    "agpl-3.0": ["the GNU Affero General Public License, version 3", "the GNU AGPL version 3 or later", "AGPL-3.0"],
+    "apache-2.0": ["the Apache License, Version 2.0", "the Apache 2.0 license", "Apache-2.0"],
+    "bsd-3-clause": ["the BSD 3-Clause License", "the 3-clause BSD license", "BSD-3-Clause"],
+    "cc-by-4.0": ["CC BY 4.0", "a Creative Commons Attribution 4.0 International License", "CC-BY-4.0"],
+    "cc-by-nc-4.0": ["CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0"],
+    "cc-by-sa-4.0": ["CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"],
+    "cc0-1.0": ["CC0 1.0", "the CC0 1.0 Universal public domain dedication", "CC0-1.0"],
+    "epl-2.0": ["the Eclipse Public License 2.0", "the Eclipse Public License, version 2", "EPL-2.0"],
+    "gpl-2.0": ["the GNU General Public License, version 2", "the GNU GPL version 2", "GPL-2.0"],
+    "gpl-3.0": ["the GNU General Public License, version 3", "the GNU GPL version 3 or later", "GPL-3.0"],
+    "isc": ["the ISC License", "the terms of the ISC license", "ISC"],
+    "lgpl-3.0": ["the GNU Lesser General Public License, version 3", "the GNU LGPL version 3", "LGPL-3.0"],
+    "mit": ["the MIT License", "the terms of the MIT license", "MIT"],
+    "mpl-2.0": ["the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "MPL-2.0"],
+    "proprietary": [],
+    "unlicense": ["the Unlicense", "the terms of the Unlicense", "Unlicense"],
+}
+STATEMENTS = ["Licensed under {}.", "Released under {}.", "This work is licensed under {}.", "This project is licensed under {}.", "This program is licensed under {}.", "Distributed under {}."]
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+BODIES = {
+    "agpl-3.0": [_GNU.format("Affero General", 3)], "gpl-2.0": [_GNU.format("General", 2)], "gpl-3.0": [_GNU.format("General", 3)], "lgpl-3.0": [_GNU.format("Lesser General", 3)],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
+    "bsd-3-clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
+    "cc0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "epl-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "proprietary": ["All rights reserved.", "All rights reserved. No part of this work may be reproduced without written permission.", "No part of this publication may be reproduced or transmitted in any form without the prior written permission of the publisher."],
+    "unlicense": ["This is free and unencumbered software released into the public domain."],
+}
 TEMPLATES = {
-    "agpl-3.0": ["This program is licensed under the GNU Affero General Public License, version 3.", "Licensed under the GNU AGPL version 3 or later."],
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "This project is released under the Apache 2.0 license."],
-    "bsd-3-clause": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
-    "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "gpl-2.0": ["This program is licensed under the GNU General Public License, version 2.", "Licensed under the GNU GPL version 2."],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU GPL version 3 or later."],
-    "lgpl-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", "Licensed under the GNU LGPL version 3."],
-    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "This project is licensed under the MIT License."],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."],
-    "proprietary": ["All rights reserved. No part of this work may be reproduced without written permission."],
+    family: [
+        *(s.format(n) for n in names[:2] for s in STATEMENTS), *(f"SPDX-License-Identifier: {n}" for n in names[2:]), *BODIES.get(family, []),
+    ]
+    for family, names in NAMES.items()
 }
 #: Sentences with the words of licences that license nothing.
 TALK = [
     "A driving license must be shown at the desk.", "The license fee is due on the first day of the term.", "He was licensed to practise medicine in two states.",
     "Version 2 of the report was released under pressure.", "The general public was not admitted.", "Permission to leave was granted by the court.",
     "Under the terms of the lease the tenant pays.", "The committee released version 3 of the plan.", "All rights of way are shown on the map.", "The work is under way and free of charge.",
+    "The parties shall agree on a license before the work is distributed.", "She reserved all the rooms for the guests.", "A copy of the notice is kept with the files of the program.",
 ]
 FILLER = "notice see file header project copy holder author text page more details here also note year name site data set part code home".split()
+#: Starts of words that keep a corpus line out of the unknown sample.
+MARKS = (b"licens", b"licenc", b"copyright", b"spdx", b"gpl", b"reserved")
 
 _KEEP = bytes(c if chr(c).isalnum() or c == 10 or c >= 128 else 32 for c in range(128)) + bytes(range(128, 256))
 _FOLD = bytes(_KEEP[c] | 32 if 65 <= c <= 90 else _KEEP[c] for c in range(256))
 
 
+_CUT = _FOLD[:1] + b"\x01" + _FOLD[2:]  # keeps the mark between sentences
+
+
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8").translate(_FOLD).split()
 
@@ -90,11 +127,16 @@ class Classifier:
     temperature: float
     least: float
 
-    def probabilities(self, lines: list[list[bytes]]) -> np.ndarray:
+    def sums(self, lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """(summed weights, number of features) of each line."""
         buckets, starts = features(lines)
-        total = np.add.reduceat(self.weights[buckets], starts, axis=0)
-        size = np.diff(np.r_[starts, len(buckets)])[:, None]
-        return _softmax((total / np.sqrt(size) + self.bias) / self.temperature)
+        return np.add.reduceat(self.weights[buckets], starts, axis=0), np.diff(np.r_[starts, len(buckets)])
+
+    def of_sums(self, total: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return _softmax((total / np.sqrt(size)[:, None] + self.bias) / self.temperature)
+
+    def probabilities(self, lines: list[list[bytes]]) -> np.ndarray:
+        return self.of_sums(*self.sums(lines))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -102,7 +144,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def training_lines(seed: int = 7, copies: int = 60) -> tuple[list[list[bytes]], list[str]]:
+def training_lines(seed: int = 7, copies: int = 16) -> tuple[list[list[bytes]], list[str]]:
     """Variations of the templates, and of sentences that license nothing."""
     rng = np.random.default_rng(seed)
     lines, labels = [], []
@@ -111,7 +153,7 @@ def training_lines(seed: int = 7, copies: int = 60) -> tuple[list[list[bytes]],
     for family, texts in [*TEMPLATES.items(), (UNKNOWN, TALK)]:
         for text in texts:
             core = words_of(text)
-            for _ in range(copies):
+            for _ in range(copies * (6 if family == UNKNOWN else 3 if len(texts) < 4 else 1)):
                 words = list(core)
                 if len(words) > 8 and rng.random() < 0.3:
                     del words[int(rng.integers(len(words)))]
@@ -119,22 +161,24 @@ def training_lines(seed: int = 7, copies: int = 60) -> tuple[list[list[bytes]],
                 extra = talk[int(rng.integers(len(talk)))] if rng.random() < 0.2 else []
                 lines.append(around[0] + words + around[1] + extra)
                 labels.append(family)
-    for _ in range(copies * 4):
+    for _ in range(copies * 30):
         pool = fill + [w for t in talk for w in t]
         lines.append([pool[int(i)] for i in rng.integers(len(pool), size=int(rng.integers(1, 30)))])
         labels.append(UNKNOWN)
     return lines, labels
 
 
-def fit(corpus_lines: list[str], seed: int = 7, steps: int = 120) -> Classifier:
+def fit(corpus_lines: list[str], seed: int = 7, steps: int = 60) -> Classifier:
     """Fit and calibrate on the templates' variations and the sampled paragraphs."""
     lines, labels = training_lines(seed)
-    known = {family: [_shingles(words_of(t)) for t in texts] for family, texts in TEMPLATES.items()}
+    known = [_shingles(words_of(t)) for texts in TEMPLATES.values() for t in texts]
     for text in corpus_lines:
-        words = words_of(text)
-        if words and not any(confirmed(words, templates) >= 0.5 for templates in known.values()):
-            lines.append(words)
-            labels.append(UNKNOWN)
+        units = units_of(text)[0]
+        whole = [w for u in units for w in u]
+        for words in [whole, *units[:: max(1, len(units) // 4)]] if len(units) > 1 else units:  # the line, and some of its sentences
+            if not any(w.startswith(MARKS) for w in words) and confirmed(words, known) < 0.5:
+                lines.append(words)
+                labels.append(UNKNOWN)
     families = (*TEMPLATES, UNKNOWN)
     y = np.array([families.index(x) for x in labels])
     rng = np.random.default_rng(seed)
@@ -142,20 +186,20 @@ def fit(corpus_lines: list[str], seed: int = 7, steps: int = 120) -> Classifier:
     buckets, starts = features(lines)
     size = np.diff(np.r_[starts, len(buckets)])
     row = np.repeat(np.arange(len(lines)), size)
-    value = 1 / np.sqrt(size[row])
-    w, b = np.zeros((BUCKETS, len(families))), np.zeros(len(families))
+    met, column = np.unique(buckets, return_inverse=True)  # buckets that no line has keep the weight 0
+    value = (1 / np.sqrt(size[row])).astype(np.float32)
+    w, b = np.zeros((len(met), len(families)), np.float32), np.zeros(len(families))
     truth = np.eye(len(families))[y]
     balance = (1 / np.bincount(y[~held], minlength=len(families)).clip(1))[y] * (~held)
     balance /= balance.sum()
     m, v = np.zeros_like(w), np.zeros_like(w)
 
     def logits() -> np.ndarray:
-        return np.add.reduceat(w[buckets] * value[:, None], starts, axis=0) + b
+        return np.add.reduceat(w[column] * value[:, None], starts, axis=0) + b
 
     for t in range(1, steps + 1):
         wrong = (_softmax(logits()) - truth) * balance[:, None]
-        g = np.zeros_like(w)
-        np.add.at(g, buckets, wrong[row] * value[:, None])
+        g = np.stack([np.bincount(column, wrong[row, f] * value, len(met)) for f in range(len(families))], 1).astype(np.float32)
         g += 1e-5 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) * (g != 0)
@@ -165,18 +209,80 @@ def fit(corpus_lines: list[str], seed: int = 7, steps: int = 120) -> Classifier:
     temperature = min(losses, key=lambda t: losses[t])
     p = _softmax(z / temperature)[:, :-1].max(1)[y[held] == len(families) - 1]
     least = max(0.5, float(np.quantile(p, 0.999, method="higher"))) if len(p) else 0.5
-    return Classifier(families, w.astype(np.float32), b.astype(np.float32), temperature, min(least, 0.99))
+    weights = np.zeros((BUCKETS, len(families)), np.float32)
+    weights[met] = w
+    return Classifier(families, weights, b.astype(np.float32), temperature, min(least, 0.99))
 
 
-def _shingles(words: list[bytes]) -> set[bytes]:
-    size = min(SHINGLE, len(words))
+def _shingles(words: list[bytes], most: int = SHINGLE) -> set[bytes]:
+    size = min(most, len(words))
     return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
 
 
 def confirmed(words: list[bytes], templates: list[set[bytes]]) -> float:
     """Largest share of a template's shingles that stand in the paragraph."""
-    own = _shingles(words)
-    return max((len(t & own) / len(t) for t in templates if t), default=0.0)
+    own: dict[int, set[bytes]] = {}
+    best = 0.0
+    for t in templates:
+        if t:
+            size = next(iter(t)).count(b" ") + 1  # all words of a template shorter than a shingle
+            if size not in own:
+                own[size] = _shingles(words, size)
+            best = max(best, len(t & own[size]) / len(t))
+    return best
+
+
+def units_of(text: str | None) -> tuple[list[list[bytes]], list[int], list[int], int]:
+    """(words, line number, paragraph number of each sentence or line, number of paragraphs)."""
+    raw = (text or "").encode("utf-8").replace(b"\x01", b" ")
+    for mark in (b". ", b"! ", b"? "):
+        raw = raw.replace(mark, b"\x01")
+    units, line_of, paragraph_of, paragraph, inside = [], [], [], -1, False
+    for n, line in enumerate(raw.translate(_CUT).split(b"\n")):
+        any_words = False
+        for part in line.split(b"\x01"):
+            words = part.split()
+            if words:
+                if not inside:
+                    paragraph, inside = paragraph + 1, True
+                any_words = True
+                units.append(words)
+                line_of.append(n)
+                paragraph_of.append(paragraph)
+        inside = any_words
+    return units, line_of, paragraph_of, paragraph + 1
+
+
+def predictions(c: Classifier, units: list[list[bytes]], group: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(start, stop, family, probability) of the runs of units of one group that are taken for a licence."""
+    total, size = c.sums(units)
+    total, size = np.r_[np.zeros((1, total.shape[1])), np.cumsum(total, 0, dtype=np.float64)], np.r_[0, np.cumsum(size)]
+    out = []
+    for n in RUNS:
+        if n > len(units):
+            break
+        start = np.flatnonzero(group[: len(group) - n + 1] == group[n - 1 :])
+        p = c.of_sums(total[start + n] - total[start], size[start + n] - size[start])
+        best = p[:, :-1].argmax(1)
+        top = p[np.arange(len(start)), best]
+        hit = np.flatnonzero((top >= c.least) & (top > p[:, -1]))
+        out += [(int(start[j]), int(start[j]) + n, int(best[j]), float(top[j])) for j in hit]
+    return out
+
+
+def chosen(c: Classifier, units: list[list[bytes]], found: list[tuple[int, int, int, float]], templates: list[list[set[bytes]]]) -> list[tuple[int, int, float, float]]:
+    """(first unit, family, probability, similarity) of predictions that don't overlap."""
+    scored = []
+    for start, stop, family, p in found:
+        share = confirmed([w for u in units[start:stop] for w in u], templates[family])
+        scored.append(((share < SIMILARITY, -share if share >= SIMILARITY else 0.0, stop - start if share >= SIMILARITY else 0, -p, start, stop), start, stop, family, p, share))
+    taken: set[int] = set()
+    out = []
+    for _, start, stop, family, p, share in sorted(scored):
+        if not any(i in taken for i in range(start, stop)):
+            taken.update(range(start, stop))
+            out.append((start, family, p, share))
+    return sorted(out)
 
 
 def _scan(model):
@@ -186,23 +292,40 @@ def _scan(model):
         for b in batches:
             hits: list[list[dict]] = [[] for _ in range(len(b))]
             counts = [0] * len(b)
-            lines, where = [], []
+            units: list[list[bytes]] = []
+            line_of: list[int] = []
+            group: list[int] = []
+            ends: list[int] = []  # units up to the end of each text held
+            first = 0
+
+            def settle() -> None:
+                if units:
+                    found: dict[int, list] = {}
+                    for x in predictions(c, units, np.array(group)):
+                        found.setdefault(x[0], []).append(x)
+                    start = 0
+                    for i, stop in enumerate(ends, first):
+                        own = [x for at in range(start, stop) for x in found.get(at, ())]
+                        if own:
+                            hits[i] = [
+                                {"paragraph": line_of[at], "family": c.families[f], "probability": round(p, 4), "similarity": round(s, 4), "confirmed": s >= SIMILARITY}
+                                for at, f, p, s in chosen(c, units, own, templates)
+                            ]
+                        start = stop
+                for x in (units, line_of, group, ends):
+                    x.clear()
+
             for i, text in enumerate(b.column(1).to_pylist()):
-                for n, line in enumerate((text or "").encode("utf-8").translate(_FOLD).split(b"\n")):
-                    words = line.split()
-                    if words:
-                        counts[i] += 1
-                        lines.append(words)
-                        where.append((i, n))
-            for at in range(0, len(lines), 20_000):
-                part = lines[at : at + 20_000]
-                p = c.probabilities(part)
-                best = p[:, :-1].argmax(1)
-                top = p[np.arange(len(part)), best]
-                for j in np.flatnonzero((top >= c.least) & (top > p[:, -1])):
-                    i, n = where[at + int(j)]
-                    share = confirmed(part[int(j)], templates[int(best[j])])
-                    hits[i].append({"paragraph": n, "family": c.families[int(best[j])], "probability": round(float(top[j]), 4), "similarity": round(share, 4), "confirmed": share >= SIMILARITY})
+                own, lines, paragraphs, counts[i] = units_of(text)
+                base = group[-1] + 1 if group else 0
+                units += own
+                line_of += lines
+                group += [base + x for x in paragraphs]
+                ends.append(len(units))
+                if len(units) >= 20_000:
+                    settle()
+                    first = i + 1
+            settle()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(hits, _HITS)], ["doc_id", "n_paragraphs", "hits"])
 
     return run
@@ -211,17 +334,16 @@ def _scan(model):
 _HITS = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())]))
 
 
-def train(docs: DataFrame, sample_rows: int = 4000, sample_docs: int = 400) -> Classifier:
-    """Fit on at most ``sample_rows`` paragraphs of ``sample_docs`` documents, chosen by a hash of their id."""
-    chosen = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample_docs)
-    ids = [r["doc_id"] for r in chosen.collect() if r["doc_id"] is not None]
-    rows = docs.where(F.col("doc_id").isin(ids)).select(F.explode(F.slice(F.split("text", "\n"), 1, 50)).alias("line")).limit(sample_rows).collect() if ids else []
-    return fit(sorted(r["line"] for r in rows))
+def train(docs: DataFrame, sample_rows: int = 1500) -> Classifier:
+    """Fit on the templates and the ``sample_rows`` non-blank lines of ``docs`` with the smallest hashes of (id, line number, line)."""
+    lines = docs.select(F.col("doc_id").cast("string").alias("id"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
+    rows = lines.select("line", F.xxhash64("id", "pos", "line").alias("h")).orderBy("h", "line").limit(sample_rows).collect()
+    return fit([r["line"] for r in rows])
 
 
-def scan_licenses(docs: DataFrame, sample_rows: int = 4000) -> DataFrame:
+def scan_licenses(docs: DataFrame, sample_rows: int = 1500) -> DataFrame:
     """doc_id, n_paragraphs, n_predicted, n_confirmed, family (of the first confirmed paragraph,
-    else null), families (sorted), hits (paragraph, family, probability, similarity, confirmed)."""
+    else null), families (sorted), hits (paragraph: the number of its first line; family, probability, similarity, confirmed)."""
     spark = docs.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(train(docs, sample_rows))  # BUCKETS x families weights

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -286,16 +287,84 @@ def test_classifier_holds_out():
     assert np.mean([g == licenses.UNKNOWN for g in unknown]) > 0.98
 
 
-def test_license_scan(docs, edge, empty, spark):
-    planted = {"Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0", "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0"}
+PLANTED = {
+    "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0",
+    "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0", "All rights reserved.": "proprietary",
+}
+
+
+def test_license_scan(docs, empty):
     got = {r["doc_id"]: r for r in rows(licenses.scan_licenses(docs))}
     for r in docs.collect():
-        want = [planted[x] for x in r["text"].split("\n") if x in planted]
+        want = [PLANTED[x] for x in r["text"].split("\n") if x in PLANTED]
         assert got[r["doc_id"]]["families"] == sorted(set(want))
-    assert licenses.scan_licenses(edge).count() == edge.count()
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def brute_scan(model, text):
+    """Every run of sentences scored by plain loops: (first line, family, confirmed) of what doesn't overlap."""
+    mask = (1 << 64) - 1
+    code = lambda w: xxhash.xxh3_64_intdigest(w)
+    units, paragraph = [], 0
+    for n, line in enumerate((text or "").split("\n")):
+        parts = [licenses.words_of(x) for x in re.split(r"[.!?] ", line)]
+        paragraph += not any(parts)
+        units += [(w, n, paragraph) for w in parts if w]
+    found = []
+    for n in licenses.RUNS:
+        for at in range(len(units) - n + 1):
+            part = units[at : at + n]
+            if part[0][2] != part[-1][2]:
+                continue
+            total, size = np.zeros(len(model.families)), 0
+            for words, _, _ in part:
+                for w in words:
+                    total += model.weights[code(w) >> 50]
+                for x, y in zip(words, words[1:], strict=False):
+                    total += model.weights[((code(x) * 0x9E3779B97F4A7C15 + code(y) * 0xC2B2AE3D27D4EB4F) & mask) >> 50]
+                size += 2 * len(words) - 1
+            z = (total / size**0.5 + model.bias) / model.temperature
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            best = int(p[:-1].argmax())
+            if p[best] >= model.least and p[best] > p[-1]:
+                words = [w for u, _, _ in part for w in u]
+                share = 0.0
+                for t in map(licenses.words_of, licenses.TEMPLATES[model.families[best]]):
+                    k = min(5, len(t))
+                    runs = lambda x, k=k: {tuple(x[i : i + k]) for i in range(len(x) - k + 1)}
+                    share = max(share, len(runs(t) & runs(words)) / len(runs(t)))
+                sure = share >= 0.8
+                found.append(((not sure, -share if sure else 0, n if sure else 0, -p[best], at), range(at, at + n), part[0][1], model.families[best], sure))
+    taken, out = set(), []
+    for _, span, line, family, sure in sorted(found, key=lambda x: x[0]):
+        if not taken.intersection(span):
+            taken.update(span)
+            out.append((line, family, sure, span[0]))
+    return [x[:3] for x in sorted(out, key=lambda x: x[3])]
+
+
+def test_license_scan_by_brute_force(spark, docs, edge):
+    wrapped = ["Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal\nin the Software without restriction, and so on", "x\n\nReleased under\n\nthe MIT License.", "Released under\nthe MIT License. " + "More words. " * 3000]
+    extra = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(wrapped)], "doc_id bigint, text string")
+    some = docs.where("length(text) < 3000").orderBy("doc_id").limit(25).select("doc_id", "text").unionByName(extra).unionByName(edge.where("length(text) < 60000 or text is null").select("doc_id", "text"))
+    model = licenses.train(some)
+    again = licenses.train(some.repartition(7))
+    assert (model.weights == again.weights).all() and model.least == again.least
+    got = Counter((r["doc_id"], tuple((h["paragraph"], h["family"], h["confirmed"]) for h in r["hits"])) for r in rows(licenses.scan_licenses(some)))
+    assert got == Counter((r["doc_id"], tuple(brute_scan(model, r["text"]))) for r in some.collect())
+    by_id = {r["doc_id"]: r["families"] for r in rows(licenses.scan_licenses(some))}
+    assert by_id[1000] == ["mit"] and by_id[1001] == [] and by_id[1002] == ["mit"]
+
+
+def test_license_wordings():
+    model = licenses.fit([])
+    templates = [[licenses._shingles(licenses.words_of(t)) for t in licenses.TEMPLATES.get(f, [])] for f in model.families]
+    for text, want in {"# SPDX-License-Identifier: MIT": "mit", "Copyright 2020 Someone. All rights reserved.": "proprietary", "Words here. This package is licensed under the MIT License. And more words.": "mit", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:": "bsd-3-clause", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.": "gpl-3.0"}.items():
+        units, _, group, _ = licenses.units_of(text)
+        found = licenses.chosen(model, units, licenses.predictions(model, units, np.array(group)), templates)
+        assert [model.families[f] for _, f, _, s in found if s >= 0.8] == [want], text
+
+
 # ---- WARC
 
 
