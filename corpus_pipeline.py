@@ -14,6 +14,7 @@ from lexmill.llm.neardup import drop_near_duplicates
 from lexmill.llm.quality import quality_filter
 from lexmill.llm.queries import BLOCK_ROWS, BYTE_BPE, SHARES
 from lexmill.llm.workspace import fresh_path, read_table
+from lexmill.session import drop_scratch, scratch_mark
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage.  Once a stage's table is written, what led to it is deleted."""
     docs = read_table(spark, sf_dir, "documents")
+    mark = scratch_mark()
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        drop_scratch(spark, mark, keep=(path,))
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

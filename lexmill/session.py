@@ -36,13 +36,41 @@ def file_status(spark: SparkSession, path: str):
     return fs.getFileStatus(at) if fs.exists(at) else None
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder that the cluster names, or in a temporary one where it names none."""
+    """A new folder name in the shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder is made and set for the session, but only in
+    local mode: executors of a cluster don't see the driver's own folders.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lexmill-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def scratch_mark() -> int:
+    """Where the list of working tables stands now, for ``drop_scratch``."""
+    return len(_made)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the working tables made since the mark ``since``, but those in ``keep``.
+
+    DataFrames that still read them can't be used afterwards, so results are written first.
+    """
+    for path in [p for p in _made[since:] if p not in keep]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _made.remove(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
