@@ -6,7 +6,8 @@ block.  After a block the rest of a product is at most the product of the norms
 that remain in the dimensions still to come (remaining mass), which gives every
 candidate an upper and a lower bound; candidates whose upper bound is under the
 k-th best lower bound are dropped, and the survivors' columns are compacted before
-the next block.  What is left at the end has exact scores.
+the next block.  What is left at the end has exact scores.  A task takes its candidates
+in chunks, and the k-th best score of the chunks so far bounds the next ones too.
 
 Components are integers (floor(64 * x) by default).  Products are exact in
 float64 while sums stay under 2**53; slabs whose norms could pass that are scored
@@ -16,9 +17,9 @@ Queries go to the tasks in slabs of at most ``slab`` vectors, a fixed size, one
 after the other; each candidate partition answers with at most k rows per query,
 packed in one row, and a window over the query picks the final k.
 
-Defined cases: vectors that are null, hold null or non-finite components or have
-another length than most vectors take no part; ties go to the smaller id; the
-answers to queries that share an id are merged; every candidate with the query's own id is left out; repeated rows of
+Defined cases: vectors that are null or hold null or non-finite components take no part;
+of vectors of different lengths the components that both have are multiplied; ties go to
+the smaller id; the answers to queries that share an id are merged; every candidate with the query's own id is left out; repeated rows of
 another id each take a rank; fewer than k candidates give fewer rows; an empty
 table gives an empty result.
 """
@@ -59,8 +60,8 @@ def suffix_norms(m: np.ndarray, block: int) -> np.ndarray:
     return np.sqrt(out) * (1 + 1e-12)
 
 
-def bounded_search(queries: np.ndarray, query_ids: np.ndarray, cand: np.ndarray, cand_ids: np.ndarray, k: int, block: int = BLOCK) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query (row) the ids and scores of its k best candidates (columns of ``cand``)."""
+def bounded_search(queries: np.ndarray, query_ids: np.ndarray, cand: np.ndarray, cand_ids: np.ndarray, k: int, block: int = BLOCK, least: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (row) the ids and scores of its k best candidates (columns of ``cand``), but those under ``least``."""
     dims = cand.shape[0]
     starts = list(range(0, dims, block))
     q_rest, c_rest = suffix_norms(np.ascontiguousarray(queries.T), block), suffix_norms(cand, block)
@@ -73,8 +74,10 @@ def bounded_search(queries: np.ndarray, query_ids: np.ndarray, cand: np.ndarray,
             partial = first[i][live]
             for b in range(1, len(starts) + 1):
                 room = q_rest[b, lo + i] * c_rest[b][live]
+                floor = -np.inf if least is None else least[lo + i]
                 if len(live) > k:
-                    floor = np.partition(partial - room, len(live) - k)[len(live) - k]
+                    floor = max(floor, np.partition(partial - room, len(live) - k)[len(live) - k])
+                if floor > -np.inf:
                     stay = partial + room >= floor - 1e-6
                     live, partial = live[stay], partial[stay]
                 if b < len(starts):
@@ -108,8 +111,10 @@ def _search(slab, k: int, block: int, chunk: int):
             cand_ids = np.concatenate([h[0] for h in held])
             cand = np.ascontiguousarray(np.concatenate([h[1] for h in held]).T)
             top = np.sqrt(max((queries * queries).sum(1).max(initial=0), (cand * cand).sum(0).max(initial=0)))
-            search = bounded_search if top * top < _EXACT else _whole_search
-            for i, (got_ids, got) in enumerate(search(queries, query_ids, cand, cand_ids, k)):
+            least = np.array([best[i][1][-1] if len(best.get(i, ([], []))[1]) == k else -np.inf for i in range(len(queries))], float) if k else None
+            exact = top * top < _EXACT
+            found = bounded_search(queries, query_ids, cand, cand_ids, k, block, least) if exact else _whole_search(queries, query_ids, cand, cand_ids, k)
+            for i, (got_ids, got) in enumerate(found):
                 old_ids, old = best.get(i, ([], []))
                 merged = sorted(zip([-int(x) for x in got] + [-x for x in old], [int(x) for x in got_ids] + old_ids, strict=True))[:k]
                 best[i] = ([x for _, x in merged], [-s for s, _ in merged])
@@ -139,11 +144,14 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, slab:
     spark = vectors.sparkSession
     small_batches(spark, 4096)
     whole = whole_vectors(vectors, scale)
-    common = whole.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
-    dims = common["dims"] if common else 0
-    whole = whole.where((F.size("v") == dims) & F.lit(dims > 0))
+    n_queries, dims, shortest = whole.agg(F.count_if(is_query), F.max(F.when(is_query, F.size("v"))), F.min(F.size("v"))).first()
+    dims = max(1, dims or 0)
+    # Components that no query has count for nothing; those that a vector lacks count as 0.
+    whole = whole.withColumn("v", F.slice("v", 1, dims))
+    if shortest is not None and shortest < dims:
+        whole = whole.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dims) - F.size("v"))))
     queries = whole.where(is_query)
-    n_slabs = max(1, math.ceil(queries.count() / slab * 1.25)) if dims else 1
+    n_slabs = max(1, math.ceil(n_queries / slab * 1.25))
     part = F.pmod(F.xxhash64("vec_id"), F.lit(n_slabs))
     out = None
     for s in range(n_slabs):

@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import scratch, ship, stored
 
 #: ASCII white space, as a SQL regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests, notebooks in local mode) a
-    temporary folder is made and set for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lexmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new name in the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    return scratch(spark, name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -36,10 +21,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     A lost executor costs no recomputation of what stands before the table.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, name)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:

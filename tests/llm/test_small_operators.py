@@ -264,6 +264,18 @@ def test_top_k_edges(spark):
     assert got == [1, 2] or got == [2, 1]
 
 
+def test_top_k_of_vectors_of_many_lengths(spark):
+    rng = random.Random(4)
+    data = [(i, [float(rng.randint(-2, 2)) for _ in range(rng.choice([0, 1, 3, 4, 9]))]) for i in range(80)]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    want = []
+    for q, a in data[::20]:
+        scored = sorted((-sum(int(64 * x) * int(64 * y) for x, y in zip(a, b)), i) for i, b in data if i != q)[:6]  # noqa: B905
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    for chunk in (7, 4096):
+        assert Counter(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, 6, 64.0, 3, 2, chunk).collect())) == Counter(want)
+
+
 def test_bounded_search_equals_full_scan():
     rng = np.random.default_rng(4)
     c, q = rng.integers(-9, 9, (64, 500)).astype(float), rng.integers(-9, 9, (5, 64)).astype(float)
