@@ -8,9 +8,9 @@ right keeping, since the last settled token boundary, the bytes read and the las
 token of each prefix.  A boundary is settled as soon as every way the input may go
 on (a token that is a strict prefix of a vocabulary entry is still open) passes
 through it; its tokens are emitted then, after a lookahead of at most the longest
-token.  States and arcs are made when first taken and kept in a table of MAX_ARCS arcs,
-which is emptied when it is full: every byte of every piece goes through it.  Pieces met
-lately keep their ids.
+token.  States and arcs are made when first taken: every byte of every piece is a step of
+the transducer.  The first KEPT_ARCS new arcs of a piece are kept in a table of MAX_ARCS
+arcs, which is emptied when it is full.  Pieces met lately keep their ids.
 
 Pieces (the matches of the split pattern) are encoded one by one; a piece that is
 itself a token is that token, as the rank format defines.
@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 
 from .workspace import small_batches
 
-MAX_ARCS, MAX_PIECES = 600_000, 250_000
+MAX_ARCS, KEPT_ARCS, MAX_PIECES = 200_000, 1, 250_000
+LOOKAHEAD = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -168,17 +169,50 @@ class Transducer:
         if token is None:
             raise ValueError("the vocabulary lacks single bytes")
         last += (token,)
-        # Later tokens start at the end or where the rest is open: settled is where their ways back meet.
-        settled = n + 1
-        for at in still:
+        settled = self._meet(last, still)
+        if not settled:
+            return (before, pending, last, tuple(still)), ()
+        return (last[settled - 1], pending[settled:], last[settled:], tuple(at - settled for at in still)), tuple(self._back(last, settled))
+
+    @staticmethod
+    def _meet(last: tuple | list, starts: list[int]) -> int:
+        """The settled boundary: later tokens start at the end or where the rest is open, and here their ways back meet."""
+        settled = len(last)
+        for at in starts:
             while at != settled:
                 if at > settled:
                     at -= len(last[at - 1])
                 else:
                     settled -= len(last[settled - 1])
             if not settled:
-                return (before, pending, last, tuple(still)), ()
-        return (last[settled - 1], pending[settled:], last[settled:], tuple(at - settled for at in still)), tuple(self._back(last, settled))
+                break
+        return settled
+
+    def walk(self, state: tuple, rest: bytes) -> list[int]:
+        """The ids of the steps from ``state`` over ``rest`` to the end of the input; what is settled is emitted every LOOKAHEAD bytes."""
+        before, text, last, starts = state
+        n, text, last, out = len(text), text + rest, list(last), []
+        get, fits = self.kind.get, self._fits
+        while n < len(text):
+            token, still = None, []
+            for at in (*starts, n):
+                part = text[at : n + 1]
+                what = get(part)
+                if what is None:
+                    continue
+                if what & 1:
+                    still.append(at)
+                if token is None and what & 2 and fits(part, last[at - 1] if at else before):
+                    token = part
+            if token is None:
+                raise ValueError("the vocabulary lacks single bytes")
+            last.append(token)
+            starts = still
+            n += 1
+            if n >= LOOKAHEAD and n % LOOKAHEAD == 0 and n < len(text) and (settled := self._meet(last, starts)):
+                out += self._back(last, settled)
+                before, text, last, starts, n = last[settled - 1], text[settled:], last[settled:], [at - settled for at in starts], n - settled
+        return out + self._back(last, n)
 
     def _back(self, last: tuple | list, at: int) -> list[int]:
         out = []
@@ -192,17 +226,24 @@ class Transducer:
         if whole is not None:
             return [whole]
         out: list[int] = []
-        arcs = self.start
-        for byte in piece:
+        arcs, new = self.start, 0
+        for at, byte in enumerate(piece):
             arc = arcs.get(byte)
             if arc is None:
-                target, ids = self.step(arcs[self.STATE], byte)
+                state, ids = self.step(arcs[self.STATE], byte)
+                out += ids
+                if new == KEPT_ARCS:  # rare from here on: the same steps, but nothing of them is kept
+                    return out + self.walk(state, piece[at + 1 :])
                 if self.n_arcs >= self.max_arcs:  # the table is full: it is made anew from here on
                     self.states.clear()
                     self.start = self._at((b"", b"", (), ()))
                     self.n_arcs = 0
-                arc = arcs[byte] = (self._at(target), ids)
+                target = self._at(state)
+                arcs[byte] = (target, ids)
                 self.n_arcs += 1
+                new += 1
+                arcs = target
+                continue
             arcs, ids = arc
             if ids:
                 out += ids
