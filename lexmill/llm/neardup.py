@@ -403,7 +403,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     Documents are linked if den * |intersection| >= num * |union| of their sets of
     ``words``-word shingles; a component's smallest id is kept.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 500, 4 << 20)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(texts.mapInArrow(_signed(words), "doc_id bigint, n bigint, high bigint, low bigint, sig binary"), "forest-signed")
     alike = materialize(
