@@ -60,6 +60,15 @@ _MUL = np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = (np.random.default_rng(20240101).integers(0, 2**63, VALUES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
+#: Rows that a task may take of the small tables between steps, and the least number of tasks.
+TASK_ROWS, TASKS = 250_000, 16
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which a shuffle made and which has ``rows`` rows at most, in as many tasks as they need."""
+    return df.coalesce(max(TASKS, rows // TASK_ROWS))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MUL
     return x ^ (x >> np.uint64(31))
@@ -232,7 +241,8 @@ def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     values = F.expr(f"substring(sig, tree * {DEPTH * 2} + 1, {DEPTH * 2})")
     rows = nodes.select("node", "high", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig").select("node", "high", "tree", values.alias("run"))
     keyed = rows.withColumn("key", F.xxhash64("tree", F.expr(f"substring(run, 1, {MIN_DEPTH * 2})")))
-    counts = materialize(keyed.groupBy("key").count().where("count > 1"), "forest-regions")
+    n = TREES * nodes.count()
+    counts = materialize(sized(keyed.groupBy("key").count().where("count > 1"), n), "forest-regions")
     shared = materialize(keyed.join(counts, "key"), "forest-rows")
     full = lambda df: df.join(nodes.select("node", "high", "sig"), ["node", "high"])
     plain = shared.where(F.col("count") <= REGION).select(F.col("key").alias("gid"), "tree", "node", "high")
@@ -243,7 +253,8 @@ def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     deep = crowd.select("tree", "node", "high", F.explode(F.array(*(
         F.struct(F.lit(d).alias("depth"), at(d).alias("key"), at(d - 1).alias("above")) for d in range(MIN_DEPTH + 1, DEPTH + 1)
     ))).alias("x")).select("tree", "node", "high", "x.*")
-    sizes = materialize(deep.groupBy("key", "above", "depth").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "forest-depths")
+    sizes = deep.groupBy("key", "above", "depth").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+    sizes = materialize(sized(sizes, n), "forest-depths")
     wide = sizes.where(F.col("n") > REGION).select(F.col("key").alias("above"))
     first = sizes.where((F.col("n") <= REGION) | (F.col("depth") == DEPTH))
     first = first.where(F.col("depth") == MIN_DEPTH + 1).unionByName(first.where(F.col("depth") > MIN_DEPTH + 1).join(wide, "above", "left_semi")).select("key", "n", "least")
@@ -260,7 +271,7 @@ def _unsettled(crowd: DataFrame, labels: DataFrame) -> DataFrame:
     """node, high, comp of the nodes of those crowded regions that hold more than one component."""
     ids = crowd.select("top", "node", "high").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = ids.groupBy("top").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("top")
-    return materialize(ids.join(mixed, "top").select("node", "high", "comp").distinct(), "forest-unsettled")
+    return materialize(sized(ids.join(mixed, "top").select("node", "high", "comp").distinct(), crowd.count()), "forest-unsettled")
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,10 +346,10 @@ def _again(docs: DataFrame, crowd: DataFrame, labels: DataFrame, words: int, num
     common[met.column("bucket").to_numpy()] = met.column("n").to_numpy()
     first = materialize(sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(common), num, den), "shingle bigint, node bigint, comp bigint, n int, at int"), "forest-prefixes")
     sizes = first.groupBy("shingle", "comp").count()
-    stats = materialize(
+    stats = materialize(sized(
         sizes.groupBy("shingle").agg(F.sum("count").alias("total"), F.max("count").alias("most"), F.max_by("comp", F.struct("count", -F.col("comp"))).alias("main")).where("total > most"),
-        "forest-shared",
-    )
+        first.count(),
+    ), "forest-shared")
     # A shingle's rows in tiles: strays (outside its prevailing component) with a block of the others, or with a block of strays.
     tied = first.join(stats, "shingle").withColumn("others", F.ceil(F.col("most") / REGION)).withColumn("strays", F.ceil((F.col("total") - F.col("most")) / REGION))
     own = lambda blocks: F.pmod(F.xxhash64("node"), blocks)
@@ -381,17 +392,19 @@ def components(edges: DataFrame) -> DataFrame:
     with the smallest of them, found by aggregation, so a much linked node is no
     task's burden.  The number of steps grows with the logarithm of the longest path.
     """
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
+    n = edges.count()
+    edges = materialize(sized(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), n), "cc-edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count_if(F.col("v") < F.col("u")).alias("below"), F.count("*").alias("n")), "cc-near")
+        near = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count_if(F.col("v") < F.col("u")).alias("below"), F.count("*").alias("n"))
+        near = materialize(sized(near, 2 * n), "cc-near")
         if not near.agg(F.count_if((F.col("below") > 1) | (F.col("below") == 1) & (F.col("n") > 1))).first()[0]:
             break  # stars only: a node is linked with its component's smallest alone
         large = both.where("v > u").join(near.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, "cc-large")
+        large = materialize(sized(large, 2 * n), "cc-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").distinct(), "cc-edges")
+        edges = materialize(sized(small.where("u <> v").distinct(), 2 * n), "cc-edges")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
         edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("comp"))
     )
@@ -406,16 +419,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     small_batches(docs.sparkSession, 500, 4 << 20)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(texts.mapInArrow(_signed(words), "doc_id bigint, n bigint, high bigint, low bigint, sig binary"), "forest-signed")
-    alike = materialize(
-        signed.where("n > 0 and doc_id is not null").groupBy("n", "high", "low").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "forest-nodes"
-    )
+    alike = signed.where("n > 0 and doc_id is not null").groupBy("n", "high", "low").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
+    alike = materialize(sized(alike, signed.count()), "forest-nodes")
     regions, crowd = _regions(alike.select("node", "high", "sig"))
     links = _links(texts, regions.select("gid", "tree", "node", "high", "sig", "crowded"), words, num, den)
-    labels = materialize(components(links), "forest-components")
+    labels = materialize(sized(components(links), alike.count()), "forest-components")
     if crowd is not None:
         more = _again(texts, crowd, labels, words, num, den)
         if not more.isEmpty():
-            labels = materialize(components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)), "forest-components")
+            tied = labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)
+            labels = materialize(sized(components(tied), alike.count()), "forest-components")
     classes = materialize(alike.select("n", "high", "low", "node").join(labels, "node", "left").select("n", "high", "low", F.coalesce("comp", "node").alias("comp")), "forest-classes")
     tied = signed.select("doc_id", "n", "high", "low").join(classes, ["n", "high", "low"], "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("comp"))
