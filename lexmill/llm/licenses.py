@@ -337,7 +337,10 @@ _HITS = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()),
 def train(docs: DataFrame, sample_rows: int = 1500) -> Classifier:
     """Fit on the templates and the ``sample_rows`` non-blank lines of ``docs`` with the smallest hashes of (id, line number, line)."""
     lines = docs.select(F.col("doc_id").cast("string").alias("id"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
-    rows = lines.select("line", F.xxhash64("id", "pos", "line").alias("h")).orderBy("h", "line").limit(sample_rows).collect()
+    hashed = lines.select("line", F.xxhash64("id", "pos", "line").alias("h"))
+    # Only hashes under a bound that some more lines than asked for have go to the driver, however many tasks there are.
+    bound = -(2**63) + int(2**64 * min(1.0, 1.3 * sample_rows / max(1, lines.count())))
+    rows = hashed.where(F.col("h") <= F.lit(min(bound, 2**63 - 1))).orderBy("h", "line").limit(sample_rows).collect()
     return fit([r["line"] for r in rows])
 
 
