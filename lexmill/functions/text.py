@@ -241,3 +241,35 @@ def retry_after(c: Column | str) -> Column:
     pattern = r"(?i)try again in\s+(?:(\d+)m)?\s*([\d.]+)s"
     minutes = F.coalesce(F.expr("1.0") * F.nullif(F.regexp_extract(col(c), pattern, 1), F.lit("")).cast("double"), F.lit(0.0))
     return 60 * minutes + F.nullif(F.regexp_extract(col(c), pattern, 2), F.lit("")).try_cast("double")
+
+
+def subset_of(a: Column, b: Column) -> Column:
+    """Whether every element of array a is in b; the empty array is in all, null gives null."""
+    return F.size(F.array_except(a, b)) == F.when(a.isNotNull() & b.isNotNull(), 0)
+
+
+def int_grid(c: Column | str) -> Column:
+    """Distinct positive integers of a comma list, ascending; what isn't one is left out."""
+    n = F.transform(F.split(col(c), ","), lambda x: F.trim(x).try_cast("int"))
+    return F.array_sort(F.array_distinct(F.filter(n, lambda x: x > 0)))
+
+
+def comma_list(c: Column | str) -> Column:
+    """Trimmed items of a comma list, blanks left out."""
+    return F.filter(F.transform(F.split(col(c), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def string_map(c: Column | str) -> Column:
+    """A JSON object as a map of strings without blank keys or null values; null if it is no object."""
+    return F.map_filter(F.from_json(col(c), "map<string,string>"), lambda k, v: (F.trim(k) != "") & v.isNotNull())
+
+
+def iso_utc(c: Column | str) -> Column:
+    """A moment as ISO text to the second, in UTC whatever the session's zone."""
+    at = F.convert_timezone(F.current_timezone(), F.lit("UTC"), col(c).cast("timestamp").cast("timestamp_ntz"))
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
+def elapsed_ms(start: Column, end: Column) -> Column:
+    """Milliseconds between two moments, to three places."""
+    return F.round((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1000, 3)

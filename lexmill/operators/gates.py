@@ -83,3 +83,49 @@ def risk_confirmation(rows: DataFrame, least: int = 4) -> DataFrame:
         F.when(p & F.col("judge_label").isNull(), F.lit("judge missing")), F.when(p & (X.label_key("judge_label") != X.label_key("risk_label")), F.lit("judge disagrees")), F.when(p & (F.col("judge_score") < least), F.lit("judge unsure")),
     ))
     return rows.withColumn("reasons", reasons)
+
+
+def plan_acceptance(plan: DataFrame, seed: int, taxonomy: Column, labels: list[str]) -> DataFrame:
+    """rule, passed of a one-row plan (accepted, seed, taxonomy_sha256, labels); a missing value fails its rule."""
+    want = F.array(*map(F.lit, labels))
+    rules = {
+        "accepted": F.col("accepted"), "seed": F.col("seed") == seed, "taxonomy": F.col("taxonomy_sha256") == taxonomy,
+        "labels": X.subset_of(F.col("labels"), want) & X.subset_of(want, F.col("labels")),
+    }
+    return named_checks(plan, {k: ("error", v) for k, v in rules.items()}).select(F.col("name").alias("rule"), "passed")
+
+
+def named_checks(facts: DataFrame, checks: dict[str, tuple[str, Column]]) -> DataFrame:
+    """name, severity, passed of each check over one row of facts; a null doesn't pass."""
+    rows = (F.struct(F.lit(n).alias("name"), F.lit(s).alias("severity"), F.coalesce(c, F.lit(False)).alias("passed")) for n, (s, c) in checks.items())
+    return facts.select(F.inline(F.array(*rows)))
+
+
+def preflight(facts: DataFrame, checks: dict[str, tuple[str, Column]]) -> DataFrame:
+    """``named_checks`` with ready: no check of severity error failed."""
+    found = named_checks(facts, checks)
+    ready = found.agg(F.coalesce(F.bool_and(F.when(F.col("severity") == "error", F.col("passed"))), F.lit(True)).alias("ready"))
+    return found.crossJoin(F.broadcast(ready))  # one row
+
+
+def judged_variants(variants: DataFrame, metrics: DataFrame, assessments: DataFrame, source: str, key: str, judge: str) -> DataFrame:
+    """source, variants: each variant with its metrics and its judge's assessment (null where none came), in the order of ``key``.
+
+    Metrics are joined by the variant's key, which is what their position stood for.
+    """
+    m = metrics.select(key, F.struct(*(c for c in metrics.columns if c != key)).alias("metrics"))
+    a = assessments.select(judge, F.struct(*(c for c in assessments.columns if c != judge)).alias("assessment"))
+    every = variants.join(m, key, "left").join(a, judge, "left")
+    row = F.struct(key, *(c for c in variants.columns if c not in (key, source)), "metrics", "assessment")
+    return every.groupBy(source).agg(F.array_sort(F.collect_list(row), lambda x, y: F.when(x[key] < y[key], -1).when(x[key] > y[key], 1).otherwise(0)).alias("variants"))  # a few a source
+
+
+def fixed_hypothesis(records: DataFrame, transformed: DataFrame, source: str, score: Column) -> DataFrame:
+    """Each record with its source's transformed clause and the pair's score; sources without one go."""
+    return records.join(transformed, source).withColumn("score", score)
+
+
+def picked_evidence(rows: DataFrame, picked: str, pool: str, supported: str) -> DataFrame:
+    """A judge's choice counts only if it is one of the candidates: else the id is null and nothing is supported."""
+    ok = F.coalesce(F.array_contains(pool, F.col(picked)), F.lit(False))
+    return rows.withColumns({picked: F.when(ok, F.col(picked)), supported: ok & F.coalesce(F.col(supported), F.lit(False))})

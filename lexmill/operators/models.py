@@ -73,17 +73,23 @@ def rewrite_until_simple(clauses: DataFrame, key: str, text: str, target: float
 
 
 def in_batches(rows: DataFrame, columns: list[str], call: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Run an external model over Arrow batches; a batch that fails yields no rows, the others go on."""
+    """Run an external model over Arrow batches; adds error, null where the call went well.
+
+    Rows of a batch that fails come back with the error's text, their own values in the
+    columns that ``schema`` shares with them and null in the others, to be asked for again.
+    """
     ship(rows.sparkSession)
+    out = T.StructType.fromDDL(schema)
+    names = out.names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             try:
-                yield call(b)
-            except Exception:  # the service's failure, not ours: its rows are asked for again
-                continue
+                yield call(b)[names].assign(error=None)
+            except Exception as e:  # the service's failure, not ours
+                yield pd.DataFrame({n: b[n] if n in b.columns else None for n in names}, index=b.index).assign(error=f"{type(e).__name__}: {e}")
 
-    return rows.select(*columns).mapInPandas(run, schema)
+    return rows.select(*columns).mapInPandas(run, T.StructType([*out.fields, T.StructField("error", T.StringType())]))
 
 
 def train_classifier(rows: DataFrame, features: str, label: str, classes: list[str], seed: int = 42):

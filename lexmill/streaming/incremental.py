@@ -67,3 +67,18 @@ def put_if_absent(batch: DataFrame, path: str, key: str) -> None:
     if file_status(spark, path):
         once = once.join(spark.read.parquet(path).select(key), key, "left_anti")
     once.write.mode("append").parquet(path)
+
+
+def shuffled_batches(stream: DataFrame, path: str, key: str, seed: int) -> DataFrame:
+    """A stream's rows, each micro-batch in an order drawn from ``seed``, as a table with batch and place.
+
+    The batch is the shuffle's buffer: a row's place is the hash of seed and key, and the
+    batch is sorted by it in ranges, not in one task.  A batch that runs twice overwrites
+    its own folder.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.withColumn("place", F.xxhash64(F.lit(seed), key)).orderBy("place").write.mode("overwrite").parquet(f"{path}/table/batch={n}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{path}/table")

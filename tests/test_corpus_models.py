@@ -47,7 +47,10 @@ def test_models(spark):
             raise RuntimeError("service is down")
         return b[["id"]]
 
-    assert [r[0] for r in models.in_batches(c.repartition(2, "id"), ["id"], call, "id int").collect()] in ([2], [])
+    got = {r["id"]: r["error"] for r in models.in_batches(c.repartition(2, "id"), ["id"], call, "id int").collect()}
+    assert set(got) == {1, 2} and got[1] == "RuntimeError: service is down"
+    well = models.in_batches(c, ["id", "text"], lambda b: b.assign(n=b["text"].str.len()), "id int, n int").orderBy("id").collect()
+    assert [tuple(r) for r in well] == [(1, 52, None), (2, 3, None)]
 
 
 def test_gates(spark):
