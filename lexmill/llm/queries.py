@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
+from .codes import code_vectors
 from .html_text import extract_main_text
+from .langid import predicted_languages
 from .licenses import scan_licenses
+from .merkle import tamper_check
 from .mixing import schedule
 from .neardup import near_duplicates
 from .quality import quality_verdicts
@@ -66,10 +69,23 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tamper_check(read_table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predicted_languages(read_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_token_shards, op3_exact_top_k, op4_license_scan, op5_quality_rules,
         op6_byte_bpe, op7_warc_archive, op8_main_text, op9_shard_documents, op10_near_duplicates,
+        op11_merkle_manifest, op12_language_id, op13_vector_codes,
     )
 }
