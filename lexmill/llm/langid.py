@@ -197,11 +197,10 @@ def _predict(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
-            found = [predict(t.as_py(), model) for t in b.column("text")]
-            rest = [(n, c) for n, c in zip(b.schema.names, b.columns, strict=True) if n != "text"]
+            found = [predict(t.as_py(), model) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [*(c for _, c in rest), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())],
-                [*(n for n, _ in rest), "lang_pred", "score", "rejected"],
+                [*b.columns[1:], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())],
+                [*b.schema.names[1:], "lang_pred", "score", "rejected"],
             )
 
     return run
@@ -213,7 +212,7 @@ def identify(docs: DataFrame, model: Model, carried: tuple[str, ...] = ("doc_id"
     kinds = dict(docs.dtypes)
     schema = "".join(f"`{c}` {kinds[c]}, " for c in carried)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("text", *carried).mapInArrow(_predict(sent), f"{schema}lang_pred string, score double, rejected boolean")
+    return docs.select(F.col("text").alias("read"), *carried).mapInArrow(_predict(sent), f"{schema}lang_pred string, score double, rejected boolean")
 
 
 def held_out(doc_id: Column) -> Column:

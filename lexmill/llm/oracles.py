@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .codes import ENTRIES, PARTS, ROUNDS, SCALE
 from .quality import MEASURES, MIN_GROUP, MIN_WORDS, SPREAD
 from .queries import BLOCK_ROWS, SHARES
 
@@ -66,4 +67,47 @@ OP10 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coal
  m AS (SELECT doc_id, min(seen) AS comp FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.comp, d.doc_id) AS component_id, coalesce(m.comp, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
-SQL: dict[str, str] = {"op1_mix_sources": OP1, "op3_exact_top_k": OP3, "op5_quality_rules": OP5, "op7_warc_archive": OP7, "op10_near_duplicates": OP10}
+_FIELD = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x}::VARCHAR END"
+_LEAF = lambda text: "sha256(" + " || ".join(map(_FIELD, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+_SHIFTED = "c"
+for _ in range(8):  # one byte of the CRC-32, bit by bit
+    _SHIFTED = f"list_transform([{_SHIFTED}], lambda c: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)[1]"
+_CRC = f"xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT), lambda s, b: list_transform([xor(s, b)], lambda c: {_SHIFTED})[1], 4294967295::BIGINT), 4294967295::BIGINT)"
+
+OP11 = f"""WITH RECURSIVE f AS (SELECT doc_id, lang, {_LEAF("text")} AS leaf, CASE WHEN {_CRC} % 3 = 0 THEN {_LEAF("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents),
+ g AS (SELECT lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS member FROM (SELECT DISTINCT lang FROM f)),
+ d AS (SELECT f.*, g.member, row_number() OVER (PARTITION BY g.member ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g.member) AS n FROM f JOIN g ON f.lang IS NOT DISTINCT FROM g.lang),
+ t(member, level, idx, n, digest) AS (SELECT member, 0, pos, n, leaf FROM d UNION ALL SELECT member, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY member, level, idx // 8, n),
+ s AS (SELECT member, digest, max(member) OVER () + 1 AS n FROM t WHERE n = 1),
+ u(level, idx, n, digest) AS (SELECT 100, member, n, digest FROM s UNION ALL SELECT level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY level, idx // 8, n),
+ w(member, pos, level, idx, n, top) AS (SELECT member, pos, 0, pos, n, false FROM d UNION ALL
+  SELECT w.member, pos, CASE WHEN w.n = 1 THEN 100 ELSE level + 1 END, CASE WHEN w.n = 1 THEN w.member ELSE idx // 8 END, CASE WHEN w.n = 1 THEN s.n ELSE (w.n + 7) // 8 END, top OR w.n = 1 FROM w JOIN s USING (member) WHERE NOT (top AND w.n = 1)),
+ a AS (SELECT member, level, idx, digest FROM t UNION ALL SELECT NULL, level, idx, digest FROM u),
+ p AS (SELECT w.member, w.pos, w.level, w.idx, a.idx AS other, a.digest FROM w JOIN a ON a.level = w.level AND a.idx // 8 = w.idx // 8 AND (w.top OR a.member = w.member) WHERE w.n > 1),
+ q AS (SELECT member, pos, sha256(string_agg(digest, '' ORDER BY level, other)) AS proof FROM p WHERE other <> idx GROUP BY member, pos),
+ r(member, pos, level, digest, k) AS (SELECT member, pos, (SELECT min(level) FROM w WHERE w.member = d.member AND w.pos = d.pos AND w.n > 1), coalesce(changed, leaf), 0 FROM d UNION ALL
+  SELECT r.member, r.pos, min(nx.level), sha256(string_agg(CASE WHEN p.other = p.idx THEN r.digest ELSE p.digest END, '' ORDER BY p.other)), r.k + 1 FROM r JOIN p ON p.member = r.member AND p.pos = r.pos AND p.level = r.level
+   LEFT JOIN (SELECT member, pos, level, lag(level) OVER (PARTITION BY member, pos ORDER BY level) AS before FROM w WHERE n > 1) nx ON nx.member = r.member AND nx.pos = r.pos AND nx.before = r.level GROUP BY r.member, r.pos, r.k),
+ e AS (SELECT member, pos, digest FROM r WHERE level IS NULL)
+SELECT doc_id, leaf, s.digest AS subroot, (SELECT digest FROM u WHERE n = 1) AS root, coalesce(q.proof, sha256('')) AS proof_sha256, e.digest AS folded_root, e.digest = (SELECT digest FROM u WHERE n = 1) AS verified
+ FROM d JOIN s USING (member) JOIN e USING (member, pos) LEFT JOIN q USING (member, pos)"""
+
+_GAP = "list_sum(list_transform(list_zip(p.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT"
+_ROUND = "".join(
+    f""",
+ a{i} AS MATERIALIZED (SELECT vec_id, label, part, v, d // 256 AS d, d % 256 AS entry FROM (SELECT vec_id, label, p.part, any_value(p.v) AS v, min({_GAP} * 256 + c.entry) AS d FROM p JOIN c{i} c ON c.part = p.part GROUP BY vec_id, label, p.part))"""
+    + (f""",
+ c{i + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT part, entry, list((s // n - (s % n < 0)::BIGINT)::BIGINT ORDER BY place) AS v FROM (SELECT part, entry, place, sum(v[place])::BIGINT AS s, count(*) AS n FROM a{i}, unnest(range(1, len(v) + 1)) AS t(place) GROUP BY ALL) GROUP BY part, entry) m ON m.part = c.part AND m.entry = c.entry)""" if i < ROUNDS else "")
+    for i in range(ROUNDS + 1)
+)
+OP13 = f"""WITH w AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ p AS MATERIALIZED (SELECT vec_id, label, part, v[part * len(v) // {PARTS} + 1 : (part + 1) * len(v) // {PARTS}] AS v FROM w, unnest(range({PARTS})) AS t(part)),
+ c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM (SELECT * FROM p WHERE vec_id IN (SELECT vec_id FROM w ORDER BY vec_id LIMIT {ENTRIES}))){_ROUND},
+ o AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{ROUNDS} GROUP BY vec_id, label),
+ b AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o, b"""
+
+SQL: dict[str, str] = {
+    "op1_mix_sources": OP1, "op3_exact_top_k": OP3, "op5_quality_rules": OP5, "op7_warc_archive": OP7, "op10_near_duplicates": OP10,
+    "op11_merkle_manifest": OP11, "op13_vector_codes": OP13,
+}
