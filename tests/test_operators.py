@@ -194,7 +194,6 @@ def test_replies_and_metrics():
     assert files.items_of(files.first_json('x {"items": {"items": [{"id": 1}]}} y'), {"id": "k"}) == [{"k": 1}]
     assert files.first_json("{broken [1, 2]") == [1, 2] and files.first_json("none") is None
     assert files.flatten({"a": {"b": 1}, "c": [1, 2], "d": [{"x": 1}], "e": None}) == [("a.b", "1"), ("c", "[1, 2]"), ("e", "null")]
-    assert files.greedy_matches(["abc def", "xyz"], ["abc deg", "xyz"], 0.8) == [(0, 0, pytest.approx(0.857, abs=1e-3)), (1, 1, 1.0)]
 
 
 def test_plain_reply(spark):
