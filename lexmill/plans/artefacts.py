@@ -11,7 +11,7 @@ from ..operators import metrics as M
 from ..operators import retrieval as R
 from ..session import scratch, ship
 from ..sources import files, manifests, sinks
-from ..streaming import incremental as I
+from ..streaming.keyed_log import KeyedLog
 from . import retrieval
 from .ingestion import _WORDS
 from .text import documents
@@ -205,7 +205,7 @@ def qa_retrieval_evaluation(spark, sf_dir):
     asked, texts = retrieval.passages(spark, sf_dir), retrieval.texts(spark, sf_dir)
     gold = retrieval.gold(spark, sf_dir)
     dense = R.hashed_dense(asked, texts, 20)
-    cand = dense.join(texts, "doc_id").join(asked.withColumnRenamed("text", "q_text"), "q_id").select("q_id", "doc_id", "rank", retrieval.overlap_score().alias("s"))
+    cand = retrieval.with_overlap(dense.select("q_id", "doc_id", "rank"), asked, texts)
     best = R.rerank(cand, F.col("s"), 5).select("q_id", "doc_id", F.col("new_rank").alias("rank"))
     measured = [M.retrieval_multi(t, gold, k).select(F.lit(n).alias("stage"), "*") for n, t, k in (("dense_top_k", dense, 20), ("reranked_top_j", best, 5))]
     return measured[0].unionByName(measured[1])
@@ -220,5 +220,7 @@ def calibration_labels(spark, sf_dir):
     ok = F.col("rerank_score") >= 0.5
     rows = j.select("q_id", F.when(ok, F.col("doc_id")).alias("evidence_id"), ok.alias("supported"), F.round("rerank_score", 6).alias("entailment"))
     path = scratch(spark, "calibration-labels")
-    I.put_if_absent(rows, path, "q_id")
-    return spark.read.schema(rows.schema).parquet(path)
+    log = KeyedLog(spark, path, "q_id")
+    log.put(rows)
+    held = log.read()
+    return rows if held is None else held.select(*rows.columns)

@@ -11,7 +11,8 @@ from ..functions import text as X
 from ..operators import report as P
 from ..operators import retrieval as R
 from ..operators import segment, stress, verify
-from ..session import stored
+from ..operators.stages import StageStore, shared_stages
+from ..session import scratch, stored
 from . import contracts, evaluation, resampling, retrieval
 from .text import documents
 
@@ -38,10 +39,12 @@ def long_metrics(one_row: DataFrame, section: str, columns: list[str]) -> DataFr
 
 @query(_REPORT)
 def benchmark_evaluate(spark, sf_dir):
+    """All sections of the report; what several of them need (ranks, gold) is computed once for the run."""
     out = None
-    for section, (name, columns) in SECTIONS.items():
-        part = long_metrics(_BUILDERS[name](spark, sf_dir), section, columns)
-        out = part if out is None else out.unionByName(part)
+    with shared_stages(StageStore(spark, scratch(spark, "evaluate"))):
+        for section, (name, columns) in SECTIONS.items():
+            part = long_metrics(_BUILDERS[name](spark, sf_dir), section, columns)
+            out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -8,6 +8,7 @@ from ..catalog import query, table
 from ..functions import text as X
 from ..operators import metrics as M
 from ..operators import retrieval as R
+from ..operators.stages import sharing, stage
 
 _TOK = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
@@ -42,12 +43,23 @@ def texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+#: Depth to which shared ranks go: the largest pool of a report's parts.
+POOL = 200
+
+
+def _inputs(sf_dir):
+    return [f"{sf_dir}/benchmark.parquet", f"{sf_dir}/documents.parquet"]
+
+
 def lexical(spark, sf_dir, k):
-    return R.bm25(passages(spark, sf_dir), texts(spark, sf_dir), k)
+    rank = lambda n: R.bm25(passages(spark, sf_dir), texts(spark, sf_dir), n)
+    if not sharing() or k > POOL:
+        return rank(k)
+    return stage("lexical", {"k": POOL}, _inputs(sf_dir), lambda: rank(POOL)).where(F.col("rank") <= k)
 
 
 def gold(spark, sf_dir):
-    return R.holding(passages(spark, sf_dir), texts(spark, sf_dir))
+    return stage("gold", {}, _inputs(sf_dir), lambda: R.holding(passages(spark, sf_dir), texts(spark, sf_dir)))
 
 
 def single_gold(spark, sf_dir):
@@ -123,15 +135,19 @@ def hybrid_retrieval_metrics(spark, sf_dir):
     return M.retrieval_multi(hybrid(spark, sf_dir, 10), gold(spark, sf_dir), 10)
 
 
-def overlap_score():
-    """The cross-encoder's stand-in: share of the query's distinct tokens that stand in the document."""
-    q = F.array_distinct(X.tokens("q_text"))
-    return F.round(F.try_divide(F.size(F.array_intersect(q, X.tokens("text"))), F.size(q)), 9)
+def with_overlap(candidates, asked, documents):
+    """The candidates with s, the cross-encoder's stand-in: the share of the query's distinct tokens that stand in the document.
+
+    Each text is cut into its set of token hashes once, where it stands; only the sets move.
+    """
+    held = lambda key, name, t: t.select(key, F.array_distinct(F.transform(X.tokens("text"), lambda x: F.xxhash64(x))).alias(name))
+    both = candidates.join(held("doc_id", "in_text", documents), "doc_id").join(held("q_id", "in_query", asked), "q_id")
+    return both.withColumn("s", F.round(F.try_divide(F.size(F.array_intersect("in_query", "in_text")), F.size("in_query")), 9)).drop("in_text", "in_query")
 
 
 def reranked(spark, sf_dir, pool, j, least=None):
-    cand = lexical(spark, sf_dir, pool).join(texts(spark, sf_dir), "doc_id").join(passages(spark, sf_dir).withColumnRenamed("text", "q_text"), "q_id")
-    return R.rerank(cand.select("q_id", "doc_id", "rank", overlap_score().alias("s")), F.col("s"), j, least)
+    cand = lexical(spark, sf_dir, pool).select("q_id", "doc_id", "rank")
+    return R.rerank(with_overlap(cand, passages(spark, sf_dir), texts(spark, sf_dir)), F.col("s"), j, least)
 
 
 _RERANK = f"""WITH {bm25_sql()}, {GOLD}, rs AS (SELECT r.q_id, r.doc_id, r.rank, round(len(list_intersect({_TOK.format('b.text')}, {_TOK.format('d.text')})) / len(list_distinct({_TOK.format('b.text')})), 9) AS s FROM rk r JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = r.q_id WHERE r.rank <= 50),

@@ -36,6 +36,32 @@ def file_status(spark: SparkSession, path: str):
     return fs.getFileStatus(at) if fs.exists(at) else None
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Paths of what lies in a folder, in the order of their names; nothing if there is no folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().toString() for f in store.listStatus(at)) if store.exists(at) else []
+
+
+def write_new(spark: SparkSession, path: str, text: str = "") -> bool:
+    """Create a small file; False if it is there already.  One of several writers at most succeeds where the store creates atomically."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(at):
+        return False
+    try:
+        out = store.create(at, False)
+    except Exception as e:  # py4j wraps Java's
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
 _made: list[str] = []
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import file_status, ship
+from ..session import children, file_status, ship
+from .keyed_log import KeyedLog
 
 
 def stream_table(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -60,13 +61,22 @@ def within_quota(events: DataFrame, key: str, quota: int) -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(take, events.schema, "seen bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+def earlier_within(later: DataFrame, earlier: DataFrame, key: str, span: str, late: str, late_earlier: str | None = None) -> DataFrame:
+    """Each row of ``later`` with each row of ``earlier`` of the same key at most ``span`` before it, or at the same time.
+
+    Both have key and ts; the other columns of ``earlier`` are named earlier_...  On streams both sides wait in state:
+    a row is kept until the other side's watermark says that no partner can come any more, and rows
+    older than their own watermark (``late``) are dropped.  On tables it is the plain join.
+    """
+    rest = [c for c in earlier.columns if c != key]
+    e = earlier.withWatermark("ts", late_earlier or late).select(F.col(key).alias("earlier_key"), *(F.col(c).alias(f"earlier_{c}") for c in rest))
+    near = (F.col(key) == F.col("earlier_key")) & (F.col("earlier_ts") <= F.col("ts")) & (F.col("earlier_ts") >= F.col("ts") - F.expr(f"INTERVAL {span}"))
+    return later.withWatermark("ts", late).join(e, near).drop("earlier_key")
+
+
 def put_if_absent(batch: DataFrame, path: str, key: str) -> None:
-    """For foreachBatch: append rows whose key the table at ``path`` lacks, so a batch that runs twice adds nothing."""
-    spark = batch.sparkSession
-    once = batch.dropDuplicates([key])
-    if file_status(spark, path):
-        once = once.join(spark.read.parquet(path).select(key), key, "left_anti")
-    once.write.mode("append").parquet(path)
+    """For foreachBatch: append rows whose key the log at ``path`` lacks, so a batch that runs twice adds nothing."""
+    KeyedLog(batch.sparkSession, path, key).put(batch)
 
 
 def shuffled_batches(stream: DataFrame, path: str, key: str, seed: int) -> DataFrame:
@@ -81,4 +91,7 @@ def shuffled_batches(stream: DataFrame, path: str, key: str, seed: int) -> DataF
         batch.withColumn("place", F.xxhash64(F.lit(seed), key)).orderBy("place").write.mode("overwrite").parquet(f"{path}/table/batch={n}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.parquet(f"{path}/table")
+    # A folder without its mark is a batch that broke off; the stream's next run writes it again.
+    spark = stream.sparkSession
+    whole = [p for p in children(spark, f"{path}/table") if file_status(spark, f"{p}/_SUCCESS")]
+    return spark.read.option("basePath", f"{path}/table").parquet(*whole) if whole else spark.createDataFrame([], stream.schema.add("place", "long").add("batch", "int"))
