@@ -156,13 +156,12 @@ def moved(books: list[np.ndarray], whole: DataFrame, bounds: list[tuple[int, int
     """The codebooks after a round: each entry at the floor of its vectors' mean, unused ones where they were."""
     sent = whole.sparkSession.sparkContext.broadcast(books)
     sums = whole.select("v").mapInArrow(_sums(sent, bounds, dims), "part int, entry int, n bigint, high array<bigint>, low array<bigint>")
-    counts = sums.groupBy("part", "entry").agg(F.sum("n").alias("n"))
-    flat = sums.select("part", "entry", F.posexplode(F.arrays_zip("high", "low")).alias("at", "x"))
-    total = flat.groupBy("part", "entry", "at").agg(F.sum("x.high").alias("high"), F.sum("x.low").alias("low"))
-    per = total.groupBy("part", "entry").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "high", "low"))), lambda s: F.struct(s["high"].alias("high"), s["low"].alias("low"))).alias("total"))
+    flat = sums.select("part", "entry", "n", F.posexplode(F.arrays_zip("high", "low")).alias("at", "x"))
+    total = flat.groupBy("part", "entry", "at").agg(F.sum("n").alias("n"), F.sum("x.high").alias("high"), F.sum("x.low").alias("low"))
+    mean = total.groupBy("part", "entry").agg(F.array_sort(F.collect_list(F.struct("at", "n", "high", "low"))).alias("total"))
     out = [b.copy() for b in books]
-    for r in counts.join(per, ["part", "entry"]).collect():  # parts * entries rows at most
-        out[r["part"]][r["entry"]] = [((t["high"] << 32) + t["low"]) // r["n"] for t in r["total"]]
+    for r in mean.collect():  # parts * entries rows at most
+        out[r["part"]][r["entry"]] = [((t["high"] << 32) + t["low"]) // t["n"] for t in r["total"]]
     sent.unpersist()
     return out
 
