@@ -71,6 +71,7 @@ def fk_grade(c: Column | str) -> Column:
     return let(F.struct(F.regexp_extract_all(col(c), F.lit("[A-Za-z]+"), F.lit(0)).alias("words"), F.size(sentences(c)).alias("sentences")), grade)
 
 
+#: Fixed value: where a long sentence is cut.
 CLAUSE_SPLIT = r"(?i);\s+|,\s+(?:and|but|or|which|who|provided that|except that)\s+"
 
 
@@ -160,16 +161,20 @@ def token_f1(prediction: Column | str, reference: Column | str) -> Column:
     return F.coalesce(_f1(precision, recall), F.lit(0.0))
 
 
+#: Number tokens and negations.
+NUMBER = r"(?:€|£|\$)?\d[\d,.%]*"
+NEGATION = r"(?i)\b(no|not|never|without|unless)\b"
+
+
 def numbers(c: Column | str) -> Column:
     """Number tokens without currency, percent and comma signs."""
-    found = F.regexp_extract_all(col(c), F.lit(r"(?:€|£|\$)?\d[\d,.%]*"), F.lit(0))
+    found = F.regexp_extract_all(col(c), F.lit(NUMBER), F.lit(0))
     return F.array_distinct(F.transform(found, lambda t: F.regexp_replace(F.regexp_replace(t, r"[€£$%,\s]", ""), r"\.+$", "")))
 
 
 def critical_tokens_preserved(source: Column | str, target: Column | str) -> Column:
     """No number is invented, and negation is there in both or in neither."""
-    negation = r"(?i)\b(no|not|never|without|unless)\b"
-    return (F.size(F.array_except(numbers(target), numbers(source))) == 0) & (col(source).rlike(negation) == col(target).rlike(negation))
+    return (F.size(F.array_except(numbers(target), numbers(source))) == 0) & (col(source).rlike(NEGATION) == col(target).rlike(NEGATION))
 
 
 #: What must be the same before and after a rewrite.
@@ -205,16 +210,22 @@ def is_heading(line: Column) -> Column:
     return (word_count(line) <= 12) & (line.rlike("^[A-Z][A-Z0-9 /&(),.'-]{3,100}$") | line.endswith(":"))
 
 
+#: Numbers of clauses, section tags, fences of replies, waiting times.
 NUMBERED = r"(?is)^\s*((?:\((?:\d+(?:\.\d+)*|[A-Z]|[IVXLC]+)\)|\d+(?:\.\d+)+(?:[.)])?|\d+[.)]|[A-Z][.)]|[IVXLC]+[.)]))\s*(.*)$"
 
 
+SECTION_TAG = r"\[([^\]]{2,160})\]"
+FENCE = r"(?i)^```(?:json)?\s*|\s*```$"
+RETRY_AFTER = r"(?i)try again in\s+(?:(\d+)m)?\s*([\d.]+)s"
+
+
 def is_numbered(line: Column) -> Column:
     return line.rlike(NUMBERED)
 
 
 def section_tag(c: Column | str) -> Column:
     """The first [..] of 2 to 160 characters, else null."""
-    return F.nullif(F.regexp_extract(col(c), r"\[([^\]]{2,160})\]", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(col(c), SECTION_TAG, 1), F.lit(""))
 
 
 def l2_normalise(v: Column | str) -> Column:
@@ -223,6 +234,22 @@ def l2_normalise(v: Column | str) -> Column:
     return F.transform(x, lambda e: e / F.when(norm == 0, 1.0).otherwise(norm))
 
 
+def mean_pool(vectors: Column | str, mask: Column | str) -> Column:
+    """Mean of the token vectors whose mask isn't 0, weighted by the mask: sums over the larger of 1 and the mask's sum.
+
+    Null without vectors; zeros if all tokens are masked; a mask that is null or too short masks.
+    """
+    token = F.zip_with(col(vectors), F.slice(F.coalesce(col(mask).cast("array<double>"), F.array().cast("array<double>")), F.lit(1), F.size(col(vectors))), lambda v, m: F.struct(v.alias("v"), F.coalesce(m, F.lit(0.0)).alias("m")))
+    zeros = F.transform(F.get(col(vectors), F.lit(0)), lambda x: F.lit(0.0))
+    add = lambda sums, t: F.zip_with(sums, t["v"], lambda a, x: a + F.when(t["m"] != 0, x.cast("double") * t["m"]).otherwise(0.0))
+
+    def pooled(tokens: Column) -> Column:
+        weight = F.aggregate(tokens, F.lit(0.0), lambda a, t: a + t["m"])
+        return F.transform(F.aggregate(tokens, zeros, add), lambda x: x / F.greatest(weight, F.lit(1.0)))
+
+    return F.when(F.size(col(vectors)) > 0, let(token, pooled))
+
+
 def softmax(*logits: Column, temperature: float = 1.0) -> Column:
     top = F.greatest(*logits)
     e = [F.exp((x - top) / temperature) for x in logits]
@@ -233,14 +260,13 @@ def softmax(*logits: Column, temperature: float = 1.0) -> Column:
 
 
 def strip_fence(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(F.trim(col(c)), r"(?i)^```(?:json)?\s*|\s*```$", ""))
+    return F.trim(F.regexp_replace(F.trim(col(c)), FENCE, ""))
 
 
 def retry_after(c: Column | str) -> Column:
     """Seconds of "try again in 1m2.5s" messages, else null."""
-    pattern = r"(?i)try again in\s+(?:(\d+)m)?\s*([\d.]+)s"
-    minutes = F.coalesce(F.expr("1.0") * F.nullif(F.regexp_extract(col(c), pattern, 1), F.lit("")).cast("double"), F.lit(0.0))
-    return 60 * minutes + F.nullif(F.regexp_extract(col(c), pattern, 2), F.lit("")).try_cast("double")
+    minutes = F.coalesce(F.expr("1.0") * F.nullif(F.regexp_extract(col(c), RETRY_AFTER, 1), F.lit("")).cast("double"), F.lit(0.0))
+    return 60 * minutes + F.nullif(F.regexp_extract(col(c), RETRY_AFTER, 2), F.lit("")).try_cast("double")
 
 
 def subset_of(a: Column, b: Column) -> Column:

@@ -131,3 +131,38 @@ def split_overlap(rows: DataFrame, split: str, key: Column) -> DataFrame:
     names = rows.sparkSession.createDataFrame([("test", "train"), ("test", "validation"), ("train", "validation")], "split_a string, split_b string")
     found = a.join(b, "k").where("split_a < split_b").groupBy("split_a", "split_b").agg(F.count("*").alias("shared"))
     return names.join(found, ["split_a", "split_b"], "left").select("split_a", "split_b", F.coalesce("shared", F.lit(0).cast("bigint")).alias("shared"))
+
+
+def shortest_first(rows: DataFrame, category: str, key: str, text: str, quota: int) -> DataFrame:
+    """category, key, n_chars: the ``quota`` shortest different texts of each category, ties by their SHA-256.
+
+    Nothing is sorted: a histogram of lengths says at which length a category's quota is
+    reached, shorter texts are all taken, and only those of that length are ranked.  Equal texts count
+    once, under their least key; null texts don't count.
+    """
+    seen = rows.where(F.col(text).isNotNull()).select(category, key, F.length(text).alias("n_chars"), F.sha2(text, 256).alias("digest"))
+    different = seen.groupBy(category, "digest").agg(F.min(key).alias(key), F.first("n_chars").alias("n_chars"))
+    lengths = different.groupBy(category, "n_chars").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(category).orderBy("n_chars"))
+    reached = lengths.withColumn("upto", upto).where(F.col("upto") - F.col("n") < quota)
+    cut = reached.groupBy(F.col(category).alias("of")).agg(F.max("n_chars").alias("cut"), (quota - F.max(F.col("upto") - F.col("n"))).alias("left"))  # a row a category
+    near = different.join(cut, F.col(category).eqNullSafe(F.col("of"))).where(F.col("n_chars") <= F.col("cut"))
+    among = Window.partitionBy(category).orderBy("digest")
+    last = near.where(F.col("n_chars") == F.col("cut")).withColumn("nth", F.row_number().over(among)).where((F.col("nth") <= quota) & (F.col("nth") <= F.col("left")))
+    return near.where(F.col("n_chars") < F.col("cut")).select(category, key, "n_chars").unionByName(last.select(category, key, "n_chars"))
+
+
+def first_seen_candidates(*sources: DataFrame) -> DataFrame:
+    """q_id, doc_id, place: candidates of several rankings (q_id, doc_id, rank), in the order of the rankings, each where it occurs first."""
+    every = None
+    for i, s in enumerate(sources):
+        part = s.select("q_id", "doc_id", F.struct(F.lit(i).alias("source"), F.col("rank").cast("bigint").alias("rank")).alias("at"))
+        every = part if every is None else every.unionByName(part)
+    first = every.groupBy("q_id", "doc_id").agg(F.min("at").alias("at"))
+    return first.select("q_id", "doc_id", F.row_number().over(Window.partitionBy("q_id").orderBy("at", "doc_id")).alias("place"))
+
+
+def not_ready(rows: DataFrame, key: str, mandatory: list[str], most: int = 5) -> DataFrame:
+    """key, missing: the first rows that lack a mandatory value (null or blank), and which."""
+    lacks = F.array_compact(F.array(*(F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "", F.lit(c)) for c in mandatory)))
+    return rows.select(key, lacks.alias("missing")).where(F.size("missing") > 0).orderBy(key).limit(most)

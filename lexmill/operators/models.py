@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..session import ship
+from ..session import ship, stored
+from .resample import numbered
 from .verify import nli, token_recall
 
 _models: dict[str, Callable[..., Any]] = {"nli": nli, "entailment": token_recall, "rewrite": X.split_long_clauses}
@@ -115,3 +116,24 @@ def predicted(fitted, rows: DataFrame, features: str, classes: list[str]) -> Dat
     names: Column = F.array(*map(F.lit, classes))
     p = vector_to_array("probability")
     return out.select(*rows.columns, F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("predicted_label"), F.array_max(p).alias("confidence"))
+
+
+def stratified_folds(rows: DataFrame, key: str, label: str, folds: int = 5) -> DataFrame:
+    """key, fold: rows in the order of (label, hash of the key) are dealt round, so that each class's folds differ by one row at most.
+
+    Rows without a label have no fold.
+    """
+    order = F.md5(F.col(key).cast("string"))
+    n = numbered(rows.where(F.col(label).isNotNull()).select(key, F.col(label).alias("of"), order.alias("order")), ["of", "order", key])
+    return n.select(key, (F.col("idx") % folds).cast("int").alias("fold"))
+
+
+def out_of_fold(rows: DataFrame, key: str, features: str, label: str, classes: list[str], folds: int = 5) -> DataFrame:
+    """key, fold, label, predicted_label, confidence: every labelled row scored by a model fitted on the other folds."""
+    dealt = stored(rows.join(stratified_folds(rows, key, label, folds), key).select(key, "fold", label, features), "folds")
+    out = None
+    for f in range(folds):
+        fitted = train_classifier(dealt.where(F.col("fold") != f), features, label, classes)
+        part = predicted(fitted, dealt.where(F.col("fold") == f), features, classes).drop(features)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -164,11 +164,13 @@ def settings_lists(spark, sf_dir):
     return e.select("event_id", F.array_join(X.int_grid(raw), ",").alias("grid"), F.array_join(X.comma_list(F.concat(F.lit(" ,"), "event_type", F.lit(" ,, "), "event_id")), ",").alias("items"))
 
 
-@query("SELECT doc_id, 1 AS n, CASE WHEN doc_id % 2 = 0 THEN lang END AS revision FROM documents")
+@query("SELECT doc_id, (doc_id % 5 + (doc_id % 2 = 0)::INT)::INT AS n, CASE WHEN doc_id % 2 = 0 THEN lang END AS revision FROM documents")
 def settings_maps(spark, sf_dir):
+    """Maps of different sizes in JSON; blank keys and null values go."""
     revision = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('"'), "lang", F.lit('"'))).otherwise("null")
-    m = X.string_map(F.concat(F.lit('{"a": "x", "": "blank", "revision": '), revision, F.lit("}")))
-    return documents(spark, sf_dir).select("doc_id", F.size(F.map_filter(m, lambda k, v: k == "a")).alias("n"), F.try_element_at(m, F.lit("revision")).alias("revision"))
+    own = F.transform(F.filter(F.sequence(F.lit(1), F.lit(4)), lambda i: i <= F.col("doc_id") % 5), lambda i: F.concat(F.lit('"k'), i, F.lit('": "'), F.col("doc_id") + i, F.lit('"')))
+    m = X.string_map(F.concat(F.lit("{"), F.array_join(F.concat(own, F.array(F.lit('"": "blank"'), F.concat(F.lit('"revision": '), revision))), ", "), F.lit("}")))
+    return documents(spark, sf_dir).select("doc_id", F.size(m).alias("n"), F.try_element_at(m, F.lit("revision")).alias("revision"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS at, round(value::DOUBLE, 0) AS ms FROM events")

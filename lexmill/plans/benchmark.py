@@ -273,3 +273,11 @@ def reference_gaps(spark, sf_dir):
     ref, a = documents(spark, sf_dir).where("doc_id % 2 = 0").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
     n = lambda df, k: df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n")
     return n(ref.join(a, "doc_id", "left_anti"), "missing").unionByName(n(a.join(ref, "doc_id", "left_anti"), "extra"))
+
+
+@query(rf"""WITH d AS (SELECT source, sha256(text) AS digest, min(doc_id) AS doc_id, any_value(length(text)) AS n_chars FROM documents WHERE len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) >= 30 GROUP BY ALL)
+SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars, digest) AS n FROM d) WHERE n <= 5""")
+def shortest_first_quota(spark, sf_dir):
+    """The five shortest different texts of thirty words or more of each source."""
+    enough = documents(spark, sf_dir).where(X.word_count("text") >= 30)
+    return B.shortest_first(enough, "source", "doc_id", "text", 5).withColumn("n_chars", F.col("n_chars").cast("bigint"))

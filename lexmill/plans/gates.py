@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..catalog import query, table
 from ..functions import text as X
+from ..operators import benchmark as B
 from ..operators import gates as G
 from ..operators import models
-from ..session import ship
+from ..session import children, file_status, scratch, ship
+from ..sources import files as S
 from .evaluation import BASE, labelled
 from .text import FK_SQL, documents
 
@@ -98,3 +100,39 @@ def frozen_embedding_classifier(spark, sf_dir):
 @query(f"SELECT item_id, {FK_SQL} AS grade FROM benchmark")
 def rewrite_grades(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", X.fk_grade("text").alias("grade"))
+
+
+@query("""WITH f AS (SELECT vec_id, (label < 5) AS positive, row_number() OVER (ORDER BY (label < 5)::VARCHAR, md5(vec_id::VARCHAR), vec_id) - 1 AS idx FROM embeddings)
+SELECT (idx % 5)::INT AS fold, count(*) AS n, count(*) FILTER (WHERE positive) AS n_positive, min(vec_id) AS first_id, sum(vec_id)::BIGINT AS id_sum FROM f GROUP BY idx % 5""")
+def calibration_folds(spark, sf_dir):
+    """Folds of equal classes for the calibration classifier."""
+    v = table(spark, sf_dir, "embeddings").withColumn("positive", (F.col("label") < 5).cast("string"))
+    f = models.stratified_folds(v, "vec_id", "positive").join(v.select("vec_id", "positive"), "vec_id")
+    return f.groupBy("fold").agg(F.count("*").alias("n"), F.count_if(F.col("positive") == "true").alias("n_positive"), F.min("vec_id").alias("first_id"), F.sum("vec_id").alias("id_sum"))
+
+
+@query()
+def calibration_classifier(spark, sf_dir):
+    """Out-of-fold accuracy of a class-balanced classifier of the vectors, fold by fold."""
+    v = table(spark, sf_dir, "embeddings").withColumn("positive", (F.col("label") < 5).cast("string"))
+    p = models.out_of_fold(v, "vec_id", "embedding", "positive", ["false", "true"])
+    return p.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg((F.col("positive") == F.col("predicted_label")).cast("double")), 3).alias("accuracy"))
+
+
+@query("""SELECT doc_id, list_filter([CASE WHEN doc_id % 7 = 0 THEN 'quality' END, CASE WHEN doc_id % 5 = 0 THEN 'evidence' END], lambda x: x IS NOT NULL) AS missing FROM labels WHERE doc_id % 7 = 0 OR doc_id % 5 = 0 ORDER BY doc_id LIMIT 5""")
+def gold_not_ready(spark, sf_dir):
+    """The first five labelled rows whose adjudication lacks something."""
+    i = F.col("doc_id")
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.when(i % 7 != 0, F.col("quality").cast("string")).alias("quality"), F.when(i % 5 != 0, F.concat(F.lit("c"), i)).otherwise(" ").alias("evidence"))
+    return B.not_ready(rows, "doc_id", ["quality", "evidence"])
+
+
+@query("""SELECT source AS variant, count(*) AS n, min(doc_id) AS first_id, (source NOT IN ('src0', 'src1'))::BOOLEAN AS written_by_second FROM documents GROUP BY source""")
+def resumed_variants(spark, sf_dir):
+    """Variants written one folder each; a run that ended after two goes on with the others only."""
+    path = scratch(spark, "variants")
+    rows = documents(spark, sf_dir).select("doc_id", F.col("source").alias("variant"))
+    S.write_missing_variants(rows.where("variant in ('src0', 'src1')"), path, "variant")
+    second = S.write_missing_variants(rows, path, "variant")
+    read = spark.read.option("basePath", path).parquet(*(p for p in children(spark, path) if file_status(spark, f"{p}/_SUCCESS")))
+    return read.groupBy("variant").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).withColumn("written_by_second", F.col("variant").isin(second))

@@ -77,27 +77,40 @@ def html_sections(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.html_text("html").alias("text"))
 
 
-@query()
+@query(r"""SELECT doc_id, array_to_string(list_concat([chr(10) || '## Part ' || source || chr(10)], list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> ''), lambda l: '[Part ' || source || '] ' || l)), chr(10)) AS text FROM documents""")
 def xml_sections(spark, sf_dir):
-    ship(spark)
-    para = F.regexp_replace(F.regexp_replace("text", "[&<>]", ""), "\n", "</P><P>")
-    xml = F.concat(F.lit("<DIV><HEAD>"), "source", F.lit("</HEAD><P>"), para, F.lit("</P></DIV>"))
+    """Documents marked up as a regulation's XML and read as lines under their heading."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&#62;"))
+    lines = F.transform(F.split(safe(F.col("text")), "\n"), lambda x: F.concat(F.lit("<P>"), x, F.lit("</P><!-- <P>no</P> -->")))
+    xml = F.concat(F.lit('<?xml version="1.0"?><DIV N="1"><HEAD>Part <I>'), safe(F.col("source")), F.lit("</I></HEAD>"), F.array_join(lines, "<PRTPAGE P='7'/>"), F.lit("</DIV>"))
     return documents(spark, sf_dir).select("doc_id", S.xml_text(xml).alias("text"))
 
 
-NLI_ROWS = [
-    ("a", "Q: May it be shared?\n\nContext: It may not be shared.", "Contradiction", None, None, None, None, None),
-    ("b", None, None, "Fees are due monthly.", "Fees are due.", "1", None, None),
-    ("c", None, None, "Fees are due monthly.", None, None, ["Fees exist.", "There are no fees.", " "], ["Entailment", "contradiction", None]),
-    ("d", "No marker here", "entailed", None, None, None, None, None),
-    ("e", None, None, "Fees are due monthly.", "Fees are due.", "entailment", None, None),
-]
-NLI_SCHEMA = "id string, input string, output string, premise string, hypothesis string, label string, hypotheses array<string>, labels array<string>"
+def turn_pairs(spark, sf_dir):
+    """id, turn, a, b: a turn of a conversation and the one after it."""
+    t = table(spark, sf_dir, "conversations")
+    after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    return t.join(after, ["conv_id", "turn"]).select(F.concat_ws(":", "conv_id", "turn").alias("id"), "turn", F.col("text").alias("a"), "b")
 
 
-@query()
+_PAIRS = "SELECT a.conv_id || ':' || a.turn AS id, a.turn, a.text AS a, b.text AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
+
+
+@query(f"""WITH p AS ({_PAIRS})
+SELECT * FROM (SELECT id AS source_id, trim(a) AS premise, trim(regexp_replace(b, '\\n+$', '')) AS hypothesis, 'contradiction' AS label FROM p WHERE turn % 4 = 0 UNION ALL SELECT id, trim(a), trim(b), 'entailment' FROM p WHERE turn % 4 = 1
+ UNION ALL SELECT id || '::0', trim(a), trim(b), 'entailment' FROM p WHERE turn % 4 = 2 UNION ALL SELECT id || '::1', trim(a), 'Not so: ' || trim(b), 'contradiction' FROM p WHERE turn % 4 = 2
+ UNION ALL SELECT id, trim(a), trim(substr(a, 1, 300)), 'neutral' FROM p WHERE turn % 4 = 3) WHERE premise <> '' AND hypothesis <> ''""")
 def nli_shape_union(spark, sf_dir):
-    return N.contract_pairs(spark.createDataFrame(NLI_ROWS, NLI_SCHEMA))
+    """Neighbouring turns in the three shapes of the corpora, made into pairs of one shape."""
+    p, kind = turn_pairs(spark, sf_dir), F.col("turn") % 4
+    of = lambda *ks: kind.isin(*ks)
+    rows = p.select(
+        "id",
+        F.when(of(0), F.concat(F.lit("Q: "), "b", F.lit("\n\nContext: "), "a")).when(of(3), F.col("a")).alias("input"), F.when(of(0), "Contradiction").when(of(3), "not mentioned").alias("output"),
+        F.when(of(1, 2), F.col("a")).alias("premise"), F.when(of(1), F.col("b")).alias("hypothesis"), F.when(of(1), "1").alias("label"),
+        F.when(of(2), F.array("b", F.concat(F.lit("Not so: "), F.trim("b")), F.lit(" "))).alias("hypotheses"), F.when(of(2), F.array(F.lit("Entailment"), F.lit("contradiction"))).alias("labels"),
+    )
+    return N.contract_pairs(rows)
 
 
 @query("""WITH c AS (SELECT a.conv_id, a.turn, a.text AS premise, b.text AS hypothesis, CASE (a.turn % 4)::INT WHEN 0 THEN 'entailment' WHEN 1 THEN 'neutral' WHEN 2 THEN 'contradiction' END AS label FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
@@ -111,32 +124,49 @@ def valid_unique_pairs(spark, sf_dir):
     return N.valid_unique_pairs(pairs.withColumn("label", label), ["conv_id", "turn"]).select("premise", "hypothesis", "label", "conv_id", "turn")
 
 
-QA_SCHEMA = "id string, question string, answer string, doc_name string, evidence_text string, evidence_lists struct<text:array<string>,doc_name:array<string>,page:array<string>>, evidence_items array<struct<text:string,doc_name:string,page:string>>"
-QA_ROWS = [
-    ("q1", "What fee?", "Ten.", "d1", "The fee is ten.", None, None), ("q2", "When?", "May.", None, None, (["Due in May.", "Late fees apply."], ["d2"], ["7", "x"]), None),
-    ("q3", "Who?", "The bank.", "d3", None, None, [("The bank pays.", None, "2"), (" ", None, None)]), ("q4", "Why?", " ", None, "No answer.", None, None), ("q5", "How?", "So.", None, None, None, None),
-]
-
-
-@query()
+@query("""WITH l AS (SELECT 'q' || doc_id AS id, doc_id % 4 AS k, trim('What of ' || source || '?') AS question, CASE WHEN doc_id % 8 = 7 THEN ' ' ELSE lang END AS answer, lang, string_split(text, chr(10)) AS ls FROM documents),
+ e AS (SELECT id, k, question, answer, lang, i, ls[1] AS t, CASE WHEN k = 0 THEN lang ELSE NULL END AS own, NULL::VARCHAR AS item_doc, NULL::VARCHAR AS page FROM l, (SELECT 0 AS i) WHERE k = 0
+  UNION ALL SELECT id, k, question, answer, lang, i, ls[i + 1], NULL, CASE WHEN i = 0 THEN lang END, CASE i WHEN 0 THEN '7' WHEN 1 THEN 'x' END FROM l, (SELECT unnest([0, 1, 2]) AS i) WHERE k IN (1, 2)
+  UNION ALL SELECT id, k, question, answer, lang, i, CASE WHEN i = 1 THEN ls[1] ELSE ' ' END, 'own', NULL, CASE WHEN i = 1 THEN '2' END FROM l, (SELECT unnest([0, 1]) AS i) WHERE k = 3)
+SELECT id AS example_id, question, trim(answer) AS answer, 'FB-' || substr(sha256(id || chr(0) || i || chr(0) || trim(t)), 1, 16) AS chunk_id, trim(t) AS text, coalesce(item_doc, own) AS doc_name, try_cast(page AS INTEGER) AS page FROM e WHERE trim(answer) <> '' AND trim(coalesce(t, '')) <> ''""")
 def qa_normalise_dedupe(spark, sf_dir):
-    return N.qa_examples(spark.createDataFrame(QA_ROWS, QA_SCHEMA)).dropDuplicates(["chunk_id"])
-
-
-REPLIES = [('```json\n{"items": [{"id": "a", "simplified": "x"}]}\n```',), ('Sure: [{"source_id": "b", "text": "y"}] done',), ('{"record_id": 3, "output": "z"}',), ("no json",), (None,)]
+    """Questions with evidence as a text, as parallel lists and as items, from the documents; each piece of evidence once."""
+    kind, ls = F.col("doc_id") % 4, F.split("text", "\n")
+    none = F.lit(None).cast("string")
+    rows = documents(spark, sf_dir).select(
+        F.concat(F.lit("q"), "doc_id").alias("id"), F.concat(F.lit(" What of "), "source", F.lit("? ")).alias("question"), F.when(F.col("doc_id") % 8 == 7, " ").otherwise(F.col("lang")).alias("answer"),
+        F.when(kind == 0, F.col("lang")).when(kind == 3, "own").alias("doc_name"), F.when(kind == 0, F.get(ls, F.lit(0))).alias("evidence_text"),
+        F.when(kind.isin(1, 2), F.struct(F.slice(ls, 1, 3).alias("text"), F.array("lang").alias("doc_name"), F.array(F.lit("7"), F.lit("x")).alias("page"))).alias("evidence_lists"),
+        F.when(kind == 3, F.array(F.struct(F.lit(" ").alias("text"), none.alias("doc_name"), none.alias("page")), F.struct(F.get(ls, F.lit(0)).alias("text"), none.alias("doc_name"), F.lit("2").alias("page")))).alias("evidence_items"),
+    )
+    return N.qa_examples(rows).dropDuplicates(["chunk_id"])
 
 
-@query()
+@query("""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'a' || conv_id WHEN 1 THEN 'b' || turn WHEN 2 THEN '3' END AS source_id, CASE WHEN turn % 4 < 3 THEN text END AS text FROM conversations""")
 def json_repair(spark, sf_dir):
+    """Turns wrapped as the replies of a service (fences, talk, envelopes, other names, no JSON), and their items read again."""
     ship(spark)
-    return spark.createDataFrame(REPLIES, "reply string").select("reply", F.explode_outer(S.reply_items("reply")).alias("item")).select("reply", "item.*")
+    kind = F.col("turn") % 4
+    item = lambda id_name, id_value, text_name: F.to_json(F.struct(id_value.alias(id_name), F.col("text").alias(text_name)))
+    reply = (
+        F.when(kind == 0, F.concat(F.lit('```json\n{"items": ['), item("id", F.concat(F.lit("a"), "conv_id"), "simplified"), F.lit("]}\n```")))
+        .when(kind == 1, F.concat(F.lit("Sure: ["), item("source_id", F.concat(F.lit("b"), "turn"), "text"), F.lit("] done")))
+        .when(kind == 2, item("record_id", F.lit(3), "output")).otherwise(F.concat(F.lit("no answer {"), "role"))
+    )
+    t = table(spark, sf_dir, "conversations")
+    return t.select("conv_id", "turn", F.explode_outer(S.reply_items(reply)).alias("item")).select("conv_id", "turn", "item.*")
 
 
-@query()
+@query("""WITH g AS (SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars, list_sort(list_distinct(list(lang))) AS langs FROM documents GROUP BY source)
+SELECT source AS artefact, 'size.docs' AS metric, n::VARCHAR AS value FROM g UNION ALL SELECT source, 'size.chars.sum', chars::VARCHAR FROM g UNION ALL SELECT source, 'langs', '[' || array_to_string(list_transform(langs, lambda l: '"' || l || '"'), ', ') || ']' FROM g
+ UNION ALL SELECT source, 'many', CASE WHEN n > 20 THEN 'true' ELSE 'false' END FROM g""")
 def consolidate_flatten(spark, sf_dir):
+    """Each source's figures as a nested artefact, flattened to dotted names."""
     ship(spark)
-    rows = [("eval", '{"rq1": {"sari": 54.0, "n": 3}, "taus": [0.3, 0.5], "rows": [{"a": 1}], "ok": true}'), ("cal", '{"ece": 0.1}')]
-    return spark.createDataFrame(rows, "artefact string, payload string").select("artefact", F.explode(S.flat_metrics("payload")).alias("m")).select("artefact", "m.*")
+    g = documents(spark, sf_dir).groupBy(F.col("source").alias("artefact")).agg(F.count("*").alias("docs"), F.sum("n_chars").alias("sum"), F.array_sort(F.collect_set("lang")).alias("langs"))  # a few languages
+    size = F.struct("docs", F.struct("sum").alias("chars"))
+    payload = F.to_json(F.struct(size.alias("size"), "langs", F.array(F.struct("docs")).alias("rows"), F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: i).alias("long"), (F.col("docs") > 20).alias("many")))
+    return g.select("artefact", F.explode(S.flat_metrics(payload)).alias("m")).select("artefact", "m.*")
 
 
 @query()
@@ -192,7 +222,22 @@ def softmax_temperature(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(p[0], 6).alias("p"))
 
 
-@query("SELECT attempt, least(0.1 + (attempt - 1) * 0.15, 0.7)::DOUBLE AS temperature, least(pow(2, attempt - 1), 8)::DOUBLE AS backoff FROM (SELECT unnest(range(1, 9)) AS attempt)")
+@query("SELECT conv_id, turn, least(0.1 + turn * 0.15, 0.7)::DOUBLE AS temperature, least(pow(2, turn), 8)::DOUBLE AS backoff, conv_id * 31 % 26 / 100.0::DOUBLE AS jitter FROM conversations")
 def retry_schedule(spark, sf_dir):
-    a = F.col("attempt")
-    return spark.range(1, 9).select(F.col("id").alias("attempt")).select("attempt", F.round(F.least(0.1 + (a - 1) * 0.15, F.lit(0.7)), 9).alias("temperature"), F.least(F.pow(F.lit(2.0), a - 1), F.lit(8.0)).alias("backoff"))
+    """Turns as attempts: rising temperature, and a wait that doubles up to a bound with a seeded jitter of a quarter at most."""
+    n = F.col("turn")
+    jitter = F.col("conv_id") * 31 % 26 / 100.0
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.round(F.least(0.1 + n * 0.15, F.lit(0.7)), 9).alias("temperature"), F.least(F.pow(F.lit(2.0), n.cast("double")), F.lit(8.0)).alias("backoff"), jitter.alias("jitter")
+    )
+
+
+@query("""WITH x AS (SELECT vec_id // 8 AS seq_id, CASE WHEN vec_id // 8 % 5 = 0 THEN 0 WHEN vec_id % 3 <> 0 THEN 1 ELSE 0 END AS m, i - 1 AS component, e::DOUBLE AS e FROM embeddings, unnest(embedding) WITH ORDINALITY AS u(e, i))
+SELECT seq_id, component::INT AS component, round(sum(m * e) / greatest(sum(m), 1), 6) + 0.0 AS pooled FROM x GROUP BY ALL""")
+def mean_pooled(spark, sf_dir):
+    """Eight vectors a sequence as its tokens, pooled under a mask; every fifth sequence is masked whole."""
+    i = F.col("vec_id")
+    keep = F.when(F.floor(i / 8) % 5 == 0, 0).when(i % 3 != 0, 1).otherwise(0)
+    tokens = table(spark, sf_dir, "embeddings").groupBy(F.floor(i / 8).cast("bigint").alias("seq_id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding", keep.alias("m")))).alias("t"))  # eight a sequence
+    pooled = X.mean_pool(F.transform("t", lambda x: x["embedding"]), F.transform("t", lambda x: x["m"]))
+    return tokens.select("seq_id", F.posexplode(pooled).alias("component", "x")).select("seq_id", "component", (F.round("x", 6) + 0.0).alias("pooled"))
