@@ -77,6 +77,37 @@ def clause_means(clauses: DataFrame) -> DataFrame:
     )
 
 
+#: Names of the same figure, new and old.
+ALIASES = (("unsupported_flag_rate", "hallucination_rate"), ("supported_attribution_coverage", "attribution_coverage"))
+
+
+def with_aliases(rows: DataFrame) -> DataFrame:
+    """Each of two names of a figure takes the other's value where it is null or missing."""
+    for pair in ALIASES:
+        have = [F.col(c) for c in pair if c in rows.columns]
+        rows = rows.withColumns({c: F.coalesce(*([F.col(c)] if c in rows.columns else []), *have) for c in pair})
+    return rows
+
+
+def clause_results(clauses: DataFrame, mode: str = "retrieved_chunk", tau: float = TAU) -> DataFrame:
+    """The clauses with means over their sentences; rates and coverages are null without sentences.
+
+    ``mean_faithfulness`` is the primary mean, or the source mean where that is null or 0.
+    """
+    said = F.transform("sentences", lambda s: F.struct(s["source"].alias("source"), s["regulatory"].alias("regulatory"), s["chunk_id"].alias("chunk_id"), primary(s["source"], s["regulatory"], mode, tau)["score"].alias("primary")))
+    c = clauses.withColumn("said", said)
+    n = F.nullif(F.size("said"), F.lit(0))
+    known = lambda f: F.filter("said", lambda s: s[f].isNotNull())
+    mean = lambda f: F.round(F.try_divide(F.aggregate(known(f), F.lit(0.0), lambda a, s: a + s[f]), F.size(known(f))), 6)
+    rate = lambda g: F.round(F.try_divide(F.size(F.filter("said", g)), n), 6)
+    out = c.withColumns({
+        "mean_source_faithfulness": mean("source"), "mean_regulatory_support": mean("regulatory"), "mean_primary_faithfulness": mean("primary"),
+        "unsupported_flag_rate": rate(lambda s: s["primary"] < tau), "supported_attribution_coverage": rate(lambda s: s["chunk_id"].isNotNull()),
+        "retrieval_coverage": F.when(n.isNotNull(), F.when(F.col("n_evidence") > 0, 1.0).otherwise(0.0)),
+    })
+    return with_aliases(out.withColumn("mean_faithfulness", F.coalesce(F.nullif("mean_primary_faithfulness", F.lit(0.0)), "mean_source_faithfulness"))).drop("said")
+
+
 def document_metrics(clauses: DataFrame) -> DataFrame:
     """One row per document: means weigh sentences, not clauses; counts and shares are of clauses."""
     flat = clauses.select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.*")

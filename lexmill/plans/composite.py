@@ -14,7 +14,7 @@ from ..operators import segment, stress, verify
 from ..operators.stages import StageStore, shared_stages
 from ..session import scratch, stored
 from . import contracts, evaluation, resampling, retrieval
-from .text import documents
+from .text import _NEG, _NUM, FK_SQL, SENTENCES_SQL, documents
 
 #: Report section -> (query, its metric columns).
 SECTIONS = {
@@ -77,17 +77,19 @@ def verdict_counts(spark, sf_dir):
     return consolidate_results(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
 
 
-def analyse(docs: DataFrame, chunks: DataFrame, top_j: int = 3, tau: float = P.TAU) -> DataFrame:
+def analyse(docs: DataFrame, chunks: DataFrame, top_j: int = 3, tau: float = P.TAU, suppress: bool = False) -> DataFrame:
     """Clause results of whole contracts: segment, rewrite, retrieve, label, verify, route.
 
-    One plan for all documents after the clauses are stored; models are their stand-ins.
+    One plan for all documents after the clauses are stored; models are their stand-ins.  With
+    ``suppress`` a rewrite that wasn't accepted doesn't go on: the clause itself stands for it.
     """
     cl = segment.fold_clauses(docs, ["doc_id"], "text").select(F.concat_ws("/", "doc_id", "clause_id").alias("clause_id"), "doc_id", "clause")
     cl = cl.withColumn("rewritten", X.split_long_clauses("clause")).withColumn("fk_grade", X.fk_grade("rewritten"))
-    cl = stored(cl, "clauses")
+    suppressed = (F.col("fk_grade") > 9) if suppress else F.lit(False)
+    cl = stored(cl.withColumn("suppressed", suppressed).withColumn("simplified", F.when(F.col("suppressed"), F.col("clause")).otherwise(F.col("rewritten"))), "clauses")
     found = R.bm25(cl.select(F.col("clause_id").alias("q_id"), F.col("clause").alias("text")), chunks.select("doc_id", "text"), top_j)
     ev = found.join(chunks, "doc_id").select(F.col("q_id").alias("clause_id"), "rank", F.col("doc_id").alias("chunk_id"), "text")
-    sentences = cl.select("clause_id", "clause", F.posexplode(X.sentences("rewritten")).alias("pos", "sentence"))
+    sentences = cl.select("clause_id", "clause", F.posexplode(X.sentences("simplified")).alias("pos", "sentence"))
     v = verify.verify(sentences, ev, tau, tau)
     per = v.groupBy("clause_id").agg(F.collect_list(F.struct("source", "regulatory", F.col("chunk_id").cast("string").alias("chunk_id"))).alias("sentences"))  # a clause's sentences
     counts = ev.groupBy("clause_id").agg(F.count("*").alias("n_evidence"))
@@ -96,14 +98,58 @@ def analyse(docs: DataFrame, chunks: DataFrame, top_j: int = 3, tau: float = P.T
     return cl.join(per, "clause_id", "left").join(counts, "clause_id", "left").select(
         "clause_id", "doc_id", label.alias("risk_label"), P.risk_score(label).alias("risk_score"), F.when(F.col("fk_grade") > 9, "needs_review").otherwise("accepted").alias("simplification_status"),
         X.critical_tokens_preserved("clause", "rewritten").alias("semantic_target_met"), F.coalesce("n_evidence", F.lit(0).cast("bigint")).alias("n_evidence"), "fk_grade", F.coalesce("sentences", empty).alias("sentences"),
+        "simplified", F.col("suppressed").alias("simplification_suppressed"),
     )
 
 
-@query()
-def analyse_document(spark, sf_dir):
+_CLAUSE_RULES = contracts._rules_sql("clause")
+_REWRITE = catalog._oracles["clause_split_rewrite"].removeprefix("SELECT doc_id, ").removesuffix(" AS rewritten FROM documents")
+_SHARED = "round(coalesce(len(list_intersect({0}, {1})) / nullif(len({0}), 0), 0), 9)"
+#: Clauses of all documents, analysed: cs (sentences), ca (a row a clause), cr (with the strict policy's reasons).
+ANALYSED = f"""cf AS (SELECT doc_id || '/' || clause_id AS clause_id, doc_id, clause FROM ({catalog._oracles["clause_segmentation_fold"]})),
+ rw AS MATERIALIZED (SELECT clause_id, doc_id, clause, {_REWRITE} AS rewritten FROM (SELECT *, clause AS text FROM cf)),
+ {retrieval.bm25_sql("SELECT clause_id AS q_id, clause AS text FROM rw").replace("FROM documents", "FROM (SELECT item_id AS doc_id, text FROM benchmark)")},
+ bw AS (SELECT item_id, list_distinct({retrieval._TOK.format("text")}) AS words FROM benchmark), ev AS MATERIALIZED (SELECT q_id AS clause_id, rank, rk.doc_id AS chunk_id, words FROM rk JOIN bw ON bw.item_id = rk.doc_id WHERE rank <= 3),
+ s0 AS (SELECT clause_id, doc_id, list_distinct({retrieval._TOK.format("clause")}) AS cw, pos, list_distinct({retrieval._TOK.format("s")}) AS sw FROM (SELECT *, {SENTENCES_SQL} AS ss FROM (SELECT *, rewritten AS text FROM rw)), unnest(ss) WITH ORDINALITY AS t(s, pos)),
+ s1 AS (SELECT s0.clause_id, s0.doc_id, pos, {_SHARED.format("sw", "cw")} AS source, chunk_id, rank, CASE WHEN chunk_id IS NOT NULL THEN {_SHARED.format("sw", "words")} END AS sc FROM s0 LEFT JOIN ev USING (clause_id)),
+ cs AS (SELECT clause_id, doc_id, pos, source, max(sc) AS regulatory, CASE WHEN max(sc) >= {P.TAU} THEN arg_max(chunk_id, (sc, -rank)) END AS chunk_id FROM s1 GROUP BY clause_id, doc_id, pos, source),
+ cg AS (SELECT clause_id, count(*) AS n, count(*) FILTER (WHERE source < {P.LOW_ENTAILMENT}) AS low, count(*) FILTER (WHERE abs(source - regulatory) >= {P.CONFLICT_GAP}) AS conflict, count(chunk_id) AS attributed FROM cs GROUP BY clause_id),
+ ce AS (SELECT clause_id, count(*) AS n_evidence FROM ev GROUP BY clause_id),
+ ca AS (SELECT rw.clause_id, doc_id, clause, rewritten, risk_label, {contracts._SCORES.format("risk_label")} AS risk_score, fk_grade, CASE WHEN fk_grade > 9 THEN 'needs_review' ELSE 'accepted' END AS simplification_status, semantic_target_met, coalesce(n_evidence, 0) AS n_evidence, low, conflict, attributed
+  FROM (SELECT *, {_CLAUSE_RULES} AS risk_label, {FK_SQL} AS fk_grade, len(list_filter({_NUM.format("rewritten")}, lambda x: NOT list_contains({_NUM.format("clause")}, x))) = 0 AND {_NEG.format("clause")} = {_NEG.format("rewritten")} AS semantic_target_met FROM (SELECT *, rewritten AS text FROM rw)) rw
+  LEFT JOIN cg USING (clause_id) LEFT JOIN ce USING (clause_id)),
+ cr AS (SELECT *, list_filter([CASE WHEN simplification_status = 'needs_review' THEN 'SIMPLIFICATION_GATE_FAILED' END, CASE WHEN risk_label = 'Needs Review' THEN 'RISK_ABSTENTION' END, CASE WHEN low > 0 THEN 'LOW_SOURCE_ENTAILMENT' END,
+  CASE WHEN n_evidence > 0 AND coalesce(attributed, 0) = 0 THEN 'MISSING_REGULATORY_ATTRIBUTION' END, CASE WHEN semantic_target_met = false THEN 'CRITICAL_FACT_CHANGED' END, CASE WHEN conflict > 0 THEN 'EVIDENCE_CONFLICT' END, CASE WHEN risk_score >= {P.HIGH_RISK} THEN 'HIGH_IMPACT_RISK' END], lambda x: x IS NOT NULL) AS reasons FROM ca)"""
+_DOCUMENT = f"""sd AS (SELECT doc_id, count(*) AS sentence_count, count(*) FILTER (WHERE coalesce(regulatory, 0) < {P.TAU}) AS unsupported_sentence_count, round(avg(source), 6) AS mean_source_faithfulness, round(avg(regulatory), 6) AS mean_regulatory_support,
+ round(avg((coalesce(regulatory, 0) < {P.TAU})::INT), 6) AS unsupported_flag_rate, round(avg((chunk_id IS NOT NULL)::INT), 6) AS supported_attribution_coverage FROM cs GROUP BY doc_id)
+SELECT doc_id, count(*) AS clause_count, count(*) FILTER (WHERE risk_label NOT IN ('Safe', 'Needs Review')) AS risky_clause_count, count(*) FILTER (WHERE risk_label = 'Needs Review') AS needs_review_count, count(*) FILTER (WHERE simplification_status = 'needs_review') AS simplification_review_count,
+ round(avg((n_evidence > 0)::INT), 6) AS retrieval_coverage, round(avg(fk_grade), 6) AS mean_fk_grade, round(avg((fk_grade <= 8)::INT), 6) AS pct_fk_le_8, round(avg((fk_grade <= 9)::INT), 6) AS pct_fk_le_9, round(avg(semantic_target_met::INT), 6) AS pct_semantic_target_met,
+ count(*) FILTER (WHERE len(reasons) > 0) AS routed_clause_count, coalesce(any_value(sentence_count), 0) AS sentence_count, coalesce(any_value(unsupported_sentence_count), 0) AS unsupported_sentence_count, any_value(mean_source_faithfulness) AS mean_source_faithfulness,
+ any_value(mean_regulatory_support) AS mean_regulatory_support, any_value(unsupported_flag_rate) AS unsupported_flag_rate, any_value(supported_attribution_coverage) AS supported_attribution_coverage FROM cr LEFT JOIN sd USING (doc_id) GROUP BY doc_id"""
+
+
+#: The same with unaccepted rewrites suppressed.
+SUPPRESSED = ANALYSED.replace("FROM (SELECT *, rewritten AS text FROM rw)), unnest(ss)", f"FROM (SELECT * EXCLUDE (text, g), CASE WHEN g > 9 THEN clause ELSE rewritten END AS text FROM (SELECT *, {FK_SQL} AS g FROM (SELECT *, rewritten AS text FROM rw)))), unnest(ss)")
+
+
+def _analysed(spark, sf_dir, suppress=False):
     chunks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    short = documents(spark, sf_dir).select("doc_id", "text")
-    return P.document_metrics(P.routed(analyse(short, chunks), "strict_policy"))
+    return analyse(documents(spark, sf_dir).select("doc_id", "text"), chunks, suppress=suppress)
+
+
+@query(f"WITH {ANALYSED}, {_DOCUMENT}")
+def analyse_document(spark, sf_dir):
+    return P.document_metrics(P.routed(_analysed(spark, sf_dir), "strict_policy"))
+
+
+@query(f"""WITH {SUPPRESSED}, cm AS (SELECT clause_id, count(*) AS n, round(avg(source), 6) AS ms, round(avg(regulatory), 6) AS mr, round(avg(coalesce(regulatory, 0)), 6) AS mp, round(avg((coalesce(regulatory, 0) < {P.TAU})::INT), 6) AS bad, round(avg((chunk_id IS NOT NULL)::INT), 6) AS att FROM cs GROUP BY clause_id)
+SELECT clause_id, fk_grade > 9 AS simplification_suppressed, substr(sha256(CASE WHEN fk_grade > 9 THEN clause ELSE rewritten END), 1, 12) AS simplified_digest, ms AS mean_source_faithfulness, mr AS mean_regulatory_support, mp AS mean_primary_faithfulness, coalesce(nullif(mp, 0), ms) AS mean_faithfulness,
+ bad AS unsupported_flag_rate, bad AS hallucination_rate, CASE WHEN n > 0 THEN (n_evidence > 0)::INT::DOUBLE END AS retrieval_coverage, att AS supported_attribution_coverage, att AS attribution_coverage FROM ca LEFT JOIN cm USING (clause_id)""")
+def clause_results(spark, sf_dir):
+    """Every clause's result with unaccepted rewrites suppressed and old names filled."""
+    r = P.clause_results(_analysed(spark, sf_dir, suppress=True))
+    means = [f"mean_{c}" for c in ("source_faithfulness", "regulatory_support", "primary_faithfulness", "faithfulness")]
+    return r.select("clause_id", "simplification_suppressed", X.sha_prefix("simplified", 12).alias("simplified_digest"), *means, "unsupported_flag_rate", "hallucination_rate", "retrieval_coverage", "supported_attribution_coverage", "attribution_coverage")
 
 
 @query(f"""WITH {retrieval.bm25_sql()}, {retrieval.GOLD}, v AS (SELECT 'full' AS variant, q_id, doc_id, rank FROM rk UNION ALL SELECT 'top_1', q_id, doc_id, rank FROM rk WHERE rank <= 1 UNION ALL SELECT 'top_3', q_id, doc_id, rank FROM rk WHERE rank <= 3),
