@@ -28,7 +28,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .workspace import materialize
+from .workspace import materialize, unused
 
 BUCKETS = 1024
 
@@ -106,28 +106,30 @@ def schedule(docs: DataFrame, shares: Shares, block_rows: int) -> DataFrame:
 
 
 def mixed(docs: DataFrame, shares: Shares, block_rows: int) -> DataFrame:
-    """All rows and columns of ``docs``, sorted in the order of the mix."""
-    plan = schedule(docs, shares, block_rows).select(F.col("doc_id").alias("__mix_id"), F.col("slot").alias("__mix_slot"), F.col("place").alias("__mix_place"))
-    once = materialize(plan.groupBy("__mix_id").agg(F.min(F.struct("__mix_slot", "__mix_place")).alias("__mix_at")), "mix-order")
+    """All rows and columns of ``docs``, whatever their names, sorted in the order of the mix."""
+    name, at = unused(docs, "mix_id"), unused(docs, "mix_at")
+    plan = schedule(docs, shares, block_rows).select(F.col("doc_id").alias(name), F.struct("slot", "place").alias(at))
+    once = materialize(plan.groupBy(name).agg(F.min(at).alias(at)), "mix-order")
     # The order grows with the corpus: it is merged at every size, never sent to all tasks.
-    return docs.join(once.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("__mix_id")), "left").sort("__mix_at").select(*docs.columns)
+    return docs.join(once.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col(name)), "left").sort(at).select(*docs.columns)
 
 
 def with_position(docs: DataFrame) -> DataFrame:
-    """Adds position, from 0, in the order that ``mixed`` gave the rows.
+    """Adds position, from 0, in the order that ``mixed`` gave the rows; it replaces a column of that name.
 
     Reading packs files by size, so rows don't come back in order; but a sorted table's
     files are numbered in it, and each holds its rows in it.  A table that wasn't read
     from files is in its own order.
     """
+    part, file, row, before = (unused(docs, n) for n in ("part_no", "file_name", "row_no", "rows_before"))
     try:
         name = F.col("_metadata.file_name")
-        placed = docs.select("*", F.regexp_extract(name, r"part-(\d+)", 1).cast("int").alias("__part"), name.alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        placed = docs.select("*", F.regexp_extract(name, r"part-(\d+)", 1).cast("int").alias(part), name.alias(file), F.col("_metadata.row_index").alias(row))
         placed.schema  # noqa: B018  (fails here where there are no files)
     except AnalysisException:
         at = F.monotonically_increasing_id()
-        placed = docs.select("*", F.shiftright(at, 33).cast("int").alias("__part"), F.lit("").alias("__file"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("__row"))
-    before = Window.orderBy("__part", "__file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("__part", "__file").agg(F.count("*").alias("n")).select("__part", "__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))  # a row per file
-    joined = placed.join(F.broadcast(offsets), ["__part", "__file"])
-    return joined.select(*docs.columns, (F.col("__before") + F.col("__row")).alias("position"))
+        placed = docs.select("*", F.shiftright(at, 33).cast("int").alias(part), F.lit("").alias(file), at.bitwiseAND(F.lit((1 << 33) - 1)).alias(row))
+    earlier = Window.orderBy(part, file).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(part, file).agg(F.count("*").alias("n")).select(part, file, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))  # a row per file
+    joined = placed.join(F.broadcast(offsets), [part, file])
+    return joined.select(*(c for c in docs.columns if c.lower() != "position"), (F.col(before) + F.col(row)).alias("position"))

@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sieve import Sieve, may_hold
-from .workspace import materialize, small_batches
+from .workspace import materialize, small_batches, unused
 
 TREES, DEPTH, MIN_DEPTH, REGION = 16, 8, 3, 128
 SIGMAS = 4.5
@@ -438,8 +438,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` but those whose component keeps another document; all columns."""
-    gone = materialize(near_duplicates(docs, words, num, den).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "forest-gone")
-    maybe = Sieve(gone, "__gone").column(F.col("doc_id"))
-    tested = docs.where(maybe).join(gone.hint("shuffle_merge"), F.col("doc_id").cast("bigint") == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` but those whose component keeps another document; all columns, whatever their names."""
+    name = unused(docs, "gone")
+    gone = materialize(near_duplicates(docs, words, num, den).where("not kept").select(F.col("doc_id").alias(name)).distinct(), "forest-gone")
+    maybe = Sieve(gone, name).column(F.col("doc_id"))
+    tested = docs.where(maybe).join(gone.hint("shuffle_merge"), F.col("doc_id").cast("bigint") == F.col(name), "left_anti")
     return docs.where(~maybe).unionByName(tested)

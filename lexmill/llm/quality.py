@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import materialize, small_batches
+from .workspace import materialize, small_batches, unused
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 SYMBOLS = b"#*$%&|<>"
@@ -175,7 +175,7 @@ def quality_filter(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     as the fence table (a row per lang and source) is small enough for Spark to
     send it to the tasks.
     """
-    p = "__quality_"
+    p = unused(docs, "quality_of")
     counted = with_counts(docs, ["lang", "source"])
     fences = materialize(thresholds(counted, min_group), "quality-fences")
     judged = _judged(with_counts(docs, docs.columns, p), fences, p)

@@ -8,9 +8,13 @@ number of shards.  A cell can be cut inside as long as it holds more than one gr
 this bounds the least capacity of the groups from both sides; the cells in which a cut
 can lie under these bounds, and those of an eighth of a shard or more, are then split by
 STEP_BITS more bits, and the search runs again, until only single groups stand where a
-cut can lie.  The capacity is then the least there is, and the line is cut there.  A
+cut can lie.  The capacity is then the least there is.  A
 round reads the groups' sums once and sends the driver some thousands of numbers.
 
+Greedy filling would leave all slack to the last shards.  A second search finds the largest
+size that the smallest shard can have under that capacity with no shard empty, and of the cuts
+that keep both bounds those nearest to even shares are taken.
+
 A group larger than an even share can't be balanced without tearing equal texts
 apart: such giants (fewer than ``n_shards`` can exist) get a shard of their own
 and the other groups are cut over the shards that are left.
@@ -26,6 +30,7 @@ from bisect import bisect_right
 from itertools import accumulate
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +89,44 @@ def minimax_cuts(sizes: list[int], shards: int) -> list[int]:
     return greedy_cuts(ends, low)
 
 
+def level_cuts(sizes: list[int], shards: int) -> list[int]:
+    """Cuts with the least largest part and, under that, the largest smallest part, as near to even shares as these allow.
+
+    With fewer sizes than shards each has a part of its own.  For each number of parts the ends that
+    they can have are marked, over all ends at once; the search over the smallest part asks whether the last end is marked.
+    """
+    if not sizes:
+        return []
+    greedy = minimax_cuts(sizes, shards)
+    parts = min(shards, len(sizes))
+    ends = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
+    largest = max(int(ends[b] - ends[a]) for a, b in zip([0, *greedy], greedy, strict=False))
+    total, at = int(ends[-1]), np.arange(len(ends))
+    first = np.searchsorted(ends, ends - largest, "left")
+
+    def marked(smallest: int) -> list[np.ndarray] | None:
+        last = np.minimum(np.searchsorted(ends, ends - smallest, "right"), at)  # no part is empty
+        found, open_ = [], at == 0
+        for _ in range(parts):
+            before = np.concatenate([[0], np.cumsum(open_)])
+            open_ = before[np.maximum(first, last)] > before[first]
+            found.append(np.packbits(open_))
+        return found if open_[-1] else None
+
+    low, high = 0, total // parts
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if marked(mid) else (low, mid - 1)
+    found = marked(low)
+    cuts = [len(sizes)]
+    for i in range(parts - 1, 0, -1):
+        end = ends[cuts[0]]
+        can = np.flatnonzero(np.unpackbits(found[i - 1])[: len(ends)])
+        can = can[(ends[can] >= end - largest) & (ends[can] <= end - low) & (can < cuts[0])]
+        cuts.insert(0, int(can[np.argmin(np.abs(ends[can] * parts - i * total))]))
+    return cuts
+
+
 def _reach(cells: list[Cell], ends: list[int], capacity: int, shards: int, into: bool) -> list[int]:
     """The cell at which each greedy cut of ``capacity`` comes to stand: at the earliest, or (``into``) at the latest.
 
@@ -140,14 +183,14 @@ def minimax_cells(groups: DataFrame, shards: int) -> list[int]:
             inside = groups.join(F.broadcast(asked), F.shiftright("key", KEY_BITS - bits) == F.col("prefix"), "left_semi")
             finer += _cells(inside, min(KEY_BITS, bits + STEP_BITS))
         cells = sorted([c for i, c in enumerate(cells) if i not in found] + finer, key=lambda c: c.last_key)
-    return [cells[c - 1].last_key for c in minimax_cuts([c.bytes for c in cells], shards)]
+    return [cells[c - 1].last_key for c in level_cuts([c.bytes for c in cells], shards)]
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of ``docs``.
 
     law is ``bytes``: the largest shard is as small as contiguous cuts between groups of
-    equal texts allow.  ``slot`` numbers a shard's rows from 0 without gaps; it is counted
+    equal texts allow, and then the smallest as large.  ``slot`` numbers a shard's rows from 0 without gaps; it is counted
     per (shard, hash bucket) and shifted by the counts of the buckets before, so no task
     holds a whole shard.
     """

@@ -34,6 +34,13 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -
             spark.conf.set(key, str(most))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes for no column of ``docs`` to begin with it."""
+    while any(c.lower().startswith(name.lower()) for c in docs.columns):
+        name += "_"
+    return name
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
