@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
-MODULES = ("text", "retrieval", "evaluation", "resampling", "benchmark", "contracts", "ingestion", "streams", "gates", "composite", "artefacts", "answers")
+MODULES = ("text", "retrieval", "evaluation", "resampling", "benchmark", "contracts", "ingestion", "streams", "gates", "composite", "artefacts", "answers", "whole")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -126,3 +126,27 @@ def test_rows_that_are_not_ready(spark):
     df = spark.createDataFrame([(i, None if i % 2 else "x", " " if i % 3 == 0 else "y") for i in range(20)], "k int, a string, b string")
     got = benchmark.not_ready(df, "k", ["a", "b"]).collect()
     assert [(r["k"], r["missing"]) for r in got] == [(0, ["b"]), (1, ["a"]), (3, ["a", "b"]), (5, ["a"]), (6, ["b"])]
+
+
+def test_parser_evaluation_scores_what_the_greedy_choice_takes(spark, tmp_path):
+    """The whole run over files, against picking the best pair of a document again and again."""
+    from lexmill.plans.whole import parser_evaluation
+    from tests.test_matching import plain
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 900").limit(25)
+    docs.coalesce(2).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in parser_evaluation(spark, f"file://{tmp_path}").collect()}
+    import re
+
+    pooled = [0, 0, 0]
+    for r in docs.collect():
+        lines = [f"{i + 1}. {x}" for i, x in enumerate(x for x in r["text"].split("\n") if x.strip())]
+        gold = [re.sub(r"(\S+ \S+ \S+ )th", r"\1h", x).strip() for x in lines]
+        row = got[r["doc_id"]]
+        assert row["n_gold"] == len(gold)
+        if row["n_predicted"] == len(lines):  # else headings or short lines were folded
+            clean = [" ".join(x.split()) for x in lines]
+            assert row["matched"] == len(plain(clean, gold, 0.85))
+        pooled = [a + row[c] for a, c in zip(pooled, ("matched", "n_predicted", "n_gold"), strict=True)]
+    total = got[None]
+    assert [total["matched"], total["n_predicted"], total["n_gold"]] == pooled and pooled[0] > 20
