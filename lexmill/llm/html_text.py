@@ -55,7 +55,9 @@ _HUMP = re.compile(r"([a-z])([A-Z])")
 # Element names by what they mean for the text.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 FURNITURE = {"nav", "footer", "header", "aside"}
-NEVER = {"form", "template", "svg", "math", "button", "select", "dialog", "menu", "object", "canvas", "audio", "video", "head", "datalist", "fieldset", "label"}
+NEVER = {"form", "template", "dialog", "menu", "head", "fieldset"}
+#: Left out like NEVER, but standing inside a line: what is before and after belongs together.
+INLINE = {"svg", "button", "select", "canvas", "audio", "video", "object", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "option", "legend"}
 HOLDER = {"div", "section", "td", "details", "blockquote", "center"}
@@ -68,7 +70,9 @@ LINKED = set("related recommended recommendations share sharing social trending
 PARTS = set("header banner foot side search form dialog widget widgets alert notification notifications skip aside".split())
 TEXT = set("content article post entry body main story text".split())
 #: Words that say nothing about what an element is.
-PLAIN = set("site page pages posts articles stories blog home my new the js id user reader web section area box block container wrapper wrap inner outer holder list item items row col column panel region zone slot unit module group link links bar top bottom left right upper lower primary secondary global local mobile desktop small large big wide inline sticky fixed float dropdown toggle icon icons button buttons".split())
+PLAIN = set("google gpt dfp div cta site page pages posts articles stories blog home my new the js id user reader web section area box block container wrapper wrap inner outer holder list item items row col column panel region zone slot unit module group link links bar top bottom left right upper lower primary secondary global local mobile desktop small large big wide inline sticky fixed float dropdown toggle icon icons button buttons".split())
+#: Words for readers' comments, which name an article element too.
+COMMENTS = set("comment comments commentlist disqus respond".split())
 #: Words that make a name a state of the page, such as has-sidebar or comments-open.
 STATES = set("has have no with without is not open opened closed enabled disabled visible active layout".split())
 
@@ -94,22 +98,31 @@ class Page:
 
 
 def box_kind(name: str, attrs: str, inside_article: bool) -> str:
-    """box, furniture, linked (a box if its text is links), or nothing."""
+    """box, furniture, inline, linked (a box if its text is links), or nothing.
+
+    Inside an article the id of a section is the anchor of its heading, and names of article
+    elements say what they are about: of both only the words for comments count.
+    """
     if name in NEVER:
         return "box"
     if name in FURNITURE:
         return "" if name == "header" and inside_article else "furniture"
-    if not attrs or name in CONTAINER or name in ("body", "html") or name[0] == "h" and name[1:].isdigit():
+    if name in INLINE:
+        return "inline"
+    if not attrs or name in ("main", "body", "html") or name[0] == "h" and name[1:].isdigit():
         return ""
     if _HIDDEN.search(attrs):
         return "box"
     found = ""
     for m in _HINT.finditer(attrs):
+        anchor = name == "article" or name == "section" and inside_article and m[0].lstrip()[:2].lower() == "id"
         for said in (m[1] or m[2] or m[3] or "").split():
-            words = [w.lower() for w in _WORD.findall(_HUMP.sub(r"\1 \2", said))]
+            words = [w.lower() for w in _WORD.findall(_HUMP.sub(r"\1 \2", said)) if len(w) > 1]
             if not words or words[0] in STATES or words[-1] in STATES:
                 continue
             sure, linked, part = BOXES.intersection(words), LINKED.intersection(words), PARTS.intersection(words)
+            if anchor and not COMMENTS.intersection(words):
+                continue
             if not (sure or linked or part) or set(words) - BOXES - LINKED - PARTS - TEXT - PLAIN:
                 continue
             if sure or part and not TEXT.intersection(words):
@@ -258,12 +271,13 @@ def read_page(html: str, hints: bool = True) -> Page:
                         break
             continue
         kind = box_kind(name, attrs if hints else "", bool(containers))
-        if kind in ("box", "furniture"):
+        if kind in ("box", "furniture", "inline"):
             if not attrs.endswith("/"):
-                flush()
+                if kind != "inline":
+                    flush()
                 skip.append(name)
                 skipped[name] += 1
-                leaves = WINDOW if kind == "furniture" else 1
+                leaves = {"furniture": WINDOW, "box": 1, "inline": 0}[kind]
             continue
         if name in CONTAINER:
             if not containers:

@@ -89,3 +89,31 @@ def test_edge_tables(spark):
     want = [(1, "u", "", 0), (2, None, "", 0), (None, None, "", 0), *[(4, "v", lines(LONG), len(lines(LONG)))] * 2]
     assert sorted(map(tuple, extract_main_text(df).collect()), key=str) == sorted(want, key=str)
     assert extract_main_text(df.limit(0)).collect() == []
+
+
+def test_inline_elements_do_not_cut_a_block():
+    assert main_text(f"<article><p>{LONG}</p><p>Text <label>important</label> more</p></article>") == lines(LONG, "Text important more")
+    page = f"<article><p>{LONG}</p><p>The value <math><mi>x</mi></math> is <select><option>one</option></select> set <button>now</button>here.</p></article>"
+    assert main_text(page) == lines(LONG, "The value x is set here.")
+    assert main_text(f"<article><p>{LONG} and <svg><text>no</text></svg>on.</p><form><label>Name</label><input></form></article>") == lines(LONG + "and on.")
+
+
+@pytest.mark.parametrize("name", ["copyright", "replies", "cookies", "advertising", "modal", "search", "menu", "promotion"])
+@pytest.mark.parametrize("around", ["article", "main"])
+def test_section_ids_inside_articles_are_anchors(name, around):
+    p = "It has three sentences. Each of them says something about it. None is a menu."
+    page = f"<{around}><p>{LONG}</p><section id='{name}'><h2>On {name}</h2><p>{p}</p></section></{around}>"
+    assert main_text(page) == lines(LONG, f"On {name}", p)
+
+
+def test_comment_articles_are_left_out():
+    said = "<p>I don't think that this is so, and neither does my neighbour who told me.</p>"
+    assert main_text(f"<main><p>{LONG}</p><article class='comment'>{said}</article><article class='comment-body' id='comment-7'>{said}</article></main>") == lines(LONG)
+    assert main_text(f"<article><p>{LONG}</p></article><section id='comments'><article class='comment'>{said}</article></section>") == lines(LONG)
+    assert main_text(f"<main><p>{LONG}</p><section id='comments'>{said}</section></main>") == lines(LONG)
+    assert main_text(f"<article class='post sidebar-post'><p>{LONG}</p></article>") == lines(LONG)
+
+
+@pytest.mark.parametrize("hint", ["class='c-ad'", "id='google_ads_1'", "id='div-gpt-ad-1'", "class='newsletter-cta'"])
+def test_names_of_adverts(hint):
+    assert main_text(f"<article><p>{LONG}</p><div {hint}><p>Buy this now, it is the best of all.</p></div><p>End.</p></article>") == lines(LONG, "End.")
