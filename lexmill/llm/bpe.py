@@ -3,17 +3,20 @@
 The merges are given as token ranks.  Two tokens may stand next to each other in
 an encoding exactly if encoding their joined bytes gives the two back, and an
 encoding is correct exactly if all its neighbours may.  So the last token of the
-encoding of every prefix is fixed, and a transducer can read bytes from left to
-right keeping, since the last settled token boundary, the bytes read and the last
-token of each prefix.  A boundary is settled as soon as every way the input may go
-on (a token that is a strict prefix of a vocabulary entry is still open) passes
-through it; its tokens are emitted then, after a lookahead of at most the longest
-token.  States and arcs are made when first taken: every byte of every piece is a step of
-the transducer.  The first KEPT_ARCS new arcs of a piece are kept in a table of MAX_ARCS
-arcs, which is emptied when it is full.  Pieces met lately keep their ids.
+encoding of every prefix is fixed, and it is the transducer's output for the byte that ends the prefix.
+
+A state is what the last tokens of longer prefixes depend on: every place from which the
+bytes so far are a strict prefix of a vocabulary entry, as the entry's place in the trie of the vocabulary
+and the token before it, and the last token itself.  What lies further back isn't part of it, so the
+same states come back all the time: of the bytes of new words nine in ten take an arc that
+is there already.  States and arcs are made when first taken and kept in a table of MAX_ARCS
+arcs, which is emptied when it is full; every byte of every piece that isn't a token is a step of it.
+
+Ids are emitted after a bounded lookahead: at the end of a piece, and in long pieces every
+LOOKAHEAD bytes, up to the last boundary through which the ways back from the end and from all open places pass.
 
 Pieces (the matches of the split pattern) are encoded one by one; a piece that is
-itself a token is that token, as the rank format defines.
+itself a token is that token, as the rank format defines, and pieces met lately keep their ids.
 
 Decoding joins token bytes, and an incremental UTF-8 machine turns them into text
 chunk by chunk: it holds back at most three bytes of an unfinished character.
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .workspace import small_batches
 
-MAX_ARCS, KEPT_ARCS, MAX_PIECES = 200_000, 1, 250_000
+MAX_ARCS, MAX_PIECES = 600_000, 250_000
 LOOKAHEAD = 64
 
 
@@ -56,34 +59,49 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Byte transducer of one vocabulary; arcs are determinised lazily.
 
-    A state is (token before the settled boundary, bytes since, last token of each
-    prefix since, places from which the rest is open).  It is held as the dict of its arcs, byte -> (dict of the target,
-    ids settled), with the state itself under STATE and the ids that end the input
-    there under END.
+    Arcs are held as (state, byte) -> (state after it, rank of the last token), each packed into an integer.
     """
 
-    STATE, END = -1, -2
-    OPEN, TOKEN = 1, 2
+    NONE = -1
 
     def __init__(self, ranks: dict[bytes, int], max_arcs: int = MAX_ARCS) -> None:
         self.ranks, self.max_arcs = ranks, max_arcs
-        #: What bytes are: OPEN, a strict prefix of a token; TOKEN, a token; both.
-        self.kind = dict.fromkeys(ranks, self.TOKEN)
-        for t in ranks:
-            for i in range(1, len(t)):
-                self.kind[t[:i]] = self.OPEN | (t[:i] in ranks and self.TOKEN)
-        self._may: dict[tuple[bytes, bytes], bool] = {}
+        self.token = {r: t for t, r in ranks.items()}
+        self.length = {r: len(t) for t, r in ranks.items()}
+        self.bits = max(ranks.values(), default=0).bit_length()
+        #: The trie: (node, byte) -> node; of each node its rank, its depth, and whether it is open.
+        self.child: dict[int, int] = {}
+        self.rank_at, self.depth, self.open = [self.NONE], [0], [True]
+        for t, r in ranks.items():
+            node = 0
+            for i, byte in enumerate(t, 1):
+                self.open[node] = True
+                node = self.child.setdefault(node << 8 | byte, len(self.depth))
+                if node == len(self.depth):
+                    self.rank_at.append(self.NONE)
+                    self.depth.append(i)
+                    self.open.append(False)
+            self.rank_at[node] = r
+        self._may: dict[int, bool] = {}
         self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._edge: dict[tuple[bytes, int], list[tuple[bytes, float]]] = {}
-        self.states: dict[tuple[bytes, bytes], dict] = {}  # by (before, pending): they fix the last tokens
-        self.n_arcs = 0
-        self.start = self._at((b"", b"", (), ()))
+        self._empty()
 
-    def _at(self, state: tuple) -> dict:
-        known = self.states.get(state[:2])
-        if known is None:
-            known = self.states[state[:2]] = {self.STATE: state}
-        return known
+    def _empty(self) -> None:
+        """A table without arcs; state 0 is the start: the root is open, and no token is before it."""
+        self.arcs: dict[int, int] = {}
+        self.states: list[tuple[tuple[int, int], ...]] = [((0, self.NONE),)]
+        self.numbers = {self.states[0]: 0}
+
+    @property
+    def n_arcs(self) -> int:
+        return len(self.arcs)
+
+    def _number(self, state: tuple[tuple[int, int], ...]) -> int:
+        n = self.numbers.setdefault(state, len(self.states))
+        if n == len(self.states):
+            self.states.append(state)
+        return n
 
     def merge(self, piece: bytes, stop: int = 1) -> list[bytes]:
         """The encoding by the definition: join the pair of least rank, leftmost first, again and again."""
@@ -115,110 +133,78 @@ class Transducer:
 
     def may_follow(self, left: bytes, right: bytes) -> bool:
         """Whether no merge crosses the boundary while both tokens are built side by side."""
-        known = self._may.get((left, right))
+        a, b = self.edge(left, 1), self.edge(right, 0)
+        i = j = 0
+        while True:
+            (x, x_ends), (y, y_ends) = a[i], b[j]
+            across = self.ranks.get(x + y, float("inf"))
+            if across < x_ends and across <= y_ends and across != float("inf"):
+                return False
+            if x_ends == y_ends == float("inf"):
+                return True
+            if x_ends <= y_ends:
+                i += 1
+            else:
+                j += 1
+
+    def fits(self, rank: int, left: int) -> bool:
+        """Whether a token is one that merges lead to and may stand after the token ``left``."""
+        pair = (left + 1) << self.bits | rank
+        known = self._may.get(pair)
         if known is None:
-            a, b = self.edge(left, 1), self.edge(right, 0)
-            i = j = 0
-            while True:
-                (x, x_ends), (y, y_ends) = a[i], b[j]
-                across = self.ranks.get(x + y, float("inf"))
-                if across < x_ends and across <= y_ends and across != float("inf"):
-                    known = False
-                    break
-                if x_ends == y_ends == float("inf"):
-                    known = True
-                    break
-                if x_ends <= y_ends:
-                    i += 1
-                else:
-                    j += 1
+            token = self.token[rank]
+            reached = len(token) == 1 or self.halves(token) is not None
+            known = reached and (left == self.NONE or self.may_follow(self.token[left], token))
             if len(self._may) >= self.max_arcs:
                 self._may.clear()
-            self._may[left, right] = known
+            self._may[pair] = known
         return known
 
-    def _fits(self, token: bytes, left: bytes) -> bool:
-        """Whether ``token`` is one that merges lead to and may stand after ``left``."""
-        if len(token) > 1 and self.halves(token) is None:
-            self.kind[token] &= self.OPEN
-            return False
-        if not left:
-            return True
-        known = self._may.get((left, token))
-        return self.may_follow(left, token) if known is None else known
-
-    def step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
-        """The state after one more byte, and the ids settled by it.
+    def _arc(self, number: int, byte: int) -> int:
+        """Make the arc of a state for a byte.
 
         The last token is the longest that fits its left neighbour; it starts where the
-        bytes so far were open.
+        bytes so far were open, and the longest of these comes first.
         """
-        before, pending, last, starts = state
-        n = len(pending)
-        pending += bytes((byte,))
-        kind, token, still = self.kind, None, []
-        for at in (*starts, n):
-            part = pending[at:] if at else pending
-            what = kind.get(part)
-            if what is None:
+        state = self.states[number]
+        if len(self.arcs) >= self.max_arcs:  # the table is full: it is made anew from here on
+            self._empty()
+            number = self._number(state)
+        last, still = self.NONE, []
+        for node, left in state:
+            after = self.child.get(node << 8 | byte)
+            if after is None:
                 continue
-            if what & 1:
-                still.append(at)
-            if token is None and what & 2 and self._fits(part, last[at - 1] if at else before):
-                token = part
-        if token is None:
+            if self.open[after]:
+                still.append((after, left))
+            rank = self.rank_at[after]
+            if last == self.NONE and rank != self.NONE and self.fits(rank, left):
+                last = rank
+        if last == self.NONE:
             raise ValueError("the vocabulary lacks single bytes")
-        last += (token,)
-        settled = self._meet(last, still)
-        if not settled:
-            return (before, pending, last, tuple(still)), ()
-        return (last[settled - 1], pending[settled:], last[settled:], tuple(at - settled for at in still)), tuple(self._back(last, settled))
-
-    @staticmethod
-    def _meet(last: tuple | list, starts: list[int]) -> int:
-        """The settled boundary: later tokens start at the end or where the rest is open, and here their ways back meet."""
-        settled = len(last)
-        for at in starts:
+        arc = self.arcs[number << 8 | byte] = self._number((*still, (0, last))) << self.bits | last
+        return arc
+
+    def _settled(self, tape: list[int], state: tuple[tuple[int, int], ...]) -> int:
+        """The last boundary that holds whatever follows: later tokens start where the input is open, and here their ways back meet."""
+        settled = len(tape)
+        for node, _ in state:
+            at = len(tape) - self.depth[node]
             while at != settled:
                 if at > settled:
-                    at -= len(last[at - 1])
+                    at -= self.length[tape[at - 1]]
                 else:
-                    settled -= len(last[settled - 1])
+                    settled -= self.length[tape[settled - 1]]
             if not settled:
                 break
         return settled
 
-    def walk(self, state: tuple, rest: bytes) -> list[int]:
-        """The ids of the steps from ``state`` over ``rest`` to the end of the input; what is settled is emitted every LOOKAHEAD bytes."""
-        before, text, last, starts = state
-        n, text, last, out = len(text), text + rest, list(last), []
-        get, fits = self.kind.get, self._fits
-        while n < len(text):
-            token, still = None, []
-            for at in (*starts, n):
-                part = text[at : n + 1]
-                what = get(part)
-                if what is None:
-                    continue
-                if what & 1:
-                    still.append(at)
-                if token is None and what & 2 and fits(part, last[at - 1] if at else before):
-                    token = part
-            if token is None:
-                raise ValueError("the vocabulary lacks single bytes")
-            last.append(token)
-            starts = still
-            n += 1
-            if n >= LOOKAHEAD and n % LOOKAHEAD == 0 and n < len(text) and (settled := self._meet(last, starts)):
-                out += self._back(last, settled)
-                before, text, last, starts, n = last[settled - 1], text[settled:], last[settled:], [at - settled for at in starts], n - settled
-        return out + self._back(last, n)
-
-    def _back(self, last: tuple | list, at: int) -> list[int]:
+    def _back(self, tape: list[int], at: int) -> list[int]:
+        """The encoding of the first ``at`` bytes, from their last tokens."""
         out = []
         while at:
-            out.append(self.ranks[last[at - 1]])
-            at -= len(last[at - 1])
+            out.append(tape[at - 1])
+            at -= self.length[tape[at - 1]]
         return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
@@ -226,32 +212,19 @@ class Transducer:
         if whole is not None:
             return [whole]
         out: list[int] = []
-        arcs, new = self.start, 0
-        for at, byte in enumerate(piece):
-            arc = arcs.get(byte)
-            if arc is None:
-                state, ids = self.step(arcs[self.STATE], byte)
-                out += ids
-                if new == KEPT_ARCS:  # rare from here on: the same steps, but nothing of them is kept
-                    return out + self.walk(state, piece[at + 1 :])
-                if self.n_arcs >= self.max_arcs:  # the table is full: it is made anew from here on
-                    self.states.clear()
-                    self.start = self._at((b"", b"", (), ()))
-                    self.n_arcs = 0
-                target = self._at(state)
-                arcs[byte] = (target, ids)
-                self.n_arcs += 1
-                new += 1
-                arcs = target
-                continue
-            arcs, ids = arc
-            if ids:
-                out += ids
-        end = arcs.get(self.END)
-        if end is None:
-            state = arcs[self.STATE]
-            end = arcs[self.END] = self._back(state[2], len(state[1]))
-        return out + end
+        tape: list[int] = []  # the last token of each prefix since the settled boundary
+        bits, mask, number = self.bits, (1 << self.bits) - 1, 0
+        for lo in range(0, len(piece), LOOKAHEAD):
+            if lo and (settled := self._settled(tape, self.states[number])):
+                out += self._back(tape, settled)
+                del tape[:settled]
+            for byte in piece[lo : lo + LOOKAHEAD]:
+                arc = self.arcs.get(number << 8 | byte)
+                if arc is None:
+                    arc = self._arc(number, byte)
+                tape.append(arc & mask)
+                number = arc >> bits
+        return out + self._back(tape, len(tape))
 
 
 class ByteBpe:

@@ -65,6 +65,47 @@ def test_transducer_with_a_small_table(reference):
     assert fst.n_arcs <= 40
 
 
+def test_every_byte_takes_an_arc(reference):
+    """Bytes of pieces that aren't tokens, counted where the table is asked; arcs that are there are taken again."""
+
+    class Counted(dict):
+        asked = hits = 0
+
+        def get(self, key, default=None):
+            self.asked += 1
+            self.hits += key in self
+            return super().get(key, default)
+
+    fst = bpe.Transducer(bpe.load_ranks(BYTES))
+    fst.arcs = Counted()
+    rng = random.Random(12)
+    parts = ["ra", "tion", "er", "ous", "ly", "the", "in", "é", "kz", "ß"]
+    pieces = list(dict.fromkeys("".join(rng.choice(parts) for _ in range(rng.randint(2, 12))).encode() for _ in range(4000)))
+    pieces += ["".join(rng.choice(parts) for _ in range(20_000)).encode(), b"a" * 50_000, bytes(rng.randrange(256) for _ in range(5000))]
+    new = [p for p in pieces if p not in fst.ranks]
+    for p in new[:-1]:
+        assert fst.encode(p) == reference._encode_single_piece(p)
+    assert fst.arcs.asked == sum(map(len, new[:-1]))
+    assert fst.arcs.hits > 0.9 * fst.arcs.asked and fst.n_arcs == fst.arcs.asked - fst.arcs.hits
+    assert fst.encode(new[-1]) == reference._encode_single_piece(new[-1])
+
+
+def test_ids_leave_after_a_bounded_lookahead(reference):
+    """A long piece never holds more than a few windows of bytes back."""
+    fst, most = bpe.Transducer(bpe.load_ranks(BYTES)), 0
+    inner = fst._settled
+
+    def settled(tape, state):
+        nonlocal most
+        most = max(most, len(tape))
+        return inner(tape, state)
+
+    fst._settled = settled
+    rng = random.Random(13)
+    piece = "".join(rng.choice("abcdeghinorstuy") for _ in range(30_000)).encode()
+    assert fst.encode(piece) == reference._encode_single_piece(piece) and most < 4 * bpe.LOOKAHEAD
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.binary(max_size=40), st.integers(1, 5))
 def test_utf8_machine(raw, step):
