@@ -5,11 +5,12 @@ paragraph (lines without a blank one between) are read as sparse vectors of hash
 unigrams and bigrams, so that a statement is found inside a long line as well as over
 several wrapped ones.  A multinomial logistic regression over the licence families and
 "unknown" is fitted on the driver, on a bounded sample: variations of the templates below,
-sentences that only speak of licences, and the ``sample_rows`` lines of the corpus with
-the smallest hashes as unknown ones (without those that share half of a template or use a
-word of licences).  A held-out fifth of the sample calibrates it: a temperature that
-minimises the held-out loss, and the least probability at which no more than one in a
-thousand held-out unknown paragraphs is taken for a licence.
+sentences that only speak of licences, and passages of the corpus as unknown ones: the
+``sample_rows`` non-blank lines with the smallest hashes, each with the 15 lines after it.
+Passages are parted by document: three in five documents' are learned from, as runs of all lengths of
+RUNS; those of the others calibrate the unknown class.  The temperature minimises the loss on them and on a held-out
+fifth of the variations; the least probability is one that no more than one in a thousand unknown runs of the documents held
+out reach (one, if they are fewer).  Passages that share half of a template with a licence, or name one in full, are left out.
 
 Every run of every text is classified; its vector is the sum of its units' vectors.  A
 prediction is confirmed if SIMILARITY or more of the five-word shingles of one of the
@@ -88,9 +89,6 @@ TALK = [
     "The parties shall agree on a license before the work is distributed.", "She reserved all the rooms for the guests.", "A copy of the notice is kept with the files of the program.",
 ]
 FILLER = "notice see file header project copy holder author text page more details here also note year name site data set part code home".split()
-#: Starts of words that keep a corpus line out of the unknown sample.
-MARKS = (b"licens", b"licenc", b"copyright", b"spdx", b"gpl", b"reserved")
-
 _KEEP = bytes(c if chr(c).isalnum() or c == 10 or c >= 128 else 32 for c in range(128)) + bytes(range(128, 256))
 _FOLD = bytes(_KEEP[c] | 32 if 65 <= c <= 90 else _KEEP[c] for c in range(256))
 
@@ -168,21 +166,31 @@ def training_lines(seed: int = 7, copies: int = 16) -> tuple[list[list[bytes]],
     return lines, labels
 
 
-def fit(corpus_lines: list[str], seed: int = 7, steps: int = 60) -> Classifier:
-    """Fit and calibrate on the templates' variations and the sampled paragraphs."""
+#: The families' full names, as whole runs of words.
+_NAMED = [{b" ".join(words_of(n))} for names in NAMES.values() for n in names[:2] if len(words_of(n)) > 1]
+
+
+def unknown_runs(passage: str, known: list[set[bytes]]) -> list[list[bytes]]:
+    """The words of the runs from a passage's first unit on, of all lengths of RUNS in its paragraph; none if one is a licence's or names one."""
+    units, _, paragraph, _ = units_of(passage)
+    own = sum(x == 0 for x in paragraph)
+    runs = [[w for u in units[:n] for w in u] for n in RUNS if n <= own]
+    return [] if any(confirmed(r, known) >= 0.5 or confirmed(r, _NAMED) == 1 for r in runs) else runs
+
+
+def fit(learned: list[str], held_out: list[str] = (), seed: int = 7, steps: int = 60) -> Classifier:
+    """Fit on the templates' variations and the passages ``learned``, calibrate on the passages ``held_out`` of other documents."""
     lines, labels = training_lines(seed)
     known = [_shingles(words_of(t)) for texts in TEMPLATES.values() for t in texts]
-    for text in corpus_lines:
-        units = units_of(text)[0]
-        whole = [w for u in units for w in u]
-        for words in [whole, *units[:: max(1, len(units) // 4)]] if len(units) > 1 else units:  # the line, and some of its sentences
-            if not any(w.startswith(MARKS) for w in words) and confirmed(words, known) < 0.5:
-                lines.append(words)
-                labels.append(UNKNOWN)
-    families = (*TEMPLATES, UNKNOWN)
-    y = np.array([families.index(x) for x in labels])
     rng = np.random.default_rng(seed)
-    held = rng.random(len(y)) < 0.2
+    held = [bool(x) for x in rng.random(len(lines)) < 0.2]
+    for passages, apart in ((learned, False), (held_out, True)):
+        runs = [r for text in passages for r in unknown_runs(text, known)]
+        lines += runs
+        labels += [UNKNOWN] * len(runs)
+        held += [apart] * len(runs)
+    families = (*TEMPLATES, UNKNOWN)
+    y, held = np.array([families.index(x) for x in labels]), np.array(held)
     buckets, starts = features(lines)
     size = np.diff(np.r_[starts, len(buckets)])
     row = np.repeat(np.arange(len(lines)), size)
@@ -205,13 +213,15 @@ def fit(corpus_lines: list[str], seed: int = 7, steps: int = 60) -> Classifier:
         w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) * (g != 0)
         b -= 0.5 * wrong.sum(0)
     z = logits()[held]
-    losses = {t: -np.log(_softmax(z / t)[np.arange(len(z)), y[held]] + 1e-12).mean() for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0)}
-    temperature = min(losses, key=lambda t: losses[t])
+    losses = {t: -np.log(_softmax(z / t)[np.arange(len(z)), y[held]] + 1e-12).mean() for t in np.geomspace(0.05, 20, 40)}
+    # Not so small that probabilities of float64 are all 1 and can't be told apart any more.
+    temperature = max(float(min(losses, key=lambda t: losses[t])), float(np.ptp(z, axis=1).max(initial=0)) / 30)
     p = _softmax(z / temperature)[:, :-1].max(1)[y[held] == len(families) - 1]
-    least = max(0.5, float(np.quantile(p, 0.999, method="higher"))) if len(p) else 0.5
+    over = max(1, len(p) // 1000)  # runs that may be taken
+    least = max(0.5, 1 - (1 - float(np.sort(p)[-over - 1])) * 0.999) if len(p) > over else 0.5  # a little over the next
     weights = np.zeros((BUCKETS, len(families)), np.float32)
     weights[met] = w
-    return Classifier(families, weights, b.astype(np.float32), temperature, min(least, 0.99))
+    return Classifier(families, weights, b.astype(np.float32), temperature, least)
 
 
 def _shingles(words: list[bytes], most: int = SHINGLE) -> set[bytes]:
@@ -335,13 +345,15 @@ _HITS = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()),
 
 
 def train(docs: DataFrame, sample_rows: int = 1500) -> Classifier:
-    """Fit on the templates and the ``sample_rows`` non-blank lines of ``docs`` with the smallest hashes of (id, line number, line)."""
-    lines = docs.select(F.col("doc_id").cast("string").alias("id"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
-    hashed = lines.select("line", F.xxhash64("id", "pos", "line").alias("h"))
+    """Fit and calibrate on the passages that begin with the ``sample_rows`` non-blank lines of ``docs`` with the smallest hashes of (id, line number, line)."""
+    cut = F.split("text", "\n")
+    lines = docs.select(F.col("doc_id").cast("string").alias("id"), F.posexplode(cut).alias("pos", "line")).where(F.trim("line") != "")
     # Only hashes under a bound that some more lines than asked for have go to the driver, however many tasks there are.
     bound = -(2**63) + int(2**64 * min(1.0, 1.3 * sample_rows / max(1, lines.count())))
-    rows = hashed.where(F.col("h") <= F.lit(min(bound, 2**63 - 1))).orderBy("h", "line").limit(sample_rows).collect()
-    return fit([r["line"] for r in rows])
+    passages = docs.select(F.col("doc_id").cast("string").alias("id"), "text", F.posexplode(cut).alias("pos", "line")).where(F.trim("line") != "")
+    picked = passages.select("id", "line", F.xxhash64("id", "pos", "line").alias("h"), F.array_join(F.slice(cut, F.col("pos") + 1, max(RUNS)), "\n").alias("passage")).where(F.col("h") <= F.lit(min(bound, 2**63 - 1)))
+    rows = picked.select("h", "line", "passage", (F.pmod(F.xxhash64("id", F.lit("held out")), F.lit(5)) >= 3).alias("apart")).orderBy("h", "line", "passage").limit(sample_rows).collect()
+    return fit([r["passage"] for r in rows if not r["apart"]], [r["passage"] for r in rows if r["apart"]])
 
 
 def scan_licenses(docs: DataFrame, sample_rows: int = 1500) -> DataFrame:

@@ -65,3 +65,31 @@ def test_stages_take_columns_of_any_names(spark, sf, docs):
     out = last(spark, df, sf)
     assert out.columns.count("position") == 1
     assert sorted(r["position"] for r in out.collect()) == list(range(plain.count()))
+
+
+def test_false_licences_of_documents_not_learned_from(spark):
+    """Unconfirmed predictions among all runs of documents that the classifier never saw: one in a thousand at most."""
+    import numpy as np
+
+    from lexmill.llm import licenses
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seen = docs.where("doc_id % 2 = 0")
+    model = licenses.train(seen)
+    assert 0.05 < model.temperature < 20 and 0.5 <= model.least < 1
+    runs = false = 0
+    for r in docs.where("doc_id % 2 = 1").collect():
+        units, _, paragraph, _ = licenses.units_of(r["text"])
+        if not units:
+            continue
+        runs += sum(max(0, k - n + 1) for k in np.bincount(paragraph) for n in licenses.RUNS)
+        for start, stop, family, _ in licenses.predictions(model, units, np.array(paragraph)):
+            words = [w for u in units[start:stop] for w in u]
+            templates = [licenses._shingles(licenses.words_of(t)) for t in licenses.TEMPLATES[model.families[family]]]
+            false += licenses.confirmed(words, templates) < licenses.SIMILARITY and not any(w.startswith((b"licens", b"copyright", b"spdx")) for w in words)
+    assert runs > 50_000 and false <= runs / 1000
+
+
+def test_licence_lines_of_the_fixture_stay_confirmed(spark):
+    rows = QUERIES["op4_license_scan"](spark, "/root/testdata/sf0.01").collect()
+    assert sum(r["n_confirmed"] for r in rows) == 46
