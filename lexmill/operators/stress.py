@@ -21,25 +21,38 @@ def _reordered(text: Column) -> Column:
 OCR = {"l": "1", "I": "l", "O": "0", "rn": "m", "cl": "d"}
 
 
-@F.pandas_udf(T.StringType())
-def ocr_noise(texts: pd.Series) -> pd.Series:
-    """One substitution per hundred characters (one at least), at places drawn from a hash of the text."""
+def with_noise(text: str | None) -> str | None:
+    """One substitution per hundred characters (one at least), at places drawn from a hash of the text.
+
+    Places are listed once; no place is changed twice, and where none is left nothing is, so the time is in proportion to the text.
+    """
     import random
+    import re
     import zlib
 
-    def spoil(t: str | None) -> str | None:
-        if t is None:
-            return None
-        rng = random.Random(zlib.crc32(t.encode()))
-        for _ in range(max(1, len(t) // 100)):
-            old = rng.choice(list(OCR))
-            at = [i for i in range(len(t)) if t.startswith(old, i)]
-            if at:
-                i = rng.choice(at)
-                t = t[:i] + OCR[old] + t[i + len(old) :]
-        return t
-
-    return texts.map(spoil)
+    if text is None:
+        return None
+    rng, changed = random.Random(zlib.crc32(text.encode())), {}
+    places = {old: [m.start() for m in re.finditer(re.escape(old), text)] for old in OCR}
+    for _ in range(max(1, len(text) // 100)):
+        old = rng.choice(list(OCR))
+        left = places[old]
+        if left:
+            at = rng.randrange(len(left))
+            left[at], left[-1] = left[-1], left[at]
+            at = left.pop()
+            if not any(i in changed for i in range(at - 1, at + len(old))):
+                changed[at] = old
+    out, past = [], 0
+    for at, old in sorted(changed.items()):
+        out += [text[past:at], OCR[old]]
+        past = at + len(old)
+    return "".join([*out, text[past:]])
+
+
+@F.pandas_udf(T.StringType())
+def ocr_noise(texts: pd.Series) -> pd.Series:
+    return texts.map(with_noise)
 
 
 #: The conditions' names and prefixes.

@@ -241,3 +241,14 @@ def test_fuzzy_clause_match_takes_all_documents(spark, sf):
 
     got = {r["doc_id"] for r in fuzzy_clause_match(spark, sf).select("doc_id").collect()}
     assert got == {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()} | {None}
+
+
+def test_noise_is_quick_and_changes_letters_only_where_scanning_does():
+    import time
+
+    text = "All rules of the club in modern clauses. " * 5000
+    began = time.perf_counter()
+    noisy = stress.with_noise(text)
+    assert time.perf_counter() - began < 5 and noisy != text and noisy == stress.with_noise(text)
+    assert len(text) - 2 * len(text) // 100 <= len(noisy) <= len(text)
+    assert stress.with_noise(None) is None and stress.with_noise("") == "" and stress.with_noise("xyz") == "xyz" and stress.with_noise("l") in ("1", "l")
