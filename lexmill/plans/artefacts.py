@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import query, table
+from ..catalog import _oracles, query, table
 from ..functions import text as X
 from ..operators import gates as G
 from ..operators import metrics as M
 from ..operators import retrieval as R
 from ..session import scratch, ship
-from ..sources import files, manifests, sinks
+from ..sources import corpus, files, manifests, normalise, sinks
 from ..streaming.keyed_log import KeyedLog
 from . import retrieval
 from .ingestion import _WORDS
@@ -226,3 +226,31 @@ def calibration_labels(spark, sf_dir):
     log.put(rows)
     held = log.read()
     return rows if held is None else held.select(*rows.columns)
+
+
+@query("""SELECT source AS step, 'completed' AS status, strlen(c)::BIGINT AS bytes, sha256(c) AS sha256 FROM (SELECT source, source || ': ' || count(*) || ' documents, ' || sum(n_chars)::BIGINT || ' characters' || chr(10) AS c FROM documents GROUP BY source)
+ UNION ALL SELECT 'figures', 'missing', NULL, NULL""")
+def submission_manifest(spark, sf_dir):
+    """Each step of a run with the bytes and the digest of the file that it has left; a step without a file is missing."""
+    path = scratch(spark, "submission")
+    said = F.concat("source", F.lit(": "), F.count("*"), F.lit(" documents, "), F.sum("n_chars"), F.lit(" characters\n"))
+    reports = documents(spark, sf_dir).groupBy("source").agg(said.alias("content"))
+    log = corpus.write_documents(reports, path, F.lit("report"), F.col("source"), F.col("content"), suffix=".txt")
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    steps = spark.read.json(log).select(F.col("url").alias("step"), name("path").alias("name"))
+    steps = steps.unionByName(spark.range(1).select(F.lit("figures").alias("step"), F.lit("figures.txt").alias("name")))
+    left = files.artefact_hashes(spark, f"{path}/documents").select(name("path").alias("name"), "bytes", "sha256")
+    return steps.join(left, "name", "left").select("step", F.when(F.col("sha256").isNull(), "missing").otherwise("completed").alias("status"), "bytes", "sha256")
+
+
+@query(_oracles["valid_unique_pairs"])
+def rule_rows_scan(spark, sf_dir):
+    """Pairs with rule-made labels, kept as JSON lines, read back typed, and reduced to the valid and unique ones."""
+    t = table(spark, sf_dir, "conversations")
+    after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hypothesis"))
+    label = F.when(F.col("turn") % 4 < 3, F.element_at(F.array(F.lit("entailment"), F.lit("neutral"), F.lit("contradiction")), (F.col("turn") % 4 + 1).cast("int"))).otherwise("unclear")
+    rows = t.select("conv_id", "turn", F.col("text").alias("premise")).join(after, ["conv_id", "turn"]).withColumn("label", label)
+    path = scratch(spark, "rule-rows")
+    rows.write.json(path)
+    read = spark.read.schema("premise string, hypothesis string, label string, conv_id bigint, turn int").json(path)
+    return normalise.valid_unique_pairs(read, ["conv_id", "turn"]).select("premise", "hypothesis", "label", "conv_id", "turn")
