@@ -54,21 +54,28 @@ def sentences(c: Column | str) -> Column:
     return F.filter(F.transform(F.split(normalise(c), r"(?<=[.!?])\s+(?=[A-Z0-9])"), F.trim), lambda s: s != "")
 
 
-def syllables(word: Column) -> Column:
-    count = lambda x: F.greatest(x["n"] - F.when(x["w"].endswith("e") & (x["n"] > 1), 1).otherwise(0), F.lit(1))
-    return let(F.struct(F.lower(word).alias("w"), F.regexp_count(F.lower(word), F.lit("[aeiouy]+")).alias("n")), count)
+_VOWEL, _OTHER = "[aeiouy]", "[b-df-hj-np-tv-xz]"
+
+
+def syllables(c: Column | str) -> Column:
+    """Syllables of all words of a text: vowel runs, a final e less where the word has another run, one a word at least.
+
+    Counted over the text, not word by word: all runs, plus words without any, less words that end in e, but those with one run.
+    """
+    count = lambda pattern: F.regexp_count(col(c), F.lit(f"(?i){pattern}"))
+    silent = count("e(?![a-z])") - count(f"(?<![a-z]){_OTHER}*+{_VOWEL}++(?<=e)(?![a-z])")
+    return count(f"{_VOWEL}+") + count(f"(?<![a-z]){_OTHER}++(?![a-z])") - silent
 
 
 def fk_grade(c: Column | str) -> Column:
     """Flesch-Kincaid grade: 0.39 words a sentence + 11.8 syllables a word - 15.59, 0 at least; 0 without words."""
 
     def grade(x: Column) -> Column:
-        n, stops = F.size(x["words"]), F.greatest(x["sentences"], F.lit(1))
-        total = F.aggregate(x["words"], F.lit(0), lambda a, w: a + syllables(w))
-        value = 0.39 * (n / stops) + 11.8 * F.try_divide(total, n) - 15.59
-        return F.when(n > 0, F.round(F.greatest(value, F.lit(0.0)), 3)).otherwise(0.0)
+        stops = F.greatest(x["sentences"], F.lit(1))
+        value = 0.39 * (x["words"] / stops) + 11.8 * F.try_divide(x["syllables"], x["words"]) - 15.59
+        return F.when(x["words"] > 0, F.round(F.greatest(value, F.lit(0.0)), 3)).otherwise(0.0)
 
-    return let(F.struct(F.regexp_extract_all(col(c), F.lit("[A-Za-z]+"), F.lit(0)).alias("words"), F.size(sentences(c)).alias("sentences")), grade)
+    return let(F.struct(F.regexp_count(col(c), F.lit("[A-Za-z]+")).alias("words"), syllables(c).alias("syllables"), F.size(sentences(c)).alias("sentences")), grade)
 
 
 #: Fixed value: where a long sentence is cut.

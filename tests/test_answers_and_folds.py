@@ -6,7 +6,6 @@ import random
 from xml.etree import ElementTree
 
 import pytest
-from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
 from lexmill.operators import answers, benchmark, models
@@ -150,3 +149,19 @@ def test_parser_evaluation_scores_what_the_greedy_choice_takes(spark, tmp_path):
         pooled = [a + row[c] for a, c in zip(pooled, ("matched", "n_predicted", "n_gold"), strict=True)]
     total = got[None]
     assert [total["matched"], total["n_predicted"], total["n_gold"]] == pooled and pooled[0] > 20
+
+
+def test_clause_results_fill_names_and_fall_through_zero(spark):
+    from lexmill.operators import report
+
+    s = "array<struct<source:double,regulatory:double,chunk_id:string>>"
+    rows = [("a", 1, [(0.5, 0.0, None), (0.7, None, None)]), ("b", 0, []), ("c", 2, [(0.2, 0.9, "k"), (0.4, 0.1, None)])]
+    got = {r["clause_id"]: r for r in report.clause_results(spark.createDataFrame(rows, f"clause_id string, n_evidence int, sentences {s}")).collect()}
+    a, b, c = got["a"], got["b"], got["c"]
+    assert (a["mean_source_faithfulness"], a["mean_regulatory_support"], a["mean_primary_faithfulness"], a["mean_faithfulness"]) == (0.6, 0.0, 0.0, 0.6)
+    assert (a["unsupported_flag_rate"], a["hallucination_rate"], a["retrieval_coverage"], a["attribution_coverage"]) == (1.0, 1.0, 1.0, 0.0)
+    assert all(b[x] is None for x in ("mean_source_faithfulness", "mean_faithfulness", "unsupported_flag_rate", "retrieval_coverage", "supported_attribution_coverage"))
+    assert (c["mean_primary_faithfulness"], c["mean_faithfulness"], c["supported_attribution_coverage"]) == (0.5, 0.5, 0.5)
+    old = spark.createDataFrame([(1, 0.25, None), (2, None, 0.5)], "i int, hallucination_rate double, attribution_coverage double")
+    filled = {r["i"]: r for r in report.with_aliases(old).collect()}
+    assert filled[1]["unsupported_flag_rate"] == 0.25 and filled[1]["supported_attribution_coverage"] is None and filled[2]["supported_attribution_coverage"] == 0.5

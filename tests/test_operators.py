@@ -252,3 +252,24 @@ def test_noise_is_quick_and_changes_letters_only_where_scanning_does():
     assert time.perf_counter() - began < 5 and noisy != text and noisy == stress.with_noise(text)
     assert len(text) - 2 * len(text) // 100 <= len(noisy) <= len(text)
     assert stress.with_noise(None) is None and stress.with_noise("") == "" and stress.with_noise("xyz") == "xyz" and stress.with_noise("l") in ("1", "l")
+
+
+def test_syllables_of_a_text_are_those_of_its_words(spark):
+    import random
+    import re
+
+    from lexmill.functions import text as X
+
+    def plain(text):
+        total = 0
+        for w in re.findall("[A-Za-z]+", text):
+            n = len(re.findall("[aeiouy]+", w.lower()))
+            total += max(1, n - (w.lower().endswith("e") and n > 1))
+        return total
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aeiouybcdtxEAZ é1.") for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    texts += ["", "the", "be", "rhythm", "Tree agree use", "x" * 70_000 + "e", "banane" * 20_000, "eee e ée eé", "queue eye bye-bye"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["n"] for r in df.select("i", X.syllables("t").alias("n")).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
