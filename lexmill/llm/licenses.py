@@ -175,7 +175,8 @@ def unknown_runs(passage: str, known: list[set[bytes]]) -> list[list[bytes]]:
     units, _, paragraph, _ = units_of(passage)
     own = sum(x == 0 for x in paragraph)
     runs = [[w for u in units[:n] for w in u] for n in RUNS if n <= own]
-    return [] if any(confirmed(r, known) >= 0.5 or confirmed(r, _NAMED) == 1 for r in runs) else runs
+    # The longest run holds the shingles of all others.
+    return runs if runs and confirmed(runs[-1], known) < 0.5 and confirmed(runs[-1], _NAMED) < 1 else []
 
 
 def fit(learned: list[str], held_out: list[str] = (), seed: int = 7, steps: int = 60) -> Classifier:
