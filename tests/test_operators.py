@@ -273,3 +273,10 @@ def test_syllables_of_a_text_are_those_of_its_words(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {r["i"]: r["n"] for r in df.select("i", X.syllables("t").alias("n")).collect()}
     assert got == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_pieces_keep_digits_at_their_ends(spark):
+    """Digits equal to a piece's place were taken off its ends."""
+    assert one(spark, "So. 19.37.233.111", X.sentences("t")) == ["So.", "19.37.233.111"]
+    assert one(spark, "10 of 20.", X.sentences("t")) == ["10 of 20."]
+    assert one(spark, "We pay 0; 12 of 31.", X.split_long_clauses("t")) == "We pay 0. 12 of 31."
