@@ -280,3 +280,9 @@ def test_pieces_keep_digits_at_their_ends(spark):
     assert one(spark, "So. 19.37.233.111", X.sentences("t")) == ["So.", "19.37.233.111"]
     assert one(spark, "10 of 20.", X.sentences("t")) == ["10 of 20."]
     assert one(spark, "We pay 0; 12 of 31.", X.split_long_clauses("t")) == "We pay 0. 12 of 31."
+
+
+def test_negations_end_at_letters_that_are_not_ascii(spark):
+    """Words are ASCII, as in the SQL; Java's own edges took the letter for a part of the word."""
+    assert not pair(spark, "Casa.", "No\u00f1asci la.", X.critical_tokens_preserved("a", "b"))
+    assert pair(spark, "Casa.", "Nona_no nota.", X.critical_tokens_preserved("a", "b"))
