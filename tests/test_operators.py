@@ -286,3 +286,18 @@ def test_negations_end_at_letters_that_are_not_ascii(spark):
     """Words are ASCII, as in the SQL; Java's own edges took the letter for a part of the word."""
     assert not pair(spark, "Casa.", "No\u00f1asci la.", X.critical_tokens_preserved("a", "b"))
     assert pair(spark, "Casa.", "Nona_no nota.", X.critical_tokens_preserved("a", "b"))
+
+
+def test_facts_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from lexmill.plans import text as plans
+
+    pieces = ["No\u00f1asci", "no", "pay $5.50.7", "1.2.3", "a.5", "$$5", "\u00e9Bank", "Acme  Bank", "Foo-\n Bank", "UN\u00e9", "UN", "5 %\u00e9", "5 percent", "5%", "May 3, 2024", "3 May 2024\u00e9", "must\u00e9", "cannot", "can't", "unle\u017f", "\u00f1shall not", "7,5"]
+    rows = [(i * len(pieces) + j, turn, "user", text) for i, a in enumerate(pieces) for j, b in enumerate(pieces) for turn, text in ((0, a), (1, f"x {b} y"), (2, "z"))]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    for name in ("preservation_checks", "critical_tokens_preserved"):
+        got = sorted(map(tuple, getattr(plans, name)(spark, f"{tmp_path}").collect()))
+        assert got == sorted(con.execute(plans.query.__globals__["_oracles"][name]).fetchall()), name
