@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import islice, takewhile
 
 import pyarrow as pa
 from pyarrow import fs
@@ -152,7 +152,7 @@ class _LogReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         place = lambda o: (o["file"], o["line"])
-        batch = [pin for at, pin in self.log.after(start) if place(at) <= place(end)] if place(start) < place(end) else []
+        batch = [pin for _, pin in takewhile(lambda x: place(x[0]) <= place(end), self.log.after(start))] if place(start) < place(end) else []
         return [Pins(batch[i : i + self.per_task]) for i in range(0, len(batch), self.per_task)]
 
     def read(self, partition: Pins) -> Iterator[tuple]:

@@ -228,3 +228,16 @@ def test_ranks_are_filled_up_with_the_first_documents(spark):
     for r in retrieval.bm25(q, d, fill_zero=15).orderBy("q_id", "rank").collect():
         got.setdefault(r["q_id"], []).append(r["doc_id"])
     assert got[1][:15] == [*range(0, 40, 4), 1, 2, 3, 5, 6] and len(got[2]) == 30 and got[3][:15] == list(range(15))
+
+
+def test_a_batch_reads_no_pins_behind_its_end(tmp_path, monkeypatch):
+    """Each batch read the rest of the log, so the whole took the square of its length."""
+    from lexmill.sources import corpus
+
+    (tmp_path / "a.json").write_text("".join(json.dumps({"source": "s", "url": f"u{i}", "path": "p"}) + "\n" for i in range(1000)))
+    reader, read = corpus._LogReader(str(tmp_path), None, 10, 4), []
+    loads = json.loads
+    monkeypatch.setattr(corpus.json, "loads", lambda x: read.append(x) or loads(x))
+    parts = reader.partitions({"file": "a.json", "line": 20}, {"file": "a.json", "line": 30})
+    assert [[p["url"] for p in x.pins] for x in parts] == [["u20", "u21", "u22", "u23"], ["u24", "u25", "u26", "u27"], ["u28", "u29"]]
+    assert len(read) <= 11
