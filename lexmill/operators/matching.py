@@ -11,7 +11,8 @@ Nothing is compared with everything:
   blocks, so M - (q - 1)(n + m - 2M + 1) grams are common, and one of them is among the rarest
   (grams - common + 1) of each side.  Lines too short for that share one of their rarest characters.
   The first rung needs few grams and uses up most lines; only the others go on to the next.
-* Of the candidates, bounds from lengths and character counts leave those for difflib.
+* Of the candidates, bounds from lengths, character counts and the longest common subsequence,
+  which holds all of difflib's blocks, leave those for difflib.
 
 The pairs of a rung are decided by local dominance: a pair that is the first of both of its
 lines in the order would be taken whatever comes between, so all such pairs are taken at once,
@@ -29,7 +30,7 @@ from math import ceil, floor
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, stored
@@ -127,6 +128,24 @@ def _prefixes(sent, least: float):
     return run
 
 
+def character_places(line: str) -> dict[str, int]:
+    """Per character the places where a line has it, as bits."""
+    places: dict[str, int] = {}
+    for k, x in enumerate(line):
+        places[x] = places.get(x, 0) | 1 << k
+    return places
+
+
+def common_subsequence(a: str, places: dict[str, int], n: int) -> int:
+    """Length of the longest common subsequence of ``a`` and a line of ``n`` characters, given by its places (Hyyro's bits)."""
+    every = (1 << n) - 1
+    open_ = every
+    for x in a:
+        met = open_ & places.get(x, 0)
+        open_ = (open_ + met | open_ - met) & every
+    return n - open_.bit_count()
+
+
 def _ratios(least: float):
     """Ratio of the candidates (doc, i, j, a, b) that reach ``least``; each distinct gold line is indexed once a batch."""
 
@@ -136,10 +155,14 @@ def _ratios(least: float):
             held: dict[str, np.ndarray] = {}
             for line in {*a, *b}:
                 held[line] = np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64)
-            at, ratio, matcher, indexed = [], [], SequenceMatcher(None), None
+            at, ratio, matcher, indexed, placed, places = [], [], SequenceMatcher(None), None, None, {}
             for k in sorted(range(len(a)), key=b.__getitem__):
                 if 2 * np.minimum(held[a[k]], held[b[k]]).sum() < least * (len(a[k]) + len(b[k])) - 1e-9:
                     continue
+                if b[k] != placed:
+                    placed, places = b[k], character_places(b[k])
+                if 2 * common_subsequence(a[k], places, len(placed)) < least * (len(a[k]) + len(placed)) - 1e-9:
+                    continue
                 if b[k] != indexed:
                     indexed = b[k]
                     matcher.set_seq2(indexed)
@@ -167,18 +190,29 @@ def dominant_pairs(i: np.ndarray, j: np.ndarray, ratio: np.ndarray) -> np.ndarra
     return np.concatenate([*taken, np.empty(0, np.int64)]).astype(np.int64)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks for work that takes long for its bytes: adaptive execution would put it into as few as hold these."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def _decide(pairs: DataFrame, in_task: int) -> list[DataFrame]:
     """The pairs (doc, i, j, ratio) that are taken, as tables."""
     kind = dict(pairs.dtypes)["doc"]
 
     def small(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.iloc[dominant_pairs(rows["i"].to_numpy(), rows["j"].to_numpy(), rows["ratio"].to_numpy())]
+        """The pairs of some documents: their lines are numbered through, which keeps the order in each."""
+        doc = pd.factorize(rows["doc"])[0].astype(np.int64) << 32
+        i, j = (np.unique(doc + rows[c].to_numpy(), return_inverse=True)[1] for c in "ij")
+        return rows.iloc[dominant_pairs(i, j, rows["ratio"].to_numpy())][["doc", "i", "j", "ratio"]]
 
     out: list[DataFrame] = []
     while True:
-        per = stored(pairs.groupBy("doc").agg((F.count("*") > in_task).alias("large")), "match-sizes")
+        per = stored(pairs.groupBy("doc").agg(F.count("*").alias("n"), (F.count("*") > in_task).alias("large")), "match-sizes")
         few = pairs.join(per.where("not large"), "doc", "left_semi")
-        out.append(stored(few.groupBy("doc").applyInPandas(small, f"doc {kind}, i int, j int, ratio double"), "matched"))
+        held = per.where("not large").agg(F.sum("n")).first()[0] or 0
+        groups = max(tasks(pairs.sparkSession), -(-2 * held // IN_TASK))
+        together = few.withColumn("some", F.pmod(F.xxhash64("doc"), F.lit(groups))).groupBy("some").applyInPandas(small, f"doc {kind}, i int, j int, ratio double")
+        out.append(stored(together, "matched"))
         if per.where("large").isEmpty():
             return out
         rank = F.struct("ratio", "i", "j")
@@ -211,7 +245,8 @@ def line_matches(predicted: DataFrame, gold: DataFrame, least: float = 0.85, run
     found = [stored(_equal_lines(*tables), "matched")]
     if least == 1:
         return found[0]
-    tables = [stored(x.join(found[0], [x["doc"] == found[0]["doc"], x["place"] == found[0][c]], "left_anti"), "match-lines") for x, c in zip(tables, "ij", strict=True)]
+    left = lambda used: [stored(x.join(used, [x["doc"] == used["doc"], x["place"] == used[c]], "left_anti").repartition(tasks(spark)), "match-lines") for x, c in zip(tables, "ij", strict=True)]
+    tables = left(found[0])
 
     rarity = {q: np.zeros(BUCKETS, np.int64) for q in (1, GRAM)}
     for r in tables[0].select("line").unionByName(tables[1].select("line")).mapInArrow(_counts, "q int, bucket int, n bigint").groupBy("q", "bucket").agg(F.sum("n").alias("n")).collect():
@@ -223,14 +258,15 @@ def line_matches(predicted: DataFrame, gold: DataFrame, least: float = 0.85, run
         reach = F.least("chars_i", "chars_j") * 2 >= F.lit(rung - 1e-9) * (F.col("chars_i") + F.col("chars_j"))
         candidates = p.join(g, ["doc", "q", "token"]).where(reach).select("doc", "i", "j").distinct()
         texts = candidates.join(tables[0].select("doc", F.col("place").alias("i"), F.col("line").alias("a")), ["doc", "i"]).join(tables[1].select("doc", F.col("place").alias("j"), F.col("line").alias("b")), ["doc", "j"])
-        pairs = stored(texts.select("doc", "i", "j", "a", "b").mapInArrow(_ratios(rung), f"doc {kind}, i int, j int, ratio double"), "match-pairs")
+        dealt = texts.select("doc", "i", "j", "a", "b").repartition(tasks(spark), "doc", "j")  # pairs of a gold line stay together
+        pairs = stored(dealt.mapInArrow(_ratios(rung), f"doc {kind}, i int, j int, ratio double"), "match-pairs")
         now = _decide(pairs, in_task)
         found += now
         if rung > least:
             used = now[0]
             for x in now[1:]:
                 used = used.unionByName(x)
-            tables = [stored(x.join(used, [x["doc"] == used["doc"], x["place"] == used[c]], "left_anti"), "match-lines") for x, c in zip(tables, "ij", strict=True)]
+            tables = left(used)
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

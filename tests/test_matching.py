@@ -133,3 +133,29 @@ def test_nulls_and_arrays(spark):
     assert matching.line_matches(long_table(spark, {"a": ["x"]}).where(F.lit(False)), long_table(spark, {"a": ["x"]})).count() == 0
     with pytest.raises(ValueError):
         matching.line_matches(long_table(spark, {"a": ["x"]}), long_table(spark, {"a": ["x"]}), 0)
+
+
+def test_common_subsequence_bounds_the_ratio():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcd\u00e9 \U00010000") for _ in range(rng.randint(1, 40))) for _ in "ab")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(row[k] + 1 if x == y else max(new[k], row[k + 1]))
+            row = new
+        n = matching.common_subsequence(a, matching.character_places(b), len(b))
+        assert n == row[-1] and SequenceMatcher(None, a, b).ratio() <= 2 * n / (len(a) + len(b)) + 1e-12
+
+
+def test_unlike_lines_of_equal_letters_are_not_left_to_difflib(monkeypatch):
+    import pyarrow as pa
+
+    calls = []
+    ratio = SequenceMatcher.ratio
+    monkeypatch.setattr(matching.SequenceMatcher, "ratio", lambda self: calls.append(1) or ratio(self))
+    a = "the quick brown fox jumps over the lazy dog at noon"
+    rows = {"doc": pa.array([1, 1]), "i": pa.array([0, 1], pa.int32()), "j": pa.array([0, 0], pa.int32()), "a": pa.array([a[::-1], a + "s"]), "b": pa.array([a, a])}
+    (got,) = matching._ratios(0.85)(iter([pa.RecordBatch.from_pydict(rows)]))
+    assert got.column("i").to_pylist() == [1] and len(calls) == 1
