@@ -11,7 +11,7 @@ from ..functions import text as X
 def lines(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, pos, line: the non-blank lines, trimmed."""
     split = docs.select(*keys, F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line"))
-    return split.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where("line <> ''")
+    return split.withColumn("line", F.trim("line", F.lit(" \t\n\x0b\f\r"))).where("line <> ''")
 
 
 def token_chunks(docs: DataFrame, keys: list[str], text: str, size: int = 512, overlap: int = 64, least: int = 40) -> DataFrame:
@@ -43,7 +43,7 @@ def candidates(docs: DataFrame, keys: list[str], text: str, spaced: bool = False
     A heading ends a candidate and gives the section; a numbered line begins one; other
     lines join the one before.  With ``spaced`` one blank stands between a number and its text.
     """
-    marked = lines(docs, keys, text).withColumn("head", X.is_heading(X.normalise("line") if spaced else F.col("line")))
+    marked = lines(docs, keys, text).withColumn("head", F.when(X.maybe_heading(F.col("line")), X.is_heading(X.normalise("line") if spaced else F.col("line"))).otherwise(False))
     sectioned = carry_heading(marked, keys, ["pos"], F.col("head"), X.normalise("line"))
     w = Window.partitionBy(*keys).orderBy("pos")
     numbered = X.is_numbered(F.col("line"))

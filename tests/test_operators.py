@@ -301,3 +301,18 @@ def test_facts_are_those_of_the_sql(spark, tmp_path):
     for name in ("preservation_checks", "critical_tokens_preserved"):
         got = sorted(map(tuple, getattr(plans, name)(spark, f"{tmp_path}").collect()))
         assert got == sorted(con.execute(plans.query.__globals__["_oracles"][name]).fetchall()), name
+
+
+def test_normalising_and_headings_by_definition(spark):
+    """Against the plain patterns; prose must not be normalised or counted to know that it is no heading."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", "B", "-", "\n", " ", "\t", "­", "\x00", " ", ":", "7", "é", "\x0b", "\r"]) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    texts += [None, "", "TERMS AND CONDITIONS", "Scope:", "Scope:­", "SCO­PE OF", " FEES DUE ", "A " * 13 + "B", "one two:", "DUE\x00DATES"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("t"), "­", ""), "\\x00", " "), r"(?U)(?<=\w)-\s*\n\s*(?=\w)", "")
+    whole = F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), "^ | $", "")
+    head = (X.word_count(whole) <= 12) & (whole.rlike("^[A-Z][A-Z0-9 /&(),.'-]{3,100}$") | whole.endswith(":"))
+    got = F.when(X.maybe_heading(F.col("t")), X.is_heading(X.normalise("t"))).otherwise(False)
+    rows = df.select("i", X.normalise("t").alias("a"), whole.alias("b"), got.alias("c"), F.coalesce(head, F.lit(False)).alias("d"), F.trim("t", F.lit(" \t\n\x0b\f\r")).alias("e"), F.regexp_replace("t", r"^\s+|\s+$", "").alias("f")).collect()
+    assert [r for r in rows if (r["a"], r["c"], r["e"]) != (r["b"], r["d"], r["f"])] == []
+    assert str(X.is_heading(F.col("t"))).index("THEN") < str(X.is_heading(F.col("t"))).index("size")
