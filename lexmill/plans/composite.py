@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators import report as P
 from ..operators import retrieval as R
 from ..operators import segment, stress, verify
+from ..operators.matching import tasks
 from ..operators.stages import StageStore, shared_stages
 from ..session import scratch, stored
 from . import contracts, evaluation, resampling, retrieval
@@ -84,6 +85,7 @@ def analyse(docs: DataFrame, chunks: DataFrame, top_j: int = 3, tau: float = P.T
     ``suppress`` a rewrite that wasn't accepted doesn't go on: the clause itself stands for it.
     """
     cl = segment.fold_clauses(docs, ["doc_id"], "text").select(F.concat_ws("/", "doc_id", "clause_id").alias("clause_id"), "doc_id", "clause")
+    cl = cl.repartition(tasks(docs.sparkSession))  # what follows takes long for its bytes
     cl = cl.withColumn("rewritten", X.split_long_clauses("clause")).withColumn("fk_grade", X.fk_grade("rewritten"))
     suppressed = (F.col("fk_grade") > 9) if suppress else F.lit(False)
     cl = stored(cl.withColumn("suppressed", suppressed).withColumn("simplified", F.when(F.col("suppressed"), F.col("clause")).otherwise(F.col("rewritten"))), "clauses")
