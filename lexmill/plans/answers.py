@@ -10,6 +10,7 @@ from ..operators import answers as A
 from ..operators import benchmark as B
 from ..operators import metrics as M
 from ..operators import retrieval as R
+from ..session import stored
 from . import retrieval
 from .retrieval import _TOK
 from .text import SENTENCES_SQL, WORDS_SQL
@@ -71,6 +72,8 @@ def reranker_comparison(spark, sf_dir):
     """Rerankers on the union of the dense and the lexical candidates, the first occurrence of each counting."""
     asked, texts = retrieval.passages(spark, sf_dir), retrieval.texts(spark, sf_dir)
     pool = B.first_seen_candidates(R.hashed_dense(asked, texts, 20), retrieval.lexical(spark, sf_dir, 20)).withColumnRenamed("place", "rank")
+    pool = stored(pool, "candidates")  # so that their size is known
+    texts = texts.join(pool.select("doc_id"), "doc_id", "left_semi")
     held = lambda key, name, t: t.select(key, F.array_distinct(F.transform(X.tokens("text"), lambda x: F.xxhash64(x))).alias(name))
     both = pool.join(held("doc_id", "t", texts), "doc_id").join(held("q_id", "a", asked), "q_id")
     share = lambda size: F.round(F.try_divide(F.size(F.array_intersect("a", "t")), size), 9)

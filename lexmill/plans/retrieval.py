@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import metrics as M
 from ..operators import retrieval as R
 from ..operators.stages import sharing, stage
+from ..session import stored
 
 _TOK = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
@@ -138,8 +139,10 @@ def hybrid_retrieval_metrics(spark, sf_dir):
 def with_overlap(candidates, asked, documents):
     """The candidates with s, the cross-encoder's stand-in: the share of the query's distinct tokens that stand in the document.
 
-    Each text is cut into its set of token hashes once, where it stands; only the sets move.
+    Each text that is a candidate is cut into its set of token hashes once, where it stands; only the sets move.
     """
+    candidates = stored(candidates, "candidates")  # so that their size is known
+    documents = documents.join(candidates.select("doc_id"), "doc_id", "left_semi")
     held = lambda key, name, t: t.select(key, F.array_distinct(F.transform(X.tokens("text"), lambda x: F.xxhash64(x))).alias(name))
     both = candidates.join(held("doc_id", "in_text", documents), "doc_id").join(held("q_id", "in_query", asked), "q_id")
     return both.withColumn("s", F.round(F.try_divide(F.size(F.array_intersect("in_query", "in_text")), F.size("in_query")), 9)).drop("in_text", "in_query")
