@@ -203,8 +203,8 @@ def query_mode_ablation(spark, sf_dir):
     modes = [("original", F.col("text")), ("simplified", short), ("combined", F.concat(F.lit("Original clause: "), "text", F.lit("\nSimplified clause: "), short))]
     asked = b.select("item_id", F.explode(F.array(*(F.struct(F.lit(i).alias("m"), F.lit(n).alias("mode"), t.alias("text")) for i, (n, t) in enumerate(modes)))).alias("x"))
     asked = asked.select((F.col("item_id") * 10 + F.col("x.m")).alias("q_id"), "item_id", F.col("x.mode").alias("query_mode"), "x.text")
-    ranks = R.bm25(asked.select("q_id", "text"), texts(spark, sf_dir)).select("q_id", "doc_id", "rank")
-    g = gold(spark, sf_dir).withColumnRenamed("q_id", "item_id").join(asked.select("q_id", "item_id", "query_mode"), "item_id").join(ranks, ["q_id", "doc_id"], "left")
+    g = stored(gold(spark, sf_dir).withColumnRenamed("q_id", "item_id").join(asked.select("q_id", "item_id", "query_mode"), "item_id"), "gold-modes")
+    g = g.join(R.bm25_ranks(asked.select("q_id", "text"), texts(spark, sf_dir), g.select("q_id", "doc_id")), ["q_id", "doc_id"], "left")
     return g.groupBy("query_mode").agg(F.round(F.avg(F.when(F.col("rank") <= 8, 1.0).otherwise(0.0)), 6).alias("recall_at_8"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
