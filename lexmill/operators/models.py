@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from typing import Any
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import arrow_text as A
 from ..functions import text as X
 from ..session import ship, stored
 from .resample import numbered
@@ -32,22 +36,19 @@ def model(task: str) -> Callable[..., Any]:
     return _models[task]
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def embed(texts: pd.Series) -> pd.Series:
-    """Unit vectors of 64 hashed token counts."""
-    import re
-    import zlib
-
-    import numpy as np
-
-    def one(t: str | None) -> list[float]:
-        v = np.zeros(64, np.float32)
-        for w in re.findall("[a-z0-9]+", (t or "").lower()):
-            v[zlib.crc32(w.encode()) % 64] += 1
-        n = float(np.linalg.norm(v))
-        return (v / n if n else v).tolist()
-
-    return texts.map(one)
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def embed(texts: pa.Array) -> pa.Array:
+    """Unit vectors of 64 hashed token counts; a slice of the batch's texts is worked on at a time."""
+    done = [np.empty((0, 64), np.float32)]
+    for b in A.slices(pa.record_batch([texts], ["text"]), 0):
+        length, tokens = A.cut_tokens(b.column(0))
+        coded = tokens.dictionary_encode()
+        bucket = np.array([crc32(w.encode()) % 64 for w in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+        v = np.bincount(np.repeat(np.arange(len(b)), length) * 64 + bucket, minlength=len(b) * 64).reshape(len(b), 64).astype(np.float32)
+        norm = np.sqrt((v * v).sum(1, keepdims=True))
+        done.append(v / np.where(norm == 0, np.float32(1), norm))
+    v = np.concatenate(done)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, 64), pa.int32()), pa.array(v.ravel(), pa.float32()))
 
 
 register("embedding", embed)
