@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 TAU, LOW_ENTAILMENT, CONFLICT_GAP, HIGH_RISK = 0.376, 0.376, 0.3, 4
 
 #: The reason codes, in the order in which they are reported.
@@ -69,8 +71,8 @@ def routing_summary(routed_clauses: DataFrame) -> DataFrame:
 def clause_means(clauses: DataFrame) -> DataFrame:
     """Means and rates over each clause's own sentences, by higher-order functions; null without sentences."""
     n = F.size("sentences")
-    mean = lambda f: F.round(F.try_divide(F.aggregate(F.filter("sentences", lambda s: s[f].isNotNull()), F.lit(0.0), lambda a, s: a + s[f]), F.size(F.filter("sentences", lambda s: s[f].isNotNull()))), 6)
-    rate = lambda g: F.round(F.try_divide(F.size(F.filter("sentences", g)), n), 6)
+    mean = lambda f: X.rounded(F.try_divide(F.aggregate(F.filter("sentences", lambda s: s[f].isNotNull()), F.lit(0.0), lambda a, s: a + s[f]), F.size(F.filter("sentences", lambda s: s[f].isNotNull()))), 6)
+    rate = lambda g: X.rounded(F.try_divide(F.size(F.filter("sentences", g)), n), 6)
     return clauses.select(
         "clause_id", mean("source").alias("mean_source"), mean("regulatory").alias("mean_regulatory"),
         rate(lambda s: F.coalesce(s["regulatory"], F.lit(0.0)) < TAU).alias("unsupported_rate"), rate(lambda s: s["chunk_id"].isNotNull()).alias("attribution_coverage"),
@@ -98,8 +100,8 @@ def clause_results(clauses: DataFrame, mode: str = "retrieved_chunk", tau: float
     c = clauses.withColumn("said", said)
     n = F.nullif(F.size("said"), F.lit(0))
     known = lambda f: F.filter("said", lambda s: s[f].isNotNull())
-    mean = lambda f: F.round(F.try_divide(F.aggregate(known(f), F.lit(0.0), lambda a, s: a + s[f]), F.size(known(f))), 6)
-    rate = lambda g: F.round(F.try_divide(F.size(F.filter("said", g)), n), 6)
+    mean = lambda f: X.rounded(F.try_divide(F.aggregate(known(f), F.lit(0.0), lambda a, s: a + s[f]), F.size(known(f))), 6)
+    rate = lambda g: X.rounded(F.try_divide(F.size(F.filter("said", g)), n), 6)
     out = c.withColumns({
         "mean_source_faithfulness": mean("source"), "mean_regulatory_support": mean("regulatory"), "mean_primary_faithfulness": mean("primary"),
         "unsupported_flag_rate": rate(lambda s: s["primary"] < tau), "supported_attribution_coverage": rate(lambda s: s["chunk_id"].isNotNull()),
@@ -113,14 +115,14 @@ def document_metrics(clauses: DataFrame) -> DataFrame:
     flat = clauses.select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.*")
     bad = F.coalesce("regulatory", F.lit(0.0)) < TAU
     by_sentence = flat.groupBy("doc_id").agg(
-        F.count("*").alias("sentence_count"), F.count_if(bad).alias("unsupported_sentence_count"), F.round(F.avg("source"), 6).alias("mean_source_faithfulness"),
-        F.round(F.avg("regulatory"), 6).alias("mean_regulatory_support"), F.round(F.avg(bad.cast("double")), 6).alias("unsupported_flag_rate"),
-        F.round(F.avg(F.col("chunk_id").isNotNull().cast("double")), 6).alias("supported_attribution_coverage"),
+        F.count("*").alias("sentence_count"), F.count_if(bad).alias("unsupported_sentence_count"), X.rounded(F.avg("source"), 6).alias("mean_source_faithfulness"),
+        X.rounded(F.avg("regulatory"), 6).alias("mean_regulatory_support"), X.rounded(F.avg(bad.cast("double")), 6).alias("unsupported_flag_rate"),
+        X.rounded(F.avg(F.col("chunk_id").isNotNull().cast("double")), 6).alias("supported_attribution_coverage"),
     )
-    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    share = lambda c: X.rounded(F.avg(c.cast("double")), 6)
     by_clause = clauses.groupBy("doc_id").agg(
         F.count("*").alias("clause_count"), F.count_if(~F.col("risk_label").isin("Safe", "Needs Review")).alias("risky_clause_count"), F.count_if(F.col("risk_label") == "Needs Review").alias("needs_review_count"),
-        F.count_if(F.col("simplification_status") == "needs_review").alias("simplification_review_count"), share(F.col("n_evidence") > 0).alias("retrieval_coverage"), F.round(F.avg("fk_grade"), 6).alias("mean_fk_grade"),
+        F.count_if(F.col("simplification_status") == "needs_review").alias("simplification_review_count"), share(F.col("n_evidence") > 0).alias("retrieval_coverage"), X.rounded(F.avg("fk_grade"), 6).alias("mean_fk_grade"),
         share(F.col("fk_grade") <= 8).alias("pct_fk_le_8"), share(F.col("fk_grade") <= 9).alias("pct_fk_le_9"), share(F.col("semantic_target_met")).alias("pct_semantic_target_met"), F.count_if("routed").alias("routed_clause_count"),
     )
     return by_clause.join(by_sentence, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("sentence_count", "unsupported_sentence_count")})

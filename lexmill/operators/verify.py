@@ -14,7 +14,7 @@ Scorer = Callable[[Column, Column], Column]
 
 def token_share(premise: Column, hypothesis: Column) -> Column:
     """Share of the distinct tokens in ``hypothesis`` that ``premise`` has; both are arrays of distinct tokens."""
-    return F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(hypothesis, premise)), F.size(hypothesis)), F.lit(0.0)), 9)
+    return X.rounded(F.coalesce(F.try_divide(F.size(F.array_intersect(hypothesis, premise)), F.size(hypothesis)), F.lit(0.0)), 9)
 
 
 def token_recall(premise: Column, hypothesis: Column) -> Column:

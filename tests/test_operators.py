@@ -31,6 +31,24 @@ def pair(spark, a, b, column):
     return spark.createDataFrame([(a, b)], "a string, b string").select(column.alias("x")).first()["x"]
 
 
+def test_grades_and_shares_round_halves_as_the_sql(spark):
+    import duckdb
+
+    from lexmill.operators import verify
+    from lexmill.plans.text import FK_SQL
+
+    words = ["baba"] * 45 + ["ba"] * 35  # 125 syllables in six sentences: 8.0475, but 8.0475 * 1000 is under 8047.5
+    text = " ".join(" ".join(words[i::6]).capitalize() + "." for i in range(6))
+    assert one(spark, text, X.fk_grade("t")) == duckdb.execute(f"SELECT {FK_SQL} FROM (SELECT ? AS text)", [text]).fetchone()[0] == 8.047
+    assert one(spark, None, X.rounded(F.col("t").cast("double"), 3)) is None and one(spark, "-0.0625", X.rounded(F.col("t").cast("double"), 3)) == -0.063
+    halves = [(i, k / n) for i, (k, n) in enumerate([(41, 640), (323, 640), (1, 128), (558, 1093)])]
+    got = {r["i"]: r["x"] for r in spark.createDataFrame(halves, "i int, v double").select("i", X.rounded("v", 6).alias("x")).collect()}
+    assert got == {i: duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for i, v in halves}
+    said = [str(i) for i in range(5120)]
+    share = verify.token_share(F.array(F.lit("0")), F.split("t", " "))
+    assert one(spark, " ".join(said), share) == duckdb.execute("SELECT round(1 / 5120, 9)").fetchone()[0]
+
+
 def test_text_functions(spark):
     assert one(spark, " co­op -\n eration  be-\nfore\x00now ", X.normalise("t")) == "coop - eration before now"
     assert one(spark, "One. Two! three? 4 is.", X.sentences("t")) == ["One.", "Two! three?", "4 is."]
