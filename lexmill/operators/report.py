@@ -139,8 +139,9 @@ def risk_violations() -> Column:
 
 def rule_label(text: Column, rules: dict[str, list[str]], otherwise: str = "Safe") -> Column:
     """The label with most of its terms in the text, the first on ties; ``otherwise`` without any."""
-    low = F.lower(text)
-    score = lambda terms: sum((low.contains(t).cast("int") for t in terms), F.lit(0))
-    scored = F.array(*(F.struct(score(terms).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("label")) for i, (name, terms) in enumerate(rules.items())))
-    best = F.array_max(scored)
-    return F.when(best["n"] > 0, best["label"]).otherwise(otherwise)
+
+    def best(low: Column) -> Column:
+        score = lambda terms: sum((low.contains(t).cast("int") for t in terms), F.lit(0))
+        return F.array_max(F.array(*(F.struct(score(terms).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("label")) for i, (name, terms) in enumerate(rules.items()))))
+
+    return X.let(X.let(F.lower(text), best), lambda b: F.when(b["n"] > 0, b["label"]).otherwise(otherwise))
