@@ -10,7 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text makes a slice of its own.
-SLICE = 1 << 20
+SLICE = 1 << 18
+#: Rows (term, count) that a task holds back at most; Spark adds up before the shuffle what comes in parts.
+HELD_TERMS = 1 << 18
 #: The lower-cased byte of those that tokens are made of, else 0.
 _LOWER = np.zeros(256, np.uint8)
 for _from, _to in (("abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")):
@@ -21,13 +23,13 @@ _TO_ASCII = (("İ", "i "), ("K", "k"))
 
 def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about SLICE bytes of text; null texts are empty."""
-    texts = pc.fill_null(batch.column(column).cast(pa.string()), "")
-    batch = batch.set_column(column, batch.schema.field(column).with_type(pa.string()), texts)
-    upto = np.r_[0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))]
+    field = batch.schema.field(column).with_type(pa.string())
+    upto = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))]
     first = 0
     while first < len(batch):
         past = max(first + 1, int(np.searchsorted(upto, upto[first] + SLICE, "right")) - 1)
-        yield batch.slice(first, past - first)
+        b = batch.slice(first, past - first)  # only a slice's texts are copied, not the batch's
+        yield b.set_column(column, field, pc.fill_null(b.column(column).cast(pa.string()), ""))
         first = past
 
 
@@ -98,10 +100,10 @@ def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             met = np.unique(np.repeat(np.arange(len(b)), length) * width + coded.indices.to_numpy())
             held.append(pa.table({"term": coded.dictionary, "df": np.bincount(met % width, minlength=width)}))
             rows += width
-            if rows > 1 << 20:
+            if rows > HELD_TERMS:
                 held = [summed()]
                 rows = len(held[0])
-                if rows > 1 << 19:
+                if rows > HELD_TERMS // 2:
                     yield from out(held[0])
                     held, rows = [], 0
     if held:
