@@ -18,13 +18,19 @@ The pairs of a rung are decided by local dominance: a pair that is the first of
 lines in the order would be taken whatever comes between, so all such pairs are taken at once,
 their lines' other pairs go, and it starts again.  This gives the rows of a scan in order.
 Documents with ``IN_TASK`` pairs at most do their rounds in a task, larger ones in joins.
+
+``match_clauses`` has a document's lines in its row: there up to ``IN_ROW`` pairs are matched where
+they stand, and only documents with more go the way above.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from heapq import heappop, heappush
 from math import ceil, floor
 
 import numpy as np
@@ -39,6 +45,10 @@ from ..session import ship, stored
 RUNGS = (0.95,)
 #: Gram length of lines that are long enough; pairs decided in one task; buckets of the gram frequencies.
 GRAM, IN_TASK, BUCKETS = 3, 200_000, 1 << 16
+#: Pairs of unequal lines of a document that are held at once in its row.
+IN_ROW = 1 << 20
+#: From this length on difflib leaves out characters that make up over a hundredth of the second line.
+JUNK_FROM = 200
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -146,6 +156,78 @@ def common_subsequence(a: str, places: dict[str, int], n: int) -> int:
     return n - open_.bit_count()
 
 
+def rare_places(line: str) -> dict[str, list[int]] | None:
+    """The places of the characters that difflib goes by in a second line; None for a short one, where it goes by all."""
+    if len(line) < JUNK_FROM:
+        return None
+    return {x: _places(line, x) for x, n in Counter(line).items() if n <= len(line) // 100 + 1}
+
+
+def _places(line: str, x: str) -> list[int]:
+    at, k = [], line.find(x)
+    while k >= 0:
+        at.append(k)
+        k = line.find(x, k + 1)
+    return at
+
+
+def _block(a: str, b: str, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+    """difflib's longest block of a short line: the first in ``a``, then in ``b``."""
+    i, at, n = alo, alo, 0
+    while i + n < ahi:
+        if b.find(a[i : i + n + 1], blo, bhi) >= 0:
+            at, n = i, n + 1
+            while i + n < ahi and b.find(a[i : i + n + 1], blo, bhi) >= 0:
+                n += 1
+        i += 1
+    return at, b.find(a[at : at + n], blo, bhi), n
+
+
+def _rare_block(a: str, b: str, at: list[int], rare: dict[str, list[int]], alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+    """difflib's longest block of a long line: the longest run of rare characters, widened while characters are equal."""
+    best_i, best_j, n = alo, blo, 0
+    runs: dict[int, int] = {}
+    before = -2
+    for x in range(bisect_left(at, alo), bisect_left(at, ahi)):
+        i = at[x]
+        if i != before + 1:
+            runs = {}
+        before, new, places = i, {}, rare[a[i]]
+        for y in range(bisect_left(places, blo), bisect_left(places, bhi)):
+            j = places[y]
+            k = new[j] = runs.get(j - 1, 0) + 1
+            if k > n:
+                best_i, best_j, n = i - k + 1, j - k + 1, k
+        runs = new
+    while best_i > alo and best_j > blo and a[best_i - 1] == b[best_j - 1]:
+        best_i, best_j, n = best_i - 1, best_j - 1, n + 1
+    while best_i + n < ahi and best_j + n < bhi and a[best_i + n] == b[best_j + n]:
+        n += 1
+    return best_i, best_j, n
+
+
+def ratio(a: str, b: str, rare: dict[str, list[int]] | None, least: float = 0.0) -> float:
+    """difflib's ratio of two lines, 0 as soon as it can't reach ``least``; ``rare`` are the places of ``b``."""
+    total = len(a) + len(b)
+    if not total:
+        return 1.0
+    at = [] if rare is None else sorted(i for x in rare for i in _places(a, x))
+    matched, open_, todo = 0, min(len(a), len(b)), [(0, len(a), 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        open_ -= min(ahi - alo, bhi - blo)
+        i, j, n = _block(a, b, alo, ahi, blo, bhi) if rare is None else _rare_block(a, b, at, rare, alo, ahi, blo, bhi)
+        if n:
+            matched += n
+            for rest in ((alo, i, blo, j), (i + n, ahi, j + n, bhi)):
+                if rest[0] < rest[1] and rest[2] < rest[3]:
+                    todo.append(rest)
+                    open_ += min(rest[1] - rest[0], rest[3] - rest[2])
+        if 2.0 * (matched + open_) / total < least:
+            return 0.0
+    return 2.0 * matched / total
+
+
 def _ratios(least: float):
     """Ratio of the candidates (doc, i, j, a, b) that reach ``least``; each distinct gold line is indexed once a batch."""
 
@@ -155,7 +237,7 @@ def _ratios(least: float):
             held: dict[str, np.ndarray] = {}
             for line in {*a, *b}:
                 held[line] = np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64)
-            at, ratio, matcher, indexed, placed, places = [], [], SequenceMatcher(None), None, None, {}
+            at, reached, matcher, indexed, rare, placed, places = [], [], SequenceMatcher(None), None, None, None, {}
             for k in sorted(range(len(a)), key=b.__getitem__):
                 if 2 * np.minimum(held[a[k]], held[b[k]]).sum() < least * (len(a[k]) + len(b[k])) - 1e-9:
                     continue
@@ -164,15 +246,88 @@ def _ratios(least: float):
                 if 2 * common_subsequence(a[k], places, len(placed)) < least * (len(a[k]) + len(placed)) - 1e-9:
                     continue
                 if b[k] != indexed:
-                    indexed = b[k]
-                    matcher.set_seq2(indexed)
-                matcher.set_seq1(a[k])
-                r = matcher.ratio()
+                    indexed, rare = b[k], rare_places(b[k])
+                    if rare is None:
+                        matcher.set_seq2(indexed)
+                if rare is None:
+                    matcher.set_seq1(a[k])
+                    r = matcher.ratio()
+                else:
+                    r = ratio(a[k], indexed, rare, least)
                 if r >= least:
                     at.append(k)
-                    ratio.append(r)
+                    reached.append(r)
             found = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(found) for c in ("doc", "i", "j")), pa.array(ratio, pa.float64())], ["doc", "i", "j", "ratio"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(found) for c in ("doc", "i", "j")), pa.array(reached, pa.float64())], ["doc", "i", "j", "ratio"])
+
+    return run
+
+
+def _letters(lines: list[str]) -> np.ndarray:
+    return np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64) for x in lines])
+
+
+def matched_lines(predicted: list[str | None], gold: list[str | None], least: float, most: int = IN_ROW) -> int | None:
+    """How many lines of a document ``line_matches`` would match; None if over ``most`` pairs are left by the equal ones.
+
+    Pairs come in the order of what their letters allow at most.  A pair's ratio is computed when its
+    turn comes, if both of its lines are free then, and it is taken once no other can come before it.
+    """
+    common = Counter(x for x in predicted if x is not None) & Counter(x for x in gold if x is not None)
+
+    def left(lines: list[str | None]) -> list[str]:
+        used, out = common.copy(), []
+        for x in reversed(lines):  # equal lines are paired from the end
+            if x is not None:
+                if used[x] > 0:
+                    used[x] -= 1
+                else:
+                    out.append(x)
+        return out[::-1]
+
+    p, g, n = left(predicted), left(gold), common.total()
+    if len(p) * len(g) > most:
+        return None
+    if not p or not g or least == 1:
+        return n
+    letters, other = _letters(p), _letters(g)
+    lengths, others = letters.sum(1), other.sum(1)
+    step = max(1, most // (64 * len(g)))
+    both = np.concatenate([np.minimum(letters[k : k + step, None], other[None]).sum(2) for k in range(0, len(p), step)])
+    total = lengths[:, None] + others[None]
+    i, j = np.nonzero(2.0 * both >= least * total - 1e-9)
+    bound = 2.0 * both[i, j] / np.maximum(total[i, j], 1)
+    free_i, free_j, rare, reached = [True] * len(p), [True] * len(g), {}, []
+
+    def take(before: tuple | None) -> int:
+        taken = 0
+        while reached and (before is None or reached[0] < before):
+            _, y, z = heappop(reached)
+            if free_i[-y] and free_j[-z]:
+                free_i[-y] = free_j[-z] = False
+                taken += 1
+        return taken
+
+    for x in np.lexsort((-j, -i, -bound)).tolist():
+        y, z = int(i[x]), int(j[x])
+        n += take((-float(bound[x]), -y, -z))
+        if free_i[y] and free_j[z]:
+            if z not in rare:
+                rare[z] = rare_places(g[z])
+            r = ratio(p[y], g[z], rare[z], least)
+            if r >= least:
+                heappush(reached, (-r, -y, -z))
+    return n + take(None)
+
+
+def _in_rows(least: float, most: int):
+    """Adds how many lines are matched to the rows (key, sizes, predicted, gold)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known = b.column(0).is_valid().to_pylist()
+            n = [matched_lines(b.column(3)[k].as_py() or [], b.column(4)[k].as_py() or [], least, most) if known[k] else 0 for k in range(len(b))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int32())], [*b.schema.names[:3], "matched"])
 
     return run
 
@@ -273,9 +428,19 @@ def line_matches(predicted: DataFrame, gold: DataFrame, least: float = 0.85, run
     return out
 
 
-def match_clauses(pairs: DataFrame, key: str, least: float = 0.85) -> DataFrame:
-    """key, n_predicted, n_gold, matched per document (key, predicted array, gold array)."""
-    lines = [pairs.select(F.col(key).alias("doc"), F.posexplode(c).alias("place", "line")) for c in ("predicted", "gold")]
-    n = line_matches(*lines, least).groupBy("doc").agg(F.count("*").cast("int").alias("matched"))
-    sizes = pairs.select(key, F.size("predicted").alias("n_predicted"), F.size("gold").alias("n_gold"))
-    return sizes.join(n, F.col(key) == F.col("doc"), "left").select(key, "n_predicted", "n_gold", F.coalesce("matched", F.lit(0)).alias("matched"))
+def match_clauses(pairs: DataFrame, key: str, least: float = 0.85, in_row: int = IN_ROW) -> DataFrame:
+    """key, n_predicted, n_gold, matched per document (key, predicted array, gold array); a document is one row."""
+    if not 0 < least <= 1:
+        raise ValueError("the least similarity lies over 0, up to 1")
+    ship(pairs.sparkSession)
+    sizes = (F.size("predicted").alias("n_predicted"), F.size("gold").alias("n_gold"))
+    kind = dict(pairs.dtypes)[key]
+    done = stored(pairs.select(key, *sizes, "predicted", "gold").mapInArrow(_in_rows(least, in_row), f"`{key}` {kind}, n_predicted int, n_gold int, matched int"), "matched-rows")
+    large = done.where("matched is null")
+    if large.isEmpty():
+        return done
+    rest = pairs.join(large.select(key), key, "left_semi")
+    lines = [rest.select(F.col(key).alias("doc"), F.posexplode(c).alias("place", "line")) for c in ("predicted", "gold")]
+    n = line_matches(*lines, least).groupBy("doc").agg(F.count("*").cast("int").alias("n"))
+    counted = large.join(n, F.col(key) == F.col("doc"), "left").select(key, "n_predicted", "n_gold", F.coalesce("n", F.lit(0)).alias("matched"))
+    return done.where("matched is not null").unionByName(counted)

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from ..catalog import query, table
 from ..functions import text as X
-from ..operators.matching import match_clauses
+from ..operators.matching import match_clauses, tasks
 from ..session import ship
 from ..sources import files as S
 from ..sources import normalise as N
@@ -172,8 +172,9 @@ def consolidate_flatten(spark, sf_dir):
 @query()
 def fuzzy_clause_match(spark, sf_dir):
     gold = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 20)
-    noisy = F.transform(gold, lambda x: F.replace(x, F.lit("th"), F.lit("h")))
-    return S.parser_scores(match_clauses(documents(spark, sf_dir).select("doc_id", gold.alias("gold"), noisy.alias("predicted")), "doc_id"), "doc_id")
+    noisy = F.transform("gold", lambda x: F.replace(x, F.lit("th"), F.lit("h")))
+    docs = documents(spark, sf_dir).select("doc_id", "text").repartition(tasks(spark), "doc_id")  # matching takes long for its bytes
+    return S.parser_scores(match_clauses(docs.select("doc_id", gold.alias("gold")).withColumn("predicted", noisy), "doc_id"), "doc_id")
 
 
 RECORD = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()), T.StructField("toxic", T.BooleanType()), T.StructField("score", T.DoubleType())])

@@ -159,3 +159,31 @@ def test_unlike_lines_of_equal_letters_are_not_left_to_difflib(monkeypatch):
     rows = {"doc": pa.array([1, 1]), "i": pa.array([0, 1], pa.int32()), "j": pa.array([0, 0], pa.int32()), "a": pa.array([a[::-1], a + "s"]), "b": pa.array([a, a])}
     (got,) = matching._ratios(0.85)(iter([pa.RecordBatch.from_pydict(rows)]))
     assert got.column("i").to_pylist() == [1] and len(calls) == 1
+
+
+def test_documents_are_matched_in_their_rows(spark, monkeypatch):
+    """Without ``line_matches``, and the same with it where a row would hold too many pairs."""
+    predicted, gold = made(6, [30, 12, 1, 0])
+    for d in ("d0", "d1"):  # lines over difflib's length, near and far from their partners
+        long = lines_of(random.Random(7), 6, longest=60)
+        gold[d] += [" ".join(long[k:] + long[:k]) * 3 for k in range(6)]
+        predicted[d] += [(" ".join(long[k:] + long[:k]) * 3).replace("th", "h").replace("e s", "es") for k in range(6)]
+    df = spark.createDataFrame([(d, predicted[d], gold[d]) for d in gold], "k string, predicted array<string>, gold array<string>")
+    want = {d: len(plain(predicted[d], gold[d], 0.85)) for d in gold}
+    joined = matching.match_clauses(df, "k", in_row=200)
+    assert {r["k"]: r["matched"] for r in joined.collect()} == want and want["d0"] > 20
+    monkeypatch.setattr(matching, "line_matches", lambda *_: pytest.fail("lines left their rows"))
+    got = matching.match_clauses(df, "k").collect()
+    assert {r["k"]: r["matched"] for r in got} == want
+    assert all((r["n_predicted"], r["n_gold"]) == (len(predicted[r["k"]]), len(gold[r["k"]])) for r in got)
+
+
+def test_ratios_are_those_of_difflib():
+    rng = random.Random(8)
+    for _ in range(400):
+        alphabet = rng.choice(["ab", "abcdefghijklmnop \n", "etaoinshrdlu .,KQ7", " éxyz\U00010000"])
+        a = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 450)))
+        b = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 450))) if rng.random() < 0.4 else noisy(rng, a, 0.1 * rng.random()) + "QZ1!" + a[:9]
+        want = SequenceMatcher(None, a, b).ratio()
+        assert matching.ratio(a, b, matching.rare_places(b)) == want
+        assert matching.ratio(a, b, matching.rare_places(b), 0.85) == (want if want >= 0.85 else 0.0)
