@@ -55,7 +55,7 @@ def candidates(docs: DataFrame, keys: list[str], text: str, spaced: bool = False
     joined = grouped.groupBy(*keys, "grp").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), " ").alias("raw"), F.max_by("section", "pos").alias("section")
     )
-    return joined.select(*keys, "grp", "section", X.normalise("raw").alias("clause")).where("clause <> ''")
+    return joined.where(~X.is_blank("raw")).select(*keys, "grp", "section", X.normalise("raw").alias("clause"))
 
 
 def numbered_clauses(kept: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,7 +82,7 @@ def fold_clauses(docs: DataFrame, keys: list[str], text: str, min_words: int = 3
     """
     w = Window.partitionBy(*keys).orderBy("grp")
     all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    short = F.col("clause").rlike(MARKER) | (X.word_count("clause") < min_words)
+    short = F.col("clause").rlike(MARKER) | ~X.has_words("clause", min_words)
     seen = candidates(docs, keys, text, spaced=True).withColumn("short", short)
     before = F.when(F.lag("short").over(w), F.struct(F.lag("clause").over(w).alias("clause"), F.lag("section").over(w).alias("section")))
     end = F.when(F.last("short").over(all_), F.last("clause").over(all_))

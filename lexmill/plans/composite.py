@@ -81,27 +81,37 @@ def verdict_counts(spark, sf_dir):
 def analyse(docs: DataFrame, chunks: DataFrame, top_j: int = 3, tau: float = P.TAU, suppress: bool = False) -> DataFrame:
     """Clause results of whole contracts: segment, rewrite, retrieve, label, verify, route.
 
-    One plan for all documents after the clauses are stored; models are their stand-ins.  With
-    ``suppress`` a rewrite that wasn't accepted doesn't go on: the clause itself stands for it.
+    One plan for all documents; models are their stand-ins.  Documents are dealt over tasks once, and
+    a clause meets its evidence in its row.  With ``suppress`` a rewrite that wasn't accepted doesn't
+    go on: the clause itself stands for it.
     """
-    cl = segment.fold_clauses(docs, ["doc_id"], "text").select(F.concat_ws("/", "doc_id", "clause_id").alias("clause_id"), "doc_id", "clause")
-    cl = cl.repartition(tasks(docs.sparkSession))  # what follows takes long for its bytes
-    cl = cl.withColumn("rewritten", X.split_long_clauses("clause")).withColumn("fk_grade", X.fk_grade("rewritten"))
+    dealt = docs.repartition(tasks(docs.sparkSession), "doc_id")  # what follows takes long for its bytes
+    cl = segment.fold_clauses(dealt, ["doc_id"], "text").select(F.concat_ws("/", "doc_id", "clause_id").alias("clause_id"), "doc_id", "clause")
+    cl = cl.withColumn("rewritten", X.split_long_clauses("clause")).withColumn("said", X.sentences("rewritten")).withColumn("fk_grade", X.fk_grade("rewritten", F.size("said")))
     suppressed = (F.col("fk_grade") > 9) if suppress else F.lit(False)
-    cl = stored(cl.withColumn("suppressed", suppressed).withColumn("simplified", F.when(F.col("suppressed"), F.col("clause")).otherwise(F.col("rewritten"))), "clauses")
+    cl = cl.withColumn("suppressed", suppressed).withColumn("simplified", F.when(F.col("suppressed"), F.col("clause")).otherwise(F.col("rewritten")))
+    if suppress:
+        cl = cl.withColumn("said", F.when(F.col("suppressed"), X.sentences("clause")).otherwise(F.col("said")))
+    judge = verify.in_rows(chunks, top_j, tau)
+    cl = _judged_by_joins(cl, chunks, top_j, tau) if judge is None else cl.withColumn("judged", judge("clause", "said"))
+    label = P.rule_label(F.col("clause"), contracts.RULES)
+    return cl.select(
+        "clause_id", "doc_id", label.alias("risk_label"), P.risk_score(label).alias("risk_score"), F.when(F.col("fk_grade") > 9, "needs_review").otherwise("accepted").alias("simplification_status"),
+        X.critical_tokens_preserved("clause", "rewritten").alias("semantic_target_met"), "judged.n_evidence", "fk_grade", "judged.sentences", "simplified", F.col("suppressed").alias("simplification_suppressed"),
+    )
+
+
+def _judged_by_joins(cl: DataFrame, chunks: DataFrame, top_j: int, tau: float) -> DataFrame:
+    """Adds what ``verify.in_rows`` gives, where the chunks are too many for it."""
+    cl = stored(cl, "clauses")
     found = R.bm25(cl.select(F.col("clause_id").alias("q_id"), F.col("clause").alias("text")), chunks.select("doc_id", "text"), top_j)
     ev = found.join(chunks, "doc_id").select(F.col("q_id").alias("clause_id"), "rank", F.col("doc_id").alias("chunk_id"), "text")
-    sentences = cl.select("clause_id", "clause", F.posexplode(X.sentences("simplified")).alias("pos", "sentence"))
-    v = verify.verify(sentences, ev, tau, tau)
+    v = verify.verify(cl.select("clause_id", "clause", F.posexplode("said").alias("pos", "sentence")), ev, tau, tau)
     per = v.groupBy("clause_id").agg(F.collect_list(F.struct("source", "regulatory", F.col("chunk_id").cast("string").alias("chunk_id"))).alias("sentences"))  # a clause's sentences
     counts = ev.groupBy("clause_id").agg(F.count("*").alias("n_evidence"))
     empty = F.array().cast("array<struct<source:double,regulatory:double,chunk_id:string>>")
-    label = P.rule_label(F.col("clause"), contracts.RULES)
-    return cl.join(per, "clause_id", "left").join(counts, "clause_id", "left").select(
-        "clause_id", "doc_id", label.alias("risk_label"), P.risk_score(label).alias("risk_score"), F.when(F.col("fk_grade") > 9, "needs_review").otherwise("accepted").alias("simplification_status"),
-        X.critical_tokens_preserved("clause", "rewritten").alias("semantic_target_met"), F.coalesce("n_evidence", F.lit(0).cast("bigint")).alias("n_evidence"), "fk_grade", F.coalesce("sentences", empty).alias("sentences"),
-        "simplified", F.col("suppressed").alias("simplification_suppressed"),
-    )
+    judged = F.struct(F.coalesce("n_evidence", F.lit(0).cast("bigint")).alias("n_evidence"), F.coalesce("sentences", empty).alias("sentences"))
+    return cl.join(per, "clause_id", "left").join(counts, "clause_id", "left").withColumn("judged", judged)
 
 
 _CLAUSE_RULES = contracts._rules_sql("clause")
@@ -141,7 +151,8 @@ def _analysed(spark, sf_dir, suppress=False):
 
 @query(f"WITH {ANALYSED}, {_DOCUMENT}")
 def analyse_document(spark, sf_dir):
-    return P.document_metrics(P.routed(_analysed(spark, sf_dir), "strict_policy"))
+    clauses = stored(_analysed(spark, sf_dir).drop("simplified"), "analysed")  # metrics read them twice
+    return P.document_metrics(P.routed(clauses, "strict_policy"))
 
 
 @query(f"""WITH {SUPPRESSED}, cm AS (SELECT clause_id, count(*) AS n, round(avg(source), 6) AS ms, round(avg(regulatory), 6) AS mr, round(avg(coalesce(regulatory, 0)), 6) AS mp, round(avg((coalesce(regulatory, 0) < {P.TAU})::INT), 6) AS bad, round(avg((chunk_id IS NOT NULL)::INT), 6) AS att FROM cs GROUP BY clause_id)
