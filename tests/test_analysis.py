@@ -72,3 +72,11 @@ def test_negations_and_new_numbers(spark):
         assert x["got"] == x["want"], x
     pairs = spark.createDataFrame([("a 5", "b"), ("a 5", "a 5%"), ("a", "a 5"), ("a 5", "a ٥"), (None, "a"), ("a", None)], "a string, b string")
     assert [x[0] for x in pairs.select(X.critical_tokens_preserved("a", "b")).collect()] == [True, True, False, True, None, None]
+
+
+def test_clause_results_write_no_table_of_texts(spark, sf, monkeypatch):
+    """Clauses aren't stored on the way: what leads to the result is one plan, in which texts move once."""
+    monkeypatch.setattr(composite, "stored", lambda *_: pytest.fail("clauses were stored"))
+    df = composite.clause_results(spark, sf)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert df.where("mean_source_faithfulness is null").count() < df.count()
