@@ -188,6 +188,11 @@ def run_documents(stream: DataFrame, path: str, checkpoint: str) -> None:
         q.stop()
 
 
+def document_name(url: Column, suffix: str = "") -> Column:
+    """The file name that ``write_documents`` gives a document."""
+    return F.concat(F.sha2(url.cast("string"), 256), F.lit(suffix))
+
+
 def write_documents(docs: DataFrame, folder: str, source: Column, url: Column, content: Column, suffix: str = "") -> str:
     """A file per document below ``folder`` and a pin log of them; returns the log's folder.
 
@@ -205,7 +210,7 @@ def write_documents(docs: DataFrame, folder: str, source: Column, url: Column, c
             path = pa.array([f"{folder}/documents/{n[:2]}/{n}" for n in b.column("name").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("source"), b.column("url"), path], ["source", "url", "path"])
 
-    rows = docs.select(source.cast("string").alias("source"), url.cast("string").alias("url"), content.alias("content"), F.concat(F.sha2(url.cast("string"), 256), F.lit(suffix)).alias("name"))
+    rows = docs.select(source.cast("string").alias("source"), url.cast("string").alias("url"), content.alias("content"), document_name(url, suffix).alias("name"))
     rows.mapInArrow(write, "source string, url string, path string").write.mode("overwrite").json(f"{folder}/pins")
     return f"{folder}/pins"
 
