@@ -77,12 +77,11 @@ def stream_events_sink(spark, sf_dir):
 
 @query("SELECT doc_id, source, 'doc:' || doc_id AS url, length(text) AS n_chars, sha256(text) AS sha256 FROM documents")
 def document_stream(spark, sf_dir):
-    """The documents written as a file each, and read back as a stream of 400 a batch."""
+    """The documents written as a file each, and read back as streams of 400 a batch."""
     path = scratch(spark, "document-stream")
     docs = table(spark, sf_dir, "documents")
     log = corpus.write_documents(docs, path, F.col("source"), F.concat(F.lit("doc:"), "doc_id"), F.col("text"))
-    corpus.run_documents(corpus.document_stream(spark, log, f"{path}/checkpoint", 400), f"{path}/table", f"{path}/checkpoint")
-    read = spark.read.parquet(f"{path}/table")
+    read = corpus.run_log(spark, log, f"{path}/table", f"{path}/checkpoint", 400)
     return read.select(F.substring_index("url", ":", -1).cast("bigint").alias("doc_id"), "source", "url", F.length("content").cast("bigint").alias("n_chars"), F.sha2("content", 256).alias("sha256"))
 
 

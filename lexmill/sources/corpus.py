@@ -10,12 +10,15 @@ As a stream the source follows an append-only log of pins: JSON-lines files of a
 ones with greater names.  An offset is a place in the log (file, line).  At most
 ``maxDocuments`` pins are let in a batch; where the last batch ended is read from the query's
 own offset log (option ``checkpoint``), so that a restart goes on there and reads no document twice.
+A batch costs the driver some half a second whatever it holds, so a long log is read by several
+streams: with option ``shard`` k of ``shards`` n a stream takes every n-th line of each file.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from functools import cached_property, reduce
 from itertools import islice, takewhile
 
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from ..functions import text as X
 from ..operators import segment
-from ..session import ship
+from ..session import file_status, ship
 from . import files
 
 DOCUMENT = "source string, url string, content string, error string"
@@ -82,7 +85,7 @@ class PinnedDocuments(DataSource):
         return _Reader(json.loads(self.options["pins"]))
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _LogReader(self.options["path"], self.options.get("checkpoint"), int(self.options.get("maxDocuments", 10_000)), int(self.options.get("perTask", 64)))
+        return _LogReader(self.options["path"], self.options.get("checkpoint"), int(self.options.get("maxDocuments", 10_000)), int(self.options.get("perTask", 64)), int(self.options.get("shard", 0)), int(self.options.get("shards", 1)))
 
 
 class _Reader(DataSourceReader):
@@ -107,22 +110,29 @@ START = {"file": "", "line": 0}
 
 
 class PinLog:
-    """Pins in the order of the log: the files' names, then their lines."""
+    """Pins in the order of the log: the files' names, then their lines; of these every ``shards``-th, from ``shard`` on."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, shard: int = 0, shards: int = 1) -> None:
         self.system, self.path = opened(path)
+        self.shard, self.shards = shard, shards
+        self.held: tuple[tuple, list[str]] = ((), [])  # the file read last, as batches go on in it
 
     def after(self, offset: dict) -> Iterator[tuple[dict, dict]]:
         """(the offset behind a pin, the pin), from ``offset`` on; files before it aren't opened."""
         listed = self.system.get_file_info(fs.FileSelector(self.path, allow_not_found=True))
-        names = sorted(f.base_name for f in listed if f.is_file and not f.base_name.startswith(("_", ".")))
-        for name in (n for n in names if n >= offset["file"]):
+        logged = {f.base_name: f for f in listed if f.is_file and not f.base_name.startswith(("_", "."))}
+        for name in sorted(n for n in logged if n >= offset["file"]):
             skip = offset["line"] if name == offset["file"] else 0
+            lines = self._lines(name, (name, logged[name].size, logged[name].mtime_ns))
+            for i in range(skip + (self.shard - skip) % self.shards, len(lines), self.shards):
+                if lines[i].strip():
+                    yield {"file": name, "line": i + 1}, json.loads(lines[i])
+
+    def _lines(self, name: str, state: tuple) -> list[str]:
+        if self.held[0] != state:
             with self.system.open_input_stream(f"{self.path}/{name}") as f:
-                lines = f.read().decode().splitlines()
-            for i, line in enumerate(lines):
-                if i >= skip and line.strip():
-                    yield {"file": name, "line": i + 1}, json.loads(line)
+                self.held = state, f.read().decode().splitlines()
+        return self.held[1]
 
 
 def last_logged(checkpoint: str | None) -> dict:
@@ -139,8 +149,16 @@ def last_logged(checkpoint: str | None) -> dict:
 
 
 class _LogReader(DataSourceStreamReader):
-    def __init__(self, path: str, checkpoint: str | None, most: int, per_task: int) -> None:
-        self.log, self.checkpoint, self.most, self.per_task = PinLog(path), checkpoint, most, per_task
+    def __init__(self, path: str, checkpoint: str | None, most: int, per_task: int, shard: int = 0, shards: int = 1) -> None:
+        self.path, self.checkpoint, self.most, self.per_task, self.shard, self.shards = path, checkpoint, most, per_task, shard, shards
+
+    @cached_property
+    def log(self) -> PinLog:
+        """Made where offsets are asked for, so that tasks don't get what it holds."""
+        return PinLog(self.path, self.shard, self.shards)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "log"}
 
     def initialOffset(self) -> dict:
         return START
@@ -173,19 +191,42 @@ def pinned(spark: SparkSession, pins: list[dict]) -> DataFrame:
     return spark.read.format("pinned_documents").option("pins", json.dumps(pins)).load()
 
 
-def document_stream(spark: SparkSession, log: str, checkpoint: str, most: int = 10_000, per_task: int = 64) -> DataFrame:
-    """Documents of a pin log as a stream for the query that keeps its state in ``checkpoint``."""
+def document_stream(spark: SparkSession, log: str, checkpoint: str, most: int = 10_000, per_task: int = 64, shard: int = 0, shards: int = 1) -> DataFrame:
+    """Documents of a pin log as a stream for the query that keeps its state in ``checkpoint``; with ``shards`` those of every so many lines."""
     _registered(spark)
-    return spark.readStream.format("pinned_documents").options(path=log, checkpoint=checkpoint, maxDocuments=str(most), perTask=str(per_task)).load()
+    return spark.readStream.format("pinned_documents").options(path=log, checkpoint=checkpoint, maxDocuments=str(most), perTask=str(per_task), shard=str(shard), shards=str(shards)).load()
 
 
 def run_documents(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Append a document stream to the Parquet table at ``path``, batch by batch until the log is read."""
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).start()
+    _run_all([(stream, path, checkpoint)])
+
+
+def _run_all(runs: list[tuple[DataFrame, str, str]]) -> None:
+    started = []
     try:
-        q.processAllAvailable()
+        for stream, path, checkpoint in runs:
+            started.append(stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).start())
+        for q in started:
+            q.processAllAvailable()
     finally:
-        q.stop()
+        for q in started:
+            q.stop()
+
+
+#: Streams that read a log side by side.
+STREAMS = 4
+
+
+def run_log(spark: SparkSession, log: str, path: str, checkpoint: str, most: int = 10_000, shards: int = STREAMS) -> DataFrame:
+    """The documents of a pin log, read by ``shards`` streams at once, each with a table below ``path``, a state of its own and ``most`` documents a batch.
+
+    Another run goes on where the last one ended, if it has as many shards.
+    """
+    at = [(f"{path}/{k}", f"{checkpoint}/{k}") for k in range(shards)]
+    _run_all([(document_stream(spark, log, state, most, shard=k, shards=shards), table, state) for k, (table, state) in enumerate(at)])
+    tables = [spark.read.schema(DOCUMENT).parquet(table) for table, _ in at if file_status(spark, table)]  # a short log leaves some without a batch
+    return reduce(DataFrame.unionByName, tables) if tables else spark.createDataFrame([], DOCUMENT)
 
 
 def document_name(url: Column, suffix: str = "") -> Column:

@@ -80,6 +80,50 @@ def test_document_stream_reads_each_once_over_restarts(spark, tmp_path):
     assert max(sizes.values()) == 4 and len(sizes) == 7
 
 
+def test_streams_side_by_side_read_a_log_once_over_restarts(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "log").mkdir()
+    pins = pins_at(tmp_path / "docs", 25)
+    lines = [json.dumps(p) for p in pins]
+    log, out, state = f"file://{tmp_path}/log", f"file://{tmp_path}/out", f"file://{tmp_path}/state"
+    run = lambda: corpus.run_log(spark, log, out, state, most=3, shards=3)
+    assert run().columns == ["source", "url", "content", "error"] and run().count() == 0
+    (tmp_path / "log" / "000.json").write_text("\n".join(lines[:2]) + "\n")
+    assert sorted(r["url"] for r in run().collect()) == sorted(p["url"] for p in pins[:2])
+    (tmp_path / "log" / "001.json").write_text("\n" + "\n".join(lines[2:15]) + "\n")
+    run()
+    (tmp_path / "log" / "001.json").write_text("\n" + "\n".join(lines[2:20]) + "\n")  # the last file grows
+    (tmp_path / "log" / "002.json").write_text("\n".join(lines[20:]))
+    run()
+    rows = run().collect()
+    assert sorted(r["url"] for r in rows) == sorted(p["url"] for p in pins) and all(r["content"] for r in rows)
+    batches = [len(list((tmp_path / "state" / str(k) / "commits").glob("[0-9]*"))) for k in range(3)]
+    assert min(batches) >= 3 and sum(batches) >= -(-25 // 3)  # each has a part, three a batch at most
+
+
+def test_batches_in_a_log_file_read_it_once(tmp_path):
+    (tmp_path / "a.json").write_text("".join(json.dumps({"url": str(i)}) + "\n" for i in range(100)))
+    log, opens = corpus.PinLog(str(tmp_path), 1, 4), []
+
+    class Counted:
+        def __init__(self, system):
+            self.get_file_info, self.system = system.get_file_info, system
+
+        def open_input_stream(self, path):
+            opens.append(path)
+            return self.system.open_input_stream(path)
+
+    log.system = Counted(log.system)
+    at, got = corpus.START, []
+    while batch := [x for _, x in zip(range(7), log.after(at), strict=False)]:
+        got += [pin["url"] for _, pin in batch]
+        at = batch[-1][0]
+    assert got == [str(i) for i in range(1, 100, 4)] and len(opens) == 1
+    with (tmp_path / "a.json").open("a") as f:
+        f.write("\n" + json.dumps({"url": "late"}) + "\n")
+    assert [pin["url"] for _, pin in log.after(at)] == ["late"] and len(opens) == 2
+
+
 def test_written_documents_come_back(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a", "x\ny é"), (2, None, None), (3, "b", "")], "id int, s string, t string")
     log = corpus.write_documents(docs, f"file://{tmp_path}/w", F.col("s"), F.concat(F.lit("u"), "id"), F.col("t"))
